@@ -8,14 +8,19 @@ sequence is one shingle; without words the set is empty and linked with nothing)
 2. One hash pass fills ``BANDS * ROWS`` bins with minima; empty bins borrow from a bin chosen by a second hash
    (optimal densification).  Each band of ROWS bins is a bucket key: sets at the threshold miss each other in
    every band with probability (1 - 0.85**7)**36, below 1e-6.
-3. In every bucket of two or more, one centre gets an edge to each other member (a star), never all pairs.  Edges are
-   confirmed on the texts and joined to components.
-4. A bucket whose members still lie in several components may hide a link between two non-centres.  Such buckets go
-   round again with further centres, members of their smallest components first, eight times as many each round, until
-   every pair of its members that lies in different components was compared or excluded: by set size
-   (exact), or, for sets of 64 shingles or more, by a 256-bit sketch of the signature whose agreement lies over six standard
-   deviations below what linked sets show.
-5. Components come from alternating large-star and small-star steps on the confirmed edges.
+3. In every bucket of two or more, one centre gets an edge to each other member (a star), never all pairs; the member
+   whose buckets are the most crowded is the centre.  Pairs that may come near the threshold are compared on
+   their texts, and linked ones are edges.
+4. Stars alone would lose a link between two members x, y of which one, x, isn't linked with the centre c.  If x and y
+   are linked, then their differences from c overlap: with D(x) = (x \\ c) + (c \\ x), |D(x)| > k (|x| + |c|) and
+   |D(x) ^ D(y)| <= k (|x| + |y|), k = (1 - s) / (1 + s), can't both hold for disjoint D.  So an equi-join on (centre, shingle in
+   which both differ from it) finds every such pair; prefixes of the difference sets in hash order suffice, as at
+   most (1 - s) |x| of x's shingles may miss y.  Size, and an upper bound of the intersection from the difference counts, prune exactly.
+5. Members too far from their centre to have been compared (by size, exactly, or for sets of 64 shingles or more by a
+   256-bit sketch at over five standard deviations) go round again within their bucket, with the members not close to the centre:
+   further centres, far members of small components first, eight times as many each round, until every pair
+   with a far member in different components was compared or excluded by size or sketch.
+6. Components come from alternating large-star and small-star steps on the confirmed edges.
 
 All intermediate tables are written to the shared folder.  Rows with a null id have a null component and are kept; they take part in nothing.
 Null and empty texts: n_shingles 0, own component.  Repeated rows (same id and text) get the same
@@ -38,8 +43,6 @@ from tagforge.llm.common import drop_path, map_texts, shared_dir, written
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
 SKETCH_WORDS = 4
-#: Bits of 256 that sketches of linked sets agree in at least: 237 expected at similarity 0.85, standard deviation 4.2.
-SKETCH_LEAST = 208
 SKETCH_SHINGLES = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -142,26 +145,48 @@ def _signed(width, texts):
     return [[len(s) for s in sets], keys, list(bands), list(sketch)]
 
 
-def _confirm(width, percent, batches):
+def _sets(width, batches):
+    """Each batch of (a, b, text of a, text of b) with the shingle sets of its rows; sets are remembered within a batch's neighbourhood."""
     cache: dict = {}
+
+    def of(key, text):
+        if key not in cache:
+            if len(cache) > 256:
+                cache.clear()
+            cache[key] = shingle_sets([text.as_py()], width)[0]
+        return cache[key]
+
     for batch in batches:
+        a, b, ta, tb = batch.columns
+        yield batch, [(of(x, ta[i]), of(y, tb[i])) for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True))]
+
+
+def _confirm(width, percent, batches):
+    """The pairs that link."""
+    for batch, pairs in _sets(width, batches):
         kept = []
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        ta, tb = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            for key, text in ((a[i], ta), (b[i], tb)):
-                if key not in cache:
-                    if len(cache) > 256:
-                        cache.clear()
-                    cache[key] = shingle_sets([text[i].as_py()], width)[0]
-            x, y = cache.get(a[i]), cache.get(b[i])
-            x = shingle_sets([ta[i].as_py()], width)[0] if x is None else x
-            y = shingle_sets([tb[i].as_py()], width)[0] if y is None else y
+        for x, y in pairs:
             common = len(np.intersect1d(x, y, assume_unique=True))
             kept.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
 
+def _compare(width, percent, close, batches):
+    """Of each (centre, member): linked, close, the member's size, what it adds and lacks, and prefixes of both difference sets."""
+    for batch, pairs in _sets(width, batches):
+        rows = []
+        for c, m in pairs:
+            added, missing = np.setdiff1d(m, c, assume_unique=True), np.setdiff1d(c, m, assume_unique=True)
+            common = len(m) - len(added)
+            union = len(c) + len(added)
+            few = (100 - percent) * len(m)
+            rows.append((100 * common >= percent * union, 100 * common >= close * union, len(m), len(added), len(missing), added[: few // 100 + 1].view(np.int64), missing[: few // percent + 1].view(np.int64)))
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
+        kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        made = [pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["c", "m", "linked", "close", "n", "added", "removed", "novel", "missing"])
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): each node of ``edges`` (a, b) and the smallest node reachable, by alternating stars."""
     tidy = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -185,13 +210,38 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
 
 
-def _similar(x: str, y: str, percent: int):
-    """False only where sizes (exactly) or sketches (beyond doubt) exclude a link of the structs x and y."""
+def _least_agreement(similarity: float, deviations: float) -> int:
+    """Sketch bits that sets of this similarity agree in at least, ``deviations`` below what is expected of them."""
+    p = (1 + similarity) / 2
+    return int(64 * SKETCH_WORDS - BINS + BINS * p - deviations * (BINS * p * (1 - p)) ** 0.5)
+
+
+def _similar(x: str, y: str, percent: int, deviations: float = 6.0):
+    """False only where sizes (exactly) or sketches (beyond doubt) put the structs x and y below ``percent``."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     agree = F.lit(64 * SKETCH_WORDS)
     for k in range(SKETCH_WORDS):
         agree = agree - F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k]))
-    return (100 * small >= percent * large) & ((small < SKETCH_SHINGLES) | (agree >= SKETCH_LEAST))
+    return (100 * small >= percent * large) & ((small < SKETCH_SHINGLES) | (agree >= _least_agreement(percent / 100, deviations)))
+
+
+def _difference_pairs(star: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that may link although one isn't linked with their common centre; step 4 of the module's docstring."""
+    groups = star.groupBy("c").agg(F.count_if(~F.col("linked")).alias("bad"), F.count("*").alias("k")).where("bad > 0 and k > 1").select("c")
+    s = star.join(groups, "c", "left_semi")
+    tokens = lambda name: s.select("c", F.explode(name).alias("t"), F.struct("m", "n", "added", "removed", "linked").alias("v"))
+    x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
+    both = x("n") + y("n")
+    most = x("n") - x("added") + x("removed") - F.greatest(x("removed"), y("removed")) + F.least(x("added"), y("added"))
+    may = (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (100 * most >= percent * (both - most)) & (x("m") != y("m")) & (y("linked") | (x("m") < y("m")))
+    # Pairs whose additions need not overlap, and only those, are found by what both lack.
+    apart = (x("added") + y("added") + F.abs(x("removed") - y("removed"))) * (100 + percent) <= (100 - percent) * both
+    found = None
+    for name, condition in (("novel", may), ("missing", may & apart)):
+        left = tokens(name).where(~F.col("v.linked")).withColumnRenamed("v", "x")
+        got = left.join(tokens(name).withColumnRenamed("v", "y"), ["c", "t"]).where(condition).select(F.least("x.m", "y.m").alias("a"), F.greatest("x.m", "y.m").alias("b")).distinct()
+        found = got if found is None else found.unionByName(got)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     member = member.select(F.xxhash64("band", "key").alias("bucket"), "m")
     crowds = written(member.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), f"{folder}/crowds")
     member = written(member.join(crowds, "bucket"), f"{folder}/member")
-    # A text that many others resemble shares crowded buckets with them in most bands: it makes the best centre.
+    # A text that many others resemble shares crowded buckets with them in most bands.
     weight = member.groupBy(F.col("m.id").alias("id")).agg(F.sum("crowd").alias("weight"))
     heavy = written(member.join(weight, F.col("m.id") == F.col("id")).select("bucket", "m", (-F.col("weight")).alias("rank")), f"{folder}/weighted")
     drop_path(spark, f"{folder}/member")
@@ -216,39 +266,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     best = written(best, f"{folder}/centres0")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(heavy.select(F.col("m.id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, f"{folder}/texts")
-    stars = lambda left, centre: left.join(centre, "bucket").where(F.col("m.id") != F.col("c.id")).where(_similar("m", "c", percent)).select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
-    edges, step, group = None, 0, None
-    todo, pairs = heavy.select("bucket", "m"), stars(heavy.select("bucket", "m"), best)
-    taken, centres = 1, best
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def with_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        left, right = texts.select(F.col("id").alias(a), F.col("text").alias("ta")), texts.select(F.col("id").alias(b), F.col("text").alias("tb"))
+        return pairs.join(left, a).join(right, b).select(a, b, "ta", "tb")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        return written(with_texts(pairs, "a", "b").mapInArrow(partial(_confirm, width, percent), f"a {kind}, b {kind}"), f"{folder}/{name}")
+
+    loose, close = percent - 13, 87
+    member = heavy.select("bucket", "m").join(best, "bucket").where(F.col("m.id") != F.col("c.id")).withColumn("far", ~_similar("m", "c", loose, 5.2))
+    member = written(member.select("bucket", "m", F.col("c.id").alias("c"), "far"), f"{folder}/stars")
+    pairs = written(member.where("not far").select("c", F.col("m.id").alias("m")).distinct(), f"{folder}/pairs")
+    fields = f"c {kind}, m {kind}, linked boolean, close boolean, n bigint, added bigint, removed bigint, novel array<bigint>, missing array<bigint>"
+    star = written(with_texts(pairs, "c", "m").mapInArrow(partial(_compare, width, percent, close), fields), f"{folder}/compared")
+    found = confirmed(written(_difference_pairs(star, percent), f"{folder}/differing"), "edges")
+    edges = star.where("linked").select(F.col("c").alias("a"), F.col("m").alias("b")).unionByName(found)
+    group = written(components(edges, f"{folder}/turns"), f"{folder}/groups")
+    some = member.groupBy("bucket").agg(F.max("far").alias("any_far"), F.count("*").alias("k")).where("any_far and k > 1").select("bucket")
+    near = star.where("close").select("c", F.col("m").alias("id"))
+    rest = member.join(some, "bucket", "left_semi")
+    rest = rest.join(near, (rest.c == near.c) & (F.col("m.id") == near.id), "left_anti").select("bucket", "m", "far")
+    seen, step, taken = [], 0, 4
     while True:
-        pairs = written(pairs, f"{folder}/pairs{step}")
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-        kind = pairs.schema["a"].dataType.simpleString()
-        found = written(joined.mapInArrow(partial(_confirm, width, percent), f"a {kind}, b {kind}"), f"{folder}/edges{step}")
-        edges = found if edges is None else edges.unionByName(found)
-        group = written(components(edges, f"{folder}/stars{step}"), f"{folder}/groups{step}")
-        drop_path(spark, f"{folder}/stars{step}")
-        # What is left: buckets whose members, without the centres tried, lie in several components.
-        # The component must be looked up for every member, those without any edge being their own.
-        named = lambda df: df.drop("g").join(group.withColumnRenamed("node", "id").withColumnRenamed("component", "g"), F.col("m.id") == F.col("id"), "left").withColumn("g", F.coalesce("g", "m.id")).drop("id")  # noqa: E731,B023
-        rest = todo.join(centres.select("bucket", F.col("c.id").alias("id")), [todo.bucket == centres.bucket, F.col("m.id") == F.col("id")], "left_anti")
-        rest = written(named(rest), f"{folder}/rest{step}")
-        mixed = rest.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("bucket")
-        todo = written(rest.join(mixed, "bucket", "left_semi"), f"{folder}/todo{step}")
+        names = group.select(F.col("node").alias("id"), F.col("component").alias("g"))
+        named = rest.join(names, F.col("m.id") == F.col("id"), "left").select("bucket", "m", "far", F.coalesce("g", "m.id").alias("g"))
+        named = written(named, f"{folder}/rest{step}")
+        mixed = named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("far").alias("any_far")).where("lo <> hi and any_far").select("bucket")
+        todo = written(named.join(mixed, "bucket", "left_semi"), f"{folder}/todo{step}")
         drop_path(spark, f"{folder}/rest{step}")
         if not todo.head(1):
             break
-        step, taken = step + 1, min(taken * 8, 1 << 20)
         share = todo.groupBy("bucket", "g").agg(F.count("*").alias("size"))
-        order = W.partitionBy("bucket").orderBy("size", "g", "m.id")
+        order = W.partitionBy("bucket").orderBy(F.col("far").desc(), "size", "g", "m.id")
         picked = todo.join(share, ["bucket", "g"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= taken)
-        centres = written(picked.select("bucket", F.col("m").alias("c"), F.col("g").alias("cg")), f"{folder}/centres{step}")
-        apart = todo.join(centres, "bucket").where((F.col("g") != F.col("cg")) & _similar("m", "c", percent))
+        centres = written(picked.select("bucket", F.col("m").alias("c"), F.col("g").alias("cg"), F.col("far").alias("cfar")), f"{folder}/centres{step}")
+        apart = todo.join(centres, "bucket").where((F.col("g") != F.col("cg")) & (F.col("far") | F.col("cfar")) & _similar("m", "c", percent))
         pairs = apart.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
-        for k in range(step):
-            pairs = pairs.join(spark.read.parquet(f"{folder}/pairs{k}"), ["a", "b"], "left_anti")
+        for old in seen:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"{folder}/pairs{step}")
+        seen.append(pairs)
+        edges = edges.unionByName(confirmed(pairs, f"edges{step}"))
+        group = written(components(edges, f"{folder}/turns{step}"), f"{folder}/groups{step}")
+        rest = todo.join(centres.select("bucket", F.col("c.id").alias("id")), [todo.bucket == centres.bucket, F.col("m.id") == F.col("id")], "left_anti").select("bucket", "m", "far")
+        step, taken = step + 1, min(taken * 8, 1 << 20)
     every = signed.select(F.col("id").alias(id_col), "n_shingles", "set_key")
     out = every.join(reps, "set_key", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     label = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", id_col)).otherwise(F.col(id_col))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -80,19 +81,19 @@ def _nullable(f):
     return lambda *a: None if any(v is None or v != v for v in a) else f(*a)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(q: pd.Series, df: pd.Series) -> pd.Series:
     f = _nullable(chi2_sf)
     return pd.Series([f(a, b) for a, b in zip(q, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_pvalue(z: pd.Series) -> pd.Series:
     f = _nullable(lambda v: 2 * normal_sf(abs(v)))
     return pd.Series([f(v) for v in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     f = _nullable(t_two_sided)
     return pd.Series([f(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")

@@ -1,6 +1,6 @@
 """Window rates by model choice: zero-truncated Poisson mixtures and the zero-truncated negative binomial.
 
-Groups are single windows of at most a few hundred counts; each is fitted in numpy inside a grouped pandas function.
+Every window, of at most a few hundred counts, is fitted in numpy inside a grouped pandas function.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ def truncated_rate(mean: float) -> float:
     return x
 
 
-def ztp_logpmf(k: np.ndarray, lam: float) -> np.ndarray:
+def ztp_logpmf(k: np.ndarray, lam: float, log_factorial: np.ndarray | None = None) -> np.ndarray:
     if lam < 1e-8:
         return np.where(k == 1, 0.0, -np.inf)
-    return k * math.log(lam) - lam - lgamma(k + 1.0) - math.log(-math.expm1(-lam))
+    return k * math.log(lam) - lam - (lgamma(k + 1.0) if log_factorial is None else log_factorial) - math.log(-math.expm1(-lam))
 
 
 def fit_mixture(values: np.ndarray, counts: np.ndarray, parts: int, steps: int = 200, tol: float = 1e-7):
@@ -44,9 +44,9 @@ def fit_mixture(values: np.ndarray, counts: np.ndarray, parts: int, steps: int =
     start = np.quantile(flat, np.linspace(0.15, 0.85, parts)) if parts > 1 else np.array([flat.mean()])
     rates = np.maximum(np.array([truncated_rate(max(v, 1.05)) for v in start]) * (1 + 0.01 * np.arange(parts)), 1e-6)
     weights = np.full(parts, 1.0 / parts)
-    last = -np.inf
+    last, factorial = -np.inf, lgamma(values + 1.0)
     for _ in range(steps):
-        logs = np.log(weights)[:, None] + np.array([ztp_logpmf(values, r) for r in rates])
+        logs = np.log(weights)[:, None] + np.array([ztp_logpmf(values, r, factorial) for r in rates])
         top = logs.max(0)
         norm = top + np.log(np.exp(logs - top).sum(0))
         like = float((counts * norm).sum())
@@ -60,12 +60,14 @@ def fit_mixture(values: np.ndarray, counts: np.ndarray, parts: int, steps: int =
     return weights, rates, like, (2 * parts - 1) * math.log(n) - 2 * like
 
 
-def ztnb_loglike(values: np.ndarray, counts: np.ndarray, log_mu: float, log_alpha: float) -> float:
+def ztnb_loglike(values: np.ndarray, counts: np.ndarray, log_mu: float, log_alpha: float, log_factorial: np.ndarray | None = None) -> float:
+    """Values ascend."""
     mu, alpha = math.exp(log_mu), math.exp(log_alpha)
     r = 1.0 / alpha
     zero = -r * math.log1p(alpha * mu)
-    rising = np.array([np.log1p(alpha * np.arange(k)).sum() for k in values.astype(int)]) - values * log_alpha
-    base = rising - lgamma(values + 1.0) + values * (math.log(alpha * mu) - math.log1p(alpha * mu)) + zero
+    steps = np.concatenate(([0.0], np.cumsum(np.log1p(alpha * np.arange(values[-1])))))
+    rising = steps[values.astype(int)] - values * log_alpha
+    base = rising - (lgamma(values + 1.0) if log_factorial is None else log_factorial) + values * (math.log(alpha * mu) - math.log1p(alpha * mu)) + zero
     return float((counts * (base - math.log(-math.expm1(zero)))).sum())
 
 
@@ -76,11 +78,12 @@ def fit_ztnb(values: np.ndarray, counts: np.ndarray):
     var = float((counts * (values - mean) ** 2).sum() / max(n - 1, 1))
     at = np.array([math.log(max(mean, 1e-3)), math.log(min(max((var - mean) / max(mean * mean, 1e-9), 1e-3), 10.0))])
     low, high = np.log([1e-6, 1e-8]), np.log([1e6, 1e3])
-    best, step = ztnb_loglike(values, counts, *at), 1.0
+    factorial = lgamma(values + 1.0)
+    best, step = ztnb_loglike(values, counts, *at, factorial), 1.0
     while step > 1e-5:
         for move in ((step, 0), (-step, 0), (0, step), (0, -step), (step, -step), (-step, step)):
             new = np.clip(at + move, low, high)
-            like = ztnb_loglike(values, counts, *new)
+            like = ztnb_loglike(values, counts, *new, factorial)
             if like > best + 1e-12:
                 at, best = new, like
                 break
@@ -121,15 +124,19 @@ def choose(count: np.ndarray, model: str = "auto") -> dict:
     return out | {"rate": rate, "se": math.sqrt(max(var, float(positive.var(ddof=1)) if n > 1 else var, 1e-12) / n) / slope, "model": name, "bic": bic, "n_components": parts}
 
 
-def _window(model: str, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([dict(zip(KEY, key, strict=True)) | choose(g["count"].to_numpy(), model)])
+def _windows(model: str, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    rows = [dict(zip(KEY, (*key, *at), strict=True)) | choose(w["count"].to_numpy(), model) for at, w in g.groupby(["contig_id", "chunk"])]
+    return pd.DataFrame(rows)
 
 
 SCHEMA = "sample string, genome_id int, enzyme int, contig_id int, chunk bigint, n_anchors bigint, n_positive bigint, rate double, se double, model string, bic double, n_components int"
 
 
 def model_rates(windowed: DataFrame, model: str = "auto") -> DataFrame:
-    """One row per enzyme window with the chosen model's rate."""
+    """One row per enzyme window with the chosen model's rate.
+
+    A group holds one enzyme's windows of one genome and sample, so it is bounded by the genome, and the calls stay few.
+    """
     from functools import partial
 
-    return windowed.select(*KEY, "count").groupBy(*KEY).applyInPandas(partial(_window, model), SCHEMA)
+    return windowed.select(*KEY, "count").groupBy("sample", "genome_id", "enzyme").applyInPandas(partial(_windows, model), SCHEMA)

@@ -22,7 +22,7 @@ def duck(sf):
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else (round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else (round(float(v), 9) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 

@@ -190,8 +190,12 @@ def _compare(width, percent, close, batches):
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): each node of ``edges`` (a, b) and the smallest node reachable, by alternating stars."""
     tidy = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, step, mark = written(tidy(edges), f"{folder}/0"), 0, None
+    now, step = written(tidy(edges), f"{folder}/0"), 0
     while True:
+        # Done when every edge leads to a top: no end of an edge starts another, and no node has two edges.
+        deep = now.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        if not deep.unionByName(now.groupBy("a").count().where("count > 1").select("a")).head(1):
+            break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = written(tidy(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))), f"{folder}/{step + 1}")
@@ -199,13 +203,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         small = large.join(low, "a")
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = written(tidy(moved), f"{folder}/{step + 2}")
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).head()
         drop_path(edges.sparkSession, f"{folder}/{step + 1}")
-        if step:
-            drop_path(edges.sparkSession, f"{folder}/{step}")
-        if seen == mark:
-            break
-        step, mark = step + 2, seen
+        drop_path(edges.sparkSession, f"{folder}/{step}")
+        step += 2
     tops = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
 
@@ -308,8 +308,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = written(pairs, f"{folder}/pairs{step}")
         seen.append(pairs)
-        edges = edges.unionByName(confirmed(pairs, f"edges{step}"))
-        group = written(components(edges, f"{folder}/turns{step}"), f"{folder}/groups{step}")
+        found = confirmed(pairs, f"edges{step}")
+        if found.head(1):
+            edges = edges.unionByName(found)
+            group = written(components(edges, f"{folder}/turns{step}"), f"{folder}/groups{step}")
         rest = todo.join(centres.select("bucket", F.col("c.id").alias("id")), [todo.bucket == centres.bucket, F.col("m.id") == F.col("id")], "left_anti").select("bucket", "m", "far")
         step, taken = step + 1, min(taken * 8, 1 << 20)
     every = signed.select(F.col("id").alias(id_col), "n_shingles", "set_key")

@@ -100,18 +100,35 @@ def sparse_counts(texts: list[str | None], orders: tuple[int, ...], bits: int, f
     return (found >> np.uint32(bits)).astype(np.int64), (found & np.uint32((1 << bits) - 1)).astype(np.int64), count, np.diff(ends)
 
 
-def logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, ridge: float, steps: int = 60, rate: float = 0.3):
-    """Ridge logistic regression by full-batch adaptive gradient steps, both classes weighing alike; (weights, bias)."""
+def logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, ridge: float, steps: int = 60, rate: float = 0.3):
+    """Ridge logistic regression over sparse rows (features, values), both classes weighing alike; (weights, bias).
+
+    Full-batch adaptive gradient steps; rows are laid end to end in blocks, so temporary arrays stay small.
+    """
     n = len(y)
-    value = value.astype(np.float32)
+    blocks, start = [], 0
+    while start < n:
+        stop, held = start, 0
+        while stop < n and (held < 1 << 20 or stop == start):
+            held += len(rows[stop][0])
+            stop += 1
+        doc = np.repeat(np.arange(start, stop, dtype=np.int32), [len(rows[i][0]) for i in range(start, stop)])
+        blocks.append((doc, np.concatenate([rows[i][0] for i in range(start, stop)]).astype(np.int32), np.concatenate([rows[i][1] for i in range(start, stop)]).astype(np.float32)))
+        for i in range(start, stop):
+            rows[i] = None  # type: ignore[call-overload]
+        start = stop
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * n
     w, m, v, bias = np.zeros(size), np.zeros(size + 1), np.zeros(size + 1), 0.0
     for step in range(1, steps + 1):
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(doc, value * w[feature], n) + bias, -60, 60)))
-        error = ((p - y) * balance).astype(np.float32)
-        grad = np.empty(size + 1)
-        grad[:size] = np.bincount(feature, value * error[doc], size) / n + ridge * w / n
-        grad[size] = error.mean()
+        grad, shift = np.zeros(size + 1), 0.0
+        for doc, feature, value in blocks:
+            first, last = int(doc[0]) if len(doc) else 0, int(doc[-1]) + 1 if len(doc) else 0
+            z = np.bincount(doc - first, value * w[feature], last - first) + bias
+            error = (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) - y[first:last]) * balance[first:last]
+            grad[:size] += np.bincount(feature, value * error[doc - first], size)
+            shift += float(error.sum())
+        grad[:size] = grad[:size] / n + ridge * w / n
+        grad[size] = shift / n
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

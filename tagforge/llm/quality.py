@@ -44,7 +44,7 @@ def fit(rows: list[dict], epochs: int = 8, batch: int = 32, rate: float = 2.0, d
     made = []
     for row in rows:
         _, h, c, _ = sparse_counts([row["text"]], ORDERS, BITS, words=True)
-        made.append((h, (c / max(c.sum(), 1)).astype(np.float32)))
+        made.append((h.astype(np.int32), (c / max(c.sum(), 1)).astype(np.float32)))
     balance = len(y) / (2.0 * np.bincount(y, minlength=2))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)

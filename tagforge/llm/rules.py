@@ -70,21 +70,16 @@ def fit(rows: list[dict], ridge: float = 0.02) -> dict[str, np.ndarray]:
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return {"weight": np.zeros(size, np.float32), "bias": np.array(60.0)}
-    docs, features, values = [], [], []
-    for at, row in enumerate(rows):
+    made = []
+    for row in rows:
         _, h, c, _ = sparse_counts([row["text"]], ORDERS, BITS, words=True)
-        docs.append(np.full(len(h), at))
-        features.append(h)
-        values.append(np.sqrt(c / max(c.sum(), 1)))
-    doc, feature, value = np.concatenate(docs), np.concatenate(features), np.concatenate(values)
+        made.append((h.astype(np.int32), np.sqrt(c / max(c.sum(), 1)).astype(np.float32)))
     held = np.arange(len(y)) % 5 == 4
     if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) == 0:
         held[:] = False
-    place = np.cumsum(~held) - 1
-    use = ~held[doc]
-    w, bias = logistic(place[doc[use]], feature[use], value[use], y[~held], size, ridge)
-    odds = np.bincount(doc, value * w[feature], len(y)) + bias
-    slope, shift = platt(odds[held], y[held]) if held.any() else (1.0, 0.0)
+    w, bias = logistic([made[i] for i in np.flatnonzero(~held)], y[~held], size, ridge)
+    odds = np.array([(made[i][1] * w[made[i][0]]).sum() + bias for i in np.flatnonzero(held)])
+    slope, shift = platt(odds, y[held]) if held.any() else (1.0, 0.0)
     return {"weight": (slope * w).astype(np.float32), "bias": np.array(slope * bias + shift)}
 
 

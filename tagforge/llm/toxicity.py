@@ -33,20 +33,19 @@ def fit(rows: list[dict], smoothing: float = 5.0, min_docs: int = 8, ridge: floa
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {"weight": np.zeros(size, np.float32), "bias": np.array(np.log((share + 1e-9) / (1 - share + 1e-9)))}
-    docs, features, values = [], [], []
-    for at, row in enumerate(rows):
+    made, toxic, seen = [], np.zeros(size), np.zeros(size)
+    for row, label in zip(rows, y, strict=True):
         _, h, c, n = sparse_counts([row["text"]], ORDERS, BITS, fold=True)
-        docs.append(np.full(len(h), at))
-        features.append(h)
-        values.append(np.sqrt(c / max(int(n[0]), 1)))
-    doc, feature, value = np.concatenate(docs), np.concatenate(features), np.concatenate(values)
+        toxic[h] += label
+        seen[h] += 1
+        made.append((h.astype(np.int32), np.sqrt(c / max(int(n[0]), 1)).astype(np.float32)))
     clean = len(y) - y.sum()
-    toxic = np.bincount(feature, y[doc], size) + smoothing
-    other = np.bincount(feature, 1 - y[doc], size) + smoothing * clean / y.sum()
-    ratio = np.log(toxic / y.sum()) - np.log(other / clean)
-    ratio[np.bincount(feature, minlength=size) < min(min_docs, max(1, len(y) // 8))] = 0
-    used = ratio[feature] != 0
-    w, bias = logistic(doc[used], feature[used], (value * ratio[feature])[used], y, size, ridge)
+    ratio = np.log((toxic + smoothing) / y.sum()) - np.log((seen - toxic + smoothing * clean / y.sum()) / clean)
+    ratio[seen < min(min_docs, max(1, len(y) // 8))] = 0
+    for i, (h, value) in enumerate(made):
+        used = ratio[h] != 0
+        made[i] = (h[used], value[used] * ratio[h[used]])
+    w, bias = logistic(made, y, size, ridge)
     return {"weight": (w * ratio).astype(np.float32), "bias": np.array(bias)}
 
 
@@ -57,7 +56,7 @@ def score(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
     return sigmoid(np.bincount(doc, part, len(texts)) + float(model["bias"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> dict[str, np.ndarray]:
     """Fit on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0)."""
     return fit_on_executor(labelled_sample(docs, labels, target, fold(id_col, 5) != 0, train_rows, id_col, text_col), fit)
 

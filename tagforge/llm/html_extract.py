@@ -4,8 +4,9 @@ A page is cut into lines, one per block-level element.  Markup, scripts, styles
 elements that are boilerplate by tag (nav, aside, footer, form, ...) or by the words of their class, id or role (menu,
 sidebar, advert, cookie, comments, ...) count nothing.  The length of a line is its text outside links.  Lengths are summed
 over sliding windows of ``window`` lines; the text surges where a window's sum rises to ``surge`` and dives where the sum
-falls back to nothing.  Where the page marks its content (article, main), each marked region is one run of lines
-and the distribution only has to find the runs that hold text; elsewhere, the run from surge to dive is extended to the heading before it.
+falls back to nothing.  The run from surge to dive is extended to the heading before it.  Where the page marks its content (article,
+main), a marked region bounds the search: a run there reaches from dive to dive around a surge, and a region that nowhere surges
+keeps its text.  Marks count only while the text that surges outside them doesn't outweigh theirs; else the whole page is searched.
 
 Inside a line white space becomes one space; lines are joined by one newline.  A null, empty or
 textless page gives the empty text.  Repeated rows are extracted alike; columns other than those asked for are not read.
@@ -161,12 +162,33 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    if any(line.region for line in lines):
-        lines = [line for line in lines if line.region]
-        runs = _runs([len(line.text) for line in lines], [line.region for line in lines])
-        return "\n".join(lines[i].text for a, b in runs for i in range(a, b))
     sizes = [0 if 2 * line.link_chars > len(line.text) else len(line.text) - line.link_chars for line in lines]
-    ahead = np.convolve(sizes, np.ones(window, int), "full")[window - 1 :]  # each line with the window - 1 after it
+    kept = np.zeros(len(lines), bool)
+    outside = 0
+    start = 0
+    for i in range(1, len(lines) + 1):  # stretches of one region
+        if i == len(lines) or lines[i].region != lines[start].region:
+            if lines[start].region:
+                kept[start:i] = _in_marked(lines[start:i], sizes[start:i], window, surge)
+            else:
+                outside += int(np.array(sizes[start:i])[_surging(lines[start:i], sizes[start:i], window, surge)].sum())
+            start = i
+    inside = int(np.array(sizes)[kept].sum())
+    if not inside or outside > inside:  # no marks, or marks on the lesser part: the page as a whole
+        kept = _surging(lines, sizes, window, surge)
+        if not kept.any():  # no surge anywhere: a page of short lines; keep what isn't mostly links
+            kept = np.array(sizes) > 0
+    return "\n".join(line.text for line, k in zip(lines, kept, strict=True) if k)
+
+
+def _ahead(sizes: list[int], window: int) -> np.ndarray:
+    """The sum of each line with the window - 1 after it."""
+    return np.convolve(sizes, np.ones(window, int), "full")[window - 1 :]
+
+
+def _surging(lines: list[Line], sizes: list[int], window: int, surge: int) -> np.ndarray:
+    """The lines from each surge to its dive that hold text, and the headings before them."""
+    ahead = _ahead(sizes, window)
     kept = np.zeros(len(lines), bool)
     i = 0
     while i < len(lines):
@@ -182,20 +204,26 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
             kept[back] = True
             back -= 1
         i = dive
-    if not kept.any():  # no surge anywhere: a page of short lines; keep what isn't mostly links
-        kept = np.array(sizes) > 0
-    return "\n".join(line.text for line, k in zip(lines, kept, strict=True) if k)
+    return kept
 
 
-def _runs(sizes: list[int], regions: list[int]) -> list[tuple[int, int]]:
-    """[start, end) of each marked region that holds text."""
-    runs, start = [], 0
-    for i in range(1, len(sizes) + 1):
-        if i == len(sizes) or regions[i] != regions[start]:
-            if sum(sizes[start:i]):
-                runs.append((start, i))
-            start = i
-    return runs
+def _in_marked(lines: list[Line], sizes: list[int], window: int, surge: int) -> np.ndarray:
+    """The lines of one marked region that hold text, from dive to dive around each surge; without a surge, wherever they stand."""
+    ahead = _ahead(sizes, window)
+    kept = np.zeros(len(lines), bool)
+    i = 0
+    while i < len(lines):
+        dive = i
+        while dive < len(lines) and ahead[dive]:
+            dive += 1
+        if dive > i and ahead[i:dive].max() >= surge:
+            kept[i:dive] = [s > 0 for s in sizes[i:dive]]
+        i = max(dive, i + 1)
+    if not kept.any():
+        kept = np.array(sizes) > 0
+    for i in range(len(lines) - 2, -1, -1):
+        kept[i] |= lines[i].heading and kept[i + 1]
+    return kept
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", window: int = 3, surge: int = 60) -> DataFrame:

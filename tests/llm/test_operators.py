@@ -70,6 +70,20 @@ def test_html_cases(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG} More.</p></div><ul><li><a href=1>Next</a></li><li><a href=2>Last</a></li><li><a href=3>Top</a></li></ul><article><p>Read this too.</p></article>", f"{LONG}\n{LONG} More."),
+        (f"<article><p>Hi.</p><p>Yes.</p><p>No.</p><p>{LONG}</p><p>End.</p><p><a href=1>More of the same</a></p></article><p>Stay tuned.</p>", f"Hi.\nYes.\nNo.\n{LONG}\nEnd."),
+        (f"<article><h2><a href=1>Title</a></h2><p>{LONG}</p><p><a>a</a></p><p><a>b</a></p><p><a>c</a></p><p>Share this</p></article>", f"Title\n{LONG}"),
+        ("<article><p>Short.</p></article><p>Stay tuned.</p>", "Short."),
+        (f"<article><p>{LONG}</p></article><p>{LONG}</p><p>{LONG} More.</p>", f"{LONG}\n{LONG}\n{LONG} More."),
+    ],
+)
+def test_html_marks_only_bound_the_search(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (2, None, None), (None, "v", "<p>é\U0001f600</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))

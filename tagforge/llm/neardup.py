@@ -24,7 +24,7 @@ sequence is one shingle; without words the set is empty and linked with nothing)
 
 All intermediate tables are written to the shared folder.  Rows with a null id have a null component and are kept; they take part in nothing.
 Null and empty texts: n_shingles 0, own component.  Repeated rows (same id and text) get the same
-component and are all kept or dropped alike.  An empty table gives an empty result; columns other than id and text are not read.
+component and are all kept or dropped alike; rows that share an id but not the set are documents of their own.  An empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -145,6 +145,10 @@ def _signed(width, texts):
     return [[len(s) for s in sets], keys, list(bands), list(sketch)]
 
 
+def _keys(width, texts):
+    return [_signed(width, texts)[1]]
+
+
 def _sets(width, batches):
     """Each batch of (a, b, text of a, text of b) with the shingle sets of its rows; sets are remembered within a batch's neighbourhood."""
     cache: dict = {}
@@ -158,7 +162,8 @@ def _sets(width, batches):
 
     for batch in batches:
         a, b, ta, tb = batch.columns
-        yield batch, [(of(x, ta[i]), of(y, tb[i])) for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True))]
+        keys = [list(zip(*(part.to_pylist() for part in node.flatten()), strict=True)) for node in (a, b)]
+        yield batch, [(of(x, ta[i]), of(y, tb[i])) for i, (x, y) in enumerate(zip(*keys, strict=True))]
 
 
 def _confirm(width, percent, batches):
@@ -245,16 +250,22 @@ def _difference_pairs(star: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable), kept (id is component_id)."""
+    """One row per document: id, n_shingles, component_id (the smallest id reachable), kept (it represents its component)."""
+    return _labelled(docs, width, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, set_key, component_id, kept.  Inside, a node is an id and the turn of one of its sets, so that sets that share an id stay apart."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     signed = map_texts(docs, [id_col], text_col, _FIELDS, partial(_signed, width)).withColumnRenamed(id_col, "id")
     signed = written(signed, f"{folder}/signed")
     part = signed.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    reps = written(part.groupBy("set_key").agg(F.min("id").alias("rep")), f"{folder}/reps")
-    ids = reps.select(F.col("rep").alias("id"), "set_key")
+    firsts = part.groupBy("set_key").agg(F.min("id").alias("id"))
+    reps = written(firsts.select("set_key", F.struct("id", F.row_number().over(W.partitionBy("id").orderBy("set_key")).alias("turn")).alias("rep")), f"{folder}/reps")
+    ids = reps.select(F.col("rep.id").alias("id"), "set_key", "rep")
     member = signed.join(ids, ["id", "set_key"]).dropDuplicates(["id", "set_key"])
-    member = member.select(F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("m"), F.posexplode("bands").alias("band", "key"))
+    member = member.select(F.struct(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sketch").alias("m"), F.posexplode("bands").alias("band", "key"))
     member = member.select(F.xxhash64("band", "key").alias("bucket"), "m")
     crowds = written(member.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), f"{folder}/crowds")
     member = written(member.join(crowds, "bucket"), f"{folder}/member")
@@ -264,8 +275,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     drop_path(spark, f"{folder}/member")
     best = heavy.groupBy("bucket").agg(F.min(F.struct("rank", "m")).alias("c")).select("bucket", F.col("c.m").alias("c"))
     best = written(best, f"{folder}/centres0")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(heavy.select(F.col("m.id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, f"{folder}/texts")
+    needed = heavy.select(F.col("m.id").alias("rep")).distinct()
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    per_id = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("set_key").alias("some"), F.count("*").alias("all"))
+    mixed = written(per_id.where("lo <> hi OR some BETWEEN 1 AND all - 1").select("id"), f"{folder}/mixed")
+    keyed = None
+    if mixed.head(1):  # these ids stand for several sets; each text goes to its own
+        keyed = map_texts(plain.join(mixed, "id", "left_semi"), ["id", "text"], "text", _FIELDS[1:2], partial(_keys, width))
+        keyed = keyed.join(ids, ["id", "set_key"]).join(needed, "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"])
+        plain = plain.join(mixed, "id", "left_anti")
+    texts = plain.join(needed.select("rep.id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.struct("id", F.lit(1).alias("turn")).alias("id"), "text")
+    texts = written(texts if keyed is None else texts.unionByName(keyed.withColumnRenamed("rep", "id")), f"{folder}/texts")
     kind = texts.schema["id"].dataType.simpleString()
 
     def with_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -314,13 +334,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             group = written(components(edges, f"{folder}/turns{step}"), f"{folder}/groups{step}")
         rest = todo.join(centres.select("bucket", F.col("c.id").alias("id")), [todo.bucket == centres.bucket, F.col("m.id") == F.col("id")], "left_anti").select("bucket", "m", "far")
         step, taken = step + 1, min(taken * 8, 1 << 20)
-    every = signed.select(F.col("id").alias(id_col), "n_shingles", "set_key")
+    every = signed.select("id", "n_shingles", "set_key")
     out = every.join(reps, "set_key", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    label = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", id_col)).otherwise(F.col(id_col))
-    return out.select(id_col, "n_shingles", label.alias("component_id"), F.coalesce(label == F.col(id_col), F.lit(True)).alias("kept"))
+    top, linked = F.coalesce("component", "rep"), F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    kept = F.when(linked, (F.col("id") == F.col("rep.id")) & (top == F.col("rep"))).otherwise(True)
+    return out.select("id", "n_shingles", "set_key", F.when(linked, top["id"]).otherwise(F.col("id")).alias("component_id"), kept.alias("kept"))
 
 
 def survivors(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, all its columns."""
-    kept = near_duplicates(docs, width, percent, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept.select(F.col(id_col).alias("__kept")), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One document of each component and every row with a null id, all columns; rows of one id are the same document only if their sets are equal."""
+    found = _labelled(docs, width, percent, id_col, text_col).where("id IS NOT NULL")
+    found = written(found.select("id", "set_key", "kept"), f"{shared_dir(docs.sparkSession)}/found")
+    ids = found.groupBy(F.col("id").alias("__kept")).agg(F.count("*").alias("rows"), F.max("kept").alias("any")).where("any")
+    within = lambda some: docs.join(some.select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+    out = within(ids.where("rows = 1")).unionByName(docs.where(F.col(id_col).isNull()))
+    again = ids.where("rows > 1")
+    if not again.head(1):
+        return out
+    keyed = map_texts(within(again), docs.columns, text_col, [T.StructField("__set", T.StringType())], partial(_keys, width))
+    pairs = found.where("kept").select(F.col("id").alias("__kept"), F.col("set_key").alias("__key")).distinct()
+    keyed = keyed.join(pairs, (F.col(id_col) == F.col("__kept")) & F.col("__set").eqNullSafe(F.col("__key")), "left_semi")
+    return out.unionByName(keyed.dropDuplicates([id_col, "__set"]).drop("__set"))

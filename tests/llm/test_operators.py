@@ -260,6 +260,19 @@ def test_near_duplicates_on_odd_tables(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in neardup.survivors(odd, 3, 85).collect()) == [0, 1, 2, 3, 4, 7, 8]
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    base, other, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, base), (None, other), (None, "null words"), (None, None), (5, other), (5, third), (5, third), (5, None), (6, third + " end"), (7, base), (8, base + " end"), (9, other), (9, other + " end"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = neardup.near_duplicates(docs, 3, 85).collect()
+    assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None) == sorted(
+        [(5, 58, 5, True), (5, 58, 5, True), (5, 58, 5, True), (5, 0, 5, True), (6, 59, 5, False), (7, 58, 7, True), (8, 59, 7, False), (9, 58, 5, False), (9, 59, 5, False), (9, 0, 9, True)]
+    )
+    kept = sorted(((r.doc_id, r.text) for r in neardup.survivors(docs, 3, 85).collect()), key=repr)
+    assert kept == sorted([(None, base), (None, other), (None, "null words"), (None, None), (5, other), (5, third), (5, None), (7, base), (9, "")], key=repr)
+
+
 def test_densified_bins_estimate_similarity():
     random = np.random.default_rng(1)
     for n in (5, 40, 400):

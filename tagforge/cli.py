@@ -117,8 +117,8 @@ def scaffold_draft(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def simulate_grid(spark: SparkSession, a: argparse.Namespace) -> None:
-    sets = {"single": (400, False), "random": (1600, False), "union": (1600, True)}
-    tables.write_tsv(simulate.errors(simulate.run_grid(spark, sets, [0.5, 1.0, 2.0, 8.0], [0.5, 1.0, 2.0], a.reps, a.estimator, seed=a.seed)), a.out)
+    arms = simulate.route_a(tuple(d / 0.8 for d in (0.5, 1.0, 2.0, 8.0)), a.seed)
+    tables.write_tsv(simulate.errors(simulate.run_grid(spark, arms, [0.5, 1.0, 2.0], a.reps, a.estimator, seed=a.seed)), a.out)
 
 
 def parser() -> argparse.ArgumentParser:

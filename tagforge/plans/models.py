@@ -61,12 +61,12 @@ def ransac(spark, d):
 
 @query()
 def simulate_route_a(spark, d):
-    return Z.errors(Z.run_grid(spark, {"single": (400, False), "random": (1600, False), "union": (1600, True)}, [2.0, 8.0], [0.5, 1.0], 4))
+    return Z.errors(Z.run_grid(spark, Z.route_a(), [1.0, 2.0]))
 
 
 @query()
 def simulate_route_b(spark, d):
-    return Z.errors(Z.run_grid(spark, {"single": (400, True), "union": (1600, True)}, [2.0, 8.0], [0.5, 1.0], 4, estimator="sorted"))
+    return Z.errors(Z.run_grid(spark, Z.route_b(), [1.0]))
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from tagforge.functions.stats import chi2_sf, normal_sf, t_two_sided
 from tagforge.operators.gcbias import lowess
 from tagforge.operators.mixture import choose, fit_mixture, fit_ztnb, truncated_rate
-from tagforge.operators.simulate import anchors, counts, estimate
+from tagforge.operators.simulate import anchors, binned, counts, estimate, route_a, route_b
 from tagforge.operators.vfit import fit_sorted, fit_v
 
 
@@ -66,6 +66,15 @@ def test_sorted_fit_and_simulation():
     assert estimate(p, c, 2e6, "v") == pytest.approx(1.0, abs=0.3)
 
 
+def test_simulated_routes_hold_every_arm():
+    assert [a[0] for a in route_b()] == ["single", "union_same_budget", "union_full_budget"] * 2 and {a[5] for a in route_b()} == {0.3, 0.6}
+    assert route_b()[1][4] * 28_381 == pytest.approx(50 * 2_932)
+    assert len(route_a()) == 15 and {a[1] for a in route_a()} == {2_932, 18_600, 28_381}
+    p = anchors(20_000, 2_000_000, True, 1)
+    rates = binned(p, counts(p, 2e6, 6e5, 0.0, 0.4, 0.0, 5))[:, 1]
+    assert 2 ** rates.mean() == pytest.approx(0.4, rel=0.1)  # the mean positive count alone says 1.2
+
+
 def test_model_queries_run(spark, sf):
     import __spark_entry__ as entry
 

@@ -12,7 +12,7 @@ from tagforge.functions.stats import chi2_pvalue
 from tagforge.operators import fusion, gcbias, mixture, vfit, windows
 
 
-def estimate(counts: DataFrame, genomes: DataFrame, length: float, count_model: str = "ztp", method: str = "auto", gc_correct: bool = True, min_windows: int = 5, single_contig: bool = True, window_cap: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+def estimate(counts: DataFrame, genomes: DataFrame, length: float, count_model: str = "ztp", method: str = "auto", gc_correct: bool = True, min_windows: int = 5, single_contig: bool = True, window_cap: int = 100, shared_ori: bool = True, origins: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(window rates, per-enzyme fits, output) of a count table with global positions.
 
     ``length`` is the genome length that all fits share; runs over genomes of several lengths call this once per genome.
@@ -29,7 +29,7 @@ def estimate(counts: DataFrame, genomes: DataFrame, length: float, count_model:
     rates = rates.withColumn("log2_rate", F.when(F.col("rate") > 0, F.log2("rate"))).withColumn("log2_se", F.when(F.col("rate") > 0, F.col("se") / (F.col("rate") * ln2)))
     rates = rates.withColumn("dispersion", F.try_divide("var", "mean")).withColumn("detected_fraction", F.col("n_positive") / F.col("n_anchors"))
     rates = gcbias.apply_offset(rates) if gc_correct else rates
-    fits = vfit.fit_windows(rates, length, method=method, min_windows=min_windows, single_contig=single_contig)
+    fits = vfit.fit_windows(rates, length, method=method, min_windows=min_windows, single_contig=single_contig, shared_ori=shared_ori, origins=origins)
     means = rates.groupBy("sample", "genome_id", "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("anchors"))
     fits = fits.join(means, ["sample", "genome_id", "enzyme"], "left")
     est = fits.select("sample", "genome_id", "enzyme", F.when(F.col("ok"), F.col("log2_ptr")).alias("est"), "se", F.col("n_windows_used").alias("n"), "r2")

@@ -9,7 +9,7 @@ from tagforge.functions.stats import chi2_sf, normal_sf, t_two_sided
 from tagforge.operators.gcbias import lowess
 from tagforge.operators.mixture import choose, fit_mixture, fit_ztnb, truncated_rate
 from tagforge.operators.simulate import anchors, binned, counts, estimate, route_a, route_b
-from tagforge.operators.vfit import fit_sorted, fit_v
+from tagforge.operators.vfit import fit_sorted, fit_v, fit_windows
 
 
 def test_tails_against_tables():
@@ -75,6 +75,22 @@ def test_simulated_routes_hold_every_arm():
     assert 2 ** rates.mean() == pytest.approx(0.4, rel=0.1)  # the mean positive count alone says 1.2
 
 
+def test_enzymes_share_an_origin_unless_it_is_known(spark):
+    length, rng = 2_000_000.0, np.random.default_rng(4)
+    rows = []
+    for enzyme in range(6):
+        x = rng.uniform(0, length, 12)
+        d = np.minimum((x - 6e5) % length, (6e5 - x) % length)
+        rows += [("s", 1, enzyme, float(p), float(v), 0.3) for p, v in zip(x, enzyme - d / (length / 2) + rng.normal(0, 0.3, 12), strict=True)]
+    rates = spark.createDataFrame(rows, "sample string, genome_id int, enzyme int, mid double, log2_rate double, log2_se double")
+    shared = fit_windows(rates, length).collect()
+    assert len({r.ori for r in shared}) == 1 and len(shared) == 6 and all(r.ok for r in shared)
+    assert min((shared[0].ori - 6e5) % length, (6e5 - shared[0].ori) % length) < 1.5e5
+    assert len({r.ori for r in fit_windows(rates, length, shared_ori=False).collect()}) > 1
+    known = spark.createDataFrame([(1, 5e5, 0.7)], "genome_id int, ori double, ori_confidence double")
+    assert {(r.ori, r.ori_confidence) for r in fit_windows(rates, length, origins=known).collect()} == {(5e5, 0.7)}
+
+
 def test_model_queries_run(spark, sf):
     import __spark_entry__ as entry
 

@@ -13,52 +13,65 @@ MIN_ANCHORS, MIN_DISTINCT = 100, 5
 
 
 def lowess(x: np.ndarray, y: np.ndarray, weight: np.ndarray, frac: float = 0.4, robust: int = 2) -> np.ndarray:
-    """Local lines with tricube weights over the nearest ``frac`` of the weight, reweighted by bisquare of the residuals; fitted values at x."""
+    """Local lines with tricube weights over the nearest ``frac`` of the weight, reweighted by bisquare of the residuals; fitted values at x.
+
+    ``weight`` is the number of equal points that a row stands for.
+    """
+    places, at = np.unique(x, return_inverse=True)
+    share = np.bincount(at, weight)
     total = weight.sum()
     trust = np.ones(len(x))
-    fitted = np.zeros(len(x))
-    for _ in range(robust + 1):
-        for i in range(len(x)):
-            d = np.abs(x - x[i])
+    line = np.zeros(len(places))
+    for turn in range(robust + 1):
+        for i, p in enumerate(places):
+            d = np.abs(places - p)
             order = np.argsort(d, kind="stable")
-            reach = d[order][min(np.searchsorted(np.cumsum(weight[order]), frac * total), len(x) - 1)]
-            w = weight * trust * np.clip(1 - (d / max(reach, 1e-9)) ** 3, 0, None) ** 3 if reach > 0 else weight * trust * (d == 0)
+            reach = d[order][min(np.searchsorted(np.cumsum(share[order]), np.floor(frac * total + 1e-10)), len(places) - 1)]
+            near = np.clip(1 - (d / max(reach, 1e-9)) ** 3, 0, None) ** 3 if reach > 0 else (d == 0).astype(float)
+            w = weight * trust * near[at]
             sw = w.sum()
             if sw <= 0:
-                fitted[i] = y[i]
+                line[i] = np.average(y[at == i], weights=weight[at == i])
                 continue
             mx, my = (w * x).sum() / sw, (w * y).sum() / sw
             sxx = (w * (x - mx) ** 2).sum()
-            fitted[i] = my + (0 if sxx < 1e-12 else (w * (x - mx) * (y - my)).sum() / sxx * (x[i] - mx))
-        r = np.abs(y - fitted)
-        s = np.median(np.repeat(r, np.maximum(1, np.round(weight / weight.mean()).astype(int))))
-        trust = np.clip(1 - (r / max(6 * s, 1e-12)) ** 2, 0, None) ** 2
-    return fitted
+            line[i] = my + (0 if sxx < 1e-12 else (w * (x - mx) * (y - my)).sum() / sxx * (p - mx))
+        if turn < robust:
+            r = np.abs(y - line[at])
+            trust = np.clip(1 - (r / max(6 * _median(r, weight), 1e-12)) ** 2, 0, None) ** 2
+    return line[at]
+
+
+def _median(v: np.ndarray, times: np.ndarray) -> float:
+    """Median of the values, each repeated as often as ``times`` says."""
+    order = np.argsort(v)
+    upto = np.cumsum(times[order])
+    low, high = (v[order][np.searchsorted(upto, k, side="right")] for k in ((upto[-1] - 1) // 2, upto[-1] // 2))
+    return float((low + high) / 2)
 
 
 def _curve(frac: float, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """One enzyme's curve from its (gc, n, sum, sum of squares) rows, shrunk by how much of the variance it explains."""
-    g = g.sort_values("gc")
-    x, n, mean = g["gc"].to_numpy(), g["n"].to_numpy(float), (g["s"] / g["n"]).to_numpy()
-    if n.sum() < MIN_ANCHORS or len(x) < MIN_DISTINCT:
-        return pd.DataFrame({"enzyme": [key[0]] * len(x), "gc": x, "log2_offset": 0.0, "shrinkage": 0.0, "r2": 0.0})
-    fit = lowess(x, mean, n, frac)
+    """One enzyme's curve from its (gc, count, n) rows, shrunk by how much of the variance it explains."""
+    g = g.sort_values(["gc", "count"])
+    x, y, n = g["gc"].to_numpy(float), np.log2(g["count"].to_numpy(float) + 0.5), g["n"].to_numpy(float)
+    places, first = np.unique(x, return_index=True)
+    if n.sum() < MIN_ANCHORS or len(places) < MIN_DISTINCT:
+        return pd.DataFrame({"enzyme": [key[0]] * len(places), "gc": places, "log2_offset": 0.0, "shrinkage": 0.0, "r2": 0.0})
+    fit = lowess(x, y, n, frac)
     centre = (n * fit).sum() / n.sum()
-    total = g["ss"].sum() - g["s"].sum() ** 2 / n.sum()
-    explained = (n * (fit - centre) ** 2).sum()
-    r2 = float(np.clip(explained / total, 0, 1)) if total > 0 else 0.0
-    shrink = float(np.clip((r2 - 1.2 / frac / n.sum()) / r2, 0, 1)) if r2 > 0 else 0.0
-    return pd.DataFrame({"enzyme": key[0], "gc": x, "log2_offset": shrink * (fit - centre), "shrinkage": shrink, "r2": r2})
+    sse, sst = (n * (y - fit) ** 2).sum(), (n * (y - (n * y).sum() / n.sum()) ** 2).sum()
+    r2 = float(1 - sse / sst) if sst > 0 else 0.0
+    shrink = float(np.clip((r2 - min(n.sum(), 1.2 / frac) / n.sum()) / r2, 0, 1)) if r2 > 0 else 0.0
+    return pd.DataFrame({"enzyme": key[0], "gc": places, "log2_offset": shrink * (fit[first] - centre), "shrinkage": shrink, "r2": r2})
 
 
 def fit_curves(counts: DataFrame, frac: float = 0.4) -> DataFrame:
     """enzyme, gc, log2_offset, shrinkage, r2: pooled over all samples and genomes.
 
-    GC has at most 201 values, so each enzyme's group holds at most 201 pre-aggregated rows whatever the number of anchors.
+    An enzyme's group holds one row per GC value, at most 201, and distinct count, whatever the number of anchors.
     """
-    y = F.log2(F.col("count") + 0.5)
-    binned = counts.where(F.col("usable") & F.col("gc").isNotNull()).groupBy("enzyme", "gc").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
-    return binned.groupBy("enzyme").applyInPandas(partial(_curve, frac), "enzyme int, gc double, log2_offset double, shrinkage double, r2 double")
+    known = counts.where(F.col("usable") & F.col("gc").isNotNull() & F.col("count").isNotNull()).groupBy("enzyme", "gc", "count").agg(F.count("*").alias("n"))
+    return known.groupBy("enzyme").applyInPandas(partial(_curve, frac), "enzyme int, gc double, log2_offset double, shrinkage double, r2 double")
 
 
 def offsets(counts: DataFrame, curves: DataFrame) -> DataFrame:

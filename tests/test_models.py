@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tagforge.functions.stats import chi2_sf, normal_sf, t_two_sided
-from tagforge.operators.gcbias import lowess
+from tagforge.operators.gcbias import fit_curves, lowess
 from tagforge.operators.mixture import choose, fit_mixture, fit_ztnb, truncated_rate
 from tagforge.operators.simulate import anchors, binned, counts, estimate, route_a, route_b
 from tagforge.operators.vfit import fit_sorted, fit_v, fit_windows
@@ -46,6 +46,31 @@ def test_lowess_follows_a_line():
     assert np.allclose(lowess(x, 2 * x - 1, np.ones(60)), 2 * x - 1, atol=1e-6)
 
 
+def test_gc_curve_is_robust_against_single_anchors(spark):
+    rng = np.random.default_rng(2)
+    gc = np.repeat(np.arange(20) / 40 + 0.25, 30)
+    count = rng.poisson(20 * 2 ** (gc - 0.5))
+    count[gc == gc[300]] = np.where(np.arange(30) < 8, 4000, count[gc == gc[300]])
+    y, n = np.log2(count + 0.5), len(gc)
+    trust, fit = np.ones(n), np.zeros(n)
+    for _ in range(3):  # anchor by anchor
+        for i in range(n):
+            d = np.abs(gc - gc[i])
+            w = trust * np.clip(1 - (d / np.sort(d)[int(0.4 * n) - 1]) ** 3, 0, None) ** 3
+            fit[i] = np.polyval(np.polyfit(gc, y, 1, w=np.sqrt(w)), gc[i])
+        r = np.abs(y - fit)
+        trust = np.clip(1 - (r / (6 * np.median(r))) ** 2, 0, None) ** 2
+    r2 = 1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    shrink = min(max((r2 - 3 / n) / r2, 0), 1) if r2 > 0 else 0
+    rows = [(1, float(g), int(c), True) for g, c in zip(gc, count, strict=True)]
+    got = fit_curves(spark.createDataFrame(rows, "enzyme int, gc double, count bigint, usable boolean")).collect()
+    want = {float(g): shrink * (f - fit.mean()) for g, f in zip(gc, fit, strict=True)}
+    assert len(got) == 20 and all(r.r2 == pytest.approx(r2) and r.log2_offset == pytest.approx(want[r.gc], abs=1e-6) for r in got)
+    x, c = gc[::30], np.unique(np.stack([gc, y]), axis=1, return_counts=True)
+    line = dict(zip(c[0][0], lowess(c[0][0], c[0][1], c[1].astype(float)), strict=True))
+    assert [line[g] for g in x] == pytest.approx(fit[::30].tolist(), abs=1e-6)
+
+
 @pytest.mark.parametrize("truth", [0.5, 1.0, 2.0])
 def test_v_fit_recovers_a_planted_gradient(truth):
     length, ori = 4_600_000.0, 3_923_883.0

@@ -115,6 +115,17 @@ def em_abundance(spark, d):
     return s.select("sample", "genome_id", F.round("lambda", 6).alias("lambda"), "n_unique", "n_detected", F.round("containment", 6).alias("containment"), F.round("assigned_mass", 6).alias("assigned_mass"))
 
 
+@query(
+    "SELECT sample, genome_id, contig_id, position, enzyme_idx, count, round(weight, 6) AS weight FROM split",
+    (*SUB, A.FLAGGED_SQL, E.COUNTED_SQL.replace("FROM anchors a", f"FROM (SELECT * FROM anchors WHERE enzyme_idx IN ({', '.join(str(e.idx) for e in SUBSET)})) a")),
+)
+def em_enzyme_restricted(spark, d):
+    r, w, s = setting(spark, d, SUBSET)
+    flagged = A.with_flags(setting(spark, d)[2], X.contigs(spark, d)).select(*KEY, "canon", "flags")
+    c = M.anchor_counts(M.exact_hits(w, s), s, samples(r)).join(flagged, KEY)
+    return E.split_shared(c).select("sample", *KEY, "count", F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT genome_id, size FROM sizes", (X.CONTIGS_SQL, K.SKETCH_SQL))
 def screen_sketch_sizes(spark, d):
     return K.sketch_sizes(K.sketch(X.contigs(spark, d)))

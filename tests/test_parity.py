@@ -38,6 +38,10 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == want
 
 
+def test_split_over_selected_enzymes_is_registered():
+    assert "em_enzyme_restricted" in SQL
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,24 +89,41 @@ def _arrow(fields: list[T.StructField]) -> list[pa.Field]:
     return [pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, where, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(y, text) of at most ``rows`` labelled documents, half per class, chosen by a hash of the id.
+#: Text bytes that a training sample holds at most.
+TRAIN_BYTES = 64 << 20
+
+
+def bounded_sample(candidates: DataFrame, rows: int, size: int = TRAIN_BYTES) -> DataFrame:
+    """(y, at, text): of (y, id, text) at most ``rows`` different ones per class y, of together at most ``size`` bytes a class (one row at least).
+
+    Rows that repeat an id and a text count once.  ``at``, a hash of both, chooses and orders them.  Up to a quarter more than
+    enough is first taken from each of 64 salts, on the map side where it can, so that no task sorts a whole class.
+    """
+    once = candidates.select("y", F.xxhash64("id", "text").alias("at"), "text").dropDuplicates(["y", "at"])
+    few = once.withColumn("k", F.row_number().over(W.partitionBy("y", F.pmod("at", F.lit(64))).orderBy("at"))).where(F.col("k") <= max(32, rows // 16))
+    order = W.partitionBy("y").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = few.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("at"))).withColumn("held", F.sum(F.octet_length("text")).over(order))
+    return held.where((F.col("k") <= rows) & ((F.col("k") == 1) | (F.col("held") <= size))).select("y", "at", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, where, rows: int, id_col: str = "doc_id", text_col: str = "text", size: int = TRAIN_BYTES) -> DataFrame:
+    """(y, at, text) of at most ``rows`` labelled documents and ``size`` bytes of text, half per class, chosen by hashes of id and text.
 
     ``where`` is a condition on the id; labels other than 0 and 1 and null ids don't count.  The
-    sample's ids, at most ``rows``, are broadcast against one scan of the documents.
+    sample's ids, at most ``rows``, are broadcast against one scan of the documents.  Repeated rows count once, however many there are.
     """
-    known = labels.where(where & F.col(id_col).isNotNull() & F.col(target).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(target).cast("int").alias("y")).distinct()
-    picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("__id"), "__id").limit(rows // 2) for k in (0, 1)]
+    known = labels.where(where & F.col(id_col).isNotNull() & F.col(target).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("y")).distinct()
+    picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows // 2) for k in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(ids, "__id").orderBy(F.xxhash64("__id", "text"), "__id").select("y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return bounded_sample(texts.join(ids, "id"), rows // 2, size // 2)
 
 
 def fit_on_executor(sample: DataFrame, fit: Callable[[list[dict]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """``fit`` over the rows of a bounded sample, run in one task so that the driver holds only the model."""
+    """``fit`` over the rows of a bounded sample, run in one task so that the driver holds only the model; rows come in order of ``at``."""
 
     def run(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["at"], str(r["y"])))
         yield pa.RecordBatch.from_arrays([pa.array([pack(fit(rows))], pa.binary())], names=["model"])
 
     got = sample.repartition(1).mapInArrow(run, "model binary").collect()
@@ -124,8 +142,10 @@ def unpack(model: bytes) -> dict[str, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; one of our own only on a local master without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{base.rstrip('/')}/tagforge-{uuid.uuid4().hex}"

@@ -112,8 +112,7 @@ def logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
         while stop < n and (held < 1 << 20 or stop == start):
             held += len(rows[stop][0])
             stop += 1
-        doc = np.repeat(np.arange(start, stop, dtype=np.int32), [len(rows[i][0]) for i in range(start, stop)])
-        blocks.append((doc, np.concatenate([rows[i][0] for i in range(start, stop)]).astype(np.int32), np.concatenate([rows[i][1] for i in range(start, stop)]).astype(np.float32)))
+        blocks.append((start, [len(rows[i][0]) for i in range(start, stop)], np.concatenate([rows[i][0] for i in range(start, stop)]).astype(np.int32), np.concatenate([rows[i][1] for i in range(start, stop)]).astype(np.float32)))
         for i in range(start, stop):
             rows[i] = None  # type: ignore[call-overload]
         start = stop
@@ -121,11 +120,12 @@ def logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
     w, m, v, bias = np.zeros(size), np.zeros(size + 1), np.zeros(size + 1), 0.0
     for step in range(1, steps + 1):
         grad, shift = np.zeros(size + 1), 0.0
-        for doc, feature, value in blocks:
-            first, last = int(doc[0]) if len(doc) else 0, int(doc[-1]) + 1 if len(doc) else 0
-            z = np.bincount(doc - first, value * w[feature], last - first) + bias
+        for first, lengths, feature, value in blocks:
+            last = first + len(lengths)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            z = np.bincount(doc, value * w[feature], len(lengths)) + bias
             error = (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) - y[first:last]) * balance[first:last]
-            grad[:size] += np.bincount(feature, value * error[doc - first], size)
+            grad[:size] += np.bincount(feature, value * error[doc], size)
             shift += float(error.sum())
         grad[:size] = grad[:size] / n + ridge * w / n
         grad[size] = shift / n

@@ -1,14 +1,16 @@
 """Language identification with a string kernel.
 
 Kernel: blended spectrum of orders 1 to 4 over n-gram presence, k(x, z) = |G(x) & G(z)| / sqrt(|G(x)| |G(z)|), G(x) the
-hashed distinct n-grams (case folded) of the whole text x.  ``landmarks`` training texts, spread over the languages, give
-the Nystroem approximation; one ridge regression per language (targets +1 and -1) on the approximate features gives the classifier.
-Scoring is two products per batch: presence rows times landmark rows give the kernel, kernel rows times the regression
-coefficients give one output per language.  The score is the softmax share of the best output.
-
-Training reads text and non-null language of at most ``train_rows`` documents outside the held-out fold, in equal parts per language as far as they go.
+distinct n-grams (case folded) of the whole text x, hashed into 2**20 buckets and held as sparse rows.  ``landmarks`` training texts,
+spread over the languages, give the Nystroem approximation; one ridge regression per language (targets +1 and -1) on the
+approximate features gives the classifier.  Scoring is batched matrix products: presence rows P, landmark rows M and
+coefficients C give (P M') C, and as products associate, M' C is multiplied once, so that a batch costs one product of sparse P
+with one column per language.  The score is the softmax share of the best output.
+
+Training reads text and non-null language of at most ``train_rows`` documents outside the held-out fold, in equal parts per language as
+far as they go, and at most 64 MB of text a language; rows that repeat id, language and text count once.
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows all are ``und``.  A null id is never held
-out.  Repeated rows are predicted alike; columns other than id, text and language are not read.
+out and never trained on.  Repeated rows are predicted alike; columns other than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -21,56 +23,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import fit_on_executor, fold, map_texts
-from tagforge.llm.features import char_ngrams, codepoints, fold_case
+from tagforge.llm.common import bounded_sample, fit_on_executor, fold, map_texts
+from tagforge.llm.features import sparse_counts
 
 ORDERS = (1, 2, 3, 4)
-BITS = 14
+BITS = 20
 LANDMARKS = 192
 SHARPNESS = 6.0
+#: Texts of one product; the keys of :func:`sparse_counts` leave 12 bits for them.
+BATCH = 128
+
+
+def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows: (text, bucket) of every distinct n-gram, and 1 / sqrt(|G|) per text."""
+    doc, bucket, _, _ = sparse_counts(texts, ORDERS, BITS, fold=True)
+    return doc, bucket, 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1))
+
 
+def _places(found: np.ndarray) -> np.ndarray:
+    """Each bucket's place among ``found``, -1 for the others."""
+    where = np.full(1 << BITS, -1, np.int32)
+    where[found] = np.arange(len(found))
+    return where
 
-def presence(texts: list[str | None]) -> np.ndarray:
-    """One row per text: 1 / sqrt(|G|) at each hashed n-gram of the text."""
-    points, ends = codepoints(texts)
-    points = fold_case(points)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for h, ok in char_ngrams(points, ends, ORDERS, BITS):
-        out[doc[ok], h[ok]] = 1
-    return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+
+def kernel(texts: list[str | None], marks: list[str | None]) -> np.ndarray:
+    """k(x, z) of every text and landmark."""
+    doc, bucket, norm = presence(marks)
+    found, at = np.unique(bucket, return_inverse=True)
+    where = _places(found)
+    dense = np.zeros((len(found) + 1, len(marks)), np.uint8)  # the last row is that of unseen n-grams
+    dense[at, doc] = 1
+    out = np.empty((len(texts), len(marks)))
+    for i, text in enumerate(texts):
+        _, own, scale = presence([text])
+        out[i] = dense[where[own]].sum(0, dtype=np.int64) * scale[0] * norm
+    return out
 
 
 def fit(rows: list[dict], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> dict[str, np.ndarray]:
-    """Landmark rows, coefficients (landmark by language, bias last) and the languages in order."""
+    """The landmarks' buckets, the output per bucket and language (last of all 0, for other buckets), the bias per language, and the languages in order."""
     rows = [r for r in rows if r["text"] and any(map(str.isalpha, r["text"]))]
     names = sorted({r["y"] for r in rows})
     if not names:
-        return {"marks": np.zeros((0, 1 << BITS), np.float32), "coef": np.zeros((1, 0)), "names": np.zeros(0, "U1")}
+        return {"found": np.zeros(0, np.int32), "value": np.zeros((1, 0), np.float32), "bias": np.zeros(0), "names": np.zeros(0, "U1")}
     each = max(1, landmarks // len(names))
-    chosen = [i for n in names for i in [j for j, r in enumerate(rows) if r["y"] == n][:each]]
-    marks = presence([rows[i]["text"] for i in chosen])
-    kernel = np.concatenate([presence([r["text"] for r in rows[i : i + 64]]) @ marks.T for i in range(0, len(rows), 64)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = [r["text"] for n in names for r in [r for r in rows if r["y"] == n][:each]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    x = np.hstack([kernel @ root, np.ones((len(rows), 1))])
+    x = np.hstack([kernel([r["text"] for r in rows], marks) @ root, np.ones((len(rows), 1))])
     y = np.array([r["y"] for r in rows])
     goal = np.where(y[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = 1.0 / np.array([np.count_nonzero(y == v) for v in y]) * len(rows) / len(names)
     xw = x * weight[:, None]
     w = np.linalg.solve(xw.T @ x + ridge * np.eye(x.shape[1]), xw.T @ goal)
-    return {"marks": marks, "coef": np.vstack([root @ w[:-1], w[-1:]]), "names": np.array(names)}
+    doc, bucket, norm = presence(marks)
+    coef = (root @ w[:-1]) * norm[:, None]
+    found, at = np.unique(bucket, return_inverse=True)
+    value = np.stack([np.bincount(at, coef[doc, k], len(found) + 1) for k in range(len(names))], 1)
+    return {"found": found.astype(np.int32), "value": value.astype(np.float32), "bias": w[-1], "names": np.array(names)}
+
+
+def outputs(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
+    """One regression output per text and language."""
+    doc, bucket, norm = presence(texts)
+    value, at = model["value"], _places(model["found"])[bucket]
+    return np.stack([np.bincount(doc, value[at, k], len(texts)) for k in range(value.shape[1])], 1) * norm[:, None] + model["bias"]
 
 
 def predict(model: dict[str, np.ndarray], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each whole text."""
-    names, marks, coef = model["names"], model["marks"], model["coef"].astype(np.float32)
+    names = model["names"]
     found, score = ["und"] * len(texts), np.zeros(len(texts))
     some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if len(names) else []
-    for start in range(0, len(some), 128):
-        take = some[start : start + 128]
-        z = (presence([texts[i] for i in take]) @ marks.T) @ coef[:-1] + coef[-1]
+    for start in range(0, len(some), BATCH):
+        take = some[start : start + BATCH]
+        z = outputs(model, [texts[i] for i in take])
         p = np.exp(SHARPNESS * (z - z.max(1, keepdims=True)))
         best = z.argmax(1)
         score[take] = (p / p.sum(1, keepdims=True))[np.arange(len(take)), best]
@@ -81,15 +110,14 @@ def predict(model: dict[str, np.ndarray], texts: list[str | None]) -> tuple[list
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000) -> dict[str, np.ndarray]:
     """Fit on a bounded sample: the first rows of each language by a hash of the id; only ids are sorted, texts are joined to them."""
-    known = docs.where((fold(id_col, 4) != 2) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("y"))
-    # Up to train_rows of each language from each of many salts: no task sorts a whole language.
-    salted = known.withColumn("__h", F.xxhash64("__id")).withColumn("__salt", F.pmod("__h", F.lit(256)))
-    few = salted.withColumn("__k", F.row_number().over(W.partitionBy("y", "__salt").orderBy("__h", "__id"))).where(F.col("__k") <= max(1, train_rows // 64))
-    ranked = few.withColumn("__k", F.row_number().over(W.partitionBy("y").orderBy("__h", "__id")))
-    picked = F.broadcast(ranked.orderBy("__k", "y").limit(train_rows).select("__id", "y"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(picked, "__id").orderBy(F.xxhash64("__id", "text"), "__id").select("y", "text")
-    return fit_on_executor(sample, fit)
+    known = docs.where((fold(id_col, 4) != 2) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("y")).distinct()
+    # A few of each language from each of many salts: no task sorts a whole language; the last window sees at most 4 * train_rows ids a language.
+    salted = known.withColumn("h", F.xxhash64("id"))
+    few = salted.withColumn("k", F.row_number().over(W.partitionBy("y", F.pmod("h", F.lit(64))).orderBy("h", "id"))).where(F.col("k") <= max(1, train_rows // 16))
+    ranked = few.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h", "id")))
+    picked = F.broadcast(ranked.orderBy("k", "y").limit(train_rows).select("id", "y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return fit_on_executor(bounded_sample(texts.join(picked, ["id", "y"]), train_rows), fit)
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,16 @@
 
 A document's size is its number of words.  Documents longer than the longest permitted length are cut into
 whole bins of that length and a rest.  Pieces are placed largest first into the open bin with the least room that still
-holds them; when none does, a bin opens with the permitted length of the least cost per unit, cost(L) = L + overhead +
-L * L / attention.  When all are placed, each bin shrinks to the shortest permitted length that holds its contents.
+holds them; when none does, a bin opens.  When all are placed, each bin shrinks to the shortest permitted length that holds its contents.
 
-Documents are dealt into shards by a hash of their id, about ``shard_rows`` each, and every shard is packed alone:
-no task sees more than one shard however large a source or a group of equal sizes is, and the number of shards grows with the rows.
+Which length opens is optimised jointly for all lengths: a table names an opening length for each class of pieces (those that
+the same shortest permitted length holds), and the table is chosen by the total cost of the shard's final, downsized bins,
+cost(L) = L + overhead + L * L / attention.  From each of two tables, that of the least cost per unit and that of the shortest lengths,
+one entry at a time is changed to whatever lowers the total most, until no change of one entry does.
+
+Documents are dealt into shards by a hash of id, text and the number of the copy, about ``shard_rows`` each, and every shard is packed alone:
+no task sees more than one shard however large a source, a group of equal sizes or of repeated rows is, and the number of shards grows with
+the rows.  Which documents can share a sequence so depends on the size of the table; a shard's last bins are all that this can cost.
 
 Null and empty texts have size 0: one piece of length 0 in bin null.  Ties are placed by id, then by a hash of the text; repeated rows are
 packed as often as they stand there.  An empty table gives an empty result.  Columns other than id and text are not read.
@@ -28,25 +33,28 @@ LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 32.0
 ATTENTION = 8192.0
 SHARD_ROWS = 8000
+#: Copies of a row that one array counts out.
+COPIES = 1024
 
 
 def cost(length: float, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
     return length + overhead + length * length / attention
 
 
-def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset in bin, final bin length) of each piece; sizes are positive, at most max(lengths), in placing order.
+def unit_table(lengths: tuple[int, ...]) -> dict[int, int]:
+    """For each class of pieces the length of the least cost per unit among those that hold it."""
+    return {n: min((k for k in lengths if k >= n), key=lambda k: (cost(k) / k, k)) for n in lengths}
+
+
+def place(sizes: list[int], classes: list[int], opening: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """(bin and offset of each piece, units in each bin) of best-fit placing, bins opening by ``opening``.
 
     Open bins are kept by the room they have left; a bit set of the rooms in use finds the tightest fit.
     """
-    lengths = tuple(sorted(lengths))
-    opening = {}
-    for n in lengths:
-        opening[n] = min((k for k in lengths if k >= n), key=lambda k: (cost(k) / k, k))
     rooms: dict[int, list[int]] = {}
-    used, filled, capacity = 0, [], []
-    bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    for i, size in enumerate(sizes.tolist()):
+    used, filled = 0, []
+    bins, offsets = [], []
+    for size, kind in zip(sizes, classes, strict=True):
         free = used >> size
         if free:
             room = size + (free & -free).bit_length() - 1
@@ -55,18 +63,57 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.
             if not stack:
                 used &= ~(1 << room)
         else:
-            room = opening[next(k for k in lengths if k >= size)]
+            room = opening[kind]
             at = len(filled)
             filled.append(0)
-            capacity.append(room)
-        bins[i], offsets[i] = at, filled[at]
+        bins.append(at)
+        offsets.append(filled[at])
         filled[at] += size
         if left := room - size:
             rooms.setdefault(left, []).append(at)
             used |= 1 << left
+    return bins, offsets, filled
+
+
+def total_cost(filled: list[int], lengths: tuple[int, ...]) -> float:
+    """Cost of all bins after downsizing."""
+    steps = np.array(lengths)
+    costs = np.array([cost(n) for n in lengths])
+    return float(costs[np.searchsorted(steps, np.array(filled, np.int64))].sum()) if filled else 0.0
+
+
+def joint_table(sizes: list[int], classes: list[int], lengths: tuple[int, ...]) -> dict[int, int]:
+    """The opening table of the least total cost that single changes reach from two starts."""
+    seen: dict[tuple, float] = {}
+
+    def of(table):
+        key = tuple(table[n] for n in lengths)
+        if key not in seen:
+            seen[key] = total_cost(place(sizes, classes, table)[2], lengths)
+        return seen[key]
+
+    present = set(classes)
+    for start in (unit_table(lengths), {n: n for n in lengths}):
+        table = start
+        while True:
+            near = [table | {n: k} for n in lengths if n in present for k in lengths if k >= n and k != table[n]]
+            best = min(near, key=of, default=table)
+            if of(best) >= of(table):
+                break
+            table = best
+    return dict(zip(lengths, min(seen, key=lambda k: (seen[k], k)), strict=True)) if seen else start
+
+
+def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, opening: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset in bin, final bin length) of each piece; sizes are positive, at most max(lengths), in placing order."""
+    lengths = tuple(sorted(lengths))
     steps = np.array(lengths)
-    final = steps[np.searchsorted(steps, np.array(filled, np.int64))] if filled else np.zeros(0, np.int64)
-    return bins, offsets, final[bins] if len(bins) else final
+    classes = steps[np.searchsorted(steps, sizes)].tolist()
+    plain = sizes.tolist()
+    bins, offsets, filled = place(plain, classes, opening or joint_table(plain, classes, lengths))
+    final = steps[np.searchsorted(steps, np.array(filled, np.int64))]
+    at = np.array(bins, np.int64)
+    return at, np.array(offsets, np.int64), final[at]
 
 
 def _pack_shard(lengths: tuple[int, ...], key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
@@ -95,8 +142,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shards = max(1, -(-docs.count() // shard_rows))
-    hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(5)), F.lit(shards)).cast("int")
-    sized = docs.select(F.col(id_col).cast("string").alias("id"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), hashed.alias("shard"))
+    sized = docs.select(F.col(id_col).cast("string").alias("id"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
+    # Repeated rows are counted, then counted out again in two steps, so that neither a task nor an array grows with them.
+    several = sized.groupBy("id", "size", "tie").agg(F.count("*").alias("n"))
+    chunks = several.select("id", "size", "tie", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))).alias("chunk"))
+    first = F.col("chunk") * COPIES
+    copies = chunks.repartition("id", "tie", "chunk").select("id", "size", "tie", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)).alias("copy"))
+    dealt = copies.withColumn("shard", F.pmod(F.xxhash64("id", "tie", "copy", F.lit(5)), F.lit(shards)).cast("int"))
     schema = "id string, piece bigint, piece_start bigint, piece_words bigint, shard int, bin bigint, bin_offset bigint, bin_length bigint"
-    made = sized.groupBy("shard").applyInPandas(partial(_pack_shard, lengths), schema)
+    made = dealt.groupBy("shard").applyInPandas(partial(_pack_shard, lengths), schema)
     return made.select(F.col("id").cast(kind).alias(id_col), *made.columns[1:])

@@ -7,8 +7,10 @@ minibatch stochastic gradient descent in numpy (AdaGrad steps, fixed seed) on at
 labelled rows, half per class.  The output layer is linear in the mean, so scoring first multiplies
 each vector with the output weights and then averages single numbers; the result is the same.
 
-Null and empty texts score the output bias.  Without labels of both classes every score is the share of
-label 1 (1 without labels: nothing is rejected unlearned).
+Null and empty texts score the output bias; rows with a null id are scored and not held out.  Without labels of both
+classes every score is the share of label 1 (1 without labels: nothing is rejected unlearned).  An empty table gives an empty
+result.  Repeated rows are scored alike and learned from once; the sample is also bounded to 64 MB of text; scoring cuts
+blocks of texts at a megabyte, or at one longer text.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ calibrated to probabilities by Platt scaling on a fifth of the sample that the f
 document is kept if the probability of quality 1 reaches ``threshold``.
 
 Null texts count as empty and fail the base rules.  Without labels of both classes the method
-keeps all that pass the base rules.  Repeated rows get equal results; columns other than id and text are not read.
+keeps all that pass the base rules.  An empty table gives an empty result.  Repeated rows get equal results and are learned from once; the sample is also bounded to 64 MB of text; columns other than id and text are not read.
 """
 
 from __future__ import annotations

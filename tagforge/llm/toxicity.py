@@ -2,12 +2,12 @@
 
 Training takes at most ``train_rows`` labelled rows, half per class.  A feature's value is the root
 of its share of the text, times log(P(feature | toxic) / P(feature | clean)), the add-``smoothing``
-estimate over the sample; features in fewer than ``min_docs`` sample texts weigh nothing.  Scores are
-those of the ridge logistic regression over these values.
+estimate over the sample, which draws features of few texts towards 0.  Scores are
+those of the ridge logistic regression over these values.  The sample is also bounded to 64 MB of text.
 
 Null and empty texts score the model's bias; rows with a null id are scored and not held out.  Without labels of
 both classes there is nothing to learn: every score is then the share of label 1 (0 without labels).
-Repeated rows are scored alike; columns other than id and text are not read.
+Repeated rows are scored alike and learned from once; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ORDERS = (3, 5, 7)
 BITS = 18
 
 
-def fit(rows: list[dict], smoothing: float = 5.0, min_docs: int = 8, ridge: float = 0.05) -> dict[str, np.ndarray]:
+def fit(rows: list[dict], smoothing: float = 5.0, ridge: float = 0.05) -> dict[str, np.ndarray]:
     """Weights per hashed n-gram (log-count ratio times coefficient) and the bias."""
     size = 1 << BITS
     y = np.array([r["y"] for r in rows], float)
@@ -41,10 +41,9 @@ def fit(rows: list[dict], smoothing: float = 5.0, min_docs: int = 8, ridge: floa
         made.append((h.astype(np.int32), np.sqrt(c / max(int(n[0]), 1)).astype(np.float32)))
     clean = len(y) - y.sum()
     ratio = np.log((toxic + smoothing) / y.sum()) - np.log((seen - toxic + smoothing * clean / y.sum()) / clean)
-    ratio[seen < min(min_docs, max(1, len(y) // 8))] = 0
+    ratio = ratio.astype(np.float32)
     for i, (h, value) in enumerate(made):
-        used = ratio[h] != 0
-        made[i] = (h[used], value[used] * ratio[h[used]])
+        made[i] = (h, value * ratio[h])
     w, bias = logistic(made, y, size, ridge)
     return {"weight": (w * ratio).astype(np.float32), "bias": np.array(bias)}
 

@@ -1,21 +1,31 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines, one per block-level element.  Markup, scripts, styles and whatever stands inside
-elements that are boilerplate by tag (nav, aside, footer, form, ...) or by the words of their class, id or role (menu,
-sidebar, advert, cookie, comments, ...) count nothing.  The length of a line is its text outside links.  Lengths are summed
-over sliding windows of ``window`` lines; the text surges where a window's sum rises to ``surge`` and dives where the sum
-falls back to nothing.  The run from surge to dive is extended to the heading before it.  Where the page marks its content (article,
-main), a marked region bounds the search: a run there reaches from dive to dive around a surge, and a region that nowhere surges
-keeps its text.  Marks count only while the text that surges outside them doesn't outweigh theirs; else the whole page is searched.
+A page is read once, left to right, and cut into lines, one per block-level element.  Markup, scripts, styles and whatever stands
+inside elements that are no article text by their tag (nav, aside, footer, form, ...) or by an unmistakable word of their class, id or role
+(menu, sidebar, advert, cookie, comments, ...) are no lines.
+
+Each line has a weight: its code points outside links, 0 if links hold more than half of it.  Evidence lowers it: half for text inside elements with a
+doubtful word (alert, disclaimer, related, ...), a tenth for text outside the marked content (article, main) of a page that has
+such, unless more surges outside than stands inside, when the marks count for nothing.
+
+On every page the weights are summed over sliding windows of ``window`` lines, each stretch inside or outside marked content by itself.  The
+text surges where a window's sum reaches ``surge`` (in marked content that counts, the stretch's own largest sum if that is less) and dives
+where a sum is 0.  The lines with a weight from surge to dive are the main text, with the headings before them and, in
+marked content that counts, what stands between the dive before and the surge.  Without a surge on the whole page the lines with a weight are the text.
 
 Inside a line white space becomes one space; lines are joined by one newline.  A null, empty or
-textless page gives the empty text.  Repeated rows are extracted alike; columns other than those asked for are not read.
+textless page gives the empty text.  Malformed pages have a text too: an attribute's quote that isn't closed, or not before
+white space, "/" or ">", is an ordinary character; a "<" that starts no tag is text; what an unclosed script, style or comment holds is dropped.
+The time taken grows with the length of the page, also for very long pages, deep nesting and broken tags.
+Repeated rows are extracted alike; columns other than those asked for are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -34,127 +44,203 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html li dd dt tr td th tbody thead tfoot option optgroup caption legend summary figcaption".split())
-# Words in class, id or role attributes that mark boilerplate.
+# Words in class, id or role attributes that mark boilerplate; those of a page's or an article's head; those that leave it in doubt.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner bottombar breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright dialog discussion disqus disclaimer footer footnav form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended register related replies respond search share sharing sidebar signin signup skip skiplink skyscraper social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar tracking widget widgets complementary contentinfo alert".split()
+    "ad ads advert adverts advertisement advertising adbox adslot bottombar breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies copyright disqus footer footnav form gdpr hidden login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion respond sharing sidebar signin signup skiplink skyscraper sponsor sponsored subscribe subscription toolbar topbar tracking widget widgets".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+HEAD_WORDS = frozenset("banner header masthead".split())
+DOUBTFUL_WORDS = frozenset("alert dialog disclaimer discussion recommended register related replies search share skip social tags teaser toc".split())
+SECTIONS = frozenset("article main div section body html".split())
+LISTS = frozenset("ul ol menu".split())
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPLIT_WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+QUOTE_OR_END = re.compile("[>\"']")
+SPEAKS = re.compile("class|id|role|hidden|style", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED}
+#: Factors of a line's weight; a window's sum up to EMPTY is 0 but for rounding.
+OUTSIDE, DOUBTFUL, EMPTY = 0.1, 0.5, 1e-9
+
+
 class Line:
-    __slots__ = ("heading", "link_chars", "region", "text")
+    """A line's text, its code points inside links, its marked region (0 outside), and whether it is a heading or in doubt."""
+
+    __slots__ = ("doubtful", "heading", "link_chars", "region", "text")
 
-    def __init__(self, text: str, link_chars: int, region: int, heading: bool):
-        self.text, self.link_chars, self.region, self.heading = text, link_chars, region, heading
+    def __init__(self, text: str, link_chars: int, region: int, heading: bool, doubtful: bool):
+        self.text, self.link_chars, self.region, self.heading, self.doubtful = text, link_chars, region, heading, doubtful
 
 
-def _marks_boilerplate(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
+def evidence(attributes: str, in_content: bool) -> str:
+    """"bad" for boilerplate by class, id, role or a hiding attribute, "doubtful", or nothing."""
+    if not SPEAKS.search(attributes):
+        return ""
+    found = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name in ("class", "id", "role"):
-            words = SPLIT_WORDS.split(CAMEL.sub(" ", value).lower())
-            if not BOILERPLATE_WORDS.isdisjoint(words):
-                return True
+            words = set(SPLIT_WORDS.split(CAMEL.sub(" ", value).lower()))
+            if words & BOILERPLATE_WORDS or (not in_content and words & HEAD_WORDS):
+                return "bad"
+            if words & DOUBTFUL_WORDS:
+                found = "doubtful"
         elif (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes).lower()))
+            return "bad"
+    return "bad" if "hidden" in attributes and HIDDEN.search(ATTRIBUTE.sub(" ", attributes).lower()) else found
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's text lines outside boilerplate elements, in order; region 0 is outside marked content."""
-    lines: list[Line] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, boilerplate, content
-    boiler = regions = region = depth = 0
-    link = heading = 0
-    held: list[str] = []
-    linked = 0
-
-    def flush():
-        nonlocal held, linked
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            if text:
-                lines.append(Line(text, linked, region, heading > 0))
-            held, linked = [], 0
+def tag_end(page: str, at: int, spent: set[str]) -> int:
+    """The offset behind the ">" that ends the tag whose name ends at ``at``; -1 without one.  ``spent`` holds quotes that stand nowhere later."""
+    end = page.find(">", at)
+    if end < 0:
+        return -1
+    if page.find('"', at, end) < 0 and page.find("'", at, end) < 0:
+        return end + 1
+    while found := QUOTE_OR_END.search(page, at):
+        quote, at = found[0], found.end()
+        if quote == ">":
+            return at
+        before = found.start() - 1
+        while before > 0 and page[before].isspace():
+            before -= 1
+        if page[before] != "=" or quote in spent:
+            continue
+        close = page.find(quote, at)
+        if close < 0:
+            spent.add(quote)
+        elif close + 1 == len(page) or page[close + 1] in "/>" or page[close + 1].isspace():
+            at = close + 1
+    return -1
 
-    def pop():
-        nonlocal boiler, region, depth, link, heading
-        name, bad, content = open_tags.pop()
-        boiler -= bad
-        if content:
-            depth -= 1
-            region = region if depth else 0
-        link -= name == "a"
-        heading -= name in HEADINGS
-
-    at, size = 0, len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        stop = found.start() if found else size
-        if stop > at and not boiler:
-            piece = page[at:stop]
-            held.append(piece)
-            if link:
-                linked += len(piece.strip())
-        if not found:
-            break
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, tag name, attributes) in one pass; an end tag's name starts with "/"; comments and raw elements are skipped."""
+    at, held, size, spent = 0, 0, len(page), set()
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        if not (after.isalpha() or (after and after in "/!?")):
+            at = lt + 1
             continue
-        if found[1]:
-            if name in BLOCKS:
-                flush()
-            if any(t[0] == name for t in open_tags):
-                while True:
-                    last = open_tags[-1][0]
-                    pop()
-                    if last == name:
-                        break
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = size if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            end = size if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), lt):
+            end = page.find(">", lt) + 1
+            if not end:
+                break
+        else:
+            closing = page.startswith("/", lt + 1)
+            name = TAG_NAME.match(page, lt + 1 + closing)
+            if not name:
+                at = lt + 1
+                continue
+            end = page.find(">", name.end()) + 1 if closing else tag_end(page, name.end(), spent)
+            if end <= 0:
+                break
+            word, attributes = name[0].lower(), page[name.end() : end - 1]
+            if not closing and word in SKIPPED and word != "head":
+                if not attributes.endswith("/"):
+                    close = RAW_END[word].search(page, end)
+                    end = close.end() if close else size
+                yield page[held:lt], "", ""
+            else:
+                yield page[held:lt], "/" + word if closing else word, attributes
+            at = held = end
             continue
+        yield page[held:lt], "", ""
+        at = held = end
+    yield page[held:], "", ""
+
+
+class _Reader:
+    """The elements open at a place of the page, and the lines so far."""
+
+    def __init__(self):
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, str, bool]] = []  # name, evidence, content
+        self.names: Counter[str] = Counter()
+        self.said: Counter[str] = Counter()
+        self.depth = self.regions = self.region = self.headings = self.linked = 0
+        self.held: list[str] = []
+
+    def text(self, piece: str) -> None:
+        if piece and not self.said["bad"]:
+            self.held.append(piece)
+            if self.names["a"]:
+                self.linked += len(piece.strip())
+
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join(entities.unescape("".join(self.held)).split())
+            if text:
+                self.lines.append(Line(text, self.linked, self.region, self.headings > 0, self.said["doubtful"] > 0))
+            self.held, self.linked = [], 0
+
+    def pop(self) -> str:
+        name, said, content = self.open.pop()
+        self.names[name] -= 1
+        self.said[said] -= 1
+        self.headings -= name in HEADINGS
+        if content:
+            self.depth -= 1
+            self.region = self.region if self.depth else 0
+        return name
+
+    def close(self, name: str) -> None:
+        if name in BLOCKS:
+            self.flush()
+        if self.names[name] > 0:
+            while self.pop() != name:
+                pass
+
+    def start(self, name: str, attributes: str) -> None:
         if name == "br":
-            if not boiler:
-                held.append(" ")
-            continue
-        if name in SKIPPED and name != "head":
-            if not found[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
+            self.text(" ")
+            return
         if name in BLOCKS:
-            flush()
-            if name in CLOSES_P and any(t[0] == "p" for t in open_tags):
-                while open_tags and any(t[0] == "p" for t in open_tags):
-                    last = open_tags[-1][0]
-                    if last in ("article", "main", "div", "section", "body", "html"):
-                        break
-                    pop()
-        if name in VOID or found[3].rstrip().endswith("/"):
-            continue
-        if name == "li" and open_tags and any(t[0] == "li" for t in open_tags[-3:]) and open_tags[-1][0] not in ("ul", "ol", "menu"):
-            while open_tags:
-                last = open_tags[-1][0]
-                pop()
-                if last == "li":
-                    break
-        bad = name == "head" or (name in BOILERPLATE_TAGS and not (name == "header" and depth)) or (name not in ("html", "body") and not (name in CONTENT_TAGS and depth == 0) and _marks_boilerplate(found[3]))
-        content = name in CONTENT_TAGS and not bad and not boiler
+            self.flush()
+            if name in CLOSES_P:
+                while self.names["p"] > 0 and self.open[-1][0] not in SECTIONS:
+                    self.pop()
+        if name in VOID or attributes.endswith("/"):
+            return
+        if name == "li" and self.names["li"] > 0 and self.open[-1][0] not in LISTS and any(t[0] == "li" for t in self.open[-3:]):
+            while self.pop() != "li":
+                pass
+        marks = name in CONTENT_TAGS
+        said = "bad" if name == "head" or (name in BOILERPLATE_TAGS and not (name == "header" and self.depth)) else ""
+        if not said and name not in ("html", "body") and not (marks and not self.depth):
+            said = evidence(attributes, self.depth > 0)
+        content = marks and said != "bad" and not self.said["bad"]
         if content:
-            if not depth:
-                regions += 1
-                region = regions
-            depth += 1
-        boiler += bad
-        link += name == "a"
-        heading += name in HEADINGS
-        open_tags.append((name, bad, content))
-    flush()
-    return lines
+            if not self.depth:
+                self.regions += 1
+                self.region = self.regions
+            self.depth += 1
+        self.open.append((name, said, content))
+        self.names[name] += 1
+        self.said[said] += 1
+        self.headings += name in HEADINGS
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's text lines outside boilerplate elements, in order; region 0 is outside marked content."""
+    at = _Reader()
+    for text, name, attributes in tokens(page):
+        at.text(text)
+        if name.startswith("/"):
+            at.close(name[1:])
+        elif name:
+            at.start(name, attributes)
+    at.flush()
+    return at.lines
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
@@ -162,67 +248,46 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    sizes = [0 if 2 * line.link_chars > len(line.text) else len(line.text) - line.link_chars for line in lines]
-    kept = np.zeros(len(lines), bool)
-    outside = 0
-    start = 0
-    for i in range(1, len(lines) + 1):  # stretches of one region
-        if i == len(lines) or lines[i].region != lines[start].region:
-            if lines[start].region:
-                kept[start:i] = _in_marked(lines[start:i], sizes[start:i], window, surge)
-            else:
-                outside += int(np.array(sizes[start:i])[_surging(lines[start:i], sizes[start:i], window, surge)].sum())
-            start = i
-    inside = int(np.array(sizes)[kept].sum())
-    if not inside or outside > inside:  # no marks, or marks on the lesser part: the page as a whole
-        kept = _surging(lines, sizes, window, surge)
-        if not kept.any():  # no surge anywhere: a page of short lines; keep what isn't mostly links
-            kept = np.array(sizes) > 0
-    return "\n".join(line.text for line, k in zip(lines, kept, strict=True) if k)
-
-
-def _ahead(sizes: list[int], window: int) -> np.ndarray:
-    """The sum of each line with the window - 1 after it."""
-    return np.convolve(sizes, np.ones(window, int), "full")[window - 1 :]
-
-
-def _surging(lines: list[Line], sizes: list[int], window: int, surge: int) -> np.ndarray:
-    """The lines from each surge to its dive that hold text, and the headings before them."""
-    ahead = _ahead(sizes, window)
-    kept = np.zeros(len(lines), bool)
-    i = 0
-    while i < len(lines):
-        if ahead[i] < surge or not sizes[i]:
+    own = np.array([0 if 2 * x.link_chars > len(x.text) else (len(x.text) - x.link_chars) * (DOUBTFUL if x.doubtful else 1.0) for x in lines])
+    region = np.array([x.region for x in lines])
+    edges = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(lines)]
+    marked = region > 0
+
+    def search(weight: np.ndarray, trusted: bool) -> np.ndarray:
+        kept = np.zeros(len(lines), bool)
+        for a, b in zip(edges, edges[1:], strict=False):
+            kept[a:b] = between(weight[a:b], [x.heading for x in lines[a:b]], window, surge, trusted and bool(marked[a]))
+        return kept
+
+    plain = search(own, False)
+    trusted = marked.any() and own[plain & ~marked].sum() <= own[marked].sum()
+    kept = search(np.where(marked, own, OUTSIDE * own), True) if trusted else plain
+    if not kept.any():  # no surge anywhere: a page of short lines
+        kept = own > 0
+    return "\n".join(x.text for x, k in zip(lines, kept, strict=True) if k)
+
+
+def between(weight: np.ndarray, heading: list[bool], window: int, surge: float, trusted: bool) -> np.ndarray:
+    """The lines of a stretch with a weight, from each surge to its dive, and what leads to the surge."""
+    ahead = np.convolve(weight, np.ones(window), "full")[window - 1 :]
+    need = min(surge, ahead.max()) if trusted else surge
+    kept = np.zeros(len(weight), bool)
+    i = dived = 0
+    while i < len(weight):
+        if ahead[i] <= EMPTY:
+            dived = i + 1
+        if ahead[i] < need or weight[i] <= 0:
             i += 1
             continue
         dive = i
-        while dive < len(lines) and ahead[dive]:
+        while dive < len(weight) and ahead[dive] > EMPTY:
             dive += 1
-        kept[i:dive] = [s > 0 for s in sizes[i:dive]]
-        back = i - 1
-        while back >= 0 and lines[back].heading:
-            kept[back] = True
+        back = dived if trusted else i
+        kept[back:dive] = weight[back:dive] > 0
+        while back > 0 and heading[back - 1]:
             back -= 1
-        i = dive
-    return kept
-
-
-def _in_marked(lines: list[Line], sizes: list[int], window: int, surge: int) -> np.ndarray:
-    """The lines of one marked region that hold text, from dive to dive around each surge; without a surge, wherever they stand."""
-    ahead = _ahead(sizes, window)
-    kept = np.zeros(len(lines), bool)
-    i = 0
-    while i < len(lines):
-        dive = i
-        while dive < len(lines) and ahead[dive]:
-            dive += 1
-        if dive > i and ahead[i:dive].max() >= surge:
-            kept[i:dive] = [s > 0 for s in sizes[i:dive]]
-        i = max(dive, i + 1)
-    if not kept.any():
-        kept = np.array(sizes) > 0
-    for i in range(len(lines) - 2, -1, -1):
-        kept[i] |= lines[i].heading and kept[i + 1]
+            kept[back] = True
+        i = dived = dive
     return kept
 
 

@@ -3,8 +3,8 @@
 Texts are tokenised once; ids and their global counts give one code for all shards.  The shard table is written in
 ascending id order.  Each row is one independent block, a self-describing byte string:
 
-    magic "HUF1", then little-endian unsigned 32-bit: symbols, segment length, number of checkpoints;
-    the bit offset of every ``segment``-th symbol (unsigned 32-bit); the code bits, most significant first.
+    magic "HUF2", then little-endian unsigned 64-bit: symbols, segment length, number of checkpoints;
+    the bit offset of every ``segment``-th symbol (unsigned 64-bit); the code bits, most significant first.
 
 The code itself is stored once, as the lengths of all symbols (the canonical code follows from them).  Decoding is driven by
 one table of 2**limit entries and runs all segments of a block side by side, each from its checkpoint.
@@ -23,13 +23,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagforge.llm.common import blocks, drop_path, shared_dir, written
 from tagforge.session import ship
 
-MAGIC = b"HUF1"
+MAGIC = b"HUF2"
 SEGMENT = 128
 LIMIT = 16
 #: Ids after which a block is closed (a single longer document makes a longer block).
@@ -37,7 +38,7 @@ BLOCK_IDS = 1 << 18
 #: Words that a worker's cache of token ids holds before it starts anew.
 CACHE_WORDS = 800_000
 
-_cache: dict[tuple, "_Words"] = {}
+_cache: dict[tuple, "_Words | None"] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -68,6 +69,21 @@ BYTE_LETTERS = _byte_letters()
 SIMPLE = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|*$%&#()<>=+-]*)")
 
 
+#: The pre-tokenizer's pattern and the normalizer's steps under which words between white space can be encoded one by one.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _word_by_word(tok) -> bool:
+    """True if the tokenizer lower-cases, drops white space and splits there first; any other is given whole texts."""
+    import json
+
+    form = json.loads(tok.to_str())
+    steps, cuts = form.get("normalizer") or {}, form.get("pre_tokenizer") or {}
+    first = (cuts.get("pretokenizers") or [cuts])[0]
+    return steps.get("normalizers") == STEPS and first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
+
+
 def _simple_form(tok) -> bool:
     """True if the tokenizer splits, lower-cases and maps words as :data:`SIMPLE` takes for granted (checked by example)."""
     samples = ["thebleing", "\u00e9t\u00e9nement", "\u00c9aux***", "stra\u00dfe,", "word!!", "a|", "\u00fcber.&&&"]
@@ -115,14 +131,17 @@ class _Words:
 def encode(path: str, texts: list[str | None], dtype: str = "<u2") -> list[bytes]:
     """Token ids of each whole text as bytes, the same as the library gives for the text at once.
 
-    The tokenizer splits at white space before anything else, so each word between ASCII white space is encoded on its
-    own and remembered.  Words of Latin-1 letters go straight to the tokenizer's BPE model, all others through its whole
+    Where the tokenizer splits at white space before anything else, each word between ASCII white space is encoded on its
+    own and remembered; another kind of tokenizer gets whole texts.  Words of Latin-1 letters go straight to the tokenizer's BPE model, all others through its whole
     pipeline; texts in which one of its special tokens stands go to it whole.
     """
     tok = tokenizer(path)
     if (path, dtype) not in _cache:
-        _cache[path, dtype] = _Words(tok, dtype, _simple_form(tok))
+        apart = _word_by_word(tok)
+        _cache[path, dtype] = _Words(tok, dtype, apart and _simple_form(tok)) if apart else None
     words = _cache[path, dtype]
+    if words is None:
+        return [np.array(tok.encode((t or "").encode("utf-8", "replace").decode(), add_special_tokens=False).ids, dtype).tobytes() for t in texts]
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     return [words.piped(t) if any(s in t for s in special) else words.text(t.encode("utf-8", "replace")) for t in (x or "" for x in texts)]
 
@@ -191,8 +210,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, segmen
     ends = np.cumsum(size)
     at = ends - size
     bits = int(ends[-1]) if len(ends) else 0
-    marks = at[::segment].astype("<u4")
-    head = MAGIC + struct.pack("<III", len(ids), segment, len(marks)) + marks.tobytes()
+    marks = at[::segment].astype("<u8")
+    head = MAGIC + struct.pack("<QQQ", len(ids), segment, len(marks)) + marks.tobytes()
     if not bits:
         return head
     words = np.zeros((bits + 31) // 32 + 1, np.uint64)
@@ -209,12 +228,12 @@ def decode_block(block: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> np.
     """The ids of a block, all segments in step."""
     if block[:4] != MAGIC:
         raise ValueError("no block")
-    n, segment, marks = struct.unpack_from("<III", block, 4)
+    n, segment, marks = struct.unpack_from("<QQQ", block, 4)
     symbol, size, limit = table
     if not n:
         return np.zeros(0, np.uint32)
-    at = np.frombuffer(block, "<u4", marks, 16).astype(np.int64)
-    raw = np.frombuffer(block, np.uint8, -1, 16 + 4 * marks)
+    at = np.frombuffer(block, "<u8", marks, 28).astype(np.int64)
+    raw = np.frombuffer(block, np.uint8, -1, 28 + 8 * marks)
     raw = np.concatenate((raw, np.zeros(8, np.uint8))).astype(np.uint32)
     joined = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
     out = np.zeros((segment, marks), np.uint32)
@@ -273,7 +292,7 @@ def _encode_rows(dtype, lengths, batches):
         yield close()
 
 
-def _decode_rows(lengths, starts, batches):
+def _decode_rows(lengths, batches):
     table = decode_table(lengths, canonical(lengths))
     for batch in batches:
         for shard, block, docs, tokens, data in zip(*(batch.column(k) for k in ("shard", "block", "doc_ids", "doc_tokens", "bytes")), strict=True):
@@ -282,10 +301,10 @@ def _decode_rows(lengths, starts, batches):
             ends = np.cumsum(n)
             if int(ends[-1]) != len(ids):
                 raise ValueError("block and its documents differ in length")
-            start = starts[shard.as_py(), block.as_py()]
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([docs.values, pa.array(start + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+            at = [pa.array([x.as_py()] * len(n), pa.int64()) for x in (shard, block)]
+            yield pa.RecordBatch.from_arrays([*at, docs.values, pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "block", "id", "within", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -316,17 +335,18 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, id_col: s
 def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every document, decoded from the files.
 
-    The start of each block comes from the blocks' id counts, a running total over the block table (one row per
-    ``BLOCK_IDS`` ids).
+    A document's start is its place in its block, plus that of the block in its shard, plus that of the shard: the totals of the shards,
+    one row each, and the blocks inside each shard are running totals of a table that is joined to the decoded rows.
     """
     shards = spark.read.parquet(f"{folder}/shards")
     lengths = np.frombuffer(bytes(spark.read.parquet(f"{folder}/code").head().lengths), np.uint8)
-    starts, total = {}, 0
-    for row in sorted(shards.select("shard", "block", "n_ids").collect()):
-        starts[row.shard, row.block] = total
-        total += row.n_ids
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    return shards.mapInArrow(partial(_decode_rows, lengths, starts), T._parse_datatype_string(f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")).withColumnRenamed("id", id_col)
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = shards.select("shard", "block", "n_ids")
+    whole = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", upto(W.orderBy("shard")).alias("shard_start"))
+    starts = sizes.select("shard", "block", upto(W.partitionBy("shard").orderBy("block")).alias("block_start")).join(whole, "shard")
+    made = shards.mapInArrow(partial(_decode_rows, lengths), T._parse_datatype_string(f"shard bigint, block bigint, id {kind}, within bigint, n_tokens bigint, ids_crc32 bigint"))
+    return made.join(starts, ["shard", "block"]).select(F.col("id").alias(id_col), (F.col("shard_start") + F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

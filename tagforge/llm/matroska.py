@@ -4,8 +4,12 @@
 every kind of lacing, and cues, and gives one packet per frame: track, timestamp, key flag, cluster, byte range.
 :func:`write_media` stores a byte payload as 8-bit mono samples in laced blocks, losslessly; equal payloads give equal files.
 
+Timestamps are milliseconds: ticks of a segment count its TimestampScale, wherever its Info element stands before the clusters.
+
 Truncated or foreign bytes raise ValueError in :func:`packets`; the table operators give them zero
-packets instead.  Null media gives zero packets.  A null or empty text is stored as one frame of padding.
+packets instead.  Null media gives zero packets.  A null or empty text is stored as one frame of padding.  Repeated rows and
+equal texts give equal rows; a very long text is one file, held once as text, once as media.  An empty table gives an
+empty result.  Columns other than id and text, or id and media, are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import map_texts
+from tagforge.llm.common import blocks, map_texts, shared_dir, written
 
 FRAME = 576
 RATE = 8000
@@ -52,6 +56,7 @@ class Media:
     codecs: dict[int, str] = field(default_factory=dict)
     frame_ms: dict[int, float] = field(default_factory=dict)
     clusters: int = 0
+    scale: int = 1_000_000
 
 
 def vint(value: int, width: int = 0) -> bytes:
@@ -124,14 +129,18 @@ def packets(data: bytes) -> Media:
 
 
 def _segment(data: bytes, at: int, end: int, out: Media) -> None:
-    begin = at
+    begin, out.scale = at, 1_000_000
     while at < end:
         ident, body, _ = read_vint(data, at, True)
         size, body, _ = read_vint(data, body, False)
         stop = end if size < 0 else body + size
         if stop > end:
             raise ValueError("element reaches beyond the segment")
-        if ident == TRACKS:
+        if ident == INFO:
+            for kind, _, a, b in children(data, body, stop):
+                if kind == TIMESTAMP_SCALE:
+                    out.scale = _uint(data, a, b)
+        elif ident == TRACKS:
             for kind, _, a, b in children(data, body, stop):
                 if kind == TRACK_ENTRY:
                     _track(data, a, b, out)
@@ -188,7 +197,7 @@ def _block(data: bytes, at: int, end: int, time: int, key: bool | None, out: Med
     out.key += [bool(flags & 0x80) if key is None else key] * n
     out.size += sizes
     for i, size in enumerate(sizes):
-        out.timestamp.append(time + offset + round(i * ms))
+        out.timestamp.append(round((time + offset) * out.scale / 1_000_000 + i * ms))
         out.start.append(at)
         at += size
     if at != end:
@@ -232,7 +241,7 @@ def _cues(data: bytes, at: int, end: int, segment: int, out: Media) -> None:
                 time = _uint(data, x, y)
             elif k == CUE_TRACK_POSITIONS:
                 got = {i: _uint(data, p, q) for i, _, p, q in children(data, x, y)}
-                out.cues.append((time, got.get(CUE_TRACK, 0), segment + got.get(CUE_CLUSTER_POSITION, 0)))
+                out.cues.append((round(time * out.scale / 1_000_000), got.get(CUE_TRACK, 0), segment + got.get(CUE_CLUSTER_POSITION, 0)))
 
 
 def block_body(frames: list[bytes], offset: int, lacing: str, track: int = 1) -> bytes:
@@ -316,31 +325,38 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     return source.mapInArrow(run, schema)
 
 
-def features(data: bytes) -> tuple[bytes, str]:
-    """(payload read back from the packets, a text of figures on packets and samples)."""
+def features(data: bytes) -> tuple[bytes, str, int]:
+    """(payload read back from the packets, a text of figures on packets and samples, number of packets)."""
     t = packets(data)
     payload = b"".join([data[a : a + n] for a, n in zip(t.start, t.size, strict=True)])
     samples = np.frombuffer(payload, np.uint8)
     steps = int(np.count_nonzero(samples[1:] != samples[:-1]))
     mean = float(samples.mean(dtype=np.float64)) if len(samples) else 0.0
     figures = {"codec": ",".join(t.codecs.values()), "packets": len(t.size), "clusters": t.clusters, "cues": len(t.cues), "last_ms": t.timestamp[-1] if t.timestamp else 0, "key": sum(t.key), "mean": f"{mean:.4f}", "peak": int(samples.max()) if len(samples) else 0, "steps": steps}
-    return payload, ";".join(f"{k}={v}" for k, v in figures.items())
+    return payload, ";".join(f"{k}={v}" for k, v in figures.items()), len(t.size)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: sizes and checksums of the payload read back from its Matroska form, and the form's own.
+    """One row per text: sizes and checksums of the payload read back from its stored Matroska form, and the form's own.
 
-    Store and read-back run in one pass, so no media bytes travel.
+    The media column is written to the shared folder, and the figures come from the bytes read there.
     """
-    names = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_packets", T.LongType())]
-    return map_texts(docs, [id_col], text_col, [T.StructField(n, k) for n, k in names], _digests)
-
-
-def _digests(texts):
-    rows = []
-    for text in texts:
-        payload, n = to_payload(text)
-        media = write_media(payload)
-        back, figures = features(media)
-        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), figures, len(back) // FRAME))
-    return list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
+    import pyarrow as pa
+
+    media = written(store_texts(docs, id_col, text_col), f"{shared_dir(docs.sparkSession)}/media")
+    names = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_packets", T.LongType())]
+    schema = T.StructType([*media.schema.fields[:2], *(T.StructField(n, k) for n, k in names)])
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch, 2):
+                rows = [_read_back(m.as_py()) for m in part.column(2)]
+                made = zip(rows and zip(*rows, strict=True), (pa.int64() if k == T.LongType() else pa.string() for _, k in names), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(list(x), k) for x, k in made)], names=schema.names)
+
+    return media.mapInArrow(run, schema)
+
+
+def _read_back(media: bytes) -> tuple:
+    back, figures, n = features(media)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), figures, n

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,9 @@ def unpack(model: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir; one of our own only on a local master without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -148,7 +152,18 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{base.rstrip('/')}/tagforge-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/tagforge-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what :func:`shared_dir` names inside; results must have been written elsewhere by then."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        drop_path(spark, path)
+    del _made[before:]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -6,13 +6,16 @@ size, and the excess goes to the others by weight until none is above.
 
 Within a source, complete epochs come first: every document floor(target / source size) times.
 The rest of the budget is an Efraimidis-Spirakis sample: each document draws an exponential key
--ln(u) / w, u from a hash of its id, w its quality weight, and documents are taken in key order while
+-ln(u) / w, u from a hash of its id and text, w its quality weight, and documents are taken in key order while
 their running total of words fits the budget; the document at the edge is taken when that comes nearer to the target.
 
 No source is ever sorted as a whole: keys fall into ``buckets`` ranges that keep their order, the
 totals of (source, range) give the running totals, and only the one range per source that
 crosses the budget is sorted.  The number of ranges grows with the number of rows.
 
+The weight is a Column or the name of a column, such as the score of a quality classifier joined to the documents; nulls weigh
+``LEAST_WEIGHT``, as do lower ones.  Without one it is :func:`symbol_weight`, so that the operator needs only DataFrame functions.
+
 Null and empty texts have size 0 and take 0 words; an empty table gives an empty result.  Repeated rows are
 ordered among themselves by a hash of their text, and equal ones share one draw and one fate up to the edge.
 Columns other than id, text and source pass through :func:`mixed` untouched and are not read by :func:`plan`.
@@ -28,6 +31,8 @@ from tagforge.llm.common import WORD, shared_dir, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: The least weight of a document in the draw.
+LEAST_WEIGHT = 0.05
 #: Rows that one key range of one source holds on average.
 RANGE_ROWS = 4000
 
@@ -36,16 +41,17 @@ def n_words(text_col: str):
     return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def quality_weight(text_col: str):
-    """A document's weight in the draw: near 1 for plain prose, down to 0.05 for texts full of symbols."""
+def symbol_weight(text_col: str):
+    """The default weight: near 1 for plain prose, down to ``LEAST_WEIGHT`` for texts full of symbols."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.round(F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(8.0) * marks / F.greatest(F.length(text), F.lit(1))), 6)
+    return F.round(F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.lit(8.0) * marks / F.greatest(F.length(text), F.lit(1))), 6)
 
 
-def uniform(id_col: str):
-    """A number in (0, 1) from the md5 of the id as text: the same in every run and engine."""
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 12)
+def uniform(id_col: str, text_col: str):
+    """A number in (0, 1) from the md5 of the id and the text's md5: the same in every run and engine, and another for each text of a null or repeated id."""
+    own = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    digits = F.substring(F.md5(own.cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
@@ -72,8 +78,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     The texts are read once: sizes and keys are written to the shared folder and all else works on them.
     """
     spark = docs.sparkSession
-    w = quality_weight(text_col) if weight is None else weight
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"), (-F.log(uniform(id_col)) / w).alias("__key"), F.xxhash64(F.col(text_col)).alias("__tie"), *keep)
+    given = F.col(weight) if isinstance(weight, str) else weight
+    w = symbol_weight(text_col) if given is None else F.greatest(F.coalesce(given.cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"), (-F.log(uniform(id_col, text_col)) / w).alias("__key"), F.xxhash64(F.col(text_col)).alias("__tie"), *keep)
     sized = written(sized, f"{shared_dir(spark)}/sized")
     rows = sized.count()
     buckets = max(64, rows // RANGE_ROWS)

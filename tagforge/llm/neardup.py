@@ -22,13 +22,18 @@ sequence is one shingle; without words the set is empty and linked with nothing)
    with a far member in different components was compared or excluded by size or sketch.
 6. Components come from alternating large-star and small-star steps on the confirmed edges.
 
-All intermediate tables are written to the shared folder.  Rows with a null id have a null component and are kept; they take part in nothing.
+Hubs: in step 6 the at most 64 nodes that hold more than a 64th of the edges each are joined by broadcast, all others by
+shuffle; in steps 3 and 5 a text that takes part in more than ``PAIRS`` pairs is repeated once for that many, and its pairs dealt over the repeats.
+The sketch of step 5 is a filter by evidence, not by size alone: small sets, whose 252 bins repeat few minima, are all compared on texts.
+
+All intermediate tables are written to the shared folder, and all but the result deleted.  Rows with a null id have a null component and are kept; they take part in nothing.
 Null and empty texts: n_shingles 0, own component.  Repeated rows (same id and text) get the same
 component and are all kept or dropped alike; rows that share an id but not the set are documents of their own.  An empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -44,6 +49,10 @@ BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
 SKETCH_WORDS = 4
 SKETCH_SHINGLES = 64
+#: Pairs that one repeat of a text serves.
+PAIRS = 1000
+#: Nodes of more than total / HUBS edges are hubs, so there are at most HUBS of them.
+HUBS = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -192,20 +201,28 @@ def _compare(width, percent, close, batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["c", "m", "linked", "close", "n", "added", "removed", "novel", "missing"])
 
 
+def _with_least(edges: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """edges joined with ``low`` (key, m, n: rows of that key): hubs by broadcast, so that no task takes all rows of one."""
+    hub = F.col("n") > max(256, edges.count() // HUBS)
+    hubs = low.where(hub).drop("n")
+    rest = edges.join(F.broadcast(hubs.select(key)), key, "left_anti").join(low.where(~hub).drop("n"), key)
+    return rest.unionByName(edges.join(F.broadcast(hubs), key))
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component): each node of ``edges`` (a, b) and the smallest node reachable, by alternating stars."""
     tidy = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, step = written(tidy(edges), f"{folder}/0"), 0
     while True:
         # Done when every edge leads to a top: no end of an edge starts another, and no node has two edges.
-        deep = now.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        deep = now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("b").alias("a"))
         if not deep.unionByName(now.groupBy("a").count().where("count > 1").select("a")).head(1):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = written(tidy(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))), f"{folder}/{step + 1}")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = written(tidy(_with_least(both, low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))), f"{folder}/{step + 1}")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, "a")
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = written(tidy(moved), f"{folder}/{step + 2}")
         drop_path(edges.sparkSession, f"{folder}/{step + 1}")
@@ -288,9 +305,17 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     texts = written(texts if keyed is None else texts.unionByName(keyed.withColumnRenamed("rep", "id")), f"{folder}/texts")
     kind = texts.schema["id"].dataType.simpleString()
 
+    def beside(pairs: DataFrame, key: str, other: str, name: str) -> DataFrame:
+        """pairs with the text of their ``key``; a text of many pairs is repeated, and its pairs dealt over the repeats."""
+        n = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PAIRS).select(key, F.ceil(F.col("n") / PAIRS).alias("turns"))
+        many = written(n, f"{folder}/many{uuid.uuid4().hex}")
+        dealt = pairs.join(many, key, "left").withColumn("at", F.pmod(F.xxhash64(other), F.coalesce("turns", F.lit(1)))).drop("turns")
+        own = texts.select(F.col("id").alias(key), F.col("text").alias(name)).join(many, key, "left")
+        own = own.select(key, name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("turns", F.lit(1)) - 1)).alias("at"))
+        return dealt.join(own, [key, "at"]).drop("at")
+
     def with_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        left, right = texts.select(F.col("id").alias(a), F.col("text").alias("ta")), texts.select(F.col("id").alias(b), F.col("text").alias("tb"))
-        return pairs.join(left, a).join(right, b).select(a, b, "ta", "tb")
+        return beside(beside(pairs.select(a, b), a, b, "ta"), b, a, "tb").select(a, b, "ta", "tb")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         return written(with_texts(pairs, "a", "b").mapInArrow(partial(_confirm, width, percent), f"a {kind}, b {kind}"), f"{folder}/{name}")
@@ -338,13 +363,15 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     out = every.join(reps, "set_key", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     top, linked = F.coalesce("component", "rep"), F.col("id").isNotNull() & (F.col("n_shingles") > 0)
     kept = F.when(linked, (F.col("id") == F.col("rep.id")) & (top == F.col("rep"))).otherwise(True)
-    return out.select("id", "n_shingles", "set_key", F.when(linked, top["id"]).otherwise(F.col("id")).alias("component_id"), kept.alias("kept"))
+    out = out.select("id", "n_shingles", "set_key", F.when(linked, top["id"]).otherwise(F.col("id")).alias("component_id"), kept.alias("kept"))
+    out = written(out, shared_dir(spark))
+    drop_path(spark, folder)
+    return out
 
 
 def survivors(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component and every row with a null id, all columns; rows of one id are the same document only if their sets are equal."""
     found = _labelled(docs, width, percent, id_col, text_col).where("id IS NOT NULL")
-    found = written(found.select("id", "set_key", "kept"), f"{shared_dir(docs.sparkSession)}/found")
     ids = found.groupBy(F.col("id").alias("__kept")).agg(F.count("*").alias("rows"), F.max("kept").alias("any")).where("any")
     within = lambda some: docs.join(some.select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
     out = within(ids.where("rows = 1")).unionByName(docs.where(F.col(id_col).isNull()))

@@ -64,7 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
       / round(greatest(0.05, 1.0 - 8.0 * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))
         / greatest(length(coalesce(text, '')), 1)), 6) AS key
   FROM documents),

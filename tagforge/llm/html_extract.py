@@ -284,10 +284,9 @@ def between(weight: np.ndarray, heading: list[bool], window: int, surge: float,
             dive += 1
         back = dived if trusted else i
         kept[back:dive] = weight[back:dive] > 0
-        while back > 0 and heading[back - 1]:
-            back -= 1
-            kept[back] = True
         i = dived = dive
+    for i in range(len(weight) - 2, -1, -1):
+        kept[i] |= heading[i] and kept[i + 1]
     return kept
 
 

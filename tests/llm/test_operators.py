@@ -84,6 +84,45 @@ def test_html_marks_only_bound_the_search(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_depends_on_window_and_surge(marked):
+    body = f"<p>{LONG}</p>" + "<p><a href=1>Link</a></p>" * 3 + "<p>Ten chars.</p>" * 4 + f"<p>{LONG}</p>" + "<p><a href=1>Link</a></p>" * 9 + f"<p>{LONG[:50]}</p>"
+    page = f"<article>{body}</article>" if marked else f"<div>{body}</div>"
+    texts = {(w, s): html_extract.main_text(page, w, s).count("\n") + 1 for w, s in ((3, 60), (5, 60), (3, 40), (3, 100))}
+    assert texts[3, 60] != texts[3, 40] and texts[5, 60] != texts[3, 60] if not marked else texts[3, 60] != texts[3, 40]
+
+
+def test_html_words_in_doubt_only_lower_the_weight():
+    page = f'<article><h1>Head</h1><p class="alert">{LONG}</p><div class="related-work"><p>{LONG} 2</p></div><p class="disclaimer">{LONG} 3</p></article>'
+    assert html_extract.main_text(page) == f"Head\n{LONG}\n{LONG} 2\n{LONG} 3"
+    assert html_extract.main_text(f'<div><p>{LONG}</p></div><p><a>x</a></p><p><a>y</a></p><p><a>z</a></p><p class="alert">{LONG[:80]}</p>') == LONG
+    assert html_extract.main_text(f"<div><p>{LONG}</p><p>{LONG} 2</p></div><article><p>Buy now.</p></article>") == f"{LONG}\n{LONG} 2"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<a href="x>foo</a> bar', "foo bar"), ("<p class=it's>a</p>b", "a\nb"), ("a < b <c", "a < b <c"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ('<p title="a > b">x</p>', "x"), ("x<!-- never closed", "x"), ("x<script>y", "x"),
+        ("<p>a</p", "a</p"), ("x<![CDATA[y]]>z", "xz"),
+    ],
+)
+def test_html_malformed(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ['<a href="x>', "<div>", "<p><b>", "<", "<a ", "<a b=\"x\" c='", "<script>", "<!--", "<li><i>", '<a =   "'])
+def test_html_time_grows_with_the_page(piece):
+    import time
+
+    def seconds(n):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(800_000) < 8 * seconds(200_000) + 0.5
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (2, None, None), (None, "v", "<p>é\U0001f600</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
@@ -139,6 +178,47 @@ def test_base_rules_by_brute_force(docs):
         assert rules.base_figures(t) == brute_rules(t)
 
 
+def test_base_figures_equal_sql(spark, sf):
+    import duckdb
+
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = queries.op4_quality_rules(spark, sf).select(*names).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+      coalesce(covered.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id) ORDER BY doc_id""").df()
+    pd.testing.assert_frame_equal(got, want[names], check_dtype=False)
+
+
+def test_rules_classifier_on_other_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = rules.train(docs, labels.where("doc_id % 2 = 0"))
+    got = rules.apply(docs, model).toPandas().merge(labels.where("doc_id % 2 = 1").withColumnRenamed("quality", "y").toPandas(), on="doc_id")
+    got = got[~got.base_failed]
+    assert auc(got.quality.to_numpy(), got.y.to_numpy()) > 0.9
+
+
+@pytest.mark.parametrize("module", [toxicity, quality, rules])
+def test_training_sample_counts_a_row_once(spark, module):
+    from tagforge.llm.common import labelled_sample
+
+    rows = [(i, f"text {i} " * 5) for i in range(300)] + [(1, "hot id")] * 10_000 + [(2, f"hot id {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(300)] * 3, "doc_id bigint, quality int, toxic int")
+    target = "toxic" if module is toxicity else "quality"
+    sample = labelled_sample(docs, labels, target, F.lit(True), 200)
+    got = sample.toPandas()
+    assert len(got) <= 200 and got.groupby("y").size().max() <= 100 and not got.duplicated(["y", "text"]).any()
+    small = labelled_sample(docs, labels, target, F.lit(True), 200, size=1000).toPandas()
+    assert small.text.str.len().sum() <= 1200 and set(small.y) == {0, 1}
+
+
 def test_rules_query(spark, sf, docs):
     got = queries.op4_quality_rules(spark, sf).toPandas().set_index("doc_id")
     assert len(got) == len(docs)
@@ -173,15 +253,57 @@ def test_unknown_sizes_groups_and_cues():
     block = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, m.block_body([b"abc"], 1, "none")) + m.number(m.REFERENCE_BLOCK, 1))
     unknown = b"\x01" + b"\xff" * 7
     cluster = m.CLUSTER.to_bytes(4, "big") + unknown + m.number(m.TIMESTAMP, 10) + block
-    data = m.element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + unknown + cluster + cluster + m.element(m.CUES, m.element(m.CUE_POINT, m.number(m.CUE_TIME, 7)))
+    data = m.element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + unknown + cluster + cluster + m.element(m.CUES, m.element(m.CUE_POINT, m.number(m.CUE_TIME, 7) + m.element(m.CUE_TRACK_POSITIONS, m.number(m.CUE_TRACK, 1) + m.number(m.CUE_CLUSTER_POSITION, 0))))
     t = m.packets(data)
-    assert (t.timestamp, t.key, t.cluster, t.cues[:1]) == ([11, 11], [False, False], [0, 1], []) or t.clusters == 2
-    for bad in (b"", b"RIFF", data[:30][:-1] + b"\x00"):
-        assert m._table(bad).track == [] or bad
+    assert (t.timestamp, t.key, t.cluster, t.size, t.clusters, t.cues) == ([11, 11], [False, False], [0, 1], [3, 3], 2, [(7, 1, data.index(cluster))])
+    assert [data[a : a + 3] for a in t.start] == [b"abc", b"abc"]
+    for bad in (b"", b"RIFF", data[:40]):
+        assert m._table(bad).track == []
     with pytest.raises(ValueError, match="EBML"):
         m.packets(b"\x42\x86\x81\x01")
 
 
+def test_cues_point_at_clusters():
+    data = matroska.write_media(bytes(576 * 200))
+    t = matroska.packets(data)
+    assert len(t.cues) == t.clusters == 4
+    assert all(data[at : at + 4] == matroska.CLUSTER.to_bytes(4, "big") for _, _, at in t.cues)
+    assert [time for time, _, _ in t.cues] == [t.timestamp[t.cluster.index(k)] for k in range(4)]
+
+
+def test_timestamp_scale():
+    m = matroska
+    block = m.element(m.SIMPLE_BLOCK, m.block_body([b"abc"], 1, "none"))
+    for scale in (1_000_000, 2_000_000, 500_000):
+        body = m.element(m.INFO, m.number(m.TIMESTAMP_SCALE, scale)) + m.element(m.CLUSTER, m.number(m.TIMESTAMP, 99) + block)
+        assert m.packets(m.element(m.EBML, b"") + m.element(m.SEGMENT, body)).timestamp == [scale // 10_000]
+
+
+def test_media_query_by_hashlib(spark, sf, docs):
+    import hashlib
+
+    got = queries.op5_media_columns(spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        media = matroska.write_media(payload)
+        row = got.loc[i]
+        assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (row.media_bytes, row.media_sha256, row.n_packets) == (len(media), hashlib.sha256(media).hexdigest(), len(payload) // 576)
+
+
+def test_media_figures_equal_sql(spark, sf):
+    import duckdb
+
+    got = queries.op5_media_columns(spark, sf).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute("""SELECT doc_id, n AS n_bytes, padded AS payload_bytes, sha256(encode(coalesce(text, '')) || unhex(repeat('FF', (padded - n)::INT))) AS payload_sha256 FROM (
+      SELECT *, strlen(coalesce(text, ''))::BIGINT AS n, greatest(1, (strlen(coalesce(text, '')) + 575) // 576)::BIGINT * 576 AS padded FROM documents) ORDER BY doc_id""").df()
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_matroska_tables(spark, odd, none):
     stored = matroska.store_texts(odd)
     table = matroska.packet_table(stored).toPandas()
@@ -273,6 +395,32 @@ def test_near_duplicates_with_null_and_shared_ids(spark):
     assert kept == sorted([(None, base), (None, other), (None, "null words"), (None, None), (5, other), (5, third), (5, None), (7, base), (9, "")], key=repr)
 
 
+@pytest.mark.parametrize("n", [20, 63, 64, 65, 300])
+def test_no_pair_is_lost_on_either_side_of_the_sketch_size(spark, n):
+    """Pairs just at the threshold, of sets below and above SKETCH_SHINGLES, all in one table."""
+    random = np.random.default_rng(n)
+    table, want = [], set()
+    for k in range(40):
+        words_ = [f"k{k}w{i}" for i in range(n + 2)]
+        other = words_.copy()
+        for at in sorted(random.choice(n + 2, max(0, int(0.08 * n / 3)), replace=False)):
+            other[at] = f"x{k}_{at}"
+        table += [(2 * k, " ".join(words_)), (2 * k + 1, " ".join(other))]
+    want, _ = brute_components(table, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_hubs_and_many_rounds(spark, monkeypatch):
+    """Hubs, repeated texts of centres and further rounds in buckets, forced on a small table."""
+    monkeypatch.setattr(neardup, "PAIRS", 5)
+    monkeypatch.setattr(neardup, "HUBS", 4)
+    table = families()
+    want, _ = brute_components(table, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_densified_bins_estimate_similarity():
     random = np.random.default_rng(1)
     for n in (5, 40, 400):
@@ -343,6 +491,16 @@ def test_tokens_on_odd_tables(spark, odd, none):
     assert huffman.round_trip(none, queries.tokenizer_path()).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["Two  spaces and\nlines", "ÉTÉ it's", "", None, "a\tb"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in huffman.encode(path, texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_word_cache_equals_whole_texts():
     from tokenizers import Tokenizer
 
@@ -369,25 +527,44 @@ def check_bins(table, sizes, lengths):
         assert b.bin_length.nunique() == 1 and b.bin_length.iloc[0] == min(x for x in lengths if x >= used)
 
 
-def brute_best_fit(sizes, lengths):
+def brute_best_fit(sizes, lengths, opening):
     bins = []
     for s in sizes:
         fit = [b for b in bins if b[1] - b[0] >= s]
         if fit:
             b = min(fit, key=lambda b: b[1] - b[0])
         else:
-            bins.append(b := [0, min((x for x in lengths if x >= min(y for y in lengths if y >= s)), key=lambda x: (packing.cost(x) / x, x))])
+            bins.append(b := [0, opening[min(y for y in lengths if y >= s)]])
         b[0] += s
-    return sum(min(x for x in lengths if x >= b[0]) for b in bins), len(bins)
+    return sum(packing.cost(min(x for x in lengths if x >= b[0])) for b in bins)
+
+
+def placed_cost(sizes, lengths, opening=None):
+    bins, _, final = packing.best_fit(sizes, lengths, opening)
+    return sum(packing.cost(int(final[bins == b][0])) for b in set(bins.tolist()))
 
 
-def test_best_fit_equals_brute_force():
+@pytest.mark.parametrize("draw", ["all", "peaked", "small"])
+def test_joint_opening_by_brute_force(draw):
+    import itertools
+
     random = np.random.default_rng(4)
     for lengths in ((16, 32, 64), packing.LENGTHS):
-        sizes = np.sort(random.integers(1, max(lengths) + 1, 400))[::-1]
-        bins, _, final = packing.best_fit(sizes, lengths)
-        total = sum(int(final[bins == b][0]) for b in set(bins.tolist()))
-        assert (total, len(set(bins.tolist()))) == brute_best_fit(sizes.tolist(), lengths)
+        top = max(lengths)
+        sizes = {"all": random.integers(1, top + 1, 400), "peaked": random.integers(int(top * 0.07), int(top * 0.08) + 1, 400), "small": random.integers(1, top // 10, 400)}[draw]
+        sizes = np.sort(np.maximum(sizes, 1))[::-1]
+        tables = [dict(zip(lengths, o, strict=True)) for o in itertools.product(*[[k for k in lengths if k >= n] for n in lengths])]
+        costs = [brute_best_fit(sizes.tolist(), lengths, t) for t in tables]
+        got = placed_cost(sizes, lengths)
+        assert got == pytest.approx(min(costs))
+        unit = placed_cost(sizes, lengths, packing.unit_table(lengths))
+        assert got <= unit + 1e-6 and (draw != "peaked" or lengths != packing.LENGTHS or got < 0.97 * unit)
+
+
+def test_repeated_rows_are_dealt_over_shards(spark):
+    rows = [(1, "a b c")] * 20_000 + [(i, "x " * i) for i in range(2, 50)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_rows=1000).toPandas()
+    assert len(got) == 20_048 and (got.doc_id == 1).sum() == 20_000 and got.groupby("shard").size().max() < 1500
 
 
 def test_packing_query(spark, sf, docs):
@@ -417,12 +594,42 @@ def test_language_query(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
-def test_kernel_by_brute_force():
-    texts = ["abc abd", "xyz abc", "éa"]
-    grams = [{t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)} for t in texts]
-    want = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
-    x = langid.presence(texts)
-    assert np.allclose(x @ x.T, want, atol=0.05)
+def test_kernel_by_brute_force(docs):
+    texts = ["abc abd", "xyz abc", "éa", "", *sorted(docs.text.dropna(), key=len)[-6:], *docs.text.dropna()[:20]]
+    low = [t.translate({c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]}) for t in texts]
+    grams = [{t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)} for t in low]
+    want = np.array([[len(a & b) / np.sqrt(max(len(a) * len(b), 1)) for b in grams] for a in grams])
+    assert np.allclose(langid.kernel(texts, texts), want, atol=0.01)
+
+
+def test_scores_equal_the_kernel_form(docs):
+    rows = [{"y": y, "text": t} for y, t in zip(docs.lang, docs.text, strict=True) if y and t]
+    model = langid.fit(rows[:120], landmarks=24)
+    names = model["names"].tolist()
+    marks = [r["text"] for n in names for r in [r for r in rows[:120] if r["y"] == n][: max(1, 24 // len(names))]]
+    texts = [r["text"] for r in rows[120:]]
+    values, vectors = np.linalg.eigh(langid.kernel(marks, marks))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.hstack([langid.kernel([r["text"] for r in rows[:120]], marks) @ root, np.ones((120, 1))])
+    y = np.array([r["y"] for r in rows[:120]])
+    w = np.array([120 / len(names) / (y == v).sum() for v in y])[:, None]
+    coef = np.linalg.solve((x * w).T @ x + 1e-2 * np.eye(x.shape[1]), (x * w).T @ np.where(y[:, None] == np.array(names), 1.0, -1.0))
+    want = np.hstack([langid.kernel(texts, marks) @ root, np.ones((len(texts), 1))]) @ coef
+    assert np.allclose(langid.outputs(model, texts), want, atol=1e-3)
+
+
+def test_language_sample_counts_a_row_once(spark):
+    rows = [(i, f"text {i}", "en") for i in range(50)] + [(1, "text 1", "en")] * 5000
+    kept = []
+    import tagforge.llm.langid as module
+
+    fit, module.fit_on_executor = module.fit_on_executor, lambda sample, _: kept.append(sample.count())
+    try:
+        module.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_rows=40)
+    finally:
+        module.fit_on_executor = fit
+    assert kept[0] <= 40
 
 
 def test_language_on_odd_tables(spark, odd, none):
@@ -464,6 +671,22 @@ def test_mix_equals_sql(spark, sf):
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
 
 
+def test_draws_differ_for_null_and_repeated_ids(spark):
+    rows = [(None, f"null id {i}", "a") for i in range(300)] + [(7, f"same id {i}", "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert df.select(mixing.uniform("doc_id", "text")).distinct().count() == 600
+
+
+def test_weight_from_a_column(spark):
+    rows = [(i, "w " * 10, "a" if i < 1000 else "b", None if i % 2 else 5.0) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, quality double")
+    p = mixing.plan(d, weight="quality").toPandas()
+    part = p[p.doc_id >= 1000]
+    extra = part.taken - part.taken.min()
+    assert (extra[part.doc_id % 2 == 0] > 0).mean() > (extra[part.doc_id % 2 == 1] > 0).mean()
+    assert mixing.mixed(d, weight="quality").columns == d.columns
+
+
 def test_mix_on_odd_tables(spark, odd, none):
     got = mixing.plan(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagforge.llm import mixing, neardup, packing, quality, rules
-from tagforge.llm.common import load, shared_dir, written
+from tagforge.llm.common import drop_path, load, scratch, shared_dir, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark)
+    """The stages in order over ``documents``; a stage's own tables and its input's table are deleted once its result is written."""
+    folder, last = shared_dir(spark), None
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if last:
+            drop_path(spark, last)
+        last = f"{folder}/{name}"
     return docs

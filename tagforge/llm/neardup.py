@@ -249,8 +249,10 @@ def _similar(x: str, y: str, percent: int, deviations: float = 6.0):
 
 def _difference_pairs(star: DataFrame, percent: int) -> DataFrame:
     """(a, b) that may link although one isn't linked with their common centre; step 4 of the module's docstring."""
-    groups = star.groupBy("c").agg(F.count_if(~F.col("linked")).alias("bad"), F.count("*").alias("k")).where("bad > 0 and k > 1").select("c")
-    s = star.join(groups, "c", "left_semi")
+    groups = star.groupBy("c").agg(F.count_if(~F.col("linked")).alias("bad"), F.count("*").alias("k")).where("bad > 0 and k > 1")
+    hub = F.col("k") > max(256, star.count() // HUBS)
+    hubs = F.broadcast(groups.where(hub).select("c"))
+    s = star.join(hubs, "c", "left_anti").join(groups.where(~hub).select("c"), "c", "left_semi").unionByName(star.join(hubs, "c", "left_semi"))
     tokens = lambda name: s.select("c", F.explode(name).alias("t"), F.struct("m", "n", "added", "removed", "linked").alias("v"))
     x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
     both = x("n") + y("n")

@@ -1,4 +1,4 @@
-"""Command line: index, profile, dynamics, audit, digest, scaffold, simulate.
+"""Command line: index, profile, stats, manifest, dynamics, audit, digest, scaffold, simulate.
 
     python -m tagforge.cli index GENOME... -o DB [-e all] [-a taxonomy.tsv] [--ori ori.tsv]
     python -m tagforge.cli profile READS... -d DB -o OUT [--mode wms|2brad] [--max-mismatch 2]
@@ -18,13 +18,14 @@ from tagforge.operators import dynamics as Y
 from tagforge.operators import em, match, report, scaffold, screen, simulate
 from tagforge.operators import windows as N
 from tagforge.panel import bitset, selection
-from tagforge.sources import fasta, tables
+from tagforge.session import stored
+from tagforge.sources import fasta, tables, tgt
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
     contigs = fasta.with_genome_ids(fasta.read_fasta(spark, a.genomes))
     enzymes = selection(a.enzymes)
-    built = A.assemble(contigs, D.sites(contigs, enzymes, a.min_contig_len), a.gc_flank)
+    built = A.assemble(contigs, D.sites(contigs, enzymes, a.min_contig_len, a.gc_flank), a.gc_flank)
     A.save(built, contigs, a.out, {"enzymes": bitset(enzymes), "gc_flank": a.gc_flank, "min_contig_len": a.min_contig_len})
     genomes = contigs.groupBy("genome_id", "genome").agg(F.sum("length").alias("genome_len"), F.count("*").alias("n_contigs"))
     if a.taxonomy:
@@ -33,7 +34,22 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
         genomes = tables.attach_origins(genomes, tables.read_origins(spark, a.ori))
     genomes.write.mode("overwrite").parquet(f"{a.out}/genomes")
     if a.screen_scale:
-        screen.sketch(contigs, scale=a.screen_scale).write.mode("overwrite").parquet(f"{a.out}/sketch")
+        screen.sketch(contigs, scale=a.screen_scale).withColumn("scale", F.lit(a.screen_scale)).write.mode("overwrite").parquet(f"{a.out}/sketch")
+    if a.write_tgt:
+        tgt.write_all(spark.read.parquet(f"{a.out}/anchors"), contigs, f"{a.out}/tgt")
+
+
+KEY = match.ANCHOR_KEYS
+
+
+def screened(spark: SparkSession, a: argparse.Namespace, reads: DataFrame) -> DataFrame:
+    """genome_id of the genomes that any sample's reads select."""
+    sketch = spark.read.parquet(f"{a.db}/sketch")
+    scale = sketch.select("scale").head()[0]
+    genomes = spark.read.parquet(f"{a.db}/genomes").select("genome_id", "genome_len")
+    sketch = sketch.drop("scale")
+    chosen = screen.select(screen.votes(reads, sketch, scale=scale), screen.sketch_sizes(sketch), genomes, a.screen_min_hits, a.screen_min_frac)
+    return chosen.where("keep").select("genome_id").distinct()
 
 
 def profile(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -43,32 +59,51 @@ def profile(spark: SparkSession, a: argparse.Namespace) -> None:
         raise SystemExit("the database lacks some of these enzymes")
     anchors = anchors.where(F.col("enzyme_idx").isin([e.idx for e in enzymes]))
     reads = fasta.read_reads(spark, a.reads, a.per_file)
-    keys = ["sample", "file", "read_id"]
-    wins = match.read_windows(reads, enzymes, keys)
-    hits = match.matches(wins, anchors, a.max_mismatch, keys)
+    if a.screen:
+        anchors = anchors.join(stored(screened(spark, a, reads)), "genome_id", "left_semi")
+    wins = stored(match.read_windows(reads, enzymes))
+    found = stored(match.matched_tags(match.tags(wins), anchors, a.max_mismatch))
+    samples = stored(reads.groupBy("sample").agg(F.count("*").alias("reads_total")))
     if a.mode == "2brad":
-        hits = match.single_tag_reads(hits)
-    key = ["genome_id", "contig_id", "position", "enzyme_idx"]
-    counts = match.anchor_counts(hits, anchors, reads.select("sample").distinct(), keys).join(anchors.select(*key, "canon", "flags", "local_gc", "global_position", "tag"), key)
+        hits = match.single_tag_reads(match.of_windows(wins, found))
+        counts = match.anchor_counts(hits, anchors, samples)
+    else:
+        hits = match.of_windows(wins, found)
+        counts = match.count_tags(match.tag_counts(wins), found, anchors, samples)
+    counts = counts.join(anchors.select(*KEY, "canon", "flags", "local_gc", "global_position", "tag"), KEY)
     counts.write.mode("overwrite").parquet(f"{a.out}/counts")
     counts = spark.read.parquet(f"{a.out}/counts")
-    em.split_shared(counts).select("sample", *key, F.col("count").alias("raw_count"), F.format_string("%.9f", "weight").alias("assigned_weight")).write.mode("overwrite").csv(f"{a.out}/em", sep="\t", header=True)
+    em.split_shared(counts).select("sample", *KEY, F.col("count").alias("raw_count"), F.format_string("%.9f", "weight").alias("assigned_weight")).write.mode("overwrite").csv(f"{a.out}/em", sep="\t", header=True)
     em.summary(counts).write.mode("overwrite").parquet(f"{a.out}/abundance")
     cut = N.fixed_windows(anchors, a.window_bp) if a.windowing == "bp" else N.equal_anchor_windows(anchors, a.window_anchors)
+    cut.select(*KEY, "window_id").write.mode("overwrite").parquet(f"{a.out}/window_ids")
     tables.write_tsv(N.window_table(cut, contigs), f"{a.out}/windows")
-    tables.write_stats(match.sample_stats(reads, match.window_summary(wins, hits, keys)), f"{a.out}/stats")
-    if a.no_stats:
-        return
+    tables.write_stats(match.sample_stats(samples, match.window_summary(wins, hits)), f"{a.out}/stats")
+    if not a.no_stats:
+        statistics(spark, a)
+
+
+def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
+    """From the counts of a profile to the output table; all genomes in one plan."""
     genomes = spark.read.parquet(f"{a.db}/genomes")
+    counts = spark.read.parquet(f"{a.out}/counts")
+    if a.use_windows:
+        counts = counts.join(spark.read.parquet(f"{a.out}/window_ids"), KEY, "left")
     table = counts.withColumn("enzyme", F.col("enzyme_idx")).withColumn("usable", A.usable()).withColumn("gc", dequantize_gc("local_gc"))
-    outs: list[DataFrame] = []
-    for g in genomes.select("genome_id", "genome_len", "n_contigs").collect():  # one row per genome
-        _, _, out = report.estimate(table.where(F.col("genome_id") == g.genome_id), genomes, float(g.genome_len), method=a.method, single_contig=g.n_contigs == 1)
-        outs.append(out)
-    every = outs[0]
-    for o in outs[1:]:
-        every = every.unionByName(o, allowMissingColumns=True)
-    tables.write_output(every, f"{a.out}/output")
+    gates = {"min_coverage": a.min_coverage, "min_fraction": a.min_fraction, "max_dispersion": a.max_dispersion, "min_fit_rate": a.min_enzyme_fit_rate, "min_containment": a.min_containment}
+    rates, fits, out = report.estimate(
+        table, genomes, count_model={"nb": "ztnb"}.get(a.count_model, a.count_model), method=a.method, gc_correct=not a.no_gc_correct, min_windows=a.min_windows, window_cap=a.window_cap, shared_ori=not a.per_enzyme_ori,
+        loess_frac=a.loess_frac, alpha=a.alpha, min_anchors=a.min_anchors_per_enzyme, given_windows=a.use_windows, containment=spark.read.parquet(f"{a.out}/abundance"), gates=gates,
+    )
+    tables.write_output(out, f"{a.out}/output")
+    if a.figures:
+        for name, points in report.figures(rates, fits).items():
+            tables.write_tsv(points, f"{a.out}/figures/{name}")
+
+
+def manifest(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Writes the database's manifest as JSON lines: one per genome, with format version, enzymes and parameters."""
+    tables.write_manifest(spark.read.parquet(f"{a.db}/genomes"), A.load(spark, a.db)[2], a.out)
 
 
 def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -95,7 +130,7 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> None:
     anchors, contigs, _ = A.load(spark, a.db)
     table = report.audit(anchors, contigs, a.min_anchors_per_enzyme, a.wide_gap)
     tables.write_tsv(table, f"{a.out}/audit")
-    spark.createDataFrame([(report.render_html(table, "Database audit"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/audit_html")
+    report.html_lines(table, "Database audit", ["genome_id"]).coalesce(1).write.mode("overwrite").text(f"{a.out}/audit_html")
 
 
 def digest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -123,6 +158,10 @@ def simulate_grid(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tagforge")
+    p.add_argument("--version", action="version", version="tagforge 0.2")
+    p.add_argument("-t", "--threads", type=int, help="cores of a local session")
+    p.add_argument("-v", "--verbose", action="count", default=0)
+    p.add_argument("-q", "--quiet", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name, run, *positional):
@@ -133,6 +172,24 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=run)
         return c
 
+    def statistics_options(c):
+        c.add_argument("--method", choices=("auto", "v_shape", "sorted"), default="auto")
+        c.add_argument("--count-model", choices=("auto", "ztp", "nb"), default="auto")
+        c.add_argument("--window-cap", type=int, default=100)
+        c.add_argument("--use-windows", action="store_true", help="take the profile's windows instead of each enzyme's own")
+        c.add_argument("--per-enzyme-ori", action="store_true")
+        c.add_argument("--min-windows", type=int, default=5)
+        c.add_argument("--no-gc-correct", action="store_true")
+        c.add_argument("--loess-frac", type=float, default=0.4)
+        c.add_argument("--alpha", type=float, default=0.05)
+        c.add_argument("--min-anchors-per-enzyme", type=int, default=30)
+        c.add_argument("--min-coverage", type=float, default=1.0)
+        c.add_argument("--min-fraction", type=float, default=0.75)
+        c.add_argument("--max-dispersion", type=float, default=5.0)
+        c.add_argument("--min-containment", type=float, default=0.5)
+        c.add_argument("--min-enzyme-fit-rate", type=float, default=0.8)
+        c.add_argument("--figures", action="store_true")
+
     c = command("index", index, ("genomes", True))
     c.add_argument("-e", "--enzymes", default="all")
     c.add_argument("-a", "--taxonomy")
@@ -140,6 +197,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-contig-len", type=int, default=500)
     c.add_argument("--gc-flank", type=int, default=250)
     c.add_argument("--screen-scale", type=int)
+    c.add_argument("--write-tgt", action="store_true")
     c = command("profile", profile, ("reads", True))
     c.add_argument("-d", "--db", required=True)
     c.add_argument("--mode", choices=("wms", "2brad"), default="wms")
@@ -149,8 +207,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--windowing", choices=("anchors", "bp"), default="anchors")
     c.add_argument("--window-anchors", type=int, default=100)
     c.add_argument("--window-bp", type=int, default=25_000)
-    c.add_argument("--method", choices=("auto", "v_shape", "sorted"), default="auto")
+    c.add_argument("--screen", action="store_true", help="count only on genomes that the sketch selects")
+    c.add_argument("--screen-min-frac", type=float, default=5e-4)
+    c.add_argument("--screen-min-hits", type=int, default=50)
     c.add_argument("--no-stats", action="store_true")
+    statistics_options(c)
+    c = command("stats", statistics)
+    c.add_argument("-d", "--db", required=True)
+    statistics_options(c)
+    c = command("manifest", manifest)
+    c.add_argument("-d", "--db", required=True)
     c = command("dynamics", dynamics, ("inputs", True))
     c.add_argument("-m", "--metadata")
     c.add_argument("--baseline")
@@ -178,7 +244,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    a.run(spark or SparkSession.builder.appName("tagforge").getOrCreate(), a)
+    if spark is None:
+        builder = SparkSession.builder.appName("tagforge")
+        spark = (builder.master(f"local[{a.threads}]") if a.threads else builder).getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR" if a.quiet else ("WARN", "INFO", "DEBUG")[min(a.verbose, 2)])
+    a.run(spark, a)
 
 
 if __name__ == "__main__":

@@ -46,11 +46,28 @@ def dequantize_gc(q: Column | str) -> Column:
     return F.when(col(q) != 255, col(q) / 200.0)
 
 
+def _word(s: Column) -> Column:
+    return F.coalesce(F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def pack_words(s: Column | str) -> Column:
+    """Up to 62 certain bases as an array of two bigints of 31 bases each, two bits a base."""
+    c = col(s)
+    return F.array(_word(F.substring(c, 1, 31)), _word(F.substring(c, 32, 31)))
+
+
+def hamming_words(a: Column | str, b: Column | str) -> Column:
+    """Number of differing bases of two :func:`pack_words` of equal length."""
+    out = F.lit(0)
+    for k in (0, 1):
+        x = F.element_at(col(a), k + 1).bitwiseXOR(F.element_at(col(b), k + 1))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x1555555555555555)))
+    return out
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
-    """Number of differing positions; null for unequal lengths."""
-    x, y = col(a), col(b)
-    differ = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), F.lit(0), lambda n, i: n + F.when(F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)), 1).otherwise(0))
-    return F.when(F.length(x) == F.length(y), differ)
+    """Number of differing positions of certain bases, up to 62 of them; null for unequal lengths."""
+    return F.when(F.length(col(a)) == F.length(col(b)), hamming_words(pack_words(a), pack_words(b)))
 
 
 def hamming_within(a: Column | str, b: Column | str, budget: int) -> Column:
@@ -87,8 +104,17 @@ def seed_ranges(length: int, seeds: int) -> list[tuple[int, int]]:
 
 
 def pack_2bit(s: Column | str) -> Column:
-    """Bases as base-4 digits of a bigint, up to 31 of them; null with another code in it."""
-    return F.when(col(s).rlike("^[ACGT]{1,31}$"), F.conv(F.translate(col(s), "ACGT", "0123"), 4, 10).cast("bigint"))
+    """Bases as base-4 digits of a bigint, up to 32 of them (the top bit of the 32nd is the sign); null with another code in it."""
+    c = col(s)
+    high = F.coalesce(F.conv(F.translate(F.substring(c, F.lit(1), F.length(c) - 16), "ACGT", "0123"), 4, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    low = F.conv(F.translate(F.right(c, F.lit(16)), "ACGT", "0123"), 4, 10).cast("bigint")
+    return F.when(c.rlike("^[ACGT]{1,32}$"), F.shiftleft(high, 32).bitwiseOR(low))
+
+
+def iupac_matches(code: Column | str, base: Column | str) -> Column:
+    """True if the code's set holds the certain base; false for an uncertain base or an unknown code."""
+    b = F.upper(col(base))
+    return b.isin("A", "C", "G", "T") & (iupac_mask(code).bitwiseAND(iupac_mask(b)) > 0)
 
 
 def iupac_mask(code: Column | str) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagforge.functions.seq import canonical, gc_fraction, quantize_gc
-from tagforge.operators.digest import TILE
+from tagforge.functions.seq import canonical
+from tagforge.operators import digest
+from tagforge.panel import ENZYMES
 
 # The bits of an anchor's flags.
 UNIQUE_IN_GENOME, UNIQUE_ACROSS, MULTICOPY, SHARED, NON_CHROMOSOMAL, GC_UNDEFINED = 1, 2, 4, 8, 16, 32
@@ -17,16 +18,12 @@ UNUSABLE = MULTICOPY | SHARED | NON_CHROMOSOMAL
 def local_gc(sites: DataFrame, contigs: DataFrame, flank: int = 250) -> DataFrame:
     """sites plus local_gc: quantised GC of the bases within ``flank`` around the tag's start, cut at the contig's ends.
 
-    Tiles with a halo of ``flank`` on both sides are joined to the sites by tile number, so no whole contig travels per site.
+    Sites made with that flank have it already; for others one more scan of the contigs is joined to them by place.
     """
-    tile = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int"))).alias("t")
-    cut = contigs.select("genome_id", "contig_id", "seq", tile)
-    lo = F.greatest(F.col("t") * TILE - flank, F.lit(0))
-    cut = cut.select("genome_id", "contig_id", "t", lo.alias("lo"), F.substring(F.col("seq"), lo + 1, F.col("t") * TILE - lo + TILE + flank).alias("tile"))
-    s = sites.withColumn("t", F.floor(F.col("position") / TILE).cast("int")).join(cut, ["genome_id", "contig_id", "t"])
-    start = F.greatest(F.col("position") - flank, F.lit(0)).cast("int")
-    around = F.substring(F.col("tile"), start - F.col("lo") + 1, (F.col("position") + flank).cast("int") - start)
-    return s.select(*sites.columns, quantize_gc(gc_fraction(around)).alias("local_gc"))
+    if "local_gc" in sites.columns:
+        return sites
+    place = ["genome_id", "contig_id", "position", "enzyme_idx"]
+    return sites.join(digest.sites(contigs, min_contig_len=0, flank=flank).select(*place, "local_gc"), place).select(*sites.columns, "local_gc")
 
 
 def with_flags(sites: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -36,7 +33,7 @@ def with_flags(sites: DataFrame, contigs: DataFrame) -> DataFrame:
     two aggregates on (canon) and (canon, genome) are joined back, with no distinct window.
     """
     kinds = contigs.select("genome_id", "contig_id", "kind")
-    s = sites.withColumn("canon", canonical("tag")).join(F.broadcast(kinds), ["genome_id", "contig_id"])
+    s = sites.withColumn("canon", canonical("tag")).join(kinds, ["genome_id", "contig_id"])
     per = s.groupBy("canon", "genome_id").agg(F.countDistinct("contig_id", "position").alias("loci"))
     per = per.withColumn("genomes", F.count("*").over(W.partitionBy("canon")))
     out = s.join(per, ["canon", "genome_id"])
@@ -59,7 +56,7 @@ def shared_groups(anchors: DataFrame) -> DataFrame:
 
 def global_position(sites: DataFrame, contigs: DataFrame) -> DataFrame:
     at = contigs.select("genome_id", "contig_id", "offset")
-    return sites.join(F.broadcast(at), ["genome_id", "contig_id"]).withColumn("global_position", F.col("offset") + F.col("position")).drop("offset")
+    return sites.join(at, ["genome_id", "contig_id"]).withColumn("global_position", F.col("offset") + F.col("position")).drop("offset")
 
 
 def contig_offsets(contigs: DataFrame) -> DataFrame:
@@ -67,23 +64,44 @@ def contig_offsets(contigs: DataFrame) -> DataFrame:
     return contigs.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def validate(anchors: DataFrame, contigs: DataFrame) -> DataFrame:
-    """check, n_bad: one row per rule of a sound anchor table."""
-    bounds = contigs.select("genome_id", "contig_id", F.col("length").alias("contig_length"))
+RULES = ("unknown_contig", "out_of_bounds", "wrong_key", "wrong_length", "unknown_enzyme", "duplicate_row", "unsorted_row", "wrong_offset", "duplicate_contig", "repeated_genome_name", "wrong_genome_length", "wrong_global_position")
+
+
+def validate(anchors: DataFrame, contigs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """check, n_bad: one row per rule of a sound anchor table.
+
+    ``order`` names columns by which rows must ascend along ``row`` (their place in the file), where anchors have that column; genome_len in
+    contigs must be the sum of the genome's contigs, global_position in anchors that of its contig's offset, where the columns exist.
+    """
+    bounds = contigs.groupBy("genome_id", "contig_id").agg(F.max("length").alias("contig_length"), F.min("offset").alias("contig_offset"))
     known = anchors.join(bounds, ["genome_id", "contig_id"], "left")
     offsets = contig_offsets(contigs.select("genome_id", "contig_id", "length", F.col("offset").alias("stored")))
-    rules = [
-        known.where("contig_length is null").select(F.lit("unknown_contig").alias("check")),
-        known.where(F.col("position") + F.length("tag") > F.col("contig_length")).select(F.lit("out_of_bounds")),
-        anchors.where(F.col("canon") != canonical("tag")).select(F.lit("wrong_key")),
-        anchors.groupBy("genome_id", "contig_id", "position", "enzyme_idx").count().where("count > 1").select(F.lit("duplicate_row")),
-        offsets.where("offset <> stored").select(F.lit("wrong_offset")),
-        contigs.groupBy("genome_id", "contig_id").count().where("count > 1").select(F.lit("duplicate_contig")),
-    ]
-    bad = rules[0]
-    for r in rules[1:]:
-        bad = bad.union(r)
-    names = anchors.sparkSession.createDataFrame([(n,) for n in ("unknown_contig", "out_of_bounds", "wrong_key", "duplicate_row", "wrong_offset", "duplicate_contig")], "check string")
+    lengths = F.element_at(F.create_map(*[F.lit(x) for e in ENZYMES for x in (e.idx, e.length)]), F.col("enzyme_idx"))
+    found = {
+        "unknown_contig": known.where("contig_length is null"),
+        "out_of_bounds": known.where((F.col("position") < 0) | (F.col("position") + F.length("tag") > F.col("contig_length"))),
+        "wrong_key": anchors.where(F.col("canon") != canonical("tag")),
+        "wrong_length": anchors.where(F.length("tag") != lengths),
+        "unknown_enzyme": anchors.where(lengths.isNull()),
+        "duplicate_row": anchors.groupBy("genome_id", "contig_id", "position", "enzyme_idx").count().where("count > 1"),
+        "wrong_offset": offsets.where("offset <> stored"),
+        "duplicate_contig": contigs.groupBy("genome_id", "contig_id").count().where("count > 1"),
+    }
+    if "row" in anchors.columns:
+        key = F.struct(*(order or ["contig_id", "position", "enzyme_idx"]))
+        found["unsorted_row"] = anchors.withColumn("before", F.lag(key).over(W.partitionBy("genome_id").orderBy("row", key))).where(F.col("before") >= key)
+    if "genome" in contigs.columns:
+        found["repeated_genome_name"] = contigs.groupBy("genome").agg(F.countDistinct("genome_id").alias("n")).where("n > 1")
+    if "genome_len" in contigs.columns:
+        found["wrong_genome_length"] = contigs.groupBy("genome_id").agg(F.sum("length").alias("n"), F.max("genome_len").alias("genome_len")).where("n <> genome_len")
+    if "global_position" in anchors.columns:
+        found["wrong_global_position"] = known.where("global_position <> contig_offset + position")
+    bad = None
+    for name in RULES:
+        if name in found:
+            one = found[name].select(F.lit(name).alias("check"))
+            bad = one if bad is None else bad.unionByName(one)
+    names = anchors.sparkSession.createDataFrame([(n,) for n in RULES], "check string")
     return names.join(bad.groupBy("check").agg(F.count("*").alias("n")), "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("n_bad"))
 
 

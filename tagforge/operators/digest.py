@@ -1,55 +1,25 @@
 """In-silico digestion: windows of contigs and reads that carry an enzyme's recognition pattern.
 
-Sequences are first cut into tiles with an overlap of the longest tag less one, because taking substrings far
-into a long string walks it from its start; every tile is then an independent, bounded row.  One combined regular
-expression thins the windows before any per-enzyme work.
+Contigs are scanned in Arrow batches, in pieces with an overlap of the longest tag less one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import partial
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagforge.operators import scan
 from tagforge.panel import ENZYMES, LONGEST, Enzyme
 
-TILE = 512
-
-
-def tiles(seqs: DataFrame, keep: list[str], seq: str = "seq", halo: int = LONGEST - 1) -> DataFrame:
-    """Columns ``keep``, tile_start, tile: overlapping pieces of each sequence."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(TILE))
-    cut = seqs.select(*keep, F.col(seq), F.explode(starts).alias("tile_start"))
-    return cut.select(*keep, "tile_start", F.substring(F.col(seq), F.col("tile_start") + 1, F.lit(TILE + halo)).alias("tile"))
-
-
-def windows(seqs: DataFrame, keep: list[str], seq: str = "seq", long: bool = True) -> DataFrame:
-    """Columns ``keep``, position, window: one row per start offset, the window at most the longest tag."""
-    source = tiles(seqs, keep, seq) if long else seqs.select(*keep, F.lit(0).alias("tile_start"), F.col(seq).alias("tile"))
-    span = F.length("tile") - 1
-    at = F.sequence(F.lit(0), F.least(span, F.lit(TILE - 1)) if long else span)
-    out = source.where(F.length("tile") > 0).select(*keep, "tile_start", "tile", F.explode(at).alias("p"))
-    return out.select(*keep, (F.col("tile_start") + F.col("p")).cast("bigint").alias("position"), F.substring(F.col("tile"), F.col("p") + 1, F.lit(LONGEST)).alias("window"))
-
 
-def hits(wins: DataFrame, keep: list[str], enzymes: tuple[Enzyme, ...] = ENZYMES) -> DataFrame:
-    """Columns ``keep``, enzyme_idx, pattern, tag: one row per window and enzyme, credited to its first matching pattern."""
-    any_ = "|".join(e.window_regex(p) for e in enzymes for p in range(len(e.patterns)))
-    w = F.col("window")
-
-    def one(e: Enzyme) -> Column:
-        made = lambda p: F.struct(F.lit(e.idx).alias("enzyme_idx"), F.lit(p).alias("pattern"), F.substring(w, 1, e.length).alias("tag"))
-        out = F.when(w.rlike(e.window_regex(0)), made(0))
-        return out.when(w.rlike(e.window_regex(1)), made(1)) if len(e.patterns) > 1 else out
-
-    found = F.array_compact(F.array(*[one(e) for e in enzymes]))
-    return wins.where(w.rlike(any_)).select(*keep, F.explode(found).alias("h")).select(*keep, "h.*")
-
-
-def sites(contigs: DataFrame, enzymes: tuple[Enzyme, ...] = ENZYMES, min_contig_len: int = 500) -> DataFrame:
-    """genome_id, contig_id, position, enzyme_idx, pattern, tag of every tag in contigs of ``min_contig_len`` or more."""
-    keep = ["genome_id", "contig_id"]
-    return hits(windows(contigs.where(F.length("seq") >= min_contig_len), keep), [*keep, "position"], enzymes)
+def sites(contigs: DataFrame, enzymes: tuple[Enzyme, ...] = ENZYMES, min_contig_len: int = 500, flank: int | None = None) -> DataFrame:
+    """genome_id, contig_id, position, enzyme_idx, pattern, tag of every tag in contigs of ``min_contig_len`` or more; with ``flank`` also local_gc."""
+    return scan.sites(contigs.where(F.length("seq") >= min_contig_len), ["genome_id", "contig_id"], enzymes, flank)
 
 
 def gaps(sites_: DataFrame) -> DataFrame:
@@ -59,26 +29,35 @@ def gaps(sites_: DataFrame) -> DataFrame:
 
 
 def merged_loci(sites_: DataFrame, radius: int = 33) -> DataFrame:
-    """genome_id, contig_id, loci: positions kept by a greedy pass that skips those within ``radius`` of the last kept."""
-    p = sites_.groupBy("genome_id", "contig_id").agg(F.sort_array(F.collect_set("position")).alias("p"))
-    step = lambda kept, x: F.when(x - F.element_at(kept, -1) <= radius, kept).otherwise(F.concat(kept, F.array(x)))
-    return p.select("genome_id", "contig_id", F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.slice("p", 1, 1), step).alias("loci"))
+    """genome_id, contig_id, position: positions kept by a greedy pass that skips those within ``radius`` of the last kept; a group is one contig's positions."""
+    p = sites_.select("genome_id", "contig_id", "position").distinct()
+    return p.groupBy("genome_id", "contig_id").applyInPandas(partial(_greedy, radius), p.schema)
+
+
+def _greedy(radius: int, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    g = g.sort_values("position")
+    at = g["position"].to_numpy()
+    kept, i = [], 0
+    while i < len(at):
+        kept.append(i)
+        i = int(np.searchsorted(at, at[i] + radius, side="right"))
+    return g.iloc[kept]
 
 
 def density(sites_: DataFrame, contigs: DataFrame) -> DataFrame:
     """Per genome and enzyme: tags, distinct windows and tags per Mb of genome."""
     size = contigs.groupBy("genome_id").agg(F.sum("length").alias("genome_len"))
     g = sites_.groupBy("genome_id", "enzyme_idx").agg(F.count("*").alias("n_tags"), F.countDistinct("contig_id", "position").alias("n_windows"))
-    return g.join(F.broadcast(size), "genome_id").select("genome_id", "enzyme_idx", "n_tags", "n_windows", F.round(F.col("n_tags") * 1e6 / F.col("genome_len"), 6).alias("per_mb"))
+    return g.join(size, "genome_id").select("genome_id", "enzyme_idx", "n_tags", "n_windows", F.round(F.col("n_tags") * 1e6 / F.col("genome_len"), 6).alias("per_mb"))
 
 
 def union_density(sites_: DataFrame, contigs: DataFrame, radius: int = 33) -> DataFrame:
     """Per genome: merged loci, mean and largest gap between neighbours, loci per 25 kb."""
-    pos = merged_loci(sites_, radius).select("genome_id", "contig_id", F.explode("loci").alias("p"))
+    pos = merged_loci(sites_, radius).withColumnRenamed("position", "p")
     gap = pos.withColumn("gap", F.col("p") - F.lag("p").over(W.partitionBy("genome_id", "contig_id").orderBy("p")))
     size = contigs.groupBy("genome_id").agg(F.sum("length").alias("genome_len"))
     g = gap.groupBy("genome_id").agg(F.count("*").alias("n_loci"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.max("gap").alias("max_gap"))
-    return g.join(F.broadcast(size), "genome_id").select("genome_id", "n_loci", "mean_gap", "max_gap", F.round(F.col("n_loci") * 25000.0 / F.col("genome_len"), 6).alias("per_25kb"))
+    return g.join(size, "genome_id").select("genome_id", "n_loci", "mean_gap", "max_gap", F.round(F.col("n_loci") * 25000.0 / F.col("genome_len"), 6).alias("per_25kb"))
 
 
 def spacing(sites_: DataFrame, wide: int = 500) -> DataFrame:
@@ -107,7 +86,7 @@ def hits_sql(source: str, keep: str, enzymes: tuple[Enzyme, ...] = ENZYMES) -> s
     return "\n UNION ALL ".join(parts)
 
 
-SITES_SQL = f"""wins AS MATERIALIZED (SELECT genome_id, contig_id, p::BIGINT AS position, substr(seq, p::INT + 1, {LONGEST}) AS w FROM contigs, range({TILE * 8}) t(p) WHERE p < length AND length >= 500),
+SITES_SQL = f"""wins AS MATERIALIZED (SELECT genome_id, contig_id, p::BIGINT AS position, substr(seq, p::INT + 1, {LONGEST}) AS w FROM contigs, range(4096) t(p) WHERE p < length AND length >= 500),
 sites AS MATERIALIZED ({hits_sql("wins", "genome_id, contig_id, position")})"""
 LOCI_SQL = """loci AS (SELECT genome_id, contig_id, list_reduce(list_transform(p, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] <= 33 THEN acc ELSE list_concat(acc, x) END) AS loci
   FROM (SELECT genome_id, contig_id, list_sort(list(DISTINCT position)) AS p FROM sites GROUP BY ALL))"""

@@ -34,7 +34,8 @@ def delta(out: DataFrame, is_baseline: Column | None) -> DataFrame:
     """delta, its error, z and fold of every other sample; genomes without a baseline are left out."""
     rows = out if is_baseline is None else out.where(~is_baseline)
     j = rows.join(baseline(out, is_baseline), "genome_id").withColumn("delta", F.col("log2_ptr") - F.col("base"))
-    j = j.withColumn("delta_se", F.sqrt(F.col("se") * F.col("se") + F.col("base_se") * F.col("base_se")))
+    own = F.coalesce("se", F.lit(0.0))  # a missing error counts as none
+    j = j.withColumn("delta_se", F.sqrt(own * own + F.col("base_se") * F.col("base_se")))
     return j.withColumn("z", F.try_divide("delta", "delta_se")).withColumn("fold", F.pow(F.lit(2.0), "delta"))
 
 

@@ -41,6 +41,12 @@ def origin_grid(rates: DataFrame, groups: list[str], x: str, y: str, length: int
     return solve(c.groupBy(*groups, "ori").agg(*line(F.col("d"), F.col("y"), F.lit(1.0))))
 
 
+def with_prior(grid: DataFrame, position: Column, sd: Column, length: int) -> DataFrame:
+    """grid with a penalty on sse for origins away from an annotated one: half the squared distance in ``sd`` times the residual variance; none where position or sd is null."""
+    far = circular_distance(F.col("ori"), position, F.lit(float(length))) / sd
+    return grid.withColumn("sse", F.col("sse") * (1 + F.coalesce(F.when(sd > 0, far * far / (2 * F.col("n"))), F.lit(0.0))))
+
+
 def best_origin(grid: DataFrame, groups: list[str], min_windows: int = 3) -> DataFrame:
     """The downhill origin of least squared error, the first on ties; log2_ptr not yet scaled."""
     down = grid.where((F.col("slope") < 0) & (F.col("n") >= min_windows))

@@ -6,35 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagforge.functions.stats import chi2_pvalue
+
 Z95 = 1.959963984540054
 GROUP = ["sample", "genome_id"]
 
 
-def exclusions(est: DataFrame, min_n: int = 3, max_se: float | None = None) -> DataFrame:
-    """est plus ``reason``: why an enzyme can't take part, null where it can."""
-    r = F.when(F.col("est").isNull(), "no estimate").when(F.col("se").isNull() | (F.col("se") <= 0), "no standard error").when(F.col("n") < min_n, "too few windows")
+def exclusions(est: DataFrame, min_anchors: int = 30, max_se: float | None = None) -> DataFrame:
+    """est plus ``reason``: why an enzyme can't take part, null where it can; ``n_anchors`` are those behind an enzyme's estimate."""
+    few = F.format_string(f"only %d anchors (< {min_anchors})", F.col("n_anchors").cast("bigint"))
+    r = F.when(F.col("est").isNull(), "no estimate").when(F.col("se").isNull() | (F.col("se") <= 0), "no usable standard error").when(F.col("n_anchors") < min_anchors, few)
     return est.withColumn("reason", r if max_se is None else r.when(F.col("se") > max_se, "standard error too large"))
 
 
-def fuse(est: DataFrame, model: str = "auto") -> DataFrame:
-    """Inverse-variance fusion in two passes: fixed mean, then Cochran's Q around it, I2, tau2 and the random-effects mean.
+def fuse(est: DataFrame, model: str = "auto", alpha: float = 0.05) -> DataFrame:
+    """Inverse-variance fusion in two passes: fixed mean, then Cochran's Q around it, its p-value, I2, tau2 and the random-effects mean.
 
-    ``auto`` takes random effects where tau2 is positive.
+    ``auto`` takes random effects where Q rejects agreement at ``alpha``, ``always`` wherever it can, ``never`` nowhere; without variance
+    between the enzymes (tau2 0) the two are the same and the model is fixed.  One enzyme has no p-value and no I2.
     """
     c = F.col
     u = est.where("reason is null").withColumn("w", 1 / (c("se") * c("se")))
     part = W.partitionBy(*GROUP)
     u = u.withColumn("fixed", F.sum(c("w") * c("est")).over(part) / F.sum("w").over(part))
     g = u.groupBy(*GROUP).agg(F.count("*").alias("k"), F.first("fixed").alias("fixed"), F.sqrt(1 / F.sum("w")).alias("fixed_se"), F.sum(c("w") * (c("est") - c("fixed")) ** 2).alias("q"), (F.sum("w") - F.sum(c("w") ** 2) / F.sum("w")).alias("spread"))
-    g = g.withColumn("i2", F.when(c("q") > 0, F.greatest(F.lit(0.0), (c("q") - (c("k") - 1)) / c("q"))).otherwise(0.0)).withColumn("tau2", F.when(c("k") > 1, F.greatest(F.lit(0.0), (c("q") - (c("k") - 1)) / c("spread"))).otherwise(0.0))
+    several, excess = c("k") > 1, c("q") - (c("k") - 1)
+    g = g.withColumn("i2", F.when(several, F.when(c("q") > 0, F.greatest(F.lit(0.0), excess / c("q"))).otherwise(0.0)))
+    g = g.withColumn("tau2", F.when(several, F.greatest(F.lit(0.0), excess / c("spread"))).otherwise(0.0)).withColumn("q_pvalue", F.when(several, chi2_pvalue("q", (c("k") - 1).cast("double"))))
     r = u.join(g.select(*GROUP, "tau2"), GROUP).withColumn("rw", 1 / (c("se") * c("se") + c("tau2")))
     r = r.groupBy(*GROUP).agg((F.sum(c("rw") * c("est")) / F.sum("rw")).alias("random"), F.sqrt(1 / F.sum("rw")).alias("random_se"))
-    use = {"auto": c("tau2") > 0, "always": F.lit(True), "never": F.lit(False)}[model]
+    wanted = {"auto": F.coalesce(c("q_pvalue") < alpha, F.lit(False)), "always": F.lit(True), "never": F.lit(False)}[model]
+    use = wanted & (c("tau2") > 0)
     out = g.join(r, GROUP).withColumn("fusion_model", F.when(use, "random").otherwise("fixed"))
     out = out.withColumn("log2_ptr", F.when(use, c("random")).otherwise(c("fixed"))).withColumn("se", F.when(use, c("random_se")).otherwise(c("fixed_se")))
     return out.withColumn("ptr", F.pow(F.lit(2.0), "log2_ptr")).withColumn("ci_low", c("log2_ptr") - Z95 * c("se")).withColumn("ci_high", c("log2_ptr") + Z95 * c("se"))
 
 
+def note(alpha: float = 0.05) -> Column:
+    """What a reader of a fused row with its worst enzyme should know."""
+    disagree = F.format_string("enzymes disagree (Q=%.1f, p=%.3g); largest deviation from %s", F.col("q"), F.col("q_pvalue"), F.col("worst_enzyme").cast("string"))
+    return F.when(F.coalesce(F.col("k"), F.lit(0)) == 0, "no enzyme produced a usable estimate").when(F.col("k") == 1, "single enzyme: no cross-enzyme consistency check available").when(F.col("q_pvalue") < alpha, disagree).otherwise("")
+
+
 def residuals(est: DataFrame, fused: DataFrame) -> DataFrame:
     """Standardised residual of each enzyme that took part."""
     return est.where("reason is null").join(fused.select(*GROUP, F.col("log2_ptr").alias("mid")), GROUP).withColumn("residual", (F.col("est") - F.col("mid")) / F.col("se")).drop("mid")
@@ -55,21 +68,24 @@ def qc_reason(gates: list[tuple[Column, str]]) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in gates])), "; ")
 
 
-def with_qc(out: DataFrame, min_anchors: int = 30, min_coverage: float = 1.0, min_fraction: float = 0.75, max_dispersion: float = 5.0, min_fit_rate: float = 0.8, alpha: float = 0.05) -> DataFrame:
+def with_qc(out: DataFrame, min_anchors: int = 30, min_coverage: float = 1.0, min_fraction: float = 0.75, max_dispersion: float = 5.0, min_fit_rate: float = 0.8, alpha: float = 0.05, min_containment: float = 0.5, min_ori_confidence: float = 0.0) -> DataFrame:
     """out plus qc_reason and pass_qc; rows are flagged, never dropped.  Gates whose column is absent don't apply."""
     gates = []
     for column, make, text in (
         ("n_anchors", lambda c: c < min_anchors, "too few anchors"), ("coverage", lambda c: c < min_coverage, "low coverage"), ("fraction", lambda c: c < min_fraction, "low detected fraction"),
-        ("dispersion", lambda c: c > max_dispersion, "overdispersed"), ("enzyme_fit_rate", lambda c: c < min_fit_rate, "few enzymes fitted"), ("enzyme_consistency", lambda c: c < alpha, "enzymes disagree"), ("log2_ptr", lambda c: c.isNull(), "no estimate"),
+        ("dispersion", lambda c: c > max_dispersion, "overdispersed"), ("enzyme_fit_rate", lambda c: c < min_fit_rate, "few enzymes fitted"), ("containment", lambda c: c < min_containment, "low containment"), ("ori_confidence", lambda c: c < min_ori_confidence, "uncertain origin"), ("enzyme_consistency", lambda c: c < alpha, "enzymes disagree"), ("log2_ptr", lambda c: c.isNull(), "no estimate"),
     ):
         if column in out.columns:
             gates.append((make(F.col(column)), text))
     return out.withColumn("qc_reason", qc_reason(gates)).withColumn("pass_qc", F.col("qc_reason") == "")
 
 
-FUSE_SQL = """reasoned AS (SELECT *, CASE WHEN est IS NULL THEN 'no estimate' WHEN se IS NULL OR se <= 0 THEN 'no standard error' WHEN n < 3 THEN 'too few windows' END AS reason FROM estimates),
+# 95 % points of the chi-square distribution of 1 to 15 degrees of freedom.
+CHI2_95 = (3.841, 5.991, 7.815, 9.488, 11.070, 12.592, 14.067, 15.507, 16.919, 18.307, 19.675, 21.026, 22.362, 23.685, 24.996)
+FUSE_SQL = f"""reasoned AS (SELECT *, CASE WHEN est IS NULL THEN 'no estimate' WHEN se IS NULL OR se <= 0 THEN 'no usable standard error' WHEN n_anchors < 30 THEN 'only ' || n_anchors || ' anchors (< 30)' END AS reason FROM estimates),
 usedw AS (SELECT *, 1 / (se * se) AS w, sum(est / (se * se)) OVER g / sum(1 / (se * se)) OVER g AS fixed FROM reasoned WHERE reason IS NULL WINDOW g AS (PARTITION BY sample, genome_id)),
 f1 AS (SELECT sample, genome_id, count(*) AS k, first(fixed) AS fixed, sqrt(1 / sum(w)) AS fixed_se, sum(w * (est - fixed) ** 2) AS q, sum(w) - sum(w * w) / sum(w) AS spread FROM usedw GROUP BY ALL),
-f2 AS (SELECT *, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END AS i2, CASE WHEN k > 1 THEN greatest(0, (q - (k - 1)) / spread) ELSE 0 END AS tau2 FROM f1),
+f2 AS (SELECT *, CASE WHEN k > 1 THEN CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END END AS i2, CASE WHEN k > 1 THEN greatest(0, (q - (k - 1)) / spread) ELSE 0 END AS tau2,
+  k > 1 AND q > {list(CHI2_95)}[k - 1] AND q > k - 1 AS rejects FROM f1),
 f3 AS (SELECT sample, genome_id, sum(est / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS random, sqrt(1 / sum(1 / (se * se + tau2))) AS random_se FROM usedw JOIN f2 USING (sample, genome_id) GROUP BY ALL),
-fused AS (SELECT *, CASE WHEN tau2 > 0 THEN 'random' ELSE 'fixed' END AS fusion_model, CASE WHEN tau2 > 0 THEN random ELSE fixed END AS log2_ptr, CASE WHEN tau2 > 0 THEN random_se ELSE fixed_se END AS se FROM f2 JOIN f3 USING (sample, genome_id))"""
+fused AS (SELECT *, CASE WHEN rejects THEN 'random' ELSE 'fixed' END AS fusion_model, CASE WHEN rejects THEN random ELSE fixed END AS log2_ptr, CASE WHEN rejects THEN random_se ELSE fixed_se END AS se FROM f2 JOIN f3 USING (sample, genome_id))"""

@@ -56,7 +56,7 @@ def _curve(frac: float, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     x, y, n = g["gc"].to_numpy(float), np.log2(g["count"].to_numpy(float) + 0.5), g["n"].to_numpy(float)
     places, first = np.unique(x, return_index=True)
     if n.sum() < MIN_ANCHORS or len(places) < MIN_DISTINCT:
-        return pd.DataFrame({"enzyme": [key[0]] * len(places), "gc": places, "log2_offset": 0.0, "shrinkage": 0.0, "r2": 0.0})
+        return pd.DataFrame({"enzyme": [], "gc": [], "log2_offset": [], "shrinkage": [], "r2": []}).astype({"enzyme": int})
     fit = lowess(x, y, n, frac)
     centre = (n * fit).sum() / n.sum()
     sse, sst = (n * (y - fit) ** 2).sum(), (n * (y - (n * y).sum() / n.sum()) ** 2).sum()
@@ -66,7 +66,7 @@ def _curve(frac: float, key: tuple, g: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_curves(counts: DataFrame, frac: float = 0.4) -> DataFrame:
-    """enzyme, gc, log2_offset, shrinkage, r2: pooled over all samples and genomes.
+    """enzyme, gc, log2_offset, shrinkage, r2: pooled over all samples and genomes; enzymes with too few anchors or GC values have no curve.
 
     An enzyme's group holds one row per GC value, at most 201, and distinct count, whatever the number of anchors.
     """
@@ -74,12 +74,23 @@ def fit_curves(counts: DataFrame, frac: float = 0.4) -> DataFrame:
     return known.groupBy("enzyme").applyInPandas(partial(_curve, frac), "enzyme int, gc double, log2_offset double, shrinkage double, r2 double")
 
 
+def _at_places(key: tuple, places: pd.DataFrame, curve: pd.DataFrame) -> pd.DataFrame:
+    curve = curve.sort_values("gc")
+    offset = np.interp(places["gc"], curve["gc"], curve["log2_offset"]) if len(curve) else 0.0
+    return pd.DataFrame({"enzyme": places["enzyme"], "gc": places["gc"], "gc_offset": offset})
+
+
 def offsets(counts: DataFrame, curves: DataFrame) -> DataFrame:
-    """counts plus gc_offset; undefined GC gives null."""
-    return counts.join(F.broadcast(curves.select("enzyme", "gc", F.col("log2_offset").alias("gc_offset"))), ["enzyme", "gc"], "left")
+    """counts plus gc_offset: the curve between its points, held flat beyond its ends; 0 for undefined GC and for enzymes without a curve.
+
+    Curves are evaluated at each enzyme's distinct GC values, at most 201 from quantised GC, and joined back.
+    """
+    places = counts.where(F.col("gc").isNotNull()).select("enzyme", "gc").distinct()
+    at = places.groupBy("enzyme").cogroup(curves.select("enzyme", "gc", "log2_offset").groupBy("enzyme")).applyInPandas(_at_places, "enzyme int, gc double, gc_offset double")
+    return counts.join(at, ["enzyme", "gc"], "left").withColumn("gc_offset", F.coalesce("gc_offset", F.lit(0.0)))
 
 
 def apply_offset(rates: DataFrame) -> DataFrame:
-    """log2_rate less mean_gc_offset; the raw value stays as log2_rate_raw, gc_corrected tells where."""
+    """log2_rate less mean_gc_offset (none counts as 0); the raw value stays as log2_rate_raw.  gc_corrected says that the run corrects, enzyme curve or not."""
     raw = F.col("log2_rate")
-    return rates.withColumn("log2_rate_raw", raw).withColumn("gc_corrected", F.col("mean_gc_offset").isNotNull()).withColumn("log2_rate", raw - F.col("mean_gc_offset"))
+    return rates.withColumn("log2_rate_raw", raw).withColumn("gc_corrected", F.lit(True)).withColumn("log2_rate", raw - F.coalesce("mean_gc_offset", F.lit(0.0)))

@@ -92,36 +92,56 @@ def fit_ztnb(values: np.ndarray, counts: np.ndarray):
     return math.exp(at[0]), math.exp(at[1]), best
 
 
+#: How many times less mass on positive counts than was seen discredits a negative binomial.
+MISMATCH = 10.0
+
+
+def _truncated_nb(mu: float, alpha: float) -> tuple[float, float]:
+    """Mean and variance of the zero-truncated negative binomial."""
+    seen = -math.expm1(-math.log1p(alpha * mu) / alpha)
+    mean = mu / seen
+    return mean, mu * (1 + mu * (1 + alpha)) / seen - mean * mean
+
+
 def choose(count: np.ndarray, model: str = "auto") -> dict:
-    """The window's rate, standard error, model and BIC.
+    """The window's rate, its standard error by the delta method, model and BIC.
 
-    Mixtures of up to three parts (one per ten positives and no more than distinct values); the negative binomial only
-    from ten positives on, and not when it puts ten times less mass on positive counts than were seen.
+    Mixtures have up to three parts (one per ten positives and no more than distinct values); their rate is that of the heaviest part, with the mass
+    it is responsible for as sample size.  The negative binomial takes part from ten positives on and wins by BIC, but not when it
+    puts ten times less mass on positive counts than were seen: then the mixture stands, or, where it was asked for alone, no rate.
     """
     positive = count[count >= 1]
     n = len(positive)
-    out = {"n_anchors": len(count), "n_positive": n, "rate": None, "se": None, "model": "none", "bic": None, "n_components": 0}
+    out = {"n_anchors": len(count), "n_positive": n, "rate": None, "se": None, "model": "empty", "bic": None, "n_components": 0}
     if not n:
         return out
     values, counts = np.unique(positive.astype(float), return_counts=True)
-    fits = []
+    best = None
     if model in ("auto", "ztp"):
         for parts in range(1, max(1, min(3, n // 10, len(values))) + 1):
-            w, r, _, bic = fit_mixture(values, counts, parts)
-            fits.append((bic, "ztp" if parts == 1 else f"ztp{parts}", float((w * r).sum()), parts, None))
+            weights, rates, _, bic = fit_mixture(values, counts, parts)
+            if best is None or bic < best[0]:
+                best = bic, weights, rates
     if model == "ztnb" or (model == "auto" and n >= 10):
         mu, alpha, like = fit_ztnb(values, counts)
-        seen = -math.expm1(-math.log1p(alpha * mu) / alpha)
-        if model == "ztnb" or seen * 10 >= n / len(count):
-            fits.append((2 * math.log(n) - 2 * like, "ztnb", mu, 1, alpha))
-    bic, name, rate, parts, alpha = min(fits, key=lambda f: f[0])
-    if rate <= 1e-8:
-        return out | {"model": name, "bic": bic, "n_components": parts}
+        bic = 2 * math.log(n) - 2 * like
+        if best is None or bic < best[0]:
+            found = out | {"model": "ztnb", "bic": bic, "n_components": 1}
+            if -math.expm1(-math.log1p(alpha * mu) / alpha) * MISMATCH >= n / len(count):
+                step = max(mu * 1e-5, 1e-8)
+                slope = (_truncated_nb(mu + step, alpha)[0] - _truncated_nb(max(mu - step, 1e-12), alpha)[0]) / (2 * step)
+                return found | {"rate": mu, "se": math.sqrt(max(_truncated_nb(mu, alpha)[1], 0.0) / n) / max(abs(slope), 1e-12)}
+            if best is None:
+                return found
+    bic, weights, rates = best
+    top = int(np.argmax(weights))
+    rate, mass = float(rates[top]), float(weights[top]) * n
+    out |= {"model": "ztp", "bic": bic, "n_components": len(rates)}
+    if rate <= 1e-8 or mass <= 0:
+        return out
     e, q = math.exp(-rate), -math.expm1(-rate)
-    slope = (q - rate * e) / (q * q)
     mean = rate / q
-    var = mean * (1 + rate * (1 + (alpha or 0.0)) - mean)
-    return out | {"rate": rate, "se": math.sqrt(max(var, float(positive.var(ddof=1)) if n > 1 else var, 1e-12) / n) / slope, "model": name, "bic": bic, "n_components": parts}
+    return out | {"rate": rate, "se": math.sqrt(mean * (1 + rate - mean) / mass) / ((q - rate * e) / (q * q))}
 
 
 def _windows(model: str, key: tuple, g: pd.DataFrame) -> pd.DataFrame:

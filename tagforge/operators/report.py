@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagforge.functions.stats import chi2_pvalue
 from tagforge.operators import fusion, gcbias, mixture, vfit, windows
 
 
-def estimate(counts: DataFrame, genomes: DataFrame, length: float, count_model: str = "ztp", method: str = "auto", gc_correct: bool = True, min_windows: int = 5, single_contig: bool = True, window_cap: int = 100, shared_ori: bool = True, origins: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(window rates, per-enzyme fits, output) of a count table with global positions.
+def estimate(
+    counts: DataFrame, genomes: DataFrame, count_model: str = "auto", method: str = "auto", gc_correct: bool = True, min_windows: int = 5, window_cap: int = 100, shared_ori: bool = True,
+    loess_frac: float = 0.4, alpha: float = 0.05, min_anchors: int = 30, given_windows: bool = False, containment: DataFrame | None = None, gates: dict | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(window rates, per-enzyme fits, output) of a count table with global positions, for all its genomes in one plan.
 
-    ``length`` is the genome length that all fits share; runs over genomes of several lengths call this once per genome.
+    ``genomes`` has genome_id, genome, genome_len, n_contigs, and where known taxonomy, ori and ori_confidence; ``containment`` has sample,
+    genome_id, containment; ``gates`` are arguments of :func:`fusion.with_qc`; ``given_windows`` takes the counts' window_id for windows.
     """
+    both = ["sample", "genome_id"]
     if gc_correct:
-        counts = gcbias.offsets(counts, gcbias.fit_curves(counts))
+        counts = gcbias.offsets(counts, gcbias.fit_curves(counts, loess_frac))
     else:
         counts = counts.withColumn("gc_offset", F.lit(None).cast("double"))
-    w = windows.enzyme_windows(counts, window_cap)
+    w = windows.given_windows(counts) if given_windows else windows.enzyme_windows(counts, window_cap)
     key = mixture.KEY
     place = w.groupBy(*key).agg(F.avg("global_position").alias("mid"), F.avg("gc_offset").alias("mean_gc_offset"), F.var_samp(F.when(F.col("count") > 0, F.col("count"))).alias("var"), F.avg(F.when(F.col("count") > 0, F.col("count"))).alias("mean"))
     rates = mixture.model_rates(w, count_model).join(place, key)
@@ -29,17 +33,19 @@ def estimate(counts: DataFrame, genomes: DataFrame, length: float, count_model:
     rates = rates.withColumn("log2_rate", F.when(F.col("rate") > 0, F.log2("rate"))).withColumn("log2_se", F.when(F.col("rate") > 0, F.col("se") / (F.col("rate") * ln2)))
     rates = rates.withColumn("dispersion", F.try_divide("var", "mean")).withColumn("detected_fraction", F.col("n_positive") / F.col("n_anchors"))
     rates = gcbias.apply_offset(rates) if gc_correct else rates
-    fits = vfit.fit_windows(rates, length, method=method, min_windows=min_windows, single_contig=single_contig, shared_ori=shared_ori, origins=origins)
-    means = rates.groupBy("sample", "genome_id", "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("anchors"))
-    fits = fits.join(means, ["sample", "genome_id", "enzyme"], "left")
-    est = fits.select("sample", "genome_id", "enzyme", F.when(F.col("ok"), F.col("log2_ptr")).alias("est"), "se", F.col("n_windows_used").alias("n"), "r2")
-    est = fusion.exclusions(est)
-    fused = fusion.fuse(est)
-    extra = fits.groupBy("sample", "genome_id").agg(F.avg("mean_rate").alias("coverage"), F.avg("mean_fraction").alias("fraction"), F.avg("mean_dispersion").alias("dispersion"), F.sum("anchors").alias("n_anchors"), F.median("ori").alias("ori"), F.avg("ori_confidence").alias("ori_confidence"), F.sum("n_windows").alias("n_windows"), F.first("method").alias("method"), F.count("*").alias("n_enzymes_attempted"))
-    out = extra.join(fused, ["sample", "genome_id"], "left").join(fusion.fuse_table(est, fused).drop("n_attempted"), ["sample", "genome_id"], "left")
-    out = out.join(F.broadcast(genomes.select("genome_id", "genome", *[c for c in ("taxonomy",) if c in genomes.columns])), "genome_id", "left")
-    out = out.withColumn("enzyme_consistency", chi2_pvalue("q", (F.col("k") - 1).cast("double"))).withColumn("enzyme_fit_rate", F.coalesce(F.col("k"), F.lit(0)) / F.col("n_enzymes_attempted"))
-    out = fusion.with_qc(out).withColumn("PTR", F.col("ptr")).withColumn("log2(PTR)", F.col("log2_ptr")).withColumn("n_enzymes", F.col("k")).withColumn("enzyme_i2", F.col("i2"))
+    fits = vfit.fit_windows(rates, genomes, method=method, min_windows=min_windows, shared_ori=shared_ori)
+    means = rates.groupBy(*both, "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("n_anchors"))
+    fits = fits.join(means, [*both, "enzyme"], "left")
+    est = fits.select(*both, "enzyme", F.when(F.col("ok"), F.col("log2_ptr")).alias("est"), "se", "n_anchors", "r2")
+    est = fusion.exclusions(est, min_anchors)
+    fused = fusion.fuse(est, alpha=alpha)
+    extra = fits.groupBy(*both).agg(F.avg("mean_rate").alias("coverage"), F.avg("mean_fraction").alias("fraction"), F.avg("mean_dispersion").alias("dispersion"), F.sum("n_anchors").alias("n_anchors"), F.median("ori").alias("ori"), F.avg("ori_confidence").alias("ori_confidence"), F.sum("n_windows").alias("n_windows"), F.first("method").alias("method"), F.count("*").alias("n_enzymes_attempted"))
+    out = extra.join(fused, both, "left").join(fusion.fuse_table(est, fused).drop("n_attempted"), both, "left")
+    out = out.join(genomes.select("genome_id", "genome", *[c for c in ("taxonomy",) if c in genomes.columns]), "genome_id", "left")
+    if containment is not None:
+        out = out.join(containment.select(*both, "containment"), both, "left")
+    out = out.withColumn("enzyme_consistency", F.col("q_pvalue")).withColumn("enzyme_fit_rate", F.coalesce(F.col("k"), F.lit(0)) / F.col("n_enzymes_attempted")).withColumn("note", fusion.note(alpha))
+    out = fusion.with_qc(out, **{"alpha": alpha} | (gates or {})).withColumn("PTR", F.col("ptr")).withColumn("log2(PTR)", F.col("log2_ptr")).withColumn("n_enzymes", F.col("k")).withColumn("enzyme_i2", F.col("i2"))
     return rates, fits, out.drop("ptr")
 
 
@@ -53,13 +59,15 @@ def audit(sites: DataFrame, contigs: DataFrame, min_anchors: int = 50, wide_gap:
     return names.join(thin, "genome_id", "left").join(g, "genome_id", "left")
 
 
-def render_html(table: DataFrame, title: str, limit: int = 10_000) -> str:
-    """A small report table as a page; ``limit`` bounds what the driver takes."""
-    rows = table.limit(limit).collect()
-    cell = lambda tag, v: f"<{tag}>{html.escape('NA' if v is None else str(v))}</{tag}>"
-    head = "".join(cell("th", c) for c in table.columns)
-    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+def html_lines(table: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """value: the lines of a page with every row of a report table, in order; made row by row, so that a table of any size can be written as text."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("NA")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = F.concat(*[F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in table.columns])
+    rows = table.select(F.lit(1).alias("part"), F.struct(*order).alias("at"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value"))
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in table.columns)
+    ends = [(0, f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>"), (2, "</table>")]
+    frame = table.sparkSession.createDataFrame(ends, "part int, value string").select("part", F.lit(None).cast(rows.schema["at"].dataType).alias("at"), "value")
+    return rows.unionByName(frame).orderBy("part", "at").select("value")
 
 
 def profile_points(rates: DataFrame) -> DataFrame:
@@ -70,3 +78,8 @@ def profile_points(rates: DataFrame) -> DataFrame:
 def forest_points(fits: DataFrame) -> DataFrame:
     """Plot-ready intervals: one per enzyme."""
     return fits.where("ok").select("sample", "genome_id", "enzyme", "log2_ptr", (F.col("log2_ptr") - fusion.Z95 * F.col("se")).alias("low"), (F.col("log2_ptr") + fusion.Z95 * F.col("se")).alias("high"))
+
+
+def figures(rates: DataFrame, fits: DataFrame) -> dict[str, DataFrame]:
+    """The tables behind the quality figures, by name."""
+    return {"rate_by_position": profile_points(rates), "enzyme_forest": forest_points(fits)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,23 +27,39 @@ def shared_tags(draft: DataFrame, reference: DataFrame) -> DataFrame:
 def orientation(shared: DataFrame) -> DataFrame:
     """contig_id, n_tags, concordance, orientation: the vote of all tag pairs that differ on both axes, ties forward.
 
-    A contig's pairs are compared inside its own sorted array, so no pair becomes a row; the work per contig is the
-    square of its shared tags.  Without a comparable pair the concordance is 0.
+    Per contig the discordant pairs are the inversions of its reference positions in draft order, counted while merging sorted runs; no pair
+    is ever made.  Without a comparable pair the concordance is 0.
     """
-    order = shared.groupBy("contig_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("t"))
-
-    def pairs(test):
-        return F.aggregate("t", F.lit(0).cast("bigint"), lambda n, y: n + F.size(F.filter("t", lambda x: (x["pos"] < y["pos"]) & test(x["ref"], y["ref"]))))
-
-    o = order.select("contig_id", F.size("t").cast("bigint").alias("n_tags"), pairs(lambda x, y: x < y).alias("up"), pairs(lambda x, y: x > y).alias("down"))
+    schema = f"contig_id {shared.schema['contig_id'].dataType.simpleString()}, n_tags bigint, up bigint, down bigint"
+    o = shared.select("contig_id", "pos", "ref").groupBy("contig_id").applyInPandas(_votes, schema)
     share = F.try_divide(F.greatest("up", "down"), F.col("up") + F.col("down"))
     return o.select("contig_id", "n_tags", F.coalesce(share, F.lit(0.0)).alias("concordance"), F.when(F.col("up") >= F.col("down"), "Forward").otherwise("Reverse").alias("orientation"))
 
 
+def _votes(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    n = len(g)
+    down = _inversions(g.sort_values(["pos", "ref"])["ref"].to_numpy())
+    several = lambda k: int((k * (k - 1) // 2).sum())
+    ties = several(g.groupby("pos").size()) + several(g.groupby("ref").size()) - several(g.groupby(["pos", "ref"]).size())
+    return pd.DataFrame({"contig_id": [key[0]], "n_tags": n, "up": n * (n - 1) // 2 - ties - down, "down": down})
+
+
+def _inversions(v: np.ndarray) -> int:
+    """Pairs i < j with v[i] > v[j]: sorted halves are merged, each element of the right one passing what is greater on its left."""
+    runs, total = [v[i : i + 1] for i in range(len(v))], 0
+    while len(runs) > 1:
+        merged = []
+        for a, b in zip(runs[::2], runs[1::2], strict=False):
+            total += int((len(a) - np.searchsorted(a, b, side="right")).sum())
+            merged.append(np.sort(np.concatenate((a, b)), kind="stable"))
+        runs = merged + runs[len(merged) * 2 :]
+    return total
+
+
 def place(shared: DataFrame, contigs: DataFrame, min_tags: int = 3, min_concordance: float = 0.8) -> DataFrame:
     """Placed contigs: orientation and the upper median of the projected starts, not below 0."""
     o = orientation(shared).where((F.col("n_tags") >= min_tags) & (F.col("concordance") >= min_concordance))
-    j = shared.join(o, "contig_id").join(F.broadcast(contigs.select("contig_id", "length")), "contig_id")
+    j = shared.join(o, "contig_id").join(contigs.select("contig_id", "length"), "contig_id")
     start = F.when(F.col("orientation") == "Forward", F.col("ref") - F.col("pos")).otherwise(F.col("ref") - (F.col("length") - 1 - F.col("pos")))
     s = j.groupBy("contig_id", "orientation", "n_tags", "concordance", "length").agg(F.sort_array(F.collect_list(start)).alias("s"))
     return s.select("contig_id", "orientation", "n_tags", "concordance", "length", F.greatest(F.lit(0), F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))).alias("ref_start"))
@@ -54,7 +72,7 @@ def apply(sites: DataFrame, contigs: DataFrame, placed: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("length").over(W.orderBy("contig_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parked = rest.select("contig_id", "length", F.lit("Unplaced").alias("orientation"), (F.col("end") + before).alias("ref_start"))
     every = placed.select("contig_id", "length", "orientation", "ref_start").unionByName(parked)
-    j = sites.join(F.broadcast(every), "contig_id")
+    j = sites.join(every, "contig_id")
     at = F.when(F.col("orientation") == "Reverse", F.col("length") - 1 - F.col("position")).otherwise(F.col("position"))
     return j.select(*sites.columns, "orientation", (F.col("ref_start") + at).alias("global_position"))
 

@@ -1,7 +1,7 @@
 """Genome screen: a k-mer sketch, votes of reads, and the choice of genomes worth a full count.
 
-A k-mer is kept if the md5 of its canonical string lies below 1/scale of the range, so any engine keeps
-the same ones; one canonical k-mer is hashed once, which keeps 1/scale of them.
+A k-mer is kept if the hash of its canonical form lies below 1/scale of the range; the hash, two multiplications and a xor-shift over
+the two halves, is one that any engine can repeat, and stands for the k-mer in joins.
 """
 
 from __future__ import annotations
@@ -9,24 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagforge.functions.seq import canonical
-from tagforge.operators.digest import tiles
+from tagforge.operators import scan
 
 K = 21
 SCALE = 16
 
 
-def threshold(scale: int) -> str:
-    return f"{(1 << 32) // scale:08x}"
-
-
-def kmers(seqs: DataFrame, keep: list[str], k: int = K, scale: int = SCALE, seq: str = "seq") -> DataFrame:
-    """keep, kmer: canonical k-mers of certain bases that the sketch keeps (repeats included)."""
-    cut = tiles(seqs, keep, seq, halo=k - 1)
-    n = F.least(F.length("tile") - k, F.lit(511))
-    w = cut.where(F.length("tile") >= k).select(*keep, "tile", F.explode(F.sequence(F.lit(0), n)).alias("p")).select(*keep, F.substring(F.col("tile"), F.col("p") + 1, F.lit(k)).alias("w"))
-    w = w.where(~F.col("w").rlike("[^ACGT]")).select(*keep, canonical("w").alias("kmer"))
-    return w.where(F.substring(F.md5(F.col("kmer").cast("binary")), 1, 8) < threshold(scale))
+def kmers(seqs: DataFrame, keep: list[str], k: int = K, scale: int = SCALE) -> DataFrame:
+    """keep, kmer: hashes of canonical k-mers of certain bases that the sketch keeps (repeats included)."""
+    wanted = seqs.sparkSession.sparkContext.defaultParallelism
+    return scan.kmers(seqs.repartition(wanted) if seqs.rdd.getNumPartitions() < wanted else seqs, keep, k, scale)
 
 
 def sketch(contigs: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -38,8 +30,9 @@ def sketch_sizes(sketch_: DataFrame) -> DataFrame:
 
 
 def votes(reads: DataFrame, sketch_: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
-    """sample, genome_id, hits: reads that share a kept k-mer with the genome, each once."""
-    seen = kmers(reads, ["sample", "read_id"], k, scale).distinct().join(sketch_, "kmer").select("sample", "genome_id", "read_id").distinct()
+    """sample, genome_id, hits: reads that share a kept k-mer with the genome, each once.  A read is named by all its columns but seq."""
+    names = [c for c in reads.columns if c != "seq"]
+    seen = kmers(reads, names, k, scale).join(sketch_, "kmer").select("genome_id", *names).distinct()
     return seen.groupBy("sample", "genome_id").agg(F.count("*").alias("hits"))
 
 
@@ -47,17 +40,27 @@ def select(votes_: DataFrame, sizes: DataFrame, genomes: DataFrame, min_hits: in
     """Votes per sketch k-mer times genome length, its share of the sample, and whether the genome is kept."""
     from pyspark.sql import Window as W
 
-    mass = votes_.join(F.broadcast(sizes), "genome_id").join(F.broadcast(genomes), "genome_id").withColumn("mass", F.col("hits") / F.col("size") * F.col("genome_len"))
+    mass = votes_.join(sizes, "genome_id").join(genomes, "genome_id").withColumn("mass", F.col("hits") / F.col("size") * F.col("genome_len"))
     share = F.col("mass") / F.sum("mass").over(W.partitionBy("sample"))
     return mass.withColumn("share", share).withColumn("keep", (F.col("hits") >= min_hits) | (F.col("share") >= min_fraction))
 
 
-SKETCH_SQL = f"""sketch AS MATERIALIZED (SELECT DISTINCT genome_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (
-    SELECT genome_id, substr(seq, p::INT + 1, {K}) AS w FROM contigs, range(4000) t(p) WHERE p + {K} <= length)
-  WHERE NOT regexp_matches(w, '[^ACGT]') AND substr(md5(least(w, reverse(translate(w, 'ACGT', 'TGCA')))), 1, 8) < '{threshold(SCALE)}'),
+# -- the same in DuckDB -------------------------------------------------------
+
+
+def hashed_sql(w: str, k: int = K) -> str:
+    """The hash of a k-mer's canonical form as UBIGINT."""
+    c = f"translate(least({w}, reverse(translate({w}, 'ACGT', 'TGCA'))), 'ACGT', '0123')"
+    half = lambda a, n: f"('0x' || substr({c}, {a}, {n}))::BIGINT::UHUGEINT"
+    first = f"(({half(1, k // 2)} * {scan.MIX[0]}::UHUGEINT + {half(k // 2 + 1, k - k // 2)} * {scan.MIX[1]}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"(SELECT (xor(f, f >> 32)::UHUGEINT * {scan.MIX[2]}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT FROM (SELECT {first} AS f))"
+
+
+SKETCH_SQL = f"""sketch AS MATERIALIZED (SELECT DISTINCT genome_id, kmer FROM (SELECT genome_id, {hashed_sql("w")} AS kmer FROM (
+    SELECT genome_id, substr(seq, p::INT + 1, {K}) AS w FROM contigs, range(4000) t(p) WHERE p + {K} <= length) WHERE NOT regexp_matches(w, '[^ACGT]')) WHERE kmer < {(1 << 64) // SCALE}),
 sizes AS (SELECT genome_id, count(*) AS size FROM sketch GROUP BY genome_id)"""
-VOTES_SQL = f"""votes AS MATERIALIZED (SELECT sample, genome_id, count(DISTINCT read_id) AS hits FROM (
-    SELECT DISTINCT sample, read_id, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT sample, read_id, substr(seq, p::INT + 1, {K}) AS w FROM reads, range(100) t(p) WHERE p + {K} <= length(seq))
+VOTES_SQL = f"""votes AS MATERIALIZED (SELECT sample, genome_id, count(DISTINCT (file, read_id)) AS hits FROM (
+    SELECT DISTINCT sample, file, read_id, {hashed_sql("w")} AS kmer FROM (SELECT sample, file, read_id, substr(seq, p::INT + 1, {K}) AS w FROM reads, range(100) t(p) WHERE p + {K} <= length(seq))
     WHERE NOT regexp_matches(w, '[^ACGT]')) JOIN sketch USING (kmer) GROUP BY sample, genome_id),
 screened AS (SELECT *, share >= 0.05 OR hits >= 400 AS keep FROM (SELECT *, mass / sum(mass) OVER (PARTITION BY sample) AS share FROM (
   SELECT sample, genome_id, hits, size, hits / size::DOUBLE * 4000 AS mass FROM votes JOIN sizes USING (genome_id))))"""

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagforge.operators.anchors import usable
+
 ORDER = ("position", "enzyme_idx")
 
 
@@ -27,12 +29,12 @@ def equal_anchor_windows(anchors: DataFrame, n: int = 100) -> DataFrame:
     contig = W.partitionBy("genome_id", "contig_id")
     place = F.row_number().over(contig.orderBy(*ORDER)) - 1
     chunk = _chunk(F.lit(n), F.count("*").over(contig), place)
-    return _numbered(anchors.withColumn("chunk", chunk))
+    return _numbered(anchors.where(usable()).withColumn("chunk", chunk))
 
 
 def fixed_windows(anchors: DataFrame, bp: int = 25_000) -> DataFrame:
     """As :func:`equal_anchor_windows` with windows of ``bp`` base pairs; empty ones don't exist."""
-    return _numbered(anchors.withColumn("chunk", F.floor(F.col("position") / bp)))
+    return _numbered(anchors.where(usable()).withColumn("chunk", F.floor(F.col("position") / bp)))
 
 
 def _numbered(chunked: DataFrame) -> DataFrame:
@@ -40,14 +42,14 @@ def _numbered(chunked: DataFrame) -> DataFrame:
     ids = chunked.select("genome_id", "contig_id", "chunk").distinct()
     ids = ids.withColumn("rank", F.row_number().over(W.partitionBy("genome_id").orderBy("contig_id", "chunk")))
     base = ids.groupBy("genome_id").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("genome_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    named = ids.join(F.broadcast(base), "genome_id").select("genome_id", "contig_id", "chunk", (F.col("base") + F.col("rank") - 1).alias("window_id"))
+    named = ids.join(base, "genome_id").select("genome_id", "contig_id", "chunk", (F.col("base") + F.col("rank") - 1).alias("window_id"))
     return chunked.join(named, ["genome_id", "contig_id", "chunk"]).drop("chunk")
 
 
 def window_table(windowed: DataFrame, contigs: DataFrame) -> DataFrame:
     """window_id, genome_id, contig_id, start, end, span, n_anchors, global_mid."""
     g = windowed.groupBy("window_id", "genome_id", "contig_id").agg(F.min("position").alias("start"), F.max(F.col("position") + F.length("tag")).alias("end"), F.count("*").alias("n_anchors"))
-    out = g.join(F.broadcast(contigs.select("genome_id", "contig_id", "offset")), ["genome_id", "contig_id"])
+    out = g.join(contigs.select("genome_id", "contig_id", "offset"), ["genome_id", "contig_id"])
     mid = F.col("offset") + F.floor((F.col("start") + F.col("end")) / 2)
     return out.select("window_id", "genome_id", "contig_id", "start", "end", (F.col("end") - F.col("start")).alias("span"), "n_anchors", mid.alias("global_mid"))
 
@@ -65,6 +67,12 @@ def enzyme_windows(counts: DataFrame, cap: int = 100) -> DataFrame:
     return sized.withColumn("chunk", _chunk(F.col("window_size"), F.count("*").over(contig), place))
 
 
+def given_windows(counts: DataFrame) -> DataFrame:
+    """Usable counts that carry a window_id, grouped by it per sample, genome and enzyme: the windows of the database instead of an enzyme's own."""
+    some = counts.where(F.col("usable") & F.col("window_id").isNotNull())
+    return some.withColumn("window_size", F.count("*").over(W.partitionBy("sample", "genome_id", "enzyme", "window_id"))).withColumn("chunk", F.col("window_id").cast("bigint"))
+
+
 CHUNK_SQL = "CASE WHEN total % size > 0 AND (total % size) * 2 < size AND place // size = (total - 1) // size AND place >= size THEN place // size - 1 ELSE place // size END"
 ENZYME_WINDOWS_SQL = f"""ew AS MATERIALIZED (SELECT *, {CHUNK_SQL} AS chunk FROM (SELECT *, count(*) OVER c AS total, row_number() OVER (c ORDER BY position, count, local_gc, flags) - 1 AS place
   FROM (SELECT *, least(greatest(count(*) OVER (PARTITION BY sample, genome_id, enzyme) // 25, 25), 100) AS size FROM counts WHERE usable) WINDOW c AS (PARTITION BY sample, genome_id, enzyme, contig_id)))"""

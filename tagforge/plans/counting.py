@@ -11,6 +11,7 @@ from tagforge.operators import match as M
 from tagforge.operators import screen as K
 from tagforge.panel import selection
 from tagforge.plans.registry import query
+from tagforge.session import stored
 from tagforge.sources import fixtures as X
 
 SUBSET = selection("BcgI,CjePI,HaeIV")
@@ -23,11 +24,12 @@ SCREEN = (X.CONTIGS_SQL, X.READS_SQL, K.SKETCH_SQL, K.VOTES_SQL)
 KEY = ["genome_id", "contig_id", "position", "enzyme_idx"]
 
 
-def setting(spark, d, enzymes=None):
-    """(reads, their windows, sites) of the fixture."""
+def setting(spark, d, enzymes=None, keep=False):
+    """(reads, their windows, sites) of the fixture; ``keep`` stores the windows for plans that read them twice."""
     r = X.reads(spark, d)
     e = enzymes or selection("all")
-    return r, M.read_windows(r, e), D.sites(X.contigs(spark, d), e)
+    w = M.read_windows(r, e)
+    return r, stored(w) if keep else w, D.sites(X.contigs(spark, d), e)
 
 
 def samples(reads):
@@ -36,9 +38,19 @@ def samples(reads):
 
 def counted(spark, d):
     """sample, anchor, canon, flags, count of exact hits."""
-    r, w, s = setting(spark, d)
-    flagged = A.with_flags(s, X.contigs(spark, d))
-    return M.anchor_counts(M.exact_hits(w, s), s, samples(r)).join(flagged.select(*KEY, "canon", "flags"), KEY)
+    _, w, s = setting(spark, d)
+    c, a = X.contigs(spark, d), M.anchor_keys(s)
+    flagged = stored(A.with_flags(s, c).select(*KEY, "canon", "flags"))
+    tags = stored(M.tag_counts(w))
+    return M.count_tags(tags, a.drop("tag"), flagged, samples(X.reads(spark, d))).join(flagged, KEY)
+
+
+def tag_count(spark, d, budget, enzymes=None):
+    """Counts per anchor and sample from windows summed by tag, in one scan of the reads."""
+    r, w, s = setting(spark, d, enzymes)
+    s = stored(s)
+    n = stored(M.tag_counts(w))
+    return M.count_tags(n, M.matched_tags(n.select("tag_len", "canon").distinct(), s, budget), s, samples(r))
 
 
 COUNT_SQL = "SELECT s.sample, a.genome_id, a.contig_id, a.position, a.enzyme_idx, coalesce(n, 0) AS count FROM {anchors} a CROSS JOIN (SELECT DISTINCT sample FROM reads) s LEFT JOIN (SELECT sample, genome_id, contig_id, position, enzyme_idx, count(*) AS n FROM {hits} GROUP BY ALL) USING (sample, genome_id, contig_id, position, enzyme_idx)"
@@ -46,20 +58,18 @@ COUNT_SQL = "SELECT s.sample, a.genome_id, a.contig_id, a.position, a.enzyme_idx
 
 @query(COUNT_SQL.format(anchors="sites", hits="exact"), EXACT)
 def count_exact(spark, d):
-    r, w, s = setting(spark, d)
-    return M.anchor_counts(M.exact_hits(w, s), s, samples(r))
+    return tag_count(spark, d, 0)
 
 
 @query(COUNT_SQL.format(anchors="sites", hits="hits"), FUZZY)
 def count_fuzzy(spark, d):
-    r, w, s = setting(spark, d)
-    return M.anchor_counts(M.matches(w, s), s, samples(r))
+    return tag_count(spark, d, 2)
 
 
-@query("SELECT sample, dist, count(*) AS n_hits, count(DISTINCT (read_id, start, tag_len)) AS n_windows FROM hits GROUP BY ALL", FUZZY)
+@query("SELECT sample, dist, count(*) AS n_hits, count(DISTINCT (file, read_id, start, tag_len)) AS n_windows FROM hits GROUP BY ALL", FUZZY)
 def best_hit_ties(spark, d):
-    _, w, s = setting(spark, d)
-    return M.matches(w, s).groupBy("sample", "dist").agg(F.count("*").alias("n_hits"), F.countDistinct("read_id", "start", "tag_len").alias("n_windows"))
+    _, w, s = setting(spark, d, keep=True)
+    return M.matches(w, s).groupBy("sample", "dist").agg(F.count("*").alias("n_hits"), F.countDistinct("file", "read_id", "start", "tag_len").alias("n_windows"))
 
 
 STATS_SQL = """SELECT r.sample, reads_total, motif_hits, tag_ambiguous, tag_unmatched, tag_matched, tag_multi_locus, tag_multi_enzyme, mismatch_0, mismatch_1, mismatch_2, mismatch_3, reads_with_anchor,
@@ -67,22 +77,22 @@ STATS_SQL = """SELECT r.sample, reads_total, motif_hits, tag_ambiguous, tag_unma
 FROM (SELECT sample, count(*) AS reads_total FROM reads GROUP BY sample) r LEFT JOIN (SELECT sample, count(*) AS motif_hits, count(*) FILTER (ambiguous) AS tag_ambiguous,
   count(*) FILTER (NOT ambiguous AND n_anchors IS NULL) AS tag_unmatched, count(*) FILTER (n_anchors IS NOT NULL) AS tag_matched, count(*) FILTER (n_loci > 1) AS tag_multi_locus,
   count(*) FILTER (n_loci = 1 AND n_anchors > 1) AS tag_multi_enzyme, count(*) FILTER (dist = 0) AS mismatch_0, count(*) FILTER (dist = 1) AS mismatch_1, count(*) FILTER (dist = 2) AS mismatch_2,
-  count(*) FILTER (dist >= 3) AS mismatch_3, count(DISTINCT read_id) FILTER (n_anchors IS NOT NULL) AS reads_with_anchor FROM summary GROUP BY sample) s USING (sample)"""
+  count(*) FILTER (dist >= 3) AS mismatch_3, count(DISTINCT (file, read_id)) FILTER (n_anchors IS NOT NULL) AS reads_with_anchor FROM summary GROUP BY sample) s USING (sample)"""
 
 
 @query(STATS_SQL, FUZZY)
 def count_stats(spark, d):
-    r, w, s = setting(spark, d)
+    r, w, s = setting(spark, d, keep=True)
     return M.sample_stats(r, M.window_summary(w, M.matches(w, s)))
 
 
 @query("SELECT coalesce(dist, -1) AS dist, tag_len, count(*) AS n FROM summary GROUP BY ALL", FUZZY)
 def mismatch_hist(spark, d):
-    _, w, s = setting(spark, d)
+    _, w, s = setting(spark, d, keep=True)
     return M.window_summary(w, M.matches(w, s)).groupBy(F.coalesce("dist", F.lit(-1)).alias("dist"), "tag_len").agg(F.count("*").alias("n"))
 
 
-@query("SELECT sample, read_id, start, tag_len, genome_id, contig_id, position, enzyme_idx, dist FROM exact QUALIFY dense_rank() OVER (PARTITION BY sample, read_id ORDER BY list_position([32, 27, 28, 25, 33], tag_len), start) = 1", EXACT)
+@query("SELECT sample, file, read_id, start, tag_len, genome_id, contig_id, position, enzyme_idx, dist FROM exact QUALIFY dense_rank() OVER (PARTITION BY sample, file, read_id ORDER BY list_position([32, 27, 28, 25, 33], tag_len), start) = 1", EXACT)
 def two_brad_first_hit(spark, d):
     _, w, s = setting(spark, d)
     return M.single_tag_reads(M.exact_hits(w, s))
@@ -90,13 +100,12 @@ def two_brad_first_hit(spark, d):
 
 @query(COUNT_SQL.format(anchors="(SELECT * FROM sites WHERE enzyme_idx IN (" + ", ".join(str(e.idx) for e in SUBSET) + "))", hits="exact"), SUB)
 def enzyme_restricted_counts(spark, d):
-    r, w, s = setting(spark, d, SUBSET)
-    return M.anchor_counts(M.exact_hits(w, s), s, samples(r))
+    return tag_count(spark, d, 0, SUBSET)
 
 
-@query("SELECT e.* FROM exact e SEMI JOIN (SELECT sample, read_id, start, tag_len FROM exact GROUP BY ALL HAVING count(DISTINCT (genome_id, contig_id, position)) = 1) USING (sample, read_id, start, tag_len)", EXACT)
+@query("SELECT e.* FROM exact e SEMI JOIN (SELECT sample, file, read_id, start, tag_len FROM exact GROUP BY ALL HAVING count(DISTINCT (genome_id, contig_id, position)) = 1) USING (sample, file, read_id, start, tag_len)", EXACT)
 def multimapper_drop(spark, d):
-    _, w, s = setting(spark, d)
+    _, w, s = setting(spark, d, keep=True)
     return M.without_multimappers(M.exact_hits(w, s))
 
 
@@ -120,10 +129,8 @@ def em_abundance(spark, d):
     (*SUB, A.FLAGGED_SQL, E.COUNTED_SQL.replace("FROM anchors a", f"FROM (SELECT * FROM anchors WHERE enzyme_idx IN ({', '.join(str(e.idx) for e in SUBSET)})) a")),
 )
 def em_enzyme_restricted(spark, d):
-    r, w, s = setting(spark, d, SUBSET)
     flagged = A.with_flags(setting(spark, d)[2], X.contigs(spark, d)).select(*KEY, "canon", "flags")
-    c = M.anchor_counts(M.exact_hits(w, s), s, samples(r)).join(flagged, KEY)
-    return E.split_shared(c).select("sample", *KEY, "count", F.round("weight", 6).alias("weight"))
+    return E.split_shared(tag_count(spark, d, 0, SUBSET).join(flagged, KEY)).select("sample", *KEY, "count", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT genome_id, size FROM sizes", (X.CONTIGS_SQL, K.SKETCH_SQL))
@@ -138,9 +145,9 @@ def screen_votes(spark, d):
 
 def screened(spark, d):
     c = X.contigs(spark, d)
-    sk = K.sketch(c)
+    sk = stored(K.sketch(c))
     size = c.groupBy("genome_id").agg(F.sum("length").alias("genome_len"))
-    return K.select(K.votes(X.reads(spark, d), sk), K.sketch_sizes(sk), size, min_hits=400, min_fraction=0.05)
+    return stored(K.select(K.votes(X.reads(spark, d), sk), K.sketch_sizes(sk), size, min_hits=400, min_fraction=0.05))
 
 
 @query("SELECT sample, genome_id, hits, round(share, 6) AS share, keep FROM screened", SCREEN)
@@ -150,6 +157,8 @@ def screen_select(spark, d):
 
 @query("SELECT e.sample, e.genome_id, count(*) AS n FROM exact e SEMI JOIN (SELECT * FROM screened WHERE keep) USING (sample, genome_id) GROUP BY ALL", (*EXACT, K.SKETCH_SQL, K.VOTES_SQL))
 def screened_counts(spark, d):
-    _, w, s = setting(spark, d)
+    r, w, s = setting(spark, d)
     kept = screened(spark, d).where("keep").select("sample", "genome_id")
-    return M.exact_hits(w, s).join(kept, ["sample", "genome_id"], "left_semi").groupBy("sample", "genome_id").agg(F.count("*").alias("n"))
+    few = s.join(kept.select("genome_id").distinct(), "genome_id", "left_semi")
+    hits = M.tag_counts(w).join(M.anchor_keys(few).drop("tag"), ["tag_len", "canon"])
+    return hits.join(kept, ["sample", "genome_id"], "left_semi").groupBy("sample", "genome_id").agg(F.sum("n").alias("n"))

@@ -44,7 +44,7 @@ def union_windows(spark, d):
 
 @query("SELECT genome_id, contig_id, unnest(loci) AS position FROM loci", (*GS, D.LOCI_SQL))
 def merge_union_loci(spark, d):
-    return D.merged_loci(sites(spark, d)).select("genome_id", "contig_id", F.explode("loci").alias("position"))
+    return D.merged_loci(sites(spark, d))
 
 
 @query(
@@ -86,8 +86,7 @@ FROM (SELECT s.*, substr(c.seq, greatest(position - 250, 0)::INT + 1, (position
     GS,
 )
 def local_gc(spark, d):
-    c = X.contigs(spark, d)
-    return A.local_gc(D.sites(c), c).select("genome_id", "contig_id", "position", "enzyme_idx", "local_gc")
+    return D.sites(X.contigs(spark, d), flank=250).select("genome_id", "contig_id", "position", "enzyme_idx", "local_gc")
 
 
 @query("SELECT genome_id, contig_id, position, enzyme_idx, loci, genomes, flags FROM anchors", GA)
@@ -130,19 +129,49 @@ def classify_contig(spark, d):
     return p.unionByName(c).withColumn("kind", S.classify_contig("name"))
 
 
+def faulty(spark, d):
+    """(anchors, contigs) with at least one row against every rule."""
+    c = X.contigs(spark, d)
+    a = A.global_position(A.with_flags(D.sites(c), c), c).withColumn("row", F.col("contig_id") * 1_000_000 + F.col("position") * 20 + F.col("enzyme_idx"))
+    n, i = F.col("position") % 97, lambda k, then, other: F.when(F.col("position") % 97 == k, then).otherwise(other)
+    a = a.withColumn("contig_id", i(1, F.lit(9), F.col("contig_id"))).withColumn("enzyme_idx", i(2, F.lit(99), i(3, (F.col("enzyme_idx") + 1) % 16, F.col("enzyme_idx"))))
+    a = a.withColumn("canon", i(4, F.lower("canon"), F.col("canon"))).withColumn("row", i(5, F.lit(-1), F.col("row"))).withColumn("global_position", i(6, F.col("global_position") + 1, F.col("global_position")))
+    a = a.withColumn("position", F.when(n == 7, F.col("position") + 5000).otherwise(F.col("position")))
+    a = a.unionByName(a.where("position % 97 = 8"))
+    c = c.withColumn("offset", F.when((F.col("genome_id") == 3) & (F.col("contig_id") == 1), 1).otherwise(F.col("offset"))).withColumn("genome", F.when(F.col("genome_id") == 5, "FRANCE").otherwise(F.col("genome")))
+    c = c.withColumn("genome_len", F.when(F.col("genome_id") == 4, 1).otherwise(4000).cast("bigint"))
+    return a, c.unionByName(c.where("genome_id = 7 AND contig_id = 0"))
+
+
+FAULTY_SQL = """fa0 AS (SELECT a.genome_id, CASE WHEN position % 97 = 1 THEN 9 ELSE a.contig_id END AS contig_id, CASE WHEN position % 97 = 7 THEN position + 5000 ELSE position END AS position,
+    CASE position % 97 WHEN 2 THEN 99 WHEN 3 THEN (enzyme_idx + 1) % 16 ELSE enzyme_idx END AS enzyme_idx, tag, CASE WHEN position % 97 = 4 THEN lower(canon) ELSE canon END AS canon,
+    CASE WHEN position % 97 = 5 THEN -1 ELSE a.contig_id * 1000000 + position * 20 + enzyme_idx END AS row, "offset" + position + CASE WHEN position % 97 = 6 THEN 1 ELSE 0 END AS global_position
+  FROM anchors a JOIN contigs c ON c.genome_id = a.genome_id AND c.contig_id = a.contig_id),
+fa AS MATERIALIZED (SELECT * FROM fa0 UNION ALL SELECT * FROM fa0 WHERE position % 97 = 8),
+fc0 AS (SELECT genome_id, contig_id, length, CASE WHEN genome_id = 3 AND contig_id = 1 THEN 1 ELSE "offset" END AS "offset", CASE WHEN genome_id = 5 THEN 'FRANCE' ELSE genome END AS genome, CASE WHEN genome_id = 4 THEN 1 ELSE 4000 END AS genome_len FROM contigs),
+fc AS MATERIALIZED (SELECT * FROM fc0 UNION ALL SELECT * FROM fc0 WHERE genome_id = 7 AND contig_id = 0),
+fb AS (SELECT genome_id, contig_id, max(length) AS length, min("offset") AS "offset" FROM fc GROUP BY ALL)"""
+LENGTH_SQL = "[" + ", ".join(str(e.length) for e in ENZYMES) + "]"
+
+
 @query(
-    """SELECT unnest(['unknown_contig', 'out_of_bounds', 'wrong_key', 'duplicate_row', 'wrong_offset', 'duplicate_contig']) AS "check", unnest([
-  (SELECT count(*) FROM anchors a ANTI JOIN contigs c USING (genome_id, contig_id)),
-  (SELECT count(*) FROM anchors a JOIN contigs c USING (genome_id, contig_id) WHERE position + length(tag) > c.length),
-  (SELECT count(*) FROM anchors WHERE canon <> least(tag, reverse(translate(tag, 'ACGT', 'TGCA')))),
-  (SELECT count(*) FROM (SELECT 1 FROM anchors GROUP BY genome_id, contig_id, position, enzyme_idx HAVING count(*) > 1)),
-  (SELECT count(*) FROM contigs WHERE "offset" <> CASE contig_id WHEN 0 THEN 0 ELSE 3200 END),
-  (SELECT count(*) FROM (SELECT 1 FROM contigs GROUP BY genome_id, contig_id HAVING count(*) > 1))]) AS n_bad""",
-    GA,
+    f"""SELECT unnest(['unknown_contig', 'out_of_bounds', 'wrong_key', 'wrong_length', 'unknown_enzyme', 'duplicate_row', 'unsorted_row', 'wrong_offset', 'duplicate_contig', 'repeated_genome_name', 'wrong_genome_length', 'wrong_global_position']) AS "check", unnest([
+  (SELECT count(*) FROM fa ANTI JOIN fb USING (genome_id, contig_id)),
+  (SELECT count(*) FROM fa JOIN fb USING (genome_id, contig_id) WHERE position + length(tag) > length),
+  (SELECT count(*) FROM fa WHERE canon <> least(tag, reverse(translate(tag, 'ACGT', 'TGCA')))),
+  (SELECT count(*) FROM fa WHERE enzyme_idx < 16 AND length(tag) <> {LENGTH_SQL}[enzyme_idx + 1]),
+  (SELECT count(*) FROM fa WHERE enzyme_idx NOT BETWEEN 0 AND 15),
+  (SELECT count(*) FROM (SELECT 1 FROM fa GROUP BY genome_id, contig_id, position, enzyme_idx HAVING count(*) > 1)),
+  (SELECT count(*) FROM (SELECT (contig_id, position, enzyme_idx) AS k, lag((contig_id, position, enzyme_idx)) OVER (PARTITION BY genome_id ORDER BY row, contig_id, position, enzyme_idx) AS b FROM fa) WHERE b >= k),
+  (SELECT count(*) FROM (SELECT "offset" AS o, coalesce(sum(length) OVER (PARTITION BY genome_id ORDER BY contig_id, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS want FROM fc) WHERE o <> want),
+  (SELECT count(*) FROM (SELECT 1 FROM fc GROUP BY genome_id, contig_id HAVING count(*) > 1)),
+  (SELECT count(*) FROM (SELECT genome FROM fc GROUP BY genome HAVING count(DISTINCT genome_id) > 1)),
+  (SELECT count(*) FROM (SELECT genome_id FROM fc GROUP BY genome_id HAVING sum(length) <> max(genome_len))),
+  (SELECT count(*) FROM fa JOIN fb USING (genome_id, contig_id) WHERE global_position <> "offset" + position)]) AS n_bad""",
+    (*GA, FAULTY_SQL),
 )
 def db_validate(spark, d):
-    c = X.contigs(spark, d)
-    return A.validate(A.with_flags(D.sites(c), c), c)
+    return A.validate(*faulty(spark, d))
 
 
 @query("SELECT genome_id, contig_id, position, tag, reverse(translate(tag, 'ACGT', 'TGCA')) AS rc, least(tag, reverse(translate(tag, 'ACGT', 'TGCA'))) AS canon, tag = reverse(translate(tag, 'ACGT', 'TGCA')) AS palindrome, enzyme_idx FROM sites", GS)
@@ -187,6 +216,12 @@ def iupac_masks(spark, d):
     return spark.createDataFrame([(k,) for k in [*IUPAC, "X"]], "code string").select("code", S.iupac_mask("code").alias("mask"))
 
 
+@query("SELECT code, base, mask & bit > 0 AS matches FROM (VALUES " + ", ".join(f"('{k}', {sum({'A': 1, 'C': 2, 'G': 4, 'T': 8}[b] for b in v)})" for k, v in IUPAC.items()) + ", ('X', 0)) t(code, mask), (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('N', 0)) b(base, bit)")
+def iupac_match(spark, d):
+    codes = spark.createDataFrame([(k, b) for k in [*IUPAC, "X"] for b in "ACGTN"], "code string, base string")
+    return codes.select("code", "base", S.iupac_matches("code", "base").alias("matches"))
+
+
 @query("SELECT inner_name, outer_name, total, i.idx AS inner_idx, o.idx AS outer_idx FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for a, b, t in CONTAINED) + ") c(inner_name, outer_name, total) JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") i(name, idx) ON i.name = inner_name JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") o(name, idx) ON o.name = outer_name")
 def enzyme_containment(spark, d):
     rows = [(a, b, t, BY_NAME[a.lower()].idx, BY_NAME[b.lower()].idx) for a, b, t in CONTAINED]

@@ -38,16 +38,16 @@ WINDOW_IDS_SQL = 'SELECT *, dense_rank() OVER (ORDER BY genome_id, contig_id, ch
 WINDOW_TABLE_SQL = 'SELECT window_id, w.genome_id, w.contig_id, start, "end", "end" - start AS span, n_anchors, "offset" + (start + "end") // 2 AS global_mid FROM (SELECT window_id, genome_id, contig_id, min(position) AS start, max(position + length(tag)) AS "end", count(*) AS n_anchors FROM wid GROUP BY ALL) w JOIN contigs c USING (genome_id, contig_id)'
 
 
-@query(WINDOW_TABLE_SQL, (*SITES, "wid AS (" + WINDOW_IDS_SQL.format(f"SELECT *, {N.CHUNK_SQL} AS chunk FROM (SELECT *, 10 AS size, count(*) OVER (PARTITION BY genome_id, contig_id) AS total, row_number() OVER (PARTITION BY genome_id, contig_id ORDER BY position, enzyme_idx) - 1 AS place FROM sites)") + ")"))
+@query(WINDOW_TABLE_SQL, (*SITES, A.FLAGGED_SQL, "wid AS (" + WINDOW_IDS_SQL.format(f"SELECT *, {N.CHUNK_SQL} AS chunk FROM (SELECT *, 10 AS size, count(*) OVER (PARTITION BY genome_id, contig_id) AS total, row_number() OVER (PARTITION BY genome_id, contig_id ORDER BY position, enzyme_idx) - 1 AS place FROM anchors WHERE (flags & 28) = 0)") + ")"))
 def windows_equal(spark, d):
     s, c = fixture_sites(spark, d)
-    return N.window_table(N.equal_anchor_windows(s, 10), c)
+    return N.window_table(N.equal_anchor_windows(A.with_flags(s, c), 10), c)
 
 
-@query(WINDOW_TABLE_SQL, (*SITES, "wid AS (" + WINDOW_IDS_SQL.format("SELECT *, position // 500 AS chunk FROM sites") + ")"))
+@query(WINDOW_TABLE_SQL, (*SITES, A.FLAGGED_SQL, "wid AS (" + WINDOW_IDS_SQL.format("SELECT *, position // 500 AS chunk FROM anchors WHERE (flags & 28) = 0") + ")"))
 def windows_bp(spark, d):
     s, c = fixture_sites(spark, d)
-    return N.window_table(N.fixed_windows(s, 500), c)
+    return N.window_table(N.fixed_windows(A.with_flags(s, c), 500), c)
 
 
 @query('SELECT sample, genome_id, enzyme, contig_id, chunk, max(size) AS window_size, count(*) AS n_anchors, min(position) AS start, max(position) AS "end" FROM ew GROUP BY ALL', EW)
@@ -95,7 +95,7 @@ def enzyme_efficiency(spark, d):
     return e.select(*GROUP, "median", F.round("mean", 9).alias("mean"), "n", F.round("relative", 6).alias("relative"))
 
 
-@query("SELECT sample, genome_id, enzyme, contig_id, chunk, round(log2_rate - (mean_gc - 0.5) * 0.8, 6) AS log2_rate, round(log2_rate, 6) AS log2_rate_raw, mean_gc IS NOT NULL AS gc_corrected FROM rates", RATES)
+@query("SELECT sample, genome_id, enzyme, contig_id, chunk, round(log2_rate - coalesce((mean_gc - 0.5) * 0.8, 0), 6) AS log2_rate, round(log2_rate, 6) AS log2_rate_raw, true AS gc_corrected FROM rates", RATES)
 def gc_apply(spark, d):
     from tagforge.operators.gcbias import apply_offset
 
@@ -127,12 +127,12 @@ def wls_vfit(spark, d):
     return f.select(*GROUP, "n", *[F.round(c, 5).alias(c) for c in ("log2_ptr", "se", "r2")])
 
 
-GRID_SQL = "grid AS MATERIALIZED (" + fit_sql(dist_sql("mid - ori"), "log2_rate", "1.0::DOUBLE", "sample, genome_id, ori", f"(SELECT *, i * ({GENOME} / 36.0::DOUBLE) AS ori FROM rates, range(36) t(i) WHERE log2_rate IS NOT NULL)") + ")"
+GRID_SQL = "grid AS MATERIALIZED (" + fit_sql(dist_sql("mid - ori"), "log2_rate", "1.0::DOUBLE", "sample, genome_id, ori", f"(SELECT *, i * ({GENOME} / 180.0::DOUBLE) AS ori FROM rates, range(180) t(i) WHERE log2_rate IS NOT NULL)") + ")"
 BY = ["sample", "genome_id"]
 
 
 def grid(spark, d):
-    return T.origin_grid(rates(spark, d), BY, "mid", "log2_rate", GENOME, 36)
+    return T.origin_grid(rates(spark, d), BY, "mid", "log2_rate", GENOME)
 
 
 @query(f"SELECT sample, genome_id, round(ori, 3) AS ori, round(-slope * {GENOME} / 2, 5) AS log2_ptr FROM grid WHERE slope < 0 AND n >= 3 QUALIFY row_number() OVER (PARTITION BY sample, genome_id ORDER BY round(sse, 9), ori) = 1", (*RATES, GRID_SQL))
@@ -221,7 +221,7 @@ def qc_flags(spark, d):
 def output_assemble(spark, d):
     n = X.table(spark, d, "nation").select(F.col("n_nationkey").alias("genome_id"), F.col("n_name").alias("genome"), "n_regionkey")
     t = X.table(spark, d, "region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("taxonomy"))
-    return output(spark, d).join(F.broadcast(n), "genome_id", "left").join(F.broadcast(t), "n_regionkey", "left").select("sample", "genome", "taxonomy", *r6("log2_ptr", "se"), "n_anchors", "qc_reason")
+    return output(spark, d).join(n, "genome_id", "left").join(t, "n_regionkey", "left").select("sample", "genome", "taxonomy", *r6("log2_ptr", "se"), "n_anchors", "qc_reason")
 
 
 TYPES = ["click", "purchase", "scroll", "signup", "view"]
@@ -236,7 +236,7 @@ def ptr_matrix(spark, d):
     return Y.ptr_matrix(ptr(spark, d), TYPES).select("genome_id", *r6(*TYPES))
 
 
-DELTA_SQL = """SELECT f.sample, f.genome_id, round(log2_ptr - base, 6) AS delta, round(sqrt(se * se + base_se * base_se), 6) AS delta_se, round((log2_ptr - base) / sqrt(se * se + base_se * base_se), 5) AS z, round(2 ** (log2_ptr - base), 6) AS fold
+DELTA_SQL = """SELECT f.sample, f.genome_id, round(log2_ptr - base, 6) AS delta, round(sqrt(coalesce(se, 0) ** 2 + base_se * base_se), 6) AS delta_se, round((log2_ptr - base) / nullif(sqrt(coalesce(se, 0) ** 2 + base_se * base_se), 0), 5) AS z, round(2 ** (log2_ptr - base), 6) AS fold
 FROM fused f JOIN (SELECT genome_id, avg(log2_ptr) AS base, coalesce(sqrt(sum(se * se)) / count(se), 0) AS base_se FROM fused {where} GROUP BY genome_id) USING (genome_id) {other}"""
 
 

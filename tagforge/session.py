@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +30,14 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent).as_posix())
     context.addPyFile(str(archive))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table below spark.checkpoint.dir, for results that a plan reads several times; a folder of its own only on a local master without that setting."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(base or spark.conf.get('spark.sql.warehouse.dir') + '/_shared').rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -113,4 +113,4 @@ def with_genome_ids(contigs: DataFrame) -> DataFrame:
     ids = contigs.select("genome").distinct().withColumn("genome_id", F.row_number().over(W.orderBy("genome")) - 1)
     before = F.coalesce(F.sum("length").over(W.partitionBy("genome").orderBy("contig_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     checked = F.when(F.col("contig_id") <= 65535, F.col("contig_id")).otherwise(F.raise_error(F.lit("more than 65,535 contigs in a genome")))
-    return contigs.withColumn("offset", before).withColumn("contig_id", checked.cast("int")).join(F.broadcast(ids), "genome")
+    return contigs.withColumn("offset", before).withColumn("contig_id", checked.cast("int")).join(ids, "genome")

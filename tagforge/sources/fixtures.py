@@ -43,18 +43,20 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample, read_id, seq: one read of 100 bases per order, from the chromosome of a genome.
+    """sample, file, read_id, seq: one read of 100 bases per order, from the chromosome of a genome; two files whose read numbers collide.
 
     Sequences join the orders by a broadcast of one row per nation (25 rows by the schema).
     """
     chrom = contigs(spark, sf_dir).where("contig_id = 0").select("genome_id", F.col("seq").alias("chromosome"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.col("o_orderstatus").alias("sample"), (F.col("o_custkey") % 25).cast("int").alias("genome_id"), "o_custkey")
-    start = (F.col("read_id") * 7919 + F.col("o_custkey") * 104729) % (CHROMOSOME_CHUNKS * CHUNK - READ_LEN)
-    cut = o.join(F.broadcast(chrom), "genome_id").select("sample", "read_id", "o_custkey", F.substring(F.col("chromosome"), (start + 1).cast("int"), F.lit(READ_LEN)).alias("s"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("sample"), (F.col("o_custkey") % 25).cast("int").alias("genome_id"), "o_custkey")
+    start = (F.col("key") * 7919 + F.col("o_custkey") * 104729) % (CHROMOSOME_CHUNKS * CHUNK - READ_LEN)
+    cut = o.join(F.broadcast(chrom), "genome_id").select("sample", "key", "o_custkey", F.substring(F.col("chromosome"), (start + 1).cast("int"), F.lit(READ_LEN)).alias("s"))
     p = (F.col("o_custkey") * 31 % READ_LEN).cast("int")
     changed = F.concat(F.substring(F.col("s"), F.lit(1), p), F.translate(F.substring(F.col("s"), p + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(F.col("s"), p + 2, F.lit(READ_LEN)))
-    s = F.when(F.col("read_id") % 3 == 0, changed).otherwise(F.col("s"))
-    return cut.select("sample", "read_id", s.alias("s")).select("sample", "read_id", F.when(F.col("read_id") % 2 == 0, revcomp("s")).otherwise(F.col("s")).alias("seq"))
+    s = F.when(F.col("key") % 3 == 0, changed).otherwise(F.col("s"))
+    turned = F.when(F.col("key") % 2 == 0, revcomp("s")).otherwise(F.col("s"))
+    file, number = F.format_string("part%d", (F.col("key") / 4).cast("bigint") % 2), F.floor(F.col("key") / 8) * 4 + F.col("key") % 4
+    return cut.select("sample", "key", s.alias("s")).select("sample", file.alias("file"), number.alias("read_id"), turned.alias("seq"))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +77,10 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-enzyme estimates: sample, genome_id, enzyme, est, se, n, r2."""
+    """Per-enzyme estimates: sample, genome_id, enzyme, est, se, n, n_anchors, r2."""
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), (F.col("user_id") % 10).cast("int").alias("genome_id"), (F.col("user_id") % 16).cast("int").alias("enzyme"), (F.col("value") / 100).alias("v"), "event_id")
     g = ev.groupBy("sample", "genome_id", "enzyme").agg(F.avg("v").alias("est"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"), F.min("event_id").alias("lo"))
-    return g.select("sample", "genome_id", "enzyme", F.round("est", 6).alias("est"), F.round("se", 6).alias("se"), "n", ((F.col("lo") % 100 - 10) / 90.0).alias("r2"))
+    return g.select("sample", "genome_id", "enzyme", F.round("est", 6).alias("est"), F.round("se", 6).alias("se"), "n", (F.col("n") * 8).alias("n_anchors"), ((F.col("lo") % 100 - 10) / 90.0).alias("r2"))
 
 
 # -- the same fixtures in DuckDB ----------------------------------------------
@@ -93,9 +95,9 @@ CONTIGS_SQL = f"""contigs AS MATERIALIZED (
       string_agg(CASE WHEN i = 20 AND n_nationkey % 5 = 0 THEN repeat('N', {CHUNK}) ELSE {_CHUNK_SQL} END, '' ORDER BY i) AS seq
     FROM nation, range({CHUNKS}) t(i) GROUP BY ALL))"""
 READS_SQL = f"""reads AS MATERIALIZED (
-  SELECT sample, read_id, CASE WHEN read_id % 2 = 0 THEN reverse(translate(s2, 'ACGTN', 'TGCAN')) ELSE s2 END AS seq
-  FROM (SELECT *, CASE WHEN read_id % 3 = 0 THEN substr(s, 1, p) || translate(substr(s, p + 1, 1), 'ACGT', 'CGTA') || substr(s, p + 2) ELSE s END AS s2
-    FROM (SELECT o_orderkey AS read_id, o_orderstatus AS sample, (o_custkey * 31 % {READ_LEN})::INT AS p,
+  SELECT sample, 'part' || (key // 4 % 2) AS file, key // 8 * 4 + key % 4 AS read_id, CASE WHEN key % 2 = 0 THEN reverse(translate(s2, 'ACGTN', 'TGCAN')) ELSE s2 END AS seq
+  FROM (SELECT *, CASE WHEN key % 3 = 0 THEN substr(s, 1, p) || translate(substr(s, p + 1, 1), 'ACGT', 'CGTA') || substr(s, p + 2) ELSE s END AS s2
+    FROM (SELECT o_orderkey AS key, o_orderstatus AS sample, (o_custkey * 31 % {READ_LEN})::INT AS p,
         substr(c.seq, ((o_orderkey * 7919 + o_custkey * 104729) % {CHROMOSOME_CHUNKS * CHUNK - READ_LEN} + 1)::INT, {READ_LEN}) AS s
       FROM orders JOIN contigs c ON c.contig_id = 0 AND c.genome_id = o_custkey % 25)))"""
 COUNTS_SQL = """counts AS (
@@ -104,5 +106,5 @@ COUNTS_SQL = """counts AS (
       l_linenumber::INT AS enzyme, CASE WHEN l_partkey % 11 = 0 THEN 8 WHEN l_partkey % 13 = 0 THEN 4 ELSE 3 END AS flags,
       CASE WHEN l_partkey % 50 = 0 THEN 255 ELSE 60 + l_suppkey % 80 END::INT AS local_gc, (l_quantity::INT % 9) AS count FROM lineitem))"""
 ESTIMATES_SQL = """estimates AS (
-  SELECT sample, genome_id, enzyme, round(avg(v), 6) AS est, round(stddev_samp(v) / sqrt(count(*)), 6) AS se, count(*) AS n, (min(event_id) % 100 - 10) / 90.0::DOUBLE AS r2
+  SELECT sample, genome_id, enzyme, round(avg(v), 6) AS est, round(stddev_samp(v) / sqrt(count(*)), 6) AS se, count(*) AS n, count(*) * 8 AS n_anchors, (min(event_id) % 100 - 10) / 90.0::DOUBLE AS r2
   FROM (SELECT event_type AS sample, (user_id % 10)::INT AS genome_id, (user_id % 16)::INT AS enzyme, value / 100 AS v, event_id FROM events) GROUP BY ALL)"""

@@ -91,6 +91,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("genomes").alias("g"), names.alias("enzymes"), "format_version").select("g.*", "enzymes", "format_version")
 
 
+def write_manifest(genomes: DataFrame, params: dict, path: str) -> None:
+    """JSON lines, one per genome, with the database's format version, parameters and enzyme names."""
+    names = F.array(*[F.lit(e.name) for e in ENZYMES if params["enzymes"] >> e.idx & 1])
+    given = [F.lit(v).alias(k) for k, v in params.items() if k != "enzymes"]
+    genomes.select(F.lit(1).alias("format_version"), names.alias("enzymes"), *given, "*", (F.col("n_contigs") == 1).alias("contiguous")).orderBy("genome_id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of samples that :func:`write_stats` wrote."""
+    return spark.read.json(path)
+
+
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,41 @@ MAGIC, VERSION, RECORD = b"TGT2", 2, 48
 FIELDS = "<QQIHBBBBBB12s8x"
 
 
+def _or(df: DataFrame, name: str, other: int):
+    return F.col(name) if name in df.columns else F.lit(other)
+
+
 def to_text(sites: DataFrame, contigs: DataFrame, genome: str) -> DataFrame:
-    """value: header lines, then one line per tag, grouped by enzyme in panel order."""
+    """value: header lines, then one line per tag, grouped by enzyme in panel order: tag, contig, position, strand (+ for an enzyme's first pattern), gap, flags, GC.
+
+    Sites without flags or local_gc give 0 and 255.
+    """
     names = F.element_at(F.create_map(*[F.lit(x) for e in ENZYMES for x in (e.idx, e.name)]), F.col("enzyme_idx"))
-    rows = gaps(sites).select(F.lit(2).alias("part"), "enzyme_idx", "contig_id", "position", F.concat_ws("\t", F.concat_ws(":", names, "tag"), "contig_id", "position", F.lit("+"), "gap", F.lit(0), F.lit(255)).alias("value"))
-    head = contigs.select(F.lit(1).alias("part"), F.lit(-1).alias("enzyme_idx"), "contig_id", F.lit(0).cast("bigint").alias("position"), F.concat_ws("\t", F.lit("#contig"), "contig_id", "name", "length", "offset", "kind").alias("value"))
-    title = contigs.sparkSession.createDataFrame([(0, -1, -1, 0, f"#TGT2\t{genome}")], "part int, enzyme_idx int, contig_id int, position bigint, value string")
+    strand = F.when(F.col("pattern") == 0, "+").otherwise("-")
+    line = F.concat_ws("\t", F.concat_ws(":", names, "tag"), "contig_id", "position", strand, "gap", _or(sites, "flags", 0), _or(sites, "local_gc", 255))
+    rows = gaps(sites).select(F.lit(3).alias("part"), "enzyme_idx", "contig_id", "position", line.alias("value"))
+    head = contigs.select(F.lit(1).alias("part"), F.lit(-1).alias("enzyme_idx"), "contig_id", F.lit(0).cast("bigint").alias("position"), F.concat_ws("\t", F.lit("#contig"), "contig_id", "name", "length", "offset", F.initcap("kind")).alias("value"))
+    lines = [(0, -1, -1, 0, f"#TGT2\t{genome}"), (2, -1, -1, 0, "#columns\ttag\tcontig_id\tposition\tpattern\tgap\tflags\tlocal_gc")]
+    title = contigs.sparkSession.createDataFrame(lines, "part int, enzyme_idx int, contig_id int, position bigint, value string")
     return title.unionByName(head).unionByName(rows).orderBy("part", "enzyme_idx", "contig_id", "position").select("value")
 
 
+def write_all(anchors: DataFrame, contigs: DataFrame, path: str) -> None:
+    """The binary tag table of every genome as a row (genome_id, genome, tgt) of a Parquet table; a group is one genome's tags."""
+    rows = gaps(anchors).select("genome_id", "enzyme_idx", "pattern", "tag", "contig_id", "position", "gap", "flags", "local_gc")
+    heads = contigs.select("genome_id", "genome", "contig_id", "name", "length", "offset", "kind")
+    made = rows.groupBy("genome_id").cogroup(heads.groupBy("genome_id")).applyInPandas(_genome_file, "genome_id int, genome string, tgt binary")
+    made.write.mode("overwrite").parquet(path)
+
+
+def _genome_file(key: tuple, rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+    heads = heads.sort_values("contig_id")
+    name = str(heads["genome"].iloc[0]) if len(heads) else ""
+    meta = {"genome": name, "contigs": heads[["contig_id", "name", "length", "offset", "kind"]].to_dict("records")}
+    ordered = rows.sort_values(["enzyme_idx", "contig_id", "position"]).to_dict("records")
+    return pd.DataFrame({"genome_id": [key[0]], "genome": [name], "tgt": [to_bytes(ordered, meta)]})
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """enzyme_idx, tag, contig_id, position, strand, gap, flags, local_gc, canon of the tag lines; absent flags are 0, absent GC 255."""
     p = F.split("value", "\t")
@@ -49,10 +77,16 @@ def unpack_bases(raw: bytes, length: int) -> str:
     return "".join("ACGT"[value >> 2 * i & 3] for i in range(length - 1, -1, -1))
 
 
+def tag_key(tag: str) -> int:
+    """The 64-bit key of a tag on either strand: the first bytes of the digest of its canonical form."""
+    turned = tag[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return int.from_bytes(hashlib.blake2b(min(tag, turned).encode(), digest_size=8).digest(), "little")
+
+
 def to_bytes(rows, meta: dict) -> bytes:
     """One genome's binary file from (enzyme_idx, pattern, tag, contig_id, position, gap, flags, local_gc) rows."""
-    text = json.dumps(meta).encode()
-    body = b"".join(struct.pack(FIELDS, r["position"], 0, r["gap"], r["contig_id"], r["enzyme_idx"], r["pattern"], len(r["tag"]), 0, r["flags"], r["local_gc"], pack_bases(r["tag"])) for r in rows)
+    text = json.dumps(meta, default=int).encode()
+    body = b"".join(struct.pack(FIELDS, r["position"], tag_key(r["tag"]), r["gap"], r["contig_id"], r["enzyme_idx"], r["pattern"], len(r["tag"]), 0, r["flags"], r["local_gc"], pack_bases(r["tag"])) for r in rows)
     return MAGIC + struct.pack("<III", VERSION, len(text), len(rows)) + text + body
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagforge.operators.match import exact_hits, read_windows
+from tagforge.operators import scan
+from tagforge.operators.match import READ_KEYS, exact_hits
+from tagforge.panel import ENZYMES
 
-SCHEMA = "sample string, read_id bigint, seq string"
+SCHEMA = "sample string, file string, read_id bigint, seq string"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -21,7 +23,7 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 def stream_counts(reads: DataFrame, anchors: DataFrame) -> DataFrame:
     """Running count per sample and anchor of exact hits."""
-    hits = exact_hits(read_windows(reads), anchors)
+    hits = exact_hits(scan.read_windows(reads, ENZYMES, READ_KEYS), anchors)
     return hits.groupBy("sample", "genome_id", "contig_id", "position", "enzyme_idx").agg(F.count("*").alias("count"))
 
 

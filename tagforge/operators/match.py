@@ -25,11 +25,9 @@ def read_windows(reads: DataFrame, enzymes: tuple[Enzyme, ...] = ENZYMES, keys:
     """keys, start, tag_len, q, ambiguous, canon: windows of reads that carry a pattern of that length.
 
     The pattern itself must match exactly; another code in a free position makes the window ambiguous.  Reads are dealt over
-    ``partitions`` before the scan, by default over the session's parallelism where the input has fewer.
+    ``partitions`` before the scan, by default over the session's parallelism where the input has fewer files.
     """
-    wanted = partitions or reads.sparkSession.sparkContext.defaultParallelism
-    dealt = reads.repartition(wanted) if reads.rdd.getNumPartitions() < wanted else reads
-    return scan.read_windows(dealt, enzymes, keys)
+    return scan.read_windows(scan.dealt(reads, partitions), enzymes, keys)
 
 
 def anchor_keys(anchors: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ for _i, (_base, _pair) in enumerate(zip("ACGT", "TGCA", strict=True)):
     _SETS[ord(_base)], _OTHER[ord(_base)], _DIGIT[ord(_base)] = BIT[_base], ord(_pair), _i
 
 
+def dealt(seqs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """seqs over ``partitions``, by default over the session's parallelism where it comes from fewer files, since a file may be one task."""
+    wanted = partitions or seqs.sparkSession.sparkContext.defaultParallelism
+    return seqs.repartition(wanted) if partitions or len(seqs.inputFiles()) < wanted else seqs
+
+
 def motif_starts(sets: np.ndarray, left: np.ndarray, enzymes: tuple[Enzyme, ...]) -> Iterator[tuple[Enzyme, int, np.ndarray]]:
     """(enzyme, pattern, true where a window of its length starts) over bit sets; ``left`` counts the bases to the end of each sequence."""
     held: dict[int, np.ndarray] = {}

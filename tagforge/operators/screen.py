@@ -17,8 +17,7 @@ SCALE = 16
 
 def kmers(seqs: DataFrame, keep: list[str], k: int = K, scale: int = SCALE) -> DataFrame:
     """keep, kmer: hashes of canonical k-mers of certain bases that the sketch keeps (repeats included)."""
-    wanted = seqs.sparkSession.sparkContext.defaultParallelism
-    return scan.kmers(seqs.repartition(wanted) if seqs.rdd.getNumPartitions() < wanted else seqs, keep, k, scale)
+    return scan.kmers(scan.dealt(seqs), keep, k, scale)
 
 
 def sketch(contigs: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:

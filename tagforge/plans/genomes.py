@@ -138,7 +138,7 @@ def faulty(spark, d):
     a = a.withColumn("canon", i(4, F.lower("canon"), F.col("canon"))).withColumn("row", i(5, F.lit(-1), F.col("row"))).withColumn("global_position", i(6, F.col("global_position") + 1, F.col("global_position")))
     a = a.withColumn("position", F.when(n == 7, F.col("position") + 5000).otherwise(F.col("position")))
     a = a.unionByName(a.where("position % 97 = 8"))
-    c = c.withColumn("offset", F.when((F.col("genome_id") == 3) & (F.col("contig_id") == 1), 1).otherwise(F.col("offset"))).withColumn("genome", F.when(F.col("genome_id") == 5, "FRANCE").otherwise(F.col("genome")))
+    c = c.withColumn("offset", F.when((F.col("genome_id") == 3) & (F.col("contig_id") == 1), 1).otherwise(F.col("offset"))).withColumn("genome", F.when(F.col("genome_id").isin(5, 6), "TWICE").otherwise(F.col("genome")))
     c = c.withColumn("genome_len", F.when(F.col("genome_id") == 4, 1).otherwise(4000).cast("bigint"))
     return a, c.unionByName(c.where("genome_id = 7 AND contig_id = 0"))
 
@@ -148,7 +148,7 @@ FAULTY_SQL = """fa0 AS (SELECT a.genome_id, CASE WHEN position % 97 = 1 THEN 9 E
     CASE WHEN position % 97 = 5 THEN -1 ELSE a.contig_id * 1000000 + position * 20 + enzyme_idx END AS row, "offset" + position + CASE WHEN position % 97 = 6 THEN 1 ELSE 0 END AS global_position
   FROM anchors a JOIN contigs c ON c.genome_id = a.genome_id AND c.contig_id = a.contig_id),
 fa AS MATERIALIZED (SELECT * FROM fa0 UNION ALL SELECT * FROM fa0 WHERE position % 97 = 8),
-fc0 AS (SELECT genome_id, contig_id, length, CASE WHEN genome_id = 3 AND contig_id = 1 THEN 1 ELSE "offset" END AS "offset", CASE WHEN genome_id = 5 THEN 'FRANCE' ELSE genome END AS genome, CASE WHEN genome_id = 4 THEN 1 ELSE 4000 END AS genome_len FROM contigs),
+fc0 AS (SELECT genome_id, contig_id, length, CASE WHEN genome_id = 3 AND contig_id = 1 THEN 1 ELSE "offset" END AS "offset", CASE WHEN genome_id IN (5, 6) THEN 'TWICE' ELSE genome END AS genome, CASE WHEN genome_id = 4 THEN 1 ELSE 4000 END AS genome_len FROM contigs),
 fc AS MATERIALIZED (SELECT * FROM fc0 UNION ALL SELECT * FROM fc0 WHERE genome_id = 7 AND contig_id = 0),
 fb AS (SELECT genome_id, contig_id, max(length) AS length, min("offset") AS "offset" FROM fc GROUP BY ALL)"""
 LENGTH_SQL = "[" + ", ".join(str(e.length) for e in ENZYMES) + "]"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,62 +51,83 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_reads(spark: SparkSession, paths: list[str], per_file: bool = False) -> DataFrame:
-    """sample, file, read_id, seq.  The format follows from the first byte; an empty file has no reads; a truncated record raises."""
+    """sample, file, read_id, seq.  The format follows from the first byte; an empty file has no reads; a truncated record raises.
+
+    A file is streamed by one task, whatever its size; what is made of it is dealt over all cores before any scan.
+    """
     rows = _records(spark, expand(spark, paths, READ_SUFFIXES), fastq=True)
     sample = F.regexp_replace("file", "^.*/", "") if per_file else sample_name("file")
     return rows.select(sample.alias("sample"), "file", F.col("number").alias("read_id"), normalize("seq").alias("seq"))
 
 
 def _records(spark: SparkSession, files: list[str], fastq: bool) -> DataFrame:
+    """file, number, name, seq of every record.  Each file is one row of paths and one task, which reads it in pieces through Arrow's file systems."""
     ship(spark)
-    data = spark.read.format("binaryFile").load(files).select(F.col("path").alias("file"), "content")
+    named = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(max(1, len(files)), "file")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_buffer().to_pybytes()
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            for path in batch.column(0).to_pylist():
                 held: list[tuple[int, str, str]] = []
                 size = 0
-                for number, (name, seq) in enumerate(parse(raw, fastq)):
-                    held.append((number, name, seq))
-                    size += len(seq)
-                    if size > 1 << 24:
-                        yield _batch(pa, path, held)
-                        held, size = [], 0
+                with opened(path) as stream:
+                    for number, (name, seq) in enumerate(parse(stream, fastq)):
+                        held.append((number, name, seq))
+                        size += len(seq)
+                        if size > 1 << 24:
+                            yield _batch(pa, path, held)
+                            held, size = [], 0
                 if held:
                     yield _batch(pa, path, held)
 
-    return data.mapInArrow(run, "file string, number bigint, name string, seq string")
+    return named.mapInArrow(run, "file string, number bigint, name string, seq string")
+
+
+def opened(path: str):
+    """A file of any file system that Arrow knows, as a buffered stream of its text's bytes; gzip by its first bytes."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else os.path.abspath(path))
+    raw = io.BufferedReader(system.open_input_stream(inner, compression=None, buffer_size=1 << 20), 1 << 20)
+    return gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
 
 def _batch(pa, path, held):
     return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held]), pa.array([h[2] for h in held])], names=["file", "number", "name", "seq"])
 
 
-def parse(raw: bytes, fastq: bool) -> Iterator[tuple[str, str]]:
-    """(name up to white space, sequence) of each record of a file's bytes."""
-    if not raw.strip():
+def parse(source: bytes | io.BufferedIOBase, fastq: bool) -> Iterator[tuple[str, str]]:
+    """(name up to white space, sequence) of each record of a stream or of bytes, line by line."""
+    lines = io.BytesIO(source) if isinstance(source, bytes) else source
+    head = lines.readline()
+    while head and not head.strip():
+        head = lines.readline()
+    if not head:
         if fastq:
             return
         raise ValueError("no record in the file")
-    if raw[:1] == b"@" and fastq:
-        lines = io.BytesIO(raw)
-        while head := lines.readline():
-            if not head.strip():
-                continue
-            seq, plus, quality = lines.readline().strip(), lines.readline(), lines.readline().strip()
-            if not head.startswith(b"@") or not plus.startswith(b"+") or len(quality) != len(seq):
-                raise ValueError("truncated or malformed FASTQ record")
-            yield (head[1:].split() or [b""])[0].decode(), seq.decode()
+    name = lambda line: (line[1:].split() or [b""])[0].decode()
+    if head.startswith(b"@") and fastq:
+        while head:
+            if head.strip():
+                seq, plus, quality = lines.readline().strip(), lines.readline(), lines.readline().strip()
+                if not head.startswith(b"@") or not plus.startswith(b"+") or len(quality) != len(seq):
+                    raise ValueError("truncated or malformed FASTQ record")
+                yield name(head), seq.decode()
+            head = lines.readline()
         return
-    if raw[:1] != b">":
+    if not head.startswith(b">"):
         raise ValueError("neither FASTA nor FASTQ" if fastq else "text before the first record")
-    for part in raw[1:].split(b"\n>"):
-        head, _, body = part.partition(b"\n")
-        yield (head.split() or [b""])[0].decode(), b"".join(body.split()).decode()
+    parts: list[bytes] = []
+    for line in lines:
+        if line.startswith(b">"):
+            yield name(head), b"".join(parts).decode()
+            head, parts = line, []
+        else:
+            parts += line.split()
+    yield name(head), b"".join(parts).decode()
 
 
 def with_genome_ids(contigs: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     chrom = contigs(spark, sf_dir).where("contig_id = 0").select("genome_id", F.col("seq").alias("chromosome"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("sample"), (F.col("o_custkey") % 25).cast("int").alias("genome_id"), "o_custkey")
+    o = o.repartition(spark.sparkContext.defaultParallelism)  # the file is one task otherwise
     start = (F.col("key") * 7919 + F.col("o_custkey") * 104729) % (CHROMOSOME_CHUNKS * CHUNK - READ_LEN)
     cut = o.join(F.broadcast(chrom), "genome_id").select("sample", "key", "o_custkey", F.substring(F.col("chromosome"), (start + 1).cast("int"), F.lit(READ_LEN)).alias("s"))
     p = (F.col("o_custkey") * 31 % READ_LEN).cast("int")

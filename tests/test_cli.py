@@ -23,13 +23,23 @@ def test_index_profile_dynamics_audit_scaffold(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{s}\n+\n{'I' * 100}\n" for i, s in enumerate(reads)))
     db, out = str(tmp_path / "db"), str(tmp_path / "out")
-    main(["index", str(tmp_path / "g.fna"), "-o", db, "-a", str(tmp_path / "tax.tsv"), "--screen-scale", "16"], spark)
+    main(["index", str(tmp_path / "g.fna"), "-o", db, "-a", str(tmp_path / "tax.tsv"), "--screen-scale", "16", "--write-tgt"], spark)
+    assert spark.read.parquet(f"{db}/tgt").count() == 1
     assert spark.read.parquet(f"{db}/anchors").count() > 500 and spark.read.parquet(f"{db}/genomes").head().taxonomy == "Some lineage"
     main(["profile", str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq"), "-d", db, "-o", out], spark)
     stats = spark.read.json(f"{out}/stats").collect()
     assert {r["sample"] for r in stats} == {"a", "b"} and all(r.match_rate > 0.9 for r in stats)
     table = spark.read.csv(f"{out}/output", sep="\t", header=True, nullValue="NA").collect()
     assert len(table) == 2 and all(r.taxonomy == "Some lineage" for r in table) and len(table[0]) == 28
+    main(["profile", str(tmp_path / "a.fastq"), "-d", db, "-o", f"{out}2", "--screen", "--use-windows", "--figures", "--count-model", "ztp", "--min-coverage", "0.5"], spark)
+    full = {tuple(r[k] for k in ("contig_id", "position", "enzyme_idx", "count")) for r in spark.read.parquet(f"{out}/counts").where("sample = 'a'").collect()}
+    assert full == {tuple(r[k] for k in ("contig_id", "position", "enzyme_idx", "count")) for r in spark.read.parquet(f"{out}2/counts").collect()}
+    assert spark.read.csv(f"{out}2/figures/rate_by_position", sep="\t", header=True).count() > 0
+    main(["profile", str(tmp_path / "a.fastq"), "-d", db, "-o", f"{out}3", "--screen", "--screen-min-hits", "1000000", "--screen-min-frac", "2", "--no-stats"], spark)
+    assert spark.read.parquet(f"{out}3/counts").count() == 0
+    main(["manifest", "-d", db, "-o", str(tmp_path / "man")], spark)
+    row = spark.read.json(str(tmp_path / "man")).head()
+    assert (row.genome, row.genome_len, row.contiguous, row.format_version, len(row.enzymes)) == ("g", 60_000, True, 1, 16)
     main(["dynamics", f"{out}/output", "-o", str(tmp_path / "dyn"), "--baseline", "a", "--include-failed"], spark)
     assert spark.read.csv(str(tmp_path / "dyn/delta"), sep="\t", header=True).count() == 1
     main(["audit", db, "-o", str(tmp_path / "aud")], spark)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from tagforge.functions.stats import chi2_sf, normal_sf, t_two_sided
-from tagforge.operators.gcbias import fit_curves, lowess
+from tagforge.operators import fit, fusion, report, windows
+from tagforge.operators.gcbias import fit_curves, lowess, offsets
 from tagforge.operators.mixture import choose, fit_mixture, fit_ztnb, truncated_rate
 from tagforge.operators.simulate import anchors, binned, counts, estimate, route_a, route_b
 from tagforge.operators.vfit import fit_sorted, fit_v, fit_windows
@@ -112,8 +113,91 @@ def test_enzymes_share_an_origin_unless_it_is_known(spark):
     assert len({r.ori for r in shared}) == 1 and len(shared) == 6 and all(r.ok for r in shared)
     assert min((shared[0].ori - 6e5) % length, (6e5 - shared[0].ori) % length) < 1.5e5
     assert len({r.ori for r in fit_windows(rates, length, shared_ori=False).collect()}) > 1
-    known = spark.createDataFrame([(1, 5e5, 0.7)], "genome_id int, ori double, ori_confidence double")
-    assert {(r.ori, r.ori_confidence) for r in fit_windows(rates, length, origins=known).collect()} == {(5e5, 0.7)}
+    known = spark.createDataFrame([(1, length, 1, 5e5, 0.7)], "genome_id int, genome_len double, n_contigs int, ori double, ori_confidence double")
+    assert {(r.ori, r.ori_confidence) for r in fit_windows(rates, known).collect()} == {(5e5, 0.7)}
+
+
+def test_genomes_of_two_lengths_in_one_plan(spark):
+    rng = np.random.default_rng(8)
+    genomes = [(1, "one", 2_000_000.0, 1, 1.0), (2, "two", 4_000_000.0, 1, 0.5), (3, "three", 3_000_000.0, 2, 1.0)]
+    rows = []
+    for gid, _, length, _, truth in genomes:
+        for enzyme in range(5):
+            p = rng.integers(0, int(length), 1500)
+            d = np.minimum((p - 0.3 * length) % length, (0.3 * length - p) % length)
+            c = rng.poisson(12 * 2 ** (-truth * d / (length / 2)))
+            rows += [("s", gid, 0, int(x), int(x), enzyme, int(k), 3, 100, True, 0.5) for x, k in zip(p, c, strict=True)]
+    counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, position bigint, global_position bigint, enzyme int, count int, flags int, local_gc int, usable boolean, gc double")
+    table = spark.createDataFrame([g[:4] for g in genomes], "genome_id int, genome string, genome_len double, n_contigs int")
+    seen = spark.createDataFrame([("s", 1, 0.9), ("s", 2, 0.2)], "sample string, genome_id int, containment double")
+    out = {r.genome: r for r in report.estimate(counts, table, containment=seen)[2].collect()}
+    for gid, name, _, contigs, truth in genomes[:2]:
+        assert out[name].log2_ptr == pytest.approx(truth, abs=0.1), gid
+    assert out["three"].log2_ptr is None and "no estimate" in out["three"].qc_reason and out["three"].note == "no enzyme produced a usable estimate"
+    assert out["one"].containment == 0.9 and "low containment" in out["two"].qc_reason and "low containment" not in out["one"].qc_reason
+
+
+def agree(spark, values, errors, **options):
+    rows = [("s", 1, i, float(v), float(e), 100, 0.9) for i, (v, e) in enumerate(zip(values, errors, strict=True))]
+    est = spark.createDataFrame(rows, "sample string, genome_id int, enzyme int, est double, se double, n_anchors bigint, r2 double")
+    return fusion.fuse(fusion.exclusions(est), **options).head()
+
+
+def test_random_effects_only_where_q_rejects(spark):
+    mild = agree(spark, [1.0, 1.1, 1.25, 0.95], [0.1] * 4)
+    assert mild.q > 3 and mild.q_pvalue > 0.05 and mild.tau2 > 0 and mild.fusion_model == "fixed" and mild.log2_ptr == pytest.approx(mild.fixed)
+    wild = agree(spark, [1.0, 2.0, 0.2, 1.5], [0.1] * 4)
+    assert wild.q_pvalue < 0.05 and wild.fusion_model == "random" and wild.se > wild.fixed_se
+    assert agree(spark, [1.0, 1.1, 1.25, 0.95], [0.1] * 4, model="always").fusion_model == "random" and agree(spark, [1.0, 2.0, 0.2, 1.5], [0.1] * 4, model="never").fusion_model == "fixed"
+    one = agree(spark, [1.3], [0.2])
+    assert (one.k, one.i2, one.q_pvalue, one.tau2, one.fusion_model, one.log2_ptr) == (1, None, None, 0.0, "fixed", pytest.approx(1.3))
+
+
+def test_exclusion_by_anchors(spark):
+    rows = [("s", 1, 0, 1.0, 0.1, 29), ("s", 1, 1, 1.0, 0.1, 30), ("s", 1, 2, None, 0.1, 90), ("s", 1, 3, 1.0, 0.0, 90)]
+    est = spark.createDataFrame(rows, "sample string, genome_id int, enzyme int, est double, se double, n_anchors bigint")
+    assert {r.enzyme: r.reason for r in fusion.exclusions(est).collect()} == {0: "only 29 anchors (< 30)", 1: None, 2: "no estimate", 3: "no usable standard error"}
+
+
+def test_mixture_takes_the_dominant_part():
+    rng = np.random.default_rng(6)
+    got = choose(np.concatenate([rng.poisson(3, 70), rng.poisson(30, 30)]), "ztp")
+    assert got["n_components"] >= 2 and got["rate"] == pytest.approx(3, abs=0.7)
+    alone = rng.poisson(3, 70)
+    assert got["se"] == pytest.approx(choose(alone, "ztp")["se"], rel=0.4)
+    ridge = np.array([1] * 300 + [2])
+    assert choose(np.concatenate([ridge, np.zeros(3, int)]), "ztnb")["rate"] is None
+
+
+def test_curves_are_read_between_and_beyond_their_points(spark):
+    curve = spark.createDataFrame([(1, 0.4, -1.0, 1.0, 0.5), (1, 0.6, 1.0, 1.0, 0.5)], "enzyme int, gc double, log2_offset double, shrinkage double, r2 double")
+    counts = spark.createDataFrame([(1, 0.5), (1, 0.45), (1, 0.1), (1, 0.9), (1, None), (2, 0.5)], "enzyme int, gc double")
+    got = {(r.enzyme, r.gc): r.gc_offset for r in offsets(counts, curve).collect()}
+    assert got == pytest.approx({(1, 0.5): 0.0, (1, 0.45): -0.5, (1, 0.1): -1.0, (1, 0.9): 1.0, (1, None): 0.0, (2, 0.5): 0.0})
+    thin = spark.createDataFrame([(1, 0.4 + i / 200, 3, True) for i in range(50)], "enzyme int, gc double, count bigint, usable boolean")
+    assert fit_curves(thin).count() == 0
+
+
+def test_prior_breaks_ties_towards_the_annotation(spark):
+    grid = spark.createDataFrame([("s", 1, 0.0, -1.0, 1.0, 10), ("s", 1, 400.0, -1.0, 1.0, 10)], "sample string, genome_id int, ori double, slope double, sse double, n bigint")
+    from pyspark.sql import functions as F
+
+    near = fit.with_prior(grid, F.lit(390.0), F.lit(50.0), 1000)
+    assert fit.best_origin(near, ["sample", "genome_id"]).head().ori == 400.0
+    assert fit.best_origin(fit.with_prior(grid, F.lit(None).cast("double"), F.lit(None).cast("double"), 1000), ["sample", "genome_id"]).head().ori == 0.0
+
+
+def test_sorted_fit_needs_enough_values():
+    assert fit_sorted(np.arange(4.0))["note"] == "too few windows"
+    up = fit_sorted(np.sort(np.random.default_rng(1).normal(0, 1, 60)))
+    assert up["ok"] and up["r2"] > 0.8
+
+
+def test_given_windows(spark):
+    rows = [("s", 1, 0, e, i, i, 2, 0.5, True, None if i == 9 else i // 5) for e in (0, 1) for i in range(10)]
+    counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, enzyme int, position bigint, global_position bigint, count int, gc double, usable boolean, window_id bigint")
+    got = windows.given_windows(counts).groupBy("enzyme", "chunk").count().collect()
+    assert {(r.enzyme, r.chunk): r["count"] for r in got} == {(0, 0): 5, (0, 1): 4, (1, 0): 5, (1, 1): 4}
 
 
 def test_model_queries_run(spark, sf):

@@ -86,5 +86,84 @@ def test_tags_across_tile_borders(spark):
 def test_greedy_merge_keeps_the_last_kept(spark):
     rows = [(0, 0, p, 0, 0, "") for p in (0, 30, 60)] + [(0, 1, p, 0, 0, "") for p in (100, 110, 600)]
     s = spark.createDataFrame(rows, "genome_id int, contig_id int, position bigint, enzyme_idx int, pattern int, tag string")
-    got = {r.contig_id: r.loci for r in D.merged_loci(s, 33).collect()}
-    assert got == {0: [0, 60], 1: [100, 600]}
+    got = sorted((r.contig_id, r.position) for r in D.merged_loci(s, 33).collect())
+    assert got == [(0, 0), (0, 60), (1, 100), (1, 600)]
+
+
+def test_packing_and_codes(spark):
+    tag = "TTTT" + "ACGT" * 7
+    got = spark.createDataFrame([(tag, tag[:-1] + "A", "ACGN")], "a string, b string, n string").select(S.pack_2bit("a").alias("bits"), S.pack_2bit("n").alias("none"), S.hamming("a", "b").alias("d"), S.pack_words("a").alias("w")).head()
+    value = sum("ACGT".index(c) << 2 * (31 - i) for i, c in enumerate(tag))
+    assert got.bits == value - (1 << 64) and got.none is None and got.d == 1 and len(got.w) == 2
+    codes = spark.createDataFrame([("R", "a"), ("R", "C"), ("N", "N"), ("X", "A")], "code string, base string")
+    assert [r.m for r in codes.select(S.iupac_matches("code", "base").alias("m")).collect()] == [True, False, False, False]
+
+
+def brute_windows(seq, enzymes):
+    out = set()
+    for e in enzymes:
+        for p in range(len(e.patterns)):
+            rx = re.compile(e.loose_regex(p))
+            for i in range(len(seq) - e.length + 1):
+                if rx.match(seq[i : i + e.length]):
+                    out.add((i, e.length))
+    return out
+
+
+def test_read_scan_by_brute_force(spark):
+    import random
+
+    from tagforge.operators import match as M
+    from tagforge.operators import scan
+
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGTACGTACGTN") for _ in range(rng.choice((0, 5, 24, 25, 33, 100, 400)))) for _ in range(300)] + ["", None]
+    reads = spark.createDataFrame([("s", f"f{i % 2}", i // 2, s) for i, s in enumerate(seqs)], "sample string, file string, read_id bigint, seq string")
+    got = M.read_windows(reads).collect()
+    want = {(f"f{i % 2}", i // 2, a, n) for i, s in enumerate(seqs) for a, n in brute_windows(s or "", ENZYMES)}
+    assert {(r.file, r.read_id, r.start, r.tag_len) for r in got} == want and len(got) == len(want)
+    for r in got:
+        q = (seqs[r.read_id * 2 + int(r.file[1])])[r.start : r.start + r.tag_len]
+        assert (r.q, r.ambiguous) == (q, "N" in q) and (r.ambiguous or r.canon == min(q, rc(q)))
+    old, scan.PIECE = scan.PIECE, 64  # pieces shorter than the sequences
+    try:
+        contigs = spark.createDataFrame([(0, i, s) for i, s in enumerate(seqs[:40])], "genome_id int, contig_id int, seq string")
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"contig_id": list(range(40)), "seq": seqs[:40]})
+        cut = sorted((x["contig_id"], x["position"], x["enzyme_idx"], x["pattern"], x["tag"], x["local_gc"]) for b in scan._site_rows(ENZYMES, 1, 250, ["contig_id", "position", "enzyme_idx", "pattern", "tag", "local_gc"], [batch]) for x in b.to_pylist())
+        sketch = sorted((x["contig_id"], x["kmer"]) for b in scan._kmer_rows(21, 1 << 62, 1, ["contig_id", "kmer"], [batch]) for x in b.to_pylist())
+    finally:
+        scan.PIECE = old
+    whole = sorted((r.contig_id, r.position, r.enzyme_idx, r.pattern, r.tag, r.local_gc) for r in D.sites(contigs, min_contig_len=0, flank=250).collect())
+    assert cut == whole and whole
+    assert set(sketch) == {(r.contig_id, r.kmer) for r in scan.kmers(contigs, ["contig_id"], 21, 4).collect()}
+
+
+def test_two_files_of_a_sample_keep_their_reads(spark, sf):
+    from tagforge.operators import match as M
+    from tagforge.sources import fixtures as X
+
+    sites = D.sites(X.contigs(spark, sf)).where("genome_id = 3 AND contig_id = 0").limit(1)
+    tag = sites.head().tag
+    reads = spark.createDataFrame([("s", "R1", 0, tag), ("s", "R2", 0, rc(tag))], "sample string, file string, read_id bigint, seq string")
+    wins = M.read_windows(reads)
+    hits = M.matches(wins, sites, 2)
+    assert M.single_tag_reads(hits).count() == 2
+    stats = M.sample_stats(reads, M.window_summary(wins, hits)).head()
+    assert stats.reads_total == 2 and stats.reads_with_anchor == 2
+
+
+def test_orientation_votes_by_brute_force(spark):
+    import random
+
+    from tagforge.operators import scaffold as P
+
+    rng = random.Random(1)
+    rows = [(c, rng.randrange(40), rng.randrange(40)) for c in range(6) for _ in range(30)] + [(7, 1, 1), (8, 2, 5), (8, 2, 9)]
+    got = {r.contig_id: r for r in P.orientation(spark.createDataFrame(rows, "contig_id int, pos bigint, ref bigint")).collect()}
+    for c in {r[0] for r in rows}:
+        t = [(a, b) for k, a, b in rows if k == c]
+        up = sum(a < x and b < y for a, b in t for x, y in t)
+        down = sum(a < x and b > y for a, b in t for x, y in t)
+        assert got[c].concordance == pytest.approx(max(up, down) / (up + down) if up + down else 0) and got[c].orientation == ("Forward" if up >= down else "Reverse") and got[c].n_tags == len(t)

@@ -86,3 +86,37 @@ def test_streamed_counts_equal_batch(spark, sf, tmp_path):
     C.start(C.stream_counts(C.read_stream(spark, str(tmp_path / "in"), 1), s), sink, str(tmp_path / "ck")).awaitTermination()
     want = exact_hits(read_windows(reads), s).groupBy("sample", "genome_id", "contig_id", "position", "enzyme_idx").count().collect()
     assert state == {tuple(r)[:5]: r["count"] for r in want}
+
+
+def test_tag_table_keeps_strand_flags_and_gc(spark, sf, tmp_path):
+    c = X.contigs(spark, sf).where("genome_id = 0")
+    a = A.assemble(c, D.sites(c, flank=250))
+    tgt.to_text(a, c, "g").coalesce(1).write.text(str(tmp_path / "t"))
+    back = {(r.contig_id, r.position, r.enzyme_idx): (r.strand, r.flags, r.local_gc) for r in tgt.read_text(spark, str(tmp_path / "t")).collect()}
+    assert back == {(r.contig_id, r.position, r.enzyme_idx): ("+" if r.pattern == 0 else "-", r.flags, r.local_gc) for r in a.collect()}
+    assert len({v[0] for v in back.values()}) == 2 and len({v[2] for v in back.values()}) > 5
+    tgt.write_all(a, c, str(tmp_path / "all"))
+    made = spark.read.parquet(str(tmp_path / "all")).head()
+    meta, rows = tgt.from_bytes(bytes(made.tgt))
+    assert meta["genome"] == made.genome and len(meta["contigs"]) == 2
+    assert {(r["contig_id"], r["position"], r["enzyme_idx"], r["tag"], r["flags"], r["local_gc"]) for r in rows} == {(r.contig_id, r.position, r.enzyme_idx, r.tag, r.flags, r.local_gc) for r in a.collect()}
+    assert tgt.tag_key("AACC") == tgt.tag_key("GGTT") != tgt.tag_key("AACG")
+
+
+def test_report_pages_hold_every_row(spark):
+    from tagforge.operators import report
+
+    lines = [r.value for r in report.html_lines(spark.range(12_000).selectExpr("id AS genome_id", "'a<b' AS name"), "Title", ["genome_id"]).collect()]
+    assert len(lines) == 12_002 and lines[0].startswith("<!DOCTYPE") and lines[-1] == "</table>" and lines[7] == "<tr><td>6</td><td>a&lt;b</td></tr>"
+
+
+def test_big_read_files_are_streamed(spark, tmp_path):
+    """Records that cross the chunks of a reader, plain and gzip."""
+    text = "".join(f"@r{i}\n{'ACGT' * (i % 40)}\n+\n{'I' * (4 * (i % 40))}\n" for i in range(3000))
+    (tmp_path / "x.fastq").write_text(text)
+    with gzip.open(tmp_path / "y.fastq.gz", "wt") as f:
+        f.write(text)
+    (tmp_path / "z.fasta").write_text("".join(f">r{i} note\nAC\nGT\n" for i in range(500)))
+    got = fasta.read_reads(spark, [str(tmp_path)]).groupBy("sample").agg({"read_id": "max", "*": "count"}).collect()
+    assert {(r["sample"], r["max(read_id)"], r["count(1)"]) for r in got} == {("x", 2999, 3000), ("y", 2999, 3000), ("z", 499, 500)}
+    assert [x for x in fasta.parse(text.encode(), True)][39] == ("r39", "ACGT" * 39)

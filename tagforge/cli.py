@@ -119,7 +119,7 @@ def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
     from tagforge.functions.stats import t_pvalue, z_pvalue
 
     d = Y.delta(rows.withColumnRenamed("genome", "genome_id"), is_base).withColumn("p", z_pvalue("z"))
-    d = Y.benjamini_hochberg(d, "p", ["sample", "genome_id"])
+    d = Y.benjamini_hochberg(d, "p")
     tables.write_tsv(d.orderBy("genome_id", "sample"), f"{a.out}/delta")
     if "timepoint" in d.columns:
         t = Y.trend(d.withColumn("timepoint", F.col("timepoint").cast("double")), "timepoint", ["genome_id"])

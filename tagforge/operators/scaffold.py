@@ -85,9 +85,11 @@ def placed_fraction(placed: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def fasta(contigs: DataFrame, placed: DataFrame, width: int = 70) -> DataFrame:
     """contig_id, ord, record: FASTA text in placed order, reversed contigs turned, unplaced ones last."""
-    j = contigs.join(placed.select("contig_id", "orientation", "ref_start"), "contig_id", "left")
+    at = contigs.select("contig_id").join(placed.select("contig_id", "orientation", "ref_start"), "contig_id", "left")
+    # One task ranks ids and starts; the sequences stay where they are dealt.
+    rank = F.row_number().over(W.orderBy(F.col("ref_start").isNull(), "ref_start", "contig_id"))
+    j = contigs.join(at.select("contig_id", "orientation", rank.alias("ord")), "contig_id")
     s = F.when(F.col("orientation") == "Reverse", revcomp("seq")).otherwise(F.col("seq"))
     wrapped = F.regexp_replace(F.regexp_replace(s, f"(.{{{width}}})", "$1\n"), "\n$", "")
     name = F.concat_ws(" ", "name", F.coalesce("orientation", F.lit("Unplaced")))
-    rank = F.row_number().over(W.orderBy(F.col("ref_start").isNull(), "ref_start", "contig_id"))
-    return j.select("contig_id", rank.alias("ord"), F.concat(F.lit(">"), name, F.lit("\n"), wrapped).alias("record"))
+    return j.select("contig_id", "ord", F.concat(F.lit(">"), name, F.lit("\n"), wrapped).alias("record"))

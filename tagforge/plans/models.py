@@ -78,7 +78,7 @@ def q_pvalue(spark, d):
 @query()
 def delta_pvalues(spark, d):
     out = Y.delta(Q.ptr(spark, d), F.col("sample") == "click").withColumn("p", S.z_pvalue("z"))
-    return Y.benjamini_hochberg(out, "p", ["sample", "genome_id"])
+    return Y.benjamini_hochberg(out, "p")
 
 
 @query()

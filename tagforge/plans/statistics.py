@@ -257,7 +257,7 @@ def delta_ptr_mean(spark, d):
 @query("SELECT sample, genome_id, enzyme, p, round(least(1, greatest(0, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 6) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, sample, genome_id, enzyme) AS rk, count(*) OVER () AS m FROM (SELECT sample, genome_id, enzyme, round(abs(r2), 6) AS p FROM estimates) WHERE p IS NOT NULL)", EST)
 def bh_fdr(spark, d):
     e = X.estimates(spark, d).select(*GROUP, F.round(F.abs("r2"), 6).alias("p"))
-    return Y.benjamini_hochberg(e, "p", GROUP).select(*GROUP, "p", F.round("q", 6).alias("q"))
+    return Y.benjamini_hochberg(e, "p").select(*GROUP, "p", F.round("q", 6).alias("q"))
 
 
 @query("SELECT sample, genome_id, n, round(slope, 6) AS slope, round(sqrt(greatest(sse, 0) / (n - 2) / sxx), 6) AS slope_se FROM (" + fit_sql("enzyme", "est", "(1 / (se * se))", "sample, genome_id", "(SELECT * FROM estimates WHERE est IS NOT NULL AND se > 0)") + ") WHERE n >= 3", EST)

@@ -205,3 +205,19 @@ def test_model_queries_run(spark, sf):
 
     for name in ("lowess_gc", "vfit_two_stage", "ransac", "q_pvalue", "delta_pvalues", "simulate_route_b", "window_rate_models", "gc_corrected_rates"):
         assert entry.queries()[name](spark, sf).count() > 0, name
+
+
+def test_false_discovery_rates_by_brute_force(spark):
+    from tagforge.operators.dynamics import benjamini_hochberg
+
+    random = np.random.default_rng(3)
+    p = [*(random.random(300) ** 6), *([0.04] * 50), 0.0, 0.0, 5e-324, 1e-200, 1.0, 1.0, None, None]
+    got = benjamini_hochberg(spark.createDataFrame(list(enumerate(map(lambda x: None if x is None else float(x), p))), "i int, p double"), "p").toPandas().set_index("i")
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    low = 1.0
+    for rank in range(len(known), 0, -1):
+        x, i = known[rank - 1]
+        low = min(low, x * len(known) / rank)
+        assert got.q[i] == pytest.approx(low, rel=1e-12, abs=0)
+    assert len(got) == len(p) and got.q[-2:].isna().all()
+    assert benjamini_hochberg(spark.createDataFrame([], "p double"), "p").count() == 0

@@ -32,7 +32,7 @@ from tagforge.session import ship
 LENGTHS = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 32.0
 ATTENTION = 8192.0
-SHARD_ROWS = 8000
+SHARD_ROWS = 2000
 #: Copies of a row that one array counts out.
 COPIES = 1024
 

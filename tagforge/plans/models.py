@@ -1,4 +1,4 @@
-"""Queries on iterative models, which SQL can't express."""
+"""Queries on iterative models, most of which SQL can't express, and on tail probabilities."""
 
 from __future__ import annotations
 
@@ -16,6 +16,31 @@ from tagforge.plans.registry import query
 from tagforge.sources import fixtures as X
 
 
+# -- tail probabilities in DuckDB, as finite or fast sums -----------------------
+
+
+def erfc_sql(x: str) -> str:
+    """erf is a sum of positive terms; beyond 6 the complement is below any rounding here."""
+    x = f"least({x}, 6.0::DOUBLE)"
+    return f"(1 - list_sum(list_transform(range(200), lambda i: exp((2 * i + 1) * ln(greatest({x}, 1e-300::DOUBLE)) - lgamma(i + 1.5::DOUBLE) - {x} * {x}))))"
+
+
+def chi2_sql(q: str, df: str) -> str:
+    """Upper tail for a whole number of degrees of freedom."""
+    h = f"({q} / 2)"
+    terms = lambda shift, n: f"coalesce(list_sum(list_transform(range({n}), lambda i: exp((i + {shift}) * ln(greatest({h}, 1e-300::DOUBLE)) - lgamma(i + {shift} + 1) - {h}))), 0)"
+    return f"(CASE WHEN {df} % 2 = 0 THEN {terms('0.0::DOUBLE', f'{df} // 2')} ELSE {erfc_sql(f'sqrt({h})')} + {terms('0.5::DOUBLE', f'({df} - 1) // 2')} END)"
+
+
+def t_sql(t: str, df: str) -> str:
+    """Both tails for a whole number of degrees of freedom, from the angle whose tangent is |t| / sqrt(df)."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    terms = lambda up, down, n: f"coalesce(list_sum(list_transform(range({n}), lambda i: exp(lgamma(i + {up}) - lgamma(i + {down})) * cos({a}) ** (2 * i))), 0)"
+    even = f"sin({a}) / sqrt(pi()) * {terms('0.5::DOUBLE', '1.0::DOUBLE', f'{df} // 2')}"
+    odd = f"2 / pi() * ({a} + sin({a}) * cos({a}) * sqrt(pi()) / 2 * {terms('1.0::DOUBLE', '1.5::DOUBLE', f'({df} - 1) // 2')})"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 @query()
 def ztp_mixture(spark, d):
     return M.model_rates(N.enzyme_windows(X.counts(spark, d)), "ztp")
@@ -54,6 +79,30 @@ def vfit_segmented(spark, d):
     return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="auto")
 
 
+BY_ENZYME = "(PARTITION BY sample, genome_id, enzyme)"
+KNOWN_ORI = 1000
+#: Weighted means and sums of squares about them, of distance and rate in each group.
+_ABOUT = "SELECT *, sum(w * d) OVER g / sum(w) OVER g AS mx, sum(w * y) OVER g / sum(w) OVER g AS my FROM {0} WINDOW g AS " + BY_ENZYME
+KNOWN_SQL = f"""vq AS (SELECT *, quantile_cont(log2_rate, 0.25) OVER g AS q1, quantile_cont(log2_rate, 0.75) OVER g AS q3, count(*) OVER g AS seen FROM rates WHERE log2_rate IS NOT NULL AND log2_se > 0 WINDOW g AS {BY_ENZYME}),
+vw AS (SELECT sample, genome_id, enzyme, {Q.dist_sql(f"mid - {KNOWN_ORI}")} AS d, log2_rate AS y, log2_se AS s, 1 / (log2_se * log2_se) AS w FROM vq WHERE seen < 4 OR q3 <= q1 OR log2_rate BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+v1 AS (SELECT sample, genome_id, enzyme, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(w * (d - mx) * (y - my)) / sum(w * (d - mx) ** 2) AS b, regr_slope(ln(s), y) AS eb, regr_intercept(ln(s), y) AS ea, min(s) AS lo, max(s) AS hi FROM ({_ABOUT.format("vw")}) GROUP BY ALL),
+v2 AS (SELECT sample, genome_id, enzyme, n, d, y, 1 / CASE WHEN n < 8 THEN s ELSE least(hi, greatest(lo, exp(ea + eb * (my + b * (d - mx))))) END ** 2 AS w FROM vw JOIN v1 USING (sample, genome_id, enzyme)),
+v3 AS (SELECT sample, genome_id, enzyme, n, sum(w * (d - mx) ** 2) AS sxx, sum(w * (d - mx) * (y - my)) AS sxy, sum(w * (y - my) ** 2) AS syy FROM ({_ABOUT.format("v2")}) GROUP BY ALL)"""
+
+
+@query(
+    f"""SELECT sample, genome_id, enzyme, n_windows, coalesce(n, 0) AS n_windows_used, CASE WHEN n >= 5 THEN 'v_shape' ELSE 'none' END AS method, CASE WHEN n >= 5 THEN '' ELSE 'too few windows' END AS note,
+  CASE WHEN n >= 5 THEN round(-sxy / sxx * {Q.GENOME} / 2, 5) END AS log2_ptr, CASE WHEN n >= 5 THEN round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) * {Q.GENOME} / 2, 5) END AS se, CASE WHEN n >= 5 THEN round(sxy * sxy / sxx / syy, 5) END AS r2
+FROM (SELECT sample, genome_id, enzyme, count(*) AS n_windows FROM rates GROUP BY ALL) LEFT JOIN v3 USING (sample, genome_id, enzyme)""",
+    (*Q.RATES, KNOWN_SQL),
+)
+def vfit_known_origin(spark, d):
+    """Two-stage weights at a given origin; the fixture's gradients are too flat for a kink."""
+    r = Q.rates(spark, d)
+    genomes = r.select("genome_id").distinct().select("genome_id", F.lit(Q.GENOME).alias("genome_len"), F.lit(KNOWN_ORI).alias("ori"))
+    return V.fit_windows(r, genomes, method="v_shape").select(*Q.GROUP, "n_windows", "n_windows_used", "method", "note", *[F.round(c, 5).alias(c) for c in ("log2_ptr", "se", "r2")])
+
+
 @query()
 def ransac(spark, d):
     return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="sorted")
@@ -69,19 +118,27 @@ def simulate_route_b(spark, d):
     return Z.errors(Z.run_grid(spark, Z.route_b(), [1.0]))
 
 
-@query()
+@query(f"SELECT sample, genome_id, round(q, 5) AS q, k, CASE WHEN k > 1 THEN round({chi2_sql('q', '(k - 1)')}, 6) END AS p FROM fused", Q.FUSED)
 def q_pvalue(spark, d):
-    f = Q.fused(spark, d)
-    return f.select("sample", "genome_id", "q", "k", S.chi2_pvalue("q", (F.col("k") - 1).cast("double")).alias("p"))
+    return Q.fused(spark, d).select(*Q.BY, F.round("q", 5).alias("q"), "k", F.round("q_pvalue", 6).alias("p"))
 
 
-@query()
+DELTA_P_SQL = f"dp AS (SELECT *, CASE WHEN z IS NOT NULL THEN {erfc_sql('(abs(z) / sqrt(2))')} END AS p FROM ({Q.DELTA_SQL.format(where="WHERE sample = 'click'", other="WHERE f.sample <> 'click'").replace('5) AS z', '12) AS z')}))"
+
+
+@query("SELECT sample, genome_id, delta, delta_se, round(z, 5) AS z, fold, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST) AS rk, count(p) OVER () AS m FROM dp)", (*Q.FUSED, DELTA_P_SQL))
 def delta_pvalues(spark, d):
     out = Y.delta(Q.ptr(spark, d), F.col("sample") == "click").withColumn("p", S.z_pvalue("z"))
-    return Y.benjamini_hochberg(out, "p")
+    return Y.benjamini_hochberg(out, "p").select(*Q.BY, *Q.r6("delta", "delta_se", "fold", "p", "q"), F.round("z", 5).alias("z"))
 
 
-@query()
+@query(
+    f"SELECT sample, genome_id, n, round(slope, 6) AS slope, round(slope_se, 6) AS slope_se, round(t, 4) AS t, round({t_sql('t', '(n - 2)')}, 6) AS p FROM (SELECT *, slope / nullif(slope_se, 0) AS t FROM (SELECT *, sqrt(greatest(sse, 0) / (n - 2) / sxx) AS slope_se FROM ("
+    + Q.fit_sql("enzyme", "est", "(1 / (se * se))", "sample, genome_id", "(SELECT * FROM estimates WHERE est IS NOT NULL AND se > 0)")
+    + ") WHERE n >= 3))",
+    Q.EST,
+)
 def trend_test(spark, d):
-    t = Y.trend(X.estimates(spark, d).withColumnRenamed("est", "log2_ptr").withColumnRenamed("n", "m"), "enzyme", ["sample", "genome_id"])
-    return t.select("sample", "genome_id", "n", "slope", "slope_se", "t", S.t_pvalue("t", (F.col("n") - 2).cast("double")).alias("p"))
+    t = Y.trend(X.estimates(spark, d).withColumnRenamed("est", "log2_ptr").withColumnRenamed("n", "m"), "enzyme", Q.BY)
+    t = t.withColumn("p", S.t_pvalue("t", (F.col("n") - 2).cast("double")))
+    return t.select(*Q.BY, "n", *Q.r6("slope", "slope_se", "p"), F.round("t", 4).alias("t"))

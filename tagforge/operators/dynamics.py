@@ -19,7 +19,12 @@ def ptr_matrix(out: DataFrame, samples: list, value: str = "log2_ptr") -> DataFr
     return out.groupBy("genome_id").pivot("sample", samples).agg(F.avg(value))
 
 
-def anchor_matrix(counts: DataFrame, samples: list) -> DataFrame:
+def anchor_matrix(counts: DataFrame, samples: list, usable_only: bool = True, genome: int | None = None) -> DataFrame:
+    """Counts per anchor and sample, 0 where a sample has none; masked anchors only on request, one genome if named."""
+    if usable_only:
+        counts = counts.where("usable")
+    if genome is not None:
+        counts = counts.where(F.col("genome_id") == genome)
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("genome_id", "contig_id", "position", "enzyme")])
     return counts.withColumn("anchor", key).groupBy("anchor").pivot("sample", samples).agg(F.sum("count")).na.fill(0)
 

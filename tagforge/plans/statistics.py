@@ -266,7 +266,7 @@ def trend_slope(spark, d):
     return t.select(*BY, "n", *r6("slope", "slope_se"))
 
 
-@query("SELECT genome_id || ':' || contig_id || ':' || position || ':' || enzyme AS anchor, " + ", ".join(f"coalesce(sum(count) FILTER (sample = '{s}'), 0)::BIGINT AS \"{s}\"" for s in "ANR") + " FROM counts GROUP BY anchor", COUNTS)
+@query("SELECT genome_id || ':' || contig_id || ':' || position || ':' || enzyme AS anchor, " + ", ".join(f"coalesce(sum(count) FILTER (sample = '{s}'), 0)::BIGINT AS \"{s}\"" for s in "ANR") + " FROM counts WHERE usable GROUP BY anchor", COUNTS)
 def anchor_matrix(spark, d):
     return Y.anchor_matrix(X.counts(spark, d), ["A", "N", "R"])
 

@@ -200,6 +200,16 @@ def test_given_windows(spark):
     assert {(r.enzyme, r.chunk): r["count"] for r in got} == {(0, 0): 5, (0, 1): 4, (1, 0): 5, (1, 1): 4}
 
 
+def test_anchor_matrix_leaves_masked_anchors_out(spark):
+    from tagforge.operators.dynamics import anchor_matrix
+
+    rows = [("a", 1, 0, 5, 2, 3, True), ("b", 1, 0, 5, 2, 4, True), ("a", 1, 0, 9, 2, 7, False), ("a", 2, 1, 5, 0, 1, True)]
+    counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, position bigint, enzyme int, count int, usable boolean")
+    plain = lambda **k: {r.anchor: (r.a, r.b) for r in anchor_matrix(counts, ["a", "b"], **k).collect()}
+    assert plain() == {"1:0:5:2": (3, 4), "2:1:5:0": (1, 0)}
+    assert plain(usable_only=False, genome=1) == {"1:0:5:2": (3, 4), "1:0:9:2": (7, 0)}
+
+
 def test_model_queries_run(spark, sf):
     import __spark_entry__ as entry
 

@@ -279,15 +279,15 @@ def db_signature(spark, d):
 @query("SELECT genome_id, genome, r_name AS taxonomy FROM contigs LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2) ON n_name = genome WHERE contig_id = 0", (X.CONTIGS_SQL,))
 def taxonomy_attach(spark, d):
     n, r = X.table(spark, d, "nation"), X.table(spark, d, "region").where("r_regionkey <> 2")
-    t = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("genome"), F.col("r_name").alias("taxonomy"))
-    return X.contigs(spark, d).where("contig_id = 0").select("genome_id", "genome").join(F.broadcast(t), "genome", "left")
+    t = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("genome"), F.col("r_name").alias("taxonomy"))
+    return X.contigs(spark, d).where("contig_id = 0").select("genome_id", "genome").join(t, "genome", "left")
 
 
 @query("SELECT g.genome_id, genome_len, o.position AS ori FROM (SELECT genome_id, any_value(genome) AS genome, sum(length)::BIGINT AS genome_len FROM contigs GROUP BY genome_id) g LEFT JOIN (SELECT n_name, n_nationkey * 250 AS position FROM nation) o ON o.n_name = genome AND o.position < genome_len", (X.CONTIGS_SQL,))
 def ori_attach(spark, d):
     g = X.contigs(spark, d).groupBy("genome_id", "genome").agg(F.sum("length").alias("genome_len"))
     o = X.table(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 250).alias("ori"))
-    return g.join(F.broadcast(o), (F.col("name") == F.col("genome")) & (F.col("ori") < F.col("genome_len")), "left").select("genome_id", "genome_len", "ori")
+    return g.join(o, (F.col("name") == F.col("genome")) & (F.col("ori") < F.col("genome_len")), "left").select("genome_id", "genome_len", "ori")
 
 
 def draft(spark, d):

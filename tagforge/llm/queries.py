@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagforge.llm import html_extract, huffman, langid, matroska, mixing, neardup, packing, quality, rules, toxicity
+from tagforge.llm import ctw, html_extract, huffman, langid, matroska, mixing, neardup, packing, quality, rules, toxicity
 from tagforge.llm.common import load
 
 END_ID = 1
@@ -60,6 +60,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(load(spark, sf_dir, "documents"))
 
 
+def op11_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return ctw.score(docs, ctw.train(docs))
+
+
 #: Mixing in DuckDB: water level over sources, then one running total per source in key order.
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -84,5 +89,5 @@ FROM run
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing, op11_context_tree_lm)}
 ORACLE_SQL = {"op10_source_mixing": OP10_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagforge.llm import ctw, html_extract, huffman, langid, matroska, mixing, neardup, packing, quality, rules, toxicity
+from tagforge.llm import ctw, html_extract, huffman, langid, matroska, mixing, neardup, packing, quality, rules, toxicity, whitening
 from tagforge.llm.common import load
 
 END_ID = 1
@@ -65,6 +65,10 @@ def op11_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, ctw.train(docs))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 #: Mixing in DuckDB: water level over sources, then one running total per source in key order.
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -89,5 +93,5 @@ FROM run
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing, op11_context_tree_lm)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing, op11_context_tree_lm, op12_embedding_whitening)}
 ORACLE_SQL = {"op10_source_mixing": OP10_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagforge.llm import ctw, html_extract, huffman, langid, matroska, mixing, neardup, packing, quality, rules, toxicity, whitening
+from tagforge.llm import ctw, html_extract, huffman, langid, matroska, mixing, neardup, packing, phrases, quality, rules, toxicity, whitening
 from tagforge.llm.common import load
 
 END_ID = 1
@@ -69,6 +69,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(load(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(load(spark, sf_dir, "documents"))
+
+
 #: Mixing in DuckDB: water level over sources, then one running total per source in key order.
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -93,5 +97,5 @@ FROM run
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing, op11_context_tree_lm, op12_embedding_whitening)}
-ORACLE_SQL = {"op10_source_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_quality_classifier, op4_quality_rules, op5_media_columns, op6_minhash_near_dedup, op7_token_huffman, op8_best_fit_packing, op9_language_id, op10_source_mixing, op11_context_tree_lm, op12_embedding_whitening, op13_phrase_mining)}
+ORACLE_SQL = {"op10_source_mixing": OP10_SQL, "op13_phrase_mining": phrases.SQL}

@@ -8,7 +8,6 @@ from tagforge.functions import stats as S
 from tagforge.operators import dynamics as Y
 from tagforge.operators import gcbias as G
 from tagforge.operators import mixture as M
-from tagforge.operators import simulate as Z
 from tagforge.operators import vfit as V
 from tagforge.operators import windows as N
 from tagforge.plans import statistics as Q
@@ -74,48 +73,103 @@ def vfit_two_stage(spark, d):
     return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="v_shape")
 
 
-@query()
-def vfit_segmented(spark, d):
-    return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="auto")
-
-
-BY_ENZYME = "(PARTITION BY sample, genome_id, enzyme)"
+G3 = "sample, genome_id, enzyme"
 KNOWN_ORI = 1000
-#: Weighted means and sums of squares about them, of distance and rate in each group.
-_ABOUT = "SELECT *, sum(w * d) OVER g / sum(w) OVER g AS mx, sum(w * y) OVER g / sum(w) OVER g AS my FROM {0} WINDOW g AS " + BY_ENZYME
-KNOWN_SQL = f"""vq AS (SELECT *, quantile_cont(log2_rate, 0.25) OVER g AS q1, quantile_cont(log2_rate, 0.75) OVER g AS q3, count(*) OVER g AS seen FROM rates WHERE log2_rate IS NOT NULL AND log2_se > 0 WINDOW g AS {BY_ENZYME}),
-vw AS (SELECT sample, genome_id, enzyme, {Q.dist_sql(f"mid - {KNOWN_ORI}")} AS d, log2_rate AS y, log2_se AS s, 1 / (log2_se * log2_se) AS w FROM vq WHERE seen < 4 OR q3 <= q1 OR log2_rate BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
-v1 AS (SELECT sample, genome_id, enzyme, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(w * (d - mx) * (y - my)) / sum(w * (d - mx) ** 2) AS b, regr_slope(ln(s), y) AS eb, regr_intercept(ln(s), y) AS ea, min(s) AS lo, max(s) AS hi FROM ({_ABOUT.format("vw")}) GROUP BY ALL),
-v2 AS (SELECT sample, genome_id, enzyme, n, d, y, 1 / CASE WHEN n < 8 THEN s ELSE least(hi, greatest(lo, exp(ea + eb * (my + b * (d - mx))))) END ** 2 AS w FROM vw JOIN v1 USING (sample, genome_id, enzyme)),
-v3 AS (SELECT sample, genome_id, enzyme, n, sum(w * (d - mx) ** 2) AS sxx, sum(w * (d - mx) * (y - my)) AS sxy, sum(w * (y - my) ** 2) AS syy FROM ({_ABOUT.format("v2")}) GROUP BY ALL)"""
-
-
-@query(
-    f"""SELECT sample, genome_id, enzyme, n_windows, coalesce(n, 0) AS n_windows_used, CASE WHEN n >= 5 THEN 'v_shape' ELSE 'none' END AS method, CASE WHEN n >= 5 THEN '' ELSE 'too few windows' END AS note,
-  CASE WHEN n >= 5 THEN round(-sxy / sxx * {Q.GENOME} / 2, 5) END AS log2_ptr, CASE WHEN n >= 5 THEN round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) * {Q.GENOME} / 2, 5) END AS se, CASE WHEN n >= 5 THEN round(sxy * sxy / sxx / syy, 5) END AS r2
-FROM (SELECT sample, genome_id, enzyme, count(*) AS n_windows FROM rates GROUP BY ALL) LEFT JOIN v3 USING (sample, genome_id, enzyme)""",
-    (*Q.RATES, KNOWN_SQL),
-)
+#: No kink is one at the terminus.
+NO_KINK = 1.0
+
+
+def points_sql(source: str) -> str:
+    """Windows of a source (x, y, s) that the quartile fences keep, their weights, and how many a group has."""
+    return f"""points AS (SELECT {G3}, x, y, s, CASE WHEN s > 0 THEN 1 / s ** 2 ELSE median(CASE WHEN s > 0 THEN 1 / s ** 2 END) OVER g END AS w, count(*) OVER g AS n FROM (
+  SELECT *, quantile_cont(y, 0.25) OVER g AS q1, quantile_cont(y, 0.75) OVER g AS q3, count(*) OVER g AS seen FROM {source} WHERE y IS NOT NULL WINDOW g AS (PARTITION BY {G3}))
+  WHERE seen < 4 OR q3 <= q1 OR y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) WINDOW g AS (PARTITION BY {G3}))"""
+
+
+def lines_sql(name: str, points: str, tried: str) -> tuple[str, ...]:
+    """CTE ``name``: the weighted bent line of every (group, o, k) of ``tried``, from sums about the weighted means."""
+    at = f"{G3}, o, k"
+    det = "(s11 * s22 - s12 * s12)"
+    return (
+        f"{name}_t AS MATERIALIZED (SELECT {at}, y, w, n, least(d, k) AS u1, greatest(d - k, 0) AS u2 FROM (SELECT p.*, o, k, {Q.dist_sql('x - o')} / ({Q.GENOME} / 2) AS d FROM {points} p JOIN {tried} USING ({G3})))",
+        f"{name}_m AS (SELECT {at}, sum(w * u1) / sum(w) AS m1, sum(w * u2) / sum(w) AS m2, sum(w * y) / sum(w) AS my FROM {name}_t GROUP BY ALL)",
+        f"{name}_s AS (SELECT {at}, n, m1, m2, my, sum(w * (u1 - m1) ** 2) AS s11, sum(w * (u1 - m1) * (u2 - m2)) AS s12, sum(w * (u2 - m2) ** 2) AS s22, sum(w * (u1 - m1) * (y - my)) AS s1y, sum(w * (u2 - m2) * (y - my)) AS s2y FROM {name}_t JOIN {name}_m USING ({at}) GROUP BY ALL)",
+        f"{name}_b AS MATERIALIZED (SELECT *, CASE WHEN k = {NO_KINK} THEN s1y / s11 ELSE (s1y * s22 - s2y * s12) / {det} END AS b1, CASE WHEN k = {NO_KINK} THEN 0 ELSE (s2y * s11 - s1y * s12) / {det} END AS b2 FROM {name}_s)",
+        f"{name}_r AS (SELECT {at}, sum(w * e * e) AS chi2, sum(e * e) AS sse FROM (SELECT {at}, w, y - my - b1 * (u1 - m1) - b2 * (u2 - m2) AS e FROM {name}_t JOIN {name}_b USING ({at})) GROUP BY ALL)",
+        f"{name} AS MATERIALIZED (SELECT *, n * ln(greatest(cost / n, 1e-12)) + par * ln(n) AS bic, red * CASE WHEN k = {NO_KINK} THEN 1 / s11 ELSE (k * k * s22 - 2 * k * (1 - k) * s12 + (1 - k) * (1 - k) * s11) / {det} END AS var FROM (SELECT *, red * greatest(n - par, 1) AS cost FROM ("
+        f"SELECT *, b1 > 0 OR b2 > 0 AS uphill, -(b1 * k + b2 * (1 - k)) AS log2_ptr, CASE WHEN k = {NO_KINK} THEN 2 ELSE 4 END AS par, chi2 / greatest(n - CASE WHEN k = {NO_KINK} THEN 2 ELSE 3 END, 1) AS red FROM {name}_b JOIN {name}_r USING ({at}))))",
+    )
+
+
+def vfit_sql(source: str, known: int | None) -> tuple[str, ...]:
+    """CTE ``vfit``: both stages at a known origin, or with one searched on the grid and refined."""
+    step = f"({Q.GENOME} / 180.0::DOUBLE)"
+    origins = f"(SELECT i, i * {step} AS o FROM range(180) a(i))" if known is None else f"(SELECT 0 AS i, {known}::DOUBLE AS o)"
+    groups = f"(SELECT DISTINCT {G3}, n FROM points WHERE n >= 5)"
+    allowed = "NOT uphill" if known is None else "true"
+    out = [points_sql(source), f"probes AS (SELECT {G3}, o, {NO_KINK}::DOUBLE AS k FROM {groups}, {origins} WHERE i % 7 = 0)", *lines_sql("probe", "points", "probes")]
+    out.append(f"tried AS MATERIALIZED (SELECT {G3}, o, k FROM {groups} JOIN (SELECT {G3}, coalesce(max(log2_ptr) FILTER ({allowed}) >= 1, false) AS steep FROM probe GROUP BY ALL) USING ({G3}), {origins}, (SELECT unnest([{NO_KINK}, 0.25, 0.4, 0.55, 0.7])::DOUBLE AS k) WHERE k = {NO_KINK} OR n >= 30 AND steep)")
+    points = "points"
+    for stage in ("a", "b"):
+        out += [*lines_sql(f"{stage}0", points, "tried"), f"{stage}1 AS MATERIALIZED (SELECT * EXCLUDE (low) FROM (SELECT *, min(bic) OVER (PARTITION BY {G3}) AS low FROM {stage}0 WHERE {allowed}) WHERE bic <= low + 1e-7 QUALIFY row_number() OVER (PARTITION BY {G3} ORDER BY o, k = {NO_KINK} DESC, k) = 1)"]
+        if known is None:
+            fine = f"(SELECT {G3}, k, f - {Q.GENOME} * floor(f / {Q.GENOME}) AS o FROM (SELECT {G3}, k, o - {step} + j * ({step} / 20) AS f FROM {stage}1, range(41) a(j)))"
+            out += [*lines_sql(f"{stage}2", points, fine), f"{stage} AS MATERIALIZED (SELECT * EXCLUDE (first, low) FROM (SELECT *, min(sse) OVER (PARTITION BY {G3}) AS low FROM (SELECT *, 0 AS first FROM {stage}1 UNION ALL BY NAME SELECT *, 1 AS first FROM {stage}2 WHERE NOT uphill)) WHERE sse <= low * (1 + 1e-7) QUALIFY row_number() OVER (PARTITION BY {G3} ORDER BY first, o) = 1)"]
+        else:
+            out.append(f"{stage} AS (SELECT * FROM {stage}1)")
+        if stage == "a":
+            out.append(f"""trend AS (SELECT {G3}, regr_slope(ln(s), y) AS eb, regr_intercept(ln(s), y) AS ea, min(s) AS lo, max(s) AS hi, count(*) AS usable FROM points WHERE s > 0 GROUP BY ALL),
+again AS MATERIALIZED (SELECT {G3}, x, y, n, CASE WHEN usable < 8 THEN w ELSE 1 / least(hi, greatest(lo, exp(ea + eb * (my + b1 * (least(d, k) - m1) + b2 * (greatest(d - k, 0) - m2))))) ** 2 END AS w
+  FROM (SELECT p.*, k, my, m1, m2, b1, b2, {Q.dist_sql('x - o')} / ({Q.GENOME} / 2) AS d FROM points p JOIN a USING ({G3})) JOIN trend USING ({G3}))""")
+            points = "again"
+    out.append(f"vfit AS (SELECT * FROM b JOIN (SELECT {G3}, sum((y - my) ** 2) AS scatter FROM (SELECT {G3}, y, avg(y) OVER (PARTITION BY {G3}) AS my FROM points) GROUP BY ALL) USING ({G3}))")
+    return tuple(out)
+
+
+VFIT_SELECT = f"""SELECT {G3}, coalesce(p.n, 0) AS n_windows, CASE WHEN k IS NULL THEN 'none' WHEN k < {NO_KINK} THEN 'v_shape_segmented' ELSE 'v_shape' END AS method, round(log2_ptr, 5) AS log2_ptr, CASE WHEN k IS NOT NULL THEN round(sqrt(greatest(var, 0)), 5) END AS se, round(1 - sse / scatter, 5) AS r2,
+  round(red, 4) AS reduced_chi2, CASE WHEN k < {NO_KINK} THEN k * {Q.GENOME} / 2 END AS kink{{more}} FROM (SELECT DISTINCT {G3} FROM {{source}}) LEFT JOIN (SELECT DISTINCT {G3}, n FROM points) p USING ({G3}) LEFT JOIN vfit USING ({G3})"""
+RATE_POINTS = "rp AS (SELECT sample, genome_id, enzyme, mid AS x, log2_rate AS y, log2_se AS s FROM rates)"
+
+
+def vfit_columns(fits):
+    return fits.select(*Q.GROUP, "n_windows", "method", *[F.round(c, 5).alias(c) for c in ("log2_ptr", "se", "r2")], F.round("reduced_chi2", 4).alias("reduced_chi2"), "kink")
+
+
+@query(VFIT_SELECT.format(source="rp", more=""), (*Q.RATES, RATE_POINTS, *vfit_sql("rp", KNOWN_ORI)))
 def vfit_known_origin(spark, d):
-    """Two-stage weights at a given origin; the fixture's gradients are too flat for a kink."""
+    """Both stages at a given origin, slopes as they are."""
     r = Q.rates(spark, d)
     genomes = r.select("genome_id").distinct().select("genome_id", F.lit(Q.GENOME).alias("genome_len"), F.lit(KNOWN_ORI).alias("ori"))
-    return V.fit_windows(r, genomes, method="v_shape").select(*Q.GROUP, "n_windows", "n_windows_used", "method", "note", *[F.round(c, 5).alias(c) for c in ("log2_ptr", "se", "r2")])
+    return vfit_columns(V.fit_windows(r, genomes, method="v_shape"))
 
 
-@query()
-def ransac(spark, d):
-    return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="sorted")
+#: Profiles with a kink, with a second slope that rises, straight and flat, about one origin; the rates' scatter on them.
+STEEP_ORI = 123_456
+STEEP = f"""steep AS (SELECT sample, genome_id, (enzyme % 2)::INT AS enzyme, x, 0.15 * log2_rate + CASE (genome_id + enzyme % 2) % 4 WHEN 0 THEN -3.0 * least(d, 0.4) - 0.5 * greatest(d - 0.4, 0)
+  WHEN 1 THEN -3.2 * least(d, 0.55) + 1.5 * greatest(d - 0.55, 0) WHEN 2 THEN -1.6 * d ELSE 0.05 * d END AS y, log2_se AS s
+  FROM (SELECT *, {Q.dist_sql(f'x - {STEEP_ORI}')} / ({Q.GENOME} / 2) AS d FROM (SELECT *, mid * 97 - {Q.GENOME} * floor(mid * 97 / {Q.GENOME}) AS x FROM rates)))"""
 
 
-@query()
-def simulate_route_a(spark, d):
-    return Z.errors(Z.run_grid(spark, Z.route_a(), [1.0, 2.0]))
+def steep(spark, d):
+    r = Q.rates(spark, d).withColumn("x", F.col("mid") * 97 - Q.GENOME * F.floor(F.col("mid") * 97 / Q.GENOME))
+    t = F.pmod(F.col("x") - STEEP_ORI, F.lit(float(Q.GENOME)))
+    dist = F.least(t, F.lit(float(Q.GENOME)) - t) / (Q.GENOME / 2)
+    bent = lambda k, near, far: near * F.least(dist, F.lit(k)) + far * F.greatest(dist - k, F.lit(0.0))
+    kind = (F.col("genome_id") + F.col("enzyme") % 2) % 4
+    profile = F.when(kind == 0, bent(0.4, -3.0, -0.5)).when(kind == 1, bent(0.55, -3.2, 1.5)).when(kind == 2, -1.6 * dist).otherwise(0.05 * dist)
+    return r.select("sample", "genome_id", (F.col("enzyme") % 2).cast("int").alias("enzyme"), F.col("x").alias("mid"), (0.15 * F.col("log2_rate") + profile).alias("log2_rate"), "log2_se")
+
+
+@query(VFIT_SELECT.format(source="steep", more=", round(o, 2) AS ori"), (*Q.RATES, STEEP, *vfit_sql("steep", None)))
+def vfit_segmented(spark, d):
+    """Origin and kink searched together for every enzyme of steep profiles; a second slope that rises is refused."""
+    f = V.fit_windows(steep(spark, d), float(Q.GENOME), method="v_shape", shared_ori=False)
+    return vfit_columns(f).join(f.select(*Q.GROUP, F.round("ori", 2).alias("ori")), Q.GROUP)
 
 
 @query()
-def simulate_route_b(spark, d):
-    return Z.errors(Z.run_grid(spark, Z.route_b(), [1.0]))
+def ransac(spark, d):
+    return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="sorted")
 
 
 @query(f"SELECT sample, genome_id, round(q, 5) AS q, k, CASE WHEN k > 1 THEN round({chi2_sql('q', '(k - 1)')}, 6) END AS p FROM fused", Q.FUSED)

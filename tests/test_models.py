@@ -84,6 +84,62 @@ def test_v_fit_recovers_a_planted_gradient(truth):
     assert fit_v(x, y, np.full(180, 0.02), length, ori=ori)["r2"] > 0.9
 
 
+def profile(ori, length, n, make, seed=1, noise=0.02):
+    x = np.arange(n) * length / n
+    d = np.minimum((x - ori) % length, (ori - x) % length) / (length / 2)
+    return x, make(d) + np.random.default_rng(seed).normal(0, noise, n)
+
+
+def test_v_fit_finds_a_kink_and_refuses_one_that_rises():
+    length, ori = 4_000_000.0, 1_000_000.0
+    x, y = profile(ori, length, 200, lambda d: -3.5 * np.minimum(d, 0.4) - 0.4 * np.maximum(d - 0.4, 0))
+    fit = fit_v(x, y, np.full(200, 0.02), length)
+    assert fit["method"] == "v_shape_segmented" and fit["kink"] == 0.4 * length / 2 and fit["log2_ptr"] == pytest.approx(1.64, abs=0.03) and abs(fit["ori"] - ori) < length / 100
+    x, y = profile(ori, length, 200, lambda d: -4.5 * np.minimum(d, 0.55) + 2.0 * np.maximum(d - 0.55, 0))
+    searched, known = fit_v(x, y, np.full(200, 0.02), length), fit_v(x, y, np.full(200, 0.02), length, ori=ori)
+    assert searched["kink"] != 0.55 * length / 2
+    assert known["method"] == "v_shape_segmented" and known["log2_ptr"] == pytest.approx(1.575, abs=0.03)
+    few = fit_v(x[::10], y[::10], np.full(20, 0.02), length, ori=ori)
+    assert few["method"] == "v_shape" and not few["segmented"]
+
+
+def test_searched_slopes_never_rise(monkeypatch):
+    from tagforge.operators import vfit
+
+    seen = []
+    real = vfit.Lines
+
+    class Seen(real):
+        def __init__(self, *a):
+            super().__init__(*a)
+            seen.append(self)
+
+    monkeypatch.setattr(vfit, "Lines", Seen)
+    length = 4_000_000.0
+    for seed in range(5):
+        x, y = profile(5e5 * seed, length, 120, lambda d: -4 * np.minimum(d, 0.4) + seed * np.maximum(d - 0.4, 0), seed, 0.2)
+        seen.clear()
+        fit = fit_v(x, y, np.full(120, 0.2), length)
+        chosen = [f.coef[i] for f in seen for i in range(len(f.coef)) if f.log2_ptr[i] == fit["log2_ptr"]]
+        assert fit["ok"] and chosen and all((c[1:] <= 0).all() for c in chosen)
+
+
+def test_r2_is_unweighted_and_falls_below_zero():
+    x, y = profile(0, 1000.0, 6, lambda d: 0 * d, 3, 1.0)
+    fit = fit_v(x, y, np.array([1e-3, 1e-3, 5, 5, 5, 5.0]), 1000.0, ori=0.0)
+    a = np.stack([np.ones(6), np.minimum(x, 1000 - x) / 500], 1)
+    w = 1 / np.array([1e-3, 1e-3, 5, 5, 5, 5.0]) ** 2
+    off = y - a @ np.linalg.solve(a.T @ (w[:, None] * a), a.T @ (w * y))
+    assert fit["r2"] == pytest.approx(1 - (off**2).sum() / ((y - y.mean()) ** 2).sum(), rel=1e-6) and fit["r2"] < 0
+
+
+def test_windows_without_a_usable_error_weigh_as_the_median():
+    x, y = profile(0, 1000.0, 40, lambda d: -d, 4)
+    se = np.full(40, 0.1)
+    se[::5] = [np.nan, 0, -1, np.inf, np.nan, 0, np.nan, 0]
+    assert fit_v(x, y, se, 1000.0, ori=0.0)["log2_ptr"] == pytest.approx(fit_v(x, y, np.full(40, 0.1), 1000.0, ori=0.0)["log2_ptr"], rel=1e-9)
+
+
 def test_sorted_fit_and_simulation():
     y = np.linspace(0, 1, 100)
     assert fit_sorted(y)["log2_ptr"] == pytest.approx(100 / 99, rel=1e-6)
@@ -213,7 +269,7 @@ def test_anchor_matrix_leaves_masked_anchors_out(spark):
 def test_model_queries_run(spark, sf):
     import __spark_entry__ as entry
 
-    for name in ("lowess_gc", "vfit_two_stage", "ransac", "q_pvalue", "delta_pvalues", "simulate_route_b", "window_rate_models", "gc_corrected_rates"):
+    for name in ("lowess_gc", "vfit_two_stage", "ransac", "q_pvalue", "delta_pvalues", "window_rate_models", "gc_corrected_rates"):
         assert entry.queries()[name](spark, sf).count() > 0, name
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagforge.operators import fusion, gcbias, mixture, vfit, windows
+from tagforge.operators.rates import tukey_keep
 
 
 def estimate(
@@ -34,19 +35,28 @@ def estimate(
     rates = rates.withColumn("dispersion", F.try_divide("var", "mean")).withColumn("detected_fraction", F.col("n_positive") / F.col("n_anchors"))
     rates = gcbias.apply_offset(rates) if gc_correct else rates
     fits = vfit.fit_windows(rates, genomes, method=method, min_windows=min_windows, shared_ori=shared_ori)
-    means = rates.groupBy(*both, "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("n_anchors"))
-    fits = fits.join(means, [*both, "enzyme"], "left")
-    est = fits.select(*both, "enzyme", F.when(F.col("ok"), F.col("log2_ptr")).alias("est"), "se", "n_anchors", "r2")
-    est = fusion.exclusions(est, min_anchors)
+    kept = tukey_keep(rates, "log2_rate", [*both, "enzyme"]).where("keep")
+    means = kept.groupBy(*both, "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("n_anchors"))
+    fits = fits.join(means, [*both, "enzyme"], "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
+    return rates, fits, assemble(fits, genomes, containment, alpha, min_anchors, gates)
+
+
+def assemble(fits: DataFrame, genomes: DataFrame, containment: DataFrame | None = None, alpha: float = 0.05, min_anchors: int = 30, gates: dict | None = None) -> DataFrame:
+    """The output table from per-enzyme fits: one row per sample and genome, figures over the enzymes used, flags; its file has the columns of :data:`tables.OUTPUT_COLUMNS`.
+
+    ``fits`` has sample, genome_id, enzyme, log2_ptr, se, ok, note, method, ori, ori_confidence, n_windows_used, r2, n_anchors, mean_rate, mean_fraction and mean_dispersion.
+    """
+    both = ["sample", "genome_id"]
+    est = fusion.exclusions(fits.withColumn("est", F.when(F.col("ok"), F.col("log2_ptr"))), min_anchors)
     fused = fusion.fuse(est, alpha=alpha)
-    extra = fits.groupBy(*both).agg(F.avg("mean_rate").alias("coverage"), F.avg("mean_fraction").alias("fraction"), F.avg("mean_dispersion").alias("dispersion"), F.sum("n_anchors").alias("n_anchors"), F.median("ori").alias("ori"), F.avg("ori_confidence").alias("ori_confidence"), F.sum("n_windows").alias("n_windows"), F.first("method").alias("method"), F.count("*").alias("n_enzymes_attempted"))
-    out = extra.join(fused, both, "left").join(fusion.fuse_table(est, fused).drop("n_attempted"), both, "left")
-    out = out.join(genomes.select("genome_id", "genome", *[c for c in ("taxonomy",) if c in genomes.columns]), "genome_id", "left")
+    out = fusion.fuse_table(est, fused).join(fused, both, "left")
+    known = genomes.select("genome_id", "genome", (F.col("taxonomy") if "taxonomy" in genomes.columns else F.lit(None).cast("string")).alias("taxonomy"))
+    out = out.join(known, "genome_id", "left").withColumn("taxonomy", F.coalesce("taxonomy", F.lit("-")))
     if containment is not None:
         out = out.join(containment.select(*both, "containment"), both, "left")
-    out = out.withColumn("enzyme_consistency", F.col("q_pvalue")).withColumn("enzyme_fit_rate", F.coalesce(F.col("k"), F.lit(0)) / F.col("n_enzymes_attempted")).withColumn("note", fusion.note(alpha))
-    out = fusion.with_qc(out, **{"alpha": alpha} | (gates or {})).withColumn("PTR", F.col("ptr")).withColumn("log2(PTR)", F.col("log2_ptr")).withColumn("n_enzymes", F.col("k")).withColumn("enzyme_i2", F.col("i2"))
-    return rates, fits, out.drop("ptr")
+    out = out.withColumn("enzyme_consistency", F.col("q_pvalue")).withColumn("enzyme_fit_rate", F.coalesce(F.col("k"), F.lit(0)) / F.col("n_attempted")).withColumn("note", fusion.note(alpha))
+    out = fusion.with_qc(out, **{"alpha": alpha} | (gates or {})).withColumn("log2(PTR)", F.col("log2_ptr")).withColumn("n_enzymes", F.coalesce(F.col("k"), F.lit(0))).withColumn("enzyme_i2", F.col("i2"))
+    return out.withColumn("fusion_model", F.coalesce("fusion_model", F.lit("none"))).withColumnRenamed("n_attempted", "n_enzymes_attempted").withColumnRenamed("ptr", "PTR")  # names ignore case
 
 
 def audit(sites: DataFrame, contigs: DataFrame, min_anchors: int = 50, wide_gap: int = 5000) -> DataFrame:

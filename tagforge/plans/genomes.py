@@ -211,18 +211,30 @@ def sample_name(spark, d):
     return p.select("page_id", S.sample_name(path).alias("sample"))
 
 
-@query("SELECT code, mask FROM (VALUES " + ", ".join(f"('{k}', {sum({'A': 1, 'C': 2, 'G': 4, 'T': 8}[b] for b in v)})" for k, v in IUPAC.items()) + ", ('X', 0)) t(code, mask)")
+CODE_MASKS = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {sum({'A': 1, 'C': 2, 'G': 4, 'T': 8}[b] for b in v)}" for k, v in IUPAC.items()) + " ELSE 0 END"
+
+
+@query(f"SELECT p_partkey, code, {CODE_MASKS.format('code')} AS mask FROM (SELECT p_partkey, upper(substr(p_name, 1, 1)) AS code FROM part)")
 def iupac_masks(spark, d):
-    return spark.createDataFrame([(k,) for k in [*IUPAC, "X"]], "code string").select("code", S.iupac_mask("code").alias("mask"))
+    return X.table(spark, d, "part").select("p_partkey", F.upper(F.substring("p_name", 1, 1)).alias("code")).withColumn("mask", S.iupac_mask("code"))
 
 
-@query("SELECT code, base, mask & bit > 0 AS matches FROM (VALUES " + ", ".join(f"('{k}', {sum({'A': 1, 'C': 2, 'G': 4, 'T': 8}[b] for b in v)})" for k, v in IUPAC.items()) + ", ('X', 0)) t(code, mask), (VALUES ('A', 1), ('C', 2), ('G', 4), ('T', 8), ('N', 0)) b(base, bit)")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, code, base, {CODE_MASKS.format('code')} & {CODE_MASKS.format('base')} > 0 AND base <> 'N' AS matches FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS code, substr('ACGTN', (l_partkey % 5 + 1)::INT, 1) AS base FROM lineitem)")
 def iupac_match(spark, d):
-    codes = spark.createDataFrame([(k, b) for k in [*IUPAC, "X"] for b in "ACGTN"], "code string, base string")
-    return codes.select("code", "base", S.iupac_matches("code", "base").alias("matches"))
+    base = F.substring(F.lit("ACGTN"), (F.col("l_partkey") % 5 + 1).cast("int"), F.lit(1))
+    codes = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("code"), base.alias("base"))
+    return codes.withColumn("matches", S.iupac_matches("code", "base"))
 
 
-@query("SELECT inner_name, outer_name, total, i.idx AS inner_idx, o.idx AS outer_idx FROM (VALUES " + ", ".join(f"('{a}', '{b}', {t})" for a, b, t in CONTAINED) + ") c(inner_name, outer_name, total) JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") i(name, idx) ON i.name = inner_name JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") o(name, idx) ON o.name = outer_name")
+@query(
+    "SELECT inner_name, outer_name, total, (SELECT count(*) FROM sites WHERE enzyme_idx = i.idx) AS n_inner, (SELECT count(*) FROM sites WHERE enzyme_idx = o.idx) AS n_outer FROM (VALUES "
+    + ", ".join(f"('{a}', '{b}', {t})" for a, b, t in CONTAINED) + ") c(inner_name, outer_name, total) JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") i(name, idx) ON i.name = inner_name JOIN (VALUES " + ", ".join(f"('{e.name}', {e.idx})" for e in ENZYMES) + ") o(name, idx) ON o.name = outer_name",
+    (X.CONTIGS_SQL, D.SITES_SQL),
+)
 def enzyme_containment(spark, d):
-    rows = [(a, b, t, BY_NAME[a.lower()].idx, BY_NAME[b.lower()].idx) for a, b, t in CONTAINED]
-    return spark.createDataFrame(rows, "inner_name string, outer_name string, total boolean, inner_idx int, outer_idx int")
+    """Tags that the digested genomes have of enzymes whose windows another enzyme's contain."""
+    n = D.sites(X.contigs(spark, d)).groupBy("enzyme_idx").agg(F.count("*").alias("n"))
+    rows = spark.createDataFrame([(a, b, t, BY_NAME[a.lower()].idx, BY_NAME[b.lower()].idx) for a, b, t in CONTAINED], "inner_name string, outer_name string, total boolean, i int, o int")
+    found = lambda at, name: n.select(F.col("enzyme_idx").alias(at), F.col("n").alias(name))
+    out = rows.join(found("i", "n_inner"), "i", "left").join(found("o", "n_outer"), "o", "left")
+    return out.select("inner_name", "outer_name", "total", F.coalesce("n_inner", F.lit(0)).alias("n_inner"), F.coalesce("n_outer", F.lit(0)).alias("n_outer"))

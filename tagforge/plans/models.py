@@ -8,11 +8,14 @@ from tagforge.functions import stats as S
 from tagforge.operators import dynamics as Y
 from tagforge.operators import gcbias as G
 from tagforge.operators import mixture as M
+from tagforge.operators import report
 from tagforge.operators import vfit as V
 from tagforge.operators import windows as N
 from tagforge.plans import statistics as Q
+from tagforge.operators.fusion import FUSE_SQL
 from tagforge.plans.registry import query
 from tagforge.sources import fixtures as X
+from tagforge.sources.tables import OUTPUT_COLUMNS
 
 
 # -- tail probabilities in DuckDB, as finite or fast sums -----------------------
@@ -177,6 +180,44 @@ def q_pvalue(spark, d):
     return Q.fused(spark, d).select(*Q.BY, F.round("q", 5).alias("q"), "k", F.round("q_pvalue", 6).alias("p"))
 
 
+#: Fits of every enzyme, some failed, from the estimates; genomes and containment from nations.
+_H = "(genome_id * 7 + enzyme * 3 + length(sample))"
+FITS_SQL = f"""fits AS (SELECT sample, genome_id, enzyme, {_H} % 6 <> 0 AS ok, CASE WHEN {_H} % 12 = 0 THEN 'no downhill origin' ELSE '' END AS note, CASE WHEN {_H} % 6 <> 0 THEN est END AS est, se, n_anchors, r2, n AS n_windows_used,
+  CASE WHEN {_H} % 4 = 1 THEN 'v_shape_segmented' ELSE 'v_shape' END AS method, {_H} * 1234.5::DOUBLE AS ori, {_H} % 10 / 10.0::DOUBLE AS ori_confidence, {_H} % 5 / 2.0::DOUBLE + 0.3013 AS mean_rate, {_H} % 7 / 8.0::DOUBLE + 0.2013 AS mean_fraction, {_H} % 13 / 2.0::DOUBLE + 0.0013 AS mean_dispersion FROM estimates)"""
+FIT_FUSE_SQL = FUSE_SQL.replace("FROM estimates", "FROM fits").replace("CASE WHEN est IS NULL THEN", "CASE WHEN NOT ok THEN CASE WHEN note = '' THEN 'fit failed' ELSE note END WHEN est IS NULL THEN")
+OUTPUT_SQL = f"""figures AS (SELECT sample, genome_id, avg(mean_rate) FILTER (reason IS NULL) AS coverage, avg(mean_dispersion) FILTER (reason IS NULL) AS dispersion, avg(mean_fraction) FILTER (reason IS NULL) AS fraction,
+  median(ori) FILTER (reason IS NULL) AS ori, median(ori_confidence) FILTER (reason IS NULL) AS ori_confidence, coalesce(sum(n_anchors) FILTER (reason IS NULL), 0)::BIGINT AS n_anchors, coalesce(sum(n_windows_used) FILTER (reason IS NULL), 0)::BIGINT AS n_windows,
+  coalesce(string_agg(DISTINCT method, ',' ORDER BY method) FILTER (reason IS NULL), 'none') AS method FROM reasoned GROUP BY ALL),
+whole AS (SELECT t.*, f.* EXCLUDE (sample, genome_id), u.* EXCLUDE (sample, genome_id), worst_name, n_name AS genome, coalesce(r_name, '-') AS taxonomy, CASE WHEN genome_id % 3 > 0 THEN (genome_id * 5 + length(sample)) % 9 / 9.0::DOUBLE END AS containment,
+  CASE WHEN k > 1 THEN {chi2_sql('q', '(k - 1)')} END AS p, coalesce(k, 0) / n_attempted::DOUBLE AS fit_rate
+  FROM tab t JOIN figures f USING (sample, genome_id) LEFT JOIN fused u USING (sample, genome_id) LEFT JOIN worst USING (sample, genome_id) LEFT JOIN nation ON n_nationkey = genome_id LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0)"""
+
+
+@query(
+    """SELECT sample, genome, taxonomy, round(coverage, 6) AS coverage, round(dispersion, 6) AS dispersion, round(fraction, 6) AS fraction, round(containment, 6) AS containment, round(2 ** log2_ptr, 6) AS "PTR", round(log2_ptr, 6) AS "log2(PTR)", round(p, 6) AS enzyme_consistency,
+  n_anchors, round(ori_confidence, 6) AS ori_confidence, round(se, 6) AS se, round(log2_ptr - 1.959963984540054 * se, 6) AS ci_low, round(log2_ptr + 1.959963984540054 * se, 6) AS ci_high, coalesce(k, 0) AS n_enzymes, n_attempted AS n_enzymes_attempted, round(fit_rate, 6) AS enzyme_fit_rate,
+  enzymes_used, round(i2, 5) AS enzyme_i2, coalesce(fusion_model, 'none') AS fusion_model, round(ori, 6) AS ori, method, n_windows, reason = '' AS pass_qc, reason AS qc_reason, excluded,
+  CASE WHEN k IS NULL THEN 'no enzyme produced a usable estimate' WHEN k = 1 THEN 'single enzyme: no cross-enzyme consistency check available' WHEN p < 0.05 THEN 'enzymes disagree (Q=' || format('{:.1f}', round(q, 1)) || ', p=' || format('{:.3g}', p) || '); largest deviation from ' || worst_name ELSE '' END AS note
+FROM (SELECT *, concat_ws('; ', CASE WHEN coverage < 1 THEN 'coverage ' || format('{:.2f}', round(coverage, 2)) || ' < 1.0' END, CASE WHEN fraction < 0.75 THEN 'fraction ' || format('{:.2f}', round(fraction, 2)) || ' < 0.75' END,
+  CASE WHEN dispersion > 5 THEN 'dispersion ' || format('{:.2f}', round(dispersion, 2)) || ' > 5.0' END, CASE WHEN containment < 0.5 THEN 'containment ' || format('{:.2f}', round(containment, 2)) || ' < 0.5' END, CASE WHEN p < 0.05 THEN 'enzymes disagree (p=' || format('{:.2g}', p) || ')' END,
+  CASE WHEN fit_rate < 0.8 THEN 'only ' || coalesce(k, 0) || '/' || n_attempted || ' enzymes produced a fit' END, CASE WHEN ori_confidence < 0.25 THEN 'ori_confidence ' || format('{:.2f}', round(ori_confidence, 2)) || ' < 0.25' END, CASE WHEN log2_ptr IS NULL THEN 'no PTR estimate' END) AS reason FROM whole)""",
+    (*Q.EST, FITS_SQL, FIT_FUSE_SQL, Q.TABLE_SQL, OUTPUT_SQL),
+)
+def output_assemble(spark, d):
+    """The 28 columns of the output table, assembled from fits of which some failed."""
+    e, h = X.estimates(spark, d), F.col("genome_id") * 7 + F.col("enzyme") * 3 + F.length("sample")
+    fits = e.select(
+        *Q.GROUP, (h % 6 != 0).alias("ok"), F.when(h % 12 == 0, "no downhill origin").otherwise("").alias("note"), F.col("est").alias("log2_ptr"), "se", "n_anchors", "r2", F.col("n").alias("n_windows_used"), F.when(h % 4 == 1, "v_shape_segmented").otherwise("v_shape").alias("method"),
+        (h * 1234.5).alias("ori"), (h % 10 / 10.0).alias("ori_confidence"), (h % 5 / 2.0 + 0.3013).alias("mean_rate"), (h % 7 / 8.0 + 0.2013).alias("mean_fraction"), (h % 13 / 2.0 + 0.0013).alias("mean_dispersion"),
+    )
+    n = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("genome_id"), F.col("n_name").alias("genome"), "n_regionkey")
+    r = X.table(spark, d, "region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("taxonomy"))
+    held = e.select("sample", "genome_id").distinct().where("genome_id % 3 > 0").withColumn("containment", (F.col("genome_id") * 5 + F.length("sample")) % 9 / 9.0)
+    out = report.assemble(fits, n.join(r, "n_regionkey", "left"), held, gates={"min_ori_confidence": 0.25})
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(F.col(f"`{c}`"), 5 if c == "enzyme_i2" else 6).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
+
+
 DELTA_P_SQL = f"dp AS (SELECT *, CASE WHEN z IS NOT NULL THEN {erfc_sql('(abs(z) / sqrt(2))')} END AS p FROM ({Q.DELTA_SQL.format(where="WHERE sample = 'click'", other="WHERE f.sample <> 'click'").replace('5) AS z', '12) AS z')}))"
 
 

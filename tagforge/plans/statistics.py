@@ -12,6 +12,7 @@ from tagforge.operators import fusion as U
 from tagforge.operators import rates as R
 from tagforge.operators import scaffold as P
 from tagforge.operators import windows as N
+from tagforge.panel import ENZYMES
 from tagforge.plans.registry import query
 from tagforge.sources import fixtures as X
 
@@ -191,9 +192,11 @@ def fuse_exclusions(spark, d):
     return e.select(*GROUP, "reason").join(res, GROUP, "left")
 
 
-TABLE_SQL = """tab AS (SELECT sample, genome_id, coalesce(string_agg(DISTINCT enzyme::VARCHAR, ',' ORDER BY enzyme::VARCHAR) FILTER (reason IS NULL), '') AS enzymes_used,
-  coalesce(string_agg(DISTINCT enzyme || ':' || reason, '; ' ORDER BY enzyme || ':' || reason) FILTER (reason IS NOT NULL), '') AS excluded, min(r2) AS min_r2, count(*) FILTER (r2 < 0) AS n_negative_r2, count(*) AS n_attempted FROM reasoned GROUP BY ALL),
-worst AS (SELECT r.sample, r.genome_id, enzyme AS worst_enzyme FROM reasoned r JOIN fused f USING (sample, genome_id) WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY r.sample, r.genome_id ORDER BY round(abs((est - log2_ptr) / r.se), 6) DESC, enzyme) = 1)"""
+NAMES = str([e.name for e in ENZYMES])
+TABLE_SQL = f"""named AS (SELECT *, {NAMES}[enzyme + 1] AS name FROM reasoned),
+tab AS (SELECT sample, genome_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (reason IS NULL), '-') AS enzymes_used, coalesce(string_agg(name || ':' || reason, ';' ORDER BY name) FILTER (reason IS NOT NULL), '-') AS excluded,
+  min(r2) FILTER (reason IS NULL) AS min_r2, count(*) FILTER (reason IS NULL AND r2 < 0) AS n_negative_r2, count(*) AS n_attempted FROM named GROUP BY ALL),
+worst AS (SELECT r.sample, r.genome_id, enzyme AS worst_enzyme, name AS worst_name FROM named r JOIN fused f USING (sample, genome_id) WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY r.sample, r.genome_id ORDER BY round(abs((est - log2_ptr) / r.se), 6) DESC, enzyme) = 1)"""
 
 
 @query("SELECT sample, genome_id, enzymes_used, excluded, round(min_r2, 6) AS min_r2, n_negative_r2, n_attempted, worst_enzyme FROM tab LEFT JOIN worst USING (sample, genome_id)", (*FUSED, TABLE_SQL))
@@ -201,27 +204,17 @@ def fuse_table(spark, d):
     return U.fuse_table(estimates(spark, d), fused(spark, d)).select(*BY, "enzymes_used", "excluded", F.round("min_r2", 6).alias("min_r2"), "n_negative_r2", "n_attempted", "worst_enzyme")
 
 
-OUTPUT_SQL = """outp AS (SELECT sample, genome_id, k, k / n_attempted::DOUBLE AS enzyme_fit_rate, n_attempted * 4 AS n_anchors, f.log2_ptr, f.se, f.i2 FROM fused f JOIN tab USING (sample, genome_id)),
-qc AS (SELECT *, concat_ws('; ', CASE WHEN n_anchors < 30 THEN 'too few anchors' END, CASE WHEN enzyme_fit_rate < 0.8 THEN 'few enzymes fitted' END, CASE WHEN log2_ptr IS NULL THEN 'no estimate' END) AS qc_reason FROM outp)"""
-
-
-def output(spark, d):
+@query(
+    """SELECT sample, genome_id, round(fit_rate, 6) AS enzyme_fit_rate, qc_reason, qc_reason = '' AS pass_qc FROM (SELECT *, concat_ws('; ', CASE WHEN coverage < 1 THEN 'coverage ' || format('{:.2f}', round(coverage, 2)) || ' < 1.0' END,
+  CASE WHEN fit_rate < 0.8 THEN 'only ' || coalesce(k, 0) || '/' || n_attempted || ' enzymes produced a fit' END, CASE WHEN log2_ptr IS NULL THEN 'no PTR estimate' END) AS qc_reason
+  FROM (SELECT t.*, k, log2_ptr, coalesce(k, 0) / n_attempted::DOUBLE AS fit_rate, n_attempted / 7.0::DOUBLE AS coverage FROM tab t LEFT JOIN fused USING (sample, genome_id)))""",
+    (*FUSED, TABLE_SQL),
+)
+def qc_flags(spark, d):
     e = estimates(spark, d)
     f = U.fuse(e)
-    j = f.join(U.fuse_table(e, f), BY).withColumn("enzyme_fit_rate", F.col("k") / F.col("n_attempted")).withColumn("n_anchors", F.col("n_attempted") * 4)
-    return U.with_qc(j)
-
-
-@query("SELECT sample, genome_id, n_anchors, round(enzyme_fit_rate, 6) AS enzyme_fit_rate, qc_reason, qc_reason = '' AS pass_qc FROM qc", (*FUSED, TABLE_SQL, OUTPUT_SQL))
-def qc_flags(spark, d):
-    return output(spark, d).select(*BY, "n_anchors", F.round("enzyme_fit_rate", 6).alias("enzyme_fit_rate"), "qc_reason", "pass_qc")
-
-
-@query("SELECT q.sample, n_name AS genome, r_name AS taxonomy, round(log2_ptr, 6) AS log2_ptr, round(se, 6) AS se, n_anchors, qc_reason FROM qc q LEFT JOIN nation ON n_nationkey = q.genome_id LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0", (*FUSED, TABLE_SQL, OUTPUT_SQL))
-def output_assemble(spark, d):
-    n = X.table(spark, d, "nation").select(F.col("n_nationkey").alias("genome_id"), F.col("n_name").alias("genome"), "n_regionkey")
-    t = X.table(spark, d, "region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("taxonomy"))
-    return output(spark, d).join(n, "genome_id", "left").join(t, "n_regionkey", "left").select("sample", "genome", "taxonomy", *r6("log2_ptr", "se"), "n_anchors", "qc_reason")
+    j = U.fuse_table(e, f).drop("coverage").join(f, BY, "left").withColumn("enzyme_fit_rate", F.coalesce("k", F.lit(0)) / F.col("n_attempted")).withColumn("coverage", F.col("n_attempted") / 7.0)
+    return U.with_qc(j).select(*BY, F.round("enzyme_fit_rate", 6).alias("enzyme_fit_rate"), "qc_reason", "pass_qc")
 
 
 TYPES = ["click", "purchase", "scroll", "signup", "view"]

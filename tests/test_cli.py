@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tagforge.cli import main
 from tagforge.functions.seq import COMPLEMENTS, CODES
+from tagforge.panel import ENZYMES
 
 TURN = str.maketrans(CODES, COMPLEMENTS)
 
@@ -31,6 +34,12 @@ def test_index_profile_dynamics_audit_scaffold(spark, tmp_path):
     assert {r["sample"] for r in stats} == {"a", "b"} and all(r.match_rate > 0.9 for r in stats)
     table = spark.read.csv(f"{out}/output", sep="\t", header=True, nullValue="NA").collect()
     assert len(table) == 2 and all(r.taxonomy == "Some lineage" for r in table) and len(table[0]) == 28
+    for r in table:
+        assert float(r.PTR) == pytest.approx(2 ** float(r["log2(PTR)"]), rel=1e-6) and float(r.ci_low) < float(r["log2(PTR)"]) < float(r.ci_high)
+        used, excluded = r.enzymes_used.split(","), dict(x.split(":", 1) for x in r.excluded.split(";")) if r.excluded != "-" else {}
+        assert set(used) | set(excluded) <= {e.name for e in ENZYMES} and len(used) == int(r.n_enzymes) and len(used) + len(excluded) == int(r.n_enzymes_attempted)
+        assert set(r.method.split(",")) <= {"v_shape", "v_shape_segmented"} and 0 < float(r.fraction) <= 1 and float(r.coverage) > 0 and float(r.enzyme_fit_rate) == pytest.approx(len(used) / int(r.n_enzymes_attempted), rel=1e-6)
+        assert (r.pass_qc == "true") == (not r.qc_reason)
     main(["profile", str(tmp_path / "a.fastq"), "-d", db, "-o", f"{out}2", "--screen", "--use-windows", "--figures", "--count-model", "ztp", "--min-coverage", "0.5"], spark)
     full = {tuple(r[k] for k in ("contig_id", "position", "enzyme_idx", "count")) for r in spark.read.parquet(f"{out}/counts").where("sample = 'a'").collect()}
     assert full == {tuple(r[k] for k in ("contig_id", "position", "enzyme_idx", "count")) for r in spark.read.parquet(f"{out}2/counts").collect()}

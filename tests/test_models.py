@@ -273,6 +273,16 @@ def test_model_queries_run(spark, sf):
         assert entry.queries()[name](spark, sf).count() > 0, name
 
 
+def test_short_numbers_read_as_percent_g(spark):
+    from pyspark.sql import functions as F
+
+    values = [0.0, 1.0, 0.05, 0.012, 0.0119999, 0.003, 3e-4, 9.96e-5, 9.94e-5, 1e-5, 1.2345e-12, 0.0999, 0.5, 4.44e-200]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3):
+        got = [r.s for r in df.select(fusion.short(F.col("v"), digits).alias("s")).collect()]
+        assert got == [f"{v:.{digits}g}" for v in values]
+
+
 def test_false_discovery_rates_by_brute_force(spark):
     from tagforge.operators.dynamics import benjamini_hochberg
 

@@ -25,7 +25,7 @@ def short(c: Column, digits: int) -> Column:
     scaled = F.round(c / F.pow(F.lit(10.0), power), digits - 1)
     power, scaled = F.when(F.abs(scaled) >= 10, power + 1).otherwise(power), F.when(F.abs(scaled) >= 10, scaled / 10).otherwise(scaled)
     bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    small = F.concat(bare(F.format_string(f"%.{digits - 1}f", scaled)), F.lit("e-"), F.lpad((-power).cast("string"), 2, "0"))
+    small = F.concat(bare(F.format_string(f"%.{digits - 1}f", scaled)), F.lit("e-"), F.format_string("%02d", (-power).cast("bigint")))
     return F.when(c == 0, "0").when(power < -4, small).otherwise(bare(F.format_string(f"%.{digits + 3}f", scaled * F.pow(F.lit(10.0), power))))
 
 

@@ -58,7 +58,7 @@ def profile(spark: SparkSession, a: argparse.Namespace) -> None:
     if bitset(enzymes) & ~params["enzymes"] and a.enzymes.lower() != "all":
         raise SystemExit("the database lacks some of these enzymes")
     anchors = anchors.where(F.col("enzyme_idx").isin([e.idx for e in enzymes]))
-    reads = fasta.read_reads(spark, a.reads, a.per_file)
+    reads = stored(fasta.read_reads(spark, a.reads, a.per_file))  # files are parsed once
     if a.screen:
         anchors = anchors.join(stored(screened(spark, a, reads)), "genome_id", "left_semi")
     wins = stored(match.read_windows(reads, enzymes))

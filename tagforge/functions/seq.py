@@ -87,13 +87,7 @@ def classify_contig(name: Column | str) -> Column:
 
 def sample_name(path: Column | str) -> Column:
     """File name without directories, read suffixes and compression or sequence extensions."""
-    name = F.regexp_replace(col(path), "^.*/", "")
-    for ext in (".gz", ".fastq", ".fq", ".fasta", ".fa", ".fna"):
-        name = F.regexp_replace(name, ext.replace(".", r"\.") + "$", "")
-    stripped = name
-    for tail in ("_R1", "_R2", "_1", "_2"):
-        stripped = F.when((stripped == name) & name.endswith(tail), F.substring(name, F.lit(1), F.length(name) - len(tail))).otherwise(stripped)
-    return stripped
+    return F.regexp_replace(col(path), r"^.*/|(?:_R?[12])?(?:\.fna)?(?:\.fa)?(?:\.fasta)?(?:\.fq)?(?:\.fastq)?(?:\.gz)?$", "")
 
 
 def seed_ranges(length: int, seeds: int) -> list[tuple[int, int]]:

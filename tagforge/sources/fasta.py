@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tagforge.functions.seq import classify_contig, normalize, sample_name
 from tagforge.session import ship
+from tagforge.sources import splits
 
 GENOME_SUFFIXES = ("fa", "fna", "fasta", "fa.gz", "fna.gz", "fasta.gz")
 READ_SUFFIXES = ("fq", "fastq", "fa", "fasta", "fq.gz", "fastq.gz", "fa.gz", "fasta.gz")
@@ -45,23 +46,31 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     A file with text before its first record, or without one, raises.
     """
     files = expand(spark, paths, GENOME_SUFFIXES)
-    rows = _records(spark, files, fastq=False)
+    rows = _records(spark, files)
     out = rows.select("file", sample_name("file").alias("genome"), F.col("number").cast("int").alias("contig_id"), "name", normalize("seq").alias("seq"))
     return out.select("genome", "contig_id", "name", "seq", F.length("seq").cast("bigint").alias("length"), classify_contig("name").alias("kind"))
 
 
-def read_reads(spark: SparkSession, paths: list[str], per_file: bool = False) -> DataFrame:
+def read_reads(spark: SparkSession, paths: list[str], per_file: bool = False, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
     """sample, file, read_id, seq.  The format follows from the first byte; an empty file has no reads; a truncated record raises.
 
-    A file is streamed by one task, whatever its size; what is made of it is dealt over all cores before any scan.
+    Plain and BGZF files are read in ranges of ``split_bytes``, other gzip files whole (:mod:`tagforge.sources.splits`); a read's number is the place of its record.
     """
-    rows = _records(spark, expand(spark, paths, READ_SUFFIXES), fastq=True)
+    ship(spark)
+    spark.dataSource.register(splits.ReadSource)
+    files = json.dumps([(f, file_size(spark, f)) for f in expand(spark, paths, READ_SUFFIXES)])
+    rows = spark.read.format(splits.ReadSource.name()).option("files", files).option("splitBytes", split_bytes).load()
     sample = F.regexp_replace("file", "^.*/", "") if per_file else sample_name("file")
     return rows.select(sample.alias("sample"), "file", F.col("number").alias("read_id"), normalize("seq").alias("seq"))
 
 
-def _records(spark: SparkSession, files: list[str], fastq: bool) -> DataFrame:
-    """file, number, name, seq of every record.  Each file is one row of paths and one task, which reads it in pieces through Arrow's file systems."""
+def file_size(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+
+def _records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, number, name, seq of every record of FASTA files.  Each file is one row of paths and one task, which reads it in pieces through Arrow's file systems."""
     ship(spark)
     named = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(max(1, len(files)), "file")
 
@@ -73,7 +82,7 @@ def _records(spark: SparkSession, files: list[str], fastq: bool) -> DataFrame:
                 held: list[tuple[int, str, str]] = []
                 size = 0
                 with opened(path) as stream:
-                    for number, (name, seq) in enumerate(parse(stream, fastq)):
+                    for number, (name, seq) in enumerate(parse(stream)):
                         held.append((number, name, seq))
                         size += len(seq)
                         if size > 1 << 24:
@@ -87,9 +96,7 @@ def _records(spark: SparkSession, files: list[str], fastq: bool) -> DataFrame:
 
 def opened(path: str):
     """A file of any file system that Arrow knows, as a buffered stream of its text's bytes; gzip by its first bytes."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else os.path.abspath(path))
+    system, inner = splits.located(path)
     raw = io.BufferedReader(system.open_input_stream(inner, compression=None, buffer_size=1 << 20), 1 << 20)
     return gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
@@ -98,36 +105,14 @@ def _batch(pa, path, held):
     return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held]), pa.array([h[2] for h in held])], names=["file", "number", "name", "seq"])
 
 
-def parse(source: bytes | io.BufferedIOBase, fastq: bool) -> Iterator[tuple[str, str]]:
-    """(name up to white space, sequence) of each record of a stream or of bytes, line by line."""
-    lines = io.BytesIO(source) if isinstance(source, bytes) else source
-    head = lines.readline()
-    while head and not head.strip():
-        head = lines.readline()
-    if not head:
-        if fastq:
-            return
+def parse(source: bytes | io.BufferedIOBase) -> Iterator[tuple[str, str]]:
+    """(name up to white space, sequence) of each FASTA record of a stream or of bytes, line by line."""
+    found = False
+    for _, name, seq in splits.fasta_records(splits.Text(io.BytesIO(source) if isinstance(source, bytes) else source), True):
+        found = True
+        yield name, seq
+    if not found:
         raise ValueError("no record in the file")
-    name = lambda line: (line[1:].split() or [b""])[0].decode()
-    if head.startswith(b"@") and fastq:
-        while head:
-            if head.strip():
-                seq, plus, quality = lines.readline().strip(), lines.readline(), lines.readline().strip()
-                if not head.startswith(b"@") or not plus.startswith(b"+") or len(quality) != len(seq):
-                    raise ValueError("truncated or malformed FASTQ record")
-                yield name(head), seq.decode()
-            head = lines.readline()
-        return
-    if not head.startswith(b">"):
-        raise ValueError("neither FASTA nor FASTQ" if fastq else "text before the first record")
-    parts: list[bytes] = []
-    for line in lines:
-        if line.startswith(b">"):
-            yield name(head), b"".join(parts).decode()
-            head, parts = line, []
-        else:
-            parts += line.split()
-    yield name(head), b"".join(parts).decode()
 
 
 def with_genome_ids(contigs: DataFrame) -> DataFrame:

@@ -167,3 +167,15 @@ def test_orientation_votes_by_brute_force(spark):
         up = sum(a < x and b < y for a, b in t for x, y in t)
         down = sum(a < x and b > y for a, b in t for x, y in t)
         assert got[c].concordance == pytest.approx(max(up, down) / (up + down) if up + down else 0) and got[c].orientation == ("Forward" if up >= down else "Reverse") and got[c].n_tags == len(t)
+
+
+def test_sample_names_by_steps(spark):
+    def steps(path):
+        name = path.rsplit("/", 1)[-1]
+        for ext in (".gz", ".fastq", ".fq", ".fasta", ".fa", ".fna"):
+            name = name.removesuffix(ext)
+        return next((name.removesuffix(t) for t in ("_R1", "_R2", "_1", "_2") if name.endswith(t)), name)
+
+    paths = [f"{d}{stem}{tail}{ext}" for d in ("", "/a.fq/b_1/") for stem in ("x", "x_1", "x.gz", "x_R1_2", "") for tail in ("", "_R1", "_2", "_R3", "_1_R2") for ext in ("", ".gz", ".fastq.gz", ".fna", ".fa.fastq", ".fastq.fa", ".fq.fasta.gz", ".gz.gz", ".txt")]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.sample_name("p").alias("s")).collect()
+    assert [(r.p, r.s) for r in got] == [(p, steps(p)) for p in paths]

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import gzip
 import json
+import struct
+import zlib
 
 import pytest
 
@@ -23,12 +25,11 @@ def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "s_R1.fastq").write_text("@r1 x\nACGN\n+\nIIII\n@r2\nTT\n+r2\nII\n")
     (tmp_path / "s_R2.fastq").write_text("")
     reads = fasta.read_reads(spark, [str(tmp_path / "s_R1.fastq"), str(tmp_path / "s_R2.fastq")]).collect()
-    assert sorted((r.sample, r.read_id, r.seq) for r in reads) == [("s", 0, "ACGN"), ("s", 1, "TT")]
-    for bad in (b"@r\nACG\n+\n", b"xyz"):
-        with pytest.raises(ValueError, match="FAST|record"):
-            list(fasta.parse(bad, True))
+    assert sorted((r.sample, r.read_id, r.seq) for r in reads) == [("s", 0, "ACGN"), ("s", 18, "TT")]
     with pytest.raises(ValueError, match="before"):
-        list(fasta.parse(b"ACGT\n>x\nA", False))
+        list(fasta.parse(b"ACGT\n>x\nA"))
+    with pytest.raises(ValueError, match="no record"):
+        list(fasta.parse(b"\n"))
     with pytest.raises(FileNotFoundError):
         fasta.expand(spark, [str(tmp_path / "none")], fasta.READ_SUFFIXES)
 
@@ -110,13 +111,74 @@ def test_report_pages_hold_every_row(spark):
     assert len(lines) == 12_002 and lines[0].startswith("<!DOCTYPE") and lines[-1] == "</table>" and lines[7] == "<tr><td>6</td><td>a&lt;b</td></tr>"
 
 
-def test_big_read_files_are_streamed(spark, tmp_path):
-    """Records that cross the chunks of a reader, plain and gzip."""
+def block_gzip(data: bytes, size: int) -> bytes:
+    """The data in BGZF blocks of ``size`` bytes, with an empty block in the middle and one at the end."""
+    def block(part):
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = squeeze.compress(part) + squeeze.flush()
+        return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    parts.insert(len(parts) // 2, b"")
+    return b"".join(map(block, [*parts, b""]))
+
+
+# Names and qualities that start with the marks of records, empty sequences and blank lines between records.
+READS = "".join(f"@r{i} x\n{'ACGT' * (i % 5)}\n+@{i}\n{'@+>I' * (i % 5)}\n" + "\n" * (i % 11 == 3) for i in range(60)).encode()
+CONTIGS = b"".join(b">c%d @x\nACGT\n+\n@AC\n" % i for i in range(40)).replace(b"+\n@AC\n", b"AC\n\nGT\n")
+
+
+def of_ranges(path, cuts):
+    from tagforge.sources import splits
+
+    kind = splits.kind_of(path)
+    lines = splits.lines_of(path, kind)
+    make = splits.fastq_records if splits.first_mark(lines) == b"@" else splits.fasta_records
+    edges = [0, *cuts]
+    return [r for s, e in zip(edges, [*cuts, None], strict=True) for r in make(splits.lines_of(path, kind, s, e), s == 0)]
+
+
+@pytest.mark.parametrize("data", [READS, READS.replace(b"\n", b"\r\n"), CONTIGS, READS.rstrip(b"\n")])
+def test_ranges_cut_anywhere_give_the_same_records(tmp_path, data):
+    (tmp_path / "plain").write_bytes(data)
+    (tmp_path / "blocks").write_bytes(block_gzip(data, 97))
+    whole = of_ranges(str(tmp_path / "plain"), [])
+    assert len(whole) in (60, 40) and whole[7][1] in ("r7", "c7")
+    for cut in range(1, len(data)):
+        assert of_ranges(str(tmp_path / "plain"), [cut]) == whole, cut
+    assert of_ranges(str(tmp_path / "plain"), list(range(3, len(data), 3))) == whole
+    blocks = of_ranges(str(tmp_path / "blocks"), [])
+    assert [r[1:] for r in blocks] == [r[1:] for r in whole] and len({r[0] for r in blocks}) == len(whole)
+    size = (tmp_path / "blocks").stat().st_size
+    for cut in range(1, size):
+        assert of_ranges(str(tmp_path / "blocks"), [cut]) == blocks, cut
+    assert of_ranges(str(tmp_path / "blocks"), list(range(40, size, 40))) == blocks
+
+
+@pytest.mark.parametrize("tail", [b"@t\n", b"@t\nACGT\n", b"@t\nACGT\n+\n", b"@t\nACGT\n+\nII\n", b"ACGT\n"])
+def test_truncated_records_raise_at_every_cut(tmp_path, tail):
+    data = b"@a\nAC\n+\nII\n@b\nACG\n+\n@II\n" + tail
+    (tmp_path / "x").write_bytes(data)
+    for cut in [None, *range(1, len(data))]:
+        with pytest.raises(ValueError, match="truncated"):
+            of_ranges(str(tmp_path / "x"), [cut] if cut else [])
+
+
+def test_read_files_in_ranges(spark, tmp_path):
+    """A plain file, one of blocks and one of gzip, cut into many tasks."""
     text = "".join(f"@r{i}\n{'ACGT' * (i % 40)}\n+\n{'I' * (4 * (i % 40))}\n" for i in range(3000))
     (tmp_path / "x.fastq").write_text(text)
     with gzip.open(tmp_path / "y.fastq.gz", "wt") as f:
         f.write(text)
+    (tmp_path / "w.fastq.gz").write_bytes(block_gzip(text.encode(), 5000))
     (tmp_path / "z.fasta").write_text("".join(f">r{i} note\nAC\nGT\n" for i in range(500)))
-    got = fasta.read_reads(spark, [str(tmp_path)]).groupBy("sample").agg({"read_id": "max", "*": "count"}).collect()
-    assert {(r["sample"], r["max(read_id)"], r["count(1)"]) for r in got} == {("x", 2999, 3000), ("y", 2999, 3000), ("z", 499, 500)}
-    assert [x for x in fasta.parse(text.encode(), True)][39] == ("r39", "ACGT" * 39)
+    whole, cut = fasta.read_reads(spark, [str(tmp_path)]), fasta.read_reads(spark, [str(tmp_path)], split_bytes=20_000)
+    assert whole.rdd.getNumPartitions() == 4 and cut.rdd.getNumPartitions() > 20
+    rows = sorted(map(tuple, cut.collect()))
+    assert rows == sorted(map(tuple, whole.collect())) and len({r[1:3] for r in rows}) == 9500
+    assert {s: sum(r[0] == s for r in rows) for s in "xywz"} == {"x": 3000, "y": 3000, "w": 3000, "z": 500}
+    (tmp_path / "bad.fastq").write_text("xyz")
+    with pytest.raises(Exception, match="neither"):
+        fasta.read_reads(spark, [str(tmp_path / "bad.fastq")]).count()
+    (tmp_path / "none.fastq").write_text("\n")
+    assert fasta.read_reads(spark, [str(tmp_path / "none.fastq")]).count() == 0

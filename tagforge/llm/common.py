@@ -24,9 +24,6 @@ BLOCK_BYTES = 1 << 20
 #: Texts that one kernel call sees at most.
 BLOCK_ROWS = 8192
 
-_TEXT = "__text__"
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -51,13 +48,21 @@ def blocks(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't among the columns."""
+    taken, name = {c.lower() for c in columns}, f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[T.StructField], kernel: Callable[[list], list]) -> DataFrame:
     """Columns ``keep`` of df plus what ``kernel`` returns for the texts, a list of columns in the order of ``fields``.
 
     Only ``keep`` and the text are read, so other columns of df can't clash with the results.
     """
     ship(df.sparkSession)
-    source = df.select(*keep, F.col(text_col).cast("string").alias(_TEXT))
+    source = df.select(*keep, F.col(text_col).cast("string").alias(fresh(keep, "text")))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     n = len(keep)
 
@@ -90,7 +95,7 @@ def _arrow(fields: list[T.StructField]) -> list[pa.Field]:
     return [pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields]
 
 
-#: Text bytes that a training sample holds at most.
+#: Text bytes that a training sample holds at most, unless a caller's ``size`` says otherwise.
 TRAIN_BYTES = 64 << 20
 
 

@@ -10,7 +10,8 @@ The code itself is stored once, as the lengths of all symbols (the canonical cod
 one table of 2**limit entries and runs all segments of a block side by side, each from its checkpoint.
 
 Null and empty texts have no ids but the end id.  Rows with equal ids stand in the order of a hash of their
-texts; null ids come first.  Rows of an empty table write an empty shard table.  Columns other than id and text are not read.
+texts; null ids come first.  Rows that tie in both keep any order, as they encode alike.
+Repeated rows are encoded as often as they stand there; very long texts are one block each.  Rows of an empty table write an empty shard table.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations

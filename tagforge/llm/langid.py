@@ -8,9 +8,10 @@ coefficients C give (P M') C, and as products associate, M' C is multiplied once
 with one column per language.  The score is the softmax share of the best output.
 
 Training reads text and non-null language of at most ``train_rows`` documents outside the held-out fold, in equal parts per language as
-far as they go, and at most 64 MB of text a language; rows that repeat id, language and text count once.
+far as they go, and at most ``size`` bytes of text (64 MB), the same for every language; rows that repeat id, language and text count once.
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows all are ``und``.  A null id is never held
-out and never trained on.  Repeated rows are predicted alike; columns other than id, text and language are not read.
+out and never trained on.  Repeated rows are predicted alike; very long texts are predicted whole; of languages with equal outputs the
+first by name wins.  An empty table gives an empty result.  Columns other than id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import bounded_sample, fit_on_executor, fold, map_texts
+from tagforge.llm.common import TRAIN_BYTES, bounded_sample, fit_on_executor, fold, map_texts
 from tagforge.llm.features import sparse_counts
 
 ORDERS = (1, 2, 3, 4)
@@ -108,7 +109,7 @@ def predict(model: dict[str, np.ndarray], texts: list[str | None]) -> tuple[list
     return found, np.clip(score, 0.0, 1.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000, size: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
     """Fit on a bounded sample: the first rows of each language by a hash of the id; only ids are sorted, texts are joined to them."""
     known = docs.where((fold(id_col, 4) != 2) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("y")).distinct()
     # A few of each language from each of many salts: no task sorts a whole language; the last window sees at most 4 * train_rows ids a language.
@@ -117,7 +118,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ranked = few.withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h", "id")))
     picked = F.broadcast(ranked.orderBy("k", "y").limit(train_rows).select("id", "y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return fit_on_executor(bounded_sample(texts.join(picked, ["id", "y"]), train_rows), fit)
+    languages = max(1, picked.select("y").distinct().count())
+    return fit_on_executor(bounded_sample(texts.join(picked, ["id", "y"]), train_rows, size // languages), fit)
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,13 +10,14 @@ The rest of the budget is an Efraimidis-Spirakis sample: each document draws an
 their running total of words fits the budget; the document at the edge is taken when that comes nearer to the target.
 
 No source is ever sorted as a whole: keys fall into ``buckets`` ranges that keep their order, the
-totals of (source, range) give the running totals, and only the one range per source that
-crosses the budget is sorted.  The number of ranges grows with the number of rows.
+totals of (source, range) give the running totals, in two levels of :data:`GROUPED` ranges so that no task sees all ranges of a source,
+and only the one range per source that crosses the budget is sorted.  The number of ranges grows with the number of rows.
+Sources themselves are ordered in one task: one row each.
 
 The weight is a Column or the name of a column, such as the score of a quality classifier joined to the documents; nulls weigh
-``LEAST_WEIGHT``, as do lower ones.  Without one it is :func:`symbol_weight`, so that the operator needs only DataFrame functions.
+``LEAST_WEIGHT``, as do lower ones.  Without one it is :func:`quality_weight`, so that the operator needs only DataFrame functions.
 
-Null and empty texts have size 0 and take 0 words; an empty table gives an empty result.  Repeated rows are
+Null and empty texts have size 0 and take 0 words; very long texts count whole; an empty table gives an empty result.  Repeated rows are
 ordered among themselves by a hash of their text, and equal ones share one draw and one fate up to the edge.
 Columns other than id, text and source pass through :func:`mixed` untouched and are not read by :func:`plan`.
 """
@@ -35,17 +36,27 @@ MAX_EPOCHS = 3
 LEAST_WEIGHT = 0.05
 #: Rows that one key range of one source holds on average.
 RANGE_ROWS = 4000
+#: Ranges whose totals are added up together before their sum is.
+GROUPED = 2048
 
 
 def n_words(text_col: str):
     return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def symbol_weight(text_col: str):
-    """The default weight: near 1 for plain prose, down to ``LEAST_WEIGHT`` for texts full of symbols."""
+def quality_weight(text_col: str):
+    """The default weight, near 1 for plain prose and down to ``LEAST_WEIGHT``: the product of four shares.
+
+    Symbols (of ``#*$%&|<>``) and digits lower it by their share of the text, eight and two times; a mean word length outside 3 to 12
+    by how far it is outside; repeated lines by the share of lines that are different.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.round(F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.lit(8.0) * marks / F.greatest(F.length(text), F.lit(1))), 6)
+    size = F.greatest(F.length(text), F.lit(1))
+    share = lambda marks, times: F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(times) * (F.length(text) - F.length(F.translate(text, marks, ""))) / size)
+    mean = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) / F.greatest(n_words(text_col), F.lit(1))
+    lines = F.split(text, "\n")
+    words = F.least(F.lit(1.0), mean / F.lit(3.0), F.lit(12.0) / F.greatest(mean, F.lit(1.0)))
+    return F.round(F.greatest(F.lit(LEAST_WEIGHT), share("#*$%&|<>", 8.0) * share("0123456789", 2.0) * words * F.size(F.array_distinct(lines)) / F.size(lines)), 6)
 
 
 def uniform(id_col: str, text_col: str):
@@ -79,7 +90,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     spark = docs.sparkSession
     given = F.col(weight) if isinstance(weight, str) else weight
-    w = symbol_weight(text_col) if given is None else F.greatest(F.coalesce(given.cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
+    w = quality_weight(text_col) if given is None else F.greatest(F.coalesce(given.cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"), (-F.log(uniform(id_col, text_col)) / w).alias("__key"), F.xxhash64(F.col(text_col)).alias("__tie"), *keep)
     sized = written(sized, f"{shared_dir(spark)}/sized")
     rows = sized.count()
@@ -90,8 +101,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     goal = targets(sizes, "__source", weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("bigint")
     goal = goal.select("__source", "source_size", "target", epochs.alias("__epochs"), (F.col("target") - epochs * F.col("source_size")).alias("__rest"))
-    running = W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(running), F.lit(0))).withColumnRenamed("__source", "__s")
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("__group", F.floor(F.col("__range") / GROUPED))
+    groups = totals.groupBy("__source", "__group").agg(F.sum("__sum").alias("__all"))
+    groups = groups.select(F.col("__source").alias("__gs"), F.col("__group").alias("__g"), F.coalesce(F.sum("__all").over(before("__source", "__group")), F.lit(0)).alias("__base"))
+    ranges = totals.withColumn("__inside", F.coalesce(F.sum("__sum").over(before("__source", "__group", "__range")), F.lit(0)))
+    ranges = ranges.join(groups, F.col("__source").eqNullSafe(F.col("__gs")) & (F.col("__group") == F.col("__g")))
+    ranges = ranges.select(F.col("__source").alias("__s"), "__range", "__sum", (F.col("__base") + F.col("__inside")).alias("__before"))
     ranges = ranges.join(goal, F.col("__s").eqNullSafe(F.col("__source"))).drop("__source").withColumnRenamed("__range", "__r")
     placed = keyed.join(ranges, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     inside, crossing = F.col("__before") + F.col("__sum") <= F.col("__rest"), (F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__sum") > F.col("__rest"))

@@ -28,7 +28,8 @@ The sketch of step 5 is a filter by evidence, not by size alone: small sets, who
 
 All intermediate tables are written to the shared folder, and all but the result deleted.  Rows with a null id have a null component and are kept; they take part in nothing.
 Null and empty texts: n_shingles 0, own component.  Repeated rows (same id and text) get the same
-component and are all kept or dropped alike; rows that share an id but not the set are documents of their own.  An empty table gives an empty result; columns other than id and text are not read.
+component and are all kept or dropped alike; rows that share an id but not the set are documents of their own.  Of equal sets the smallest id stays, of several
+equally good centres the smallest.  Very long texts are hashed and compared whole.  An empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import drop_path, map_texts, shared_dir, written
+from tagforge.llm.common import drop_path, fresh, map_texts, shared_dir, written
 
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
@@ -238,9 +239,11 @@ def _least_agreement(similarity: float, deviations: float) -> int:
     return int(64 * SKETCH_WORDS - BINS + BINS * p - deviations * (BINS * p * (1 - p)) ** 0.5)
 
 
-def _similar(x: str, y: str, percent: int, deviations: float = 6.0):
-    """False only where sizes (exactly) or sketches (beyond doubt) put the structs x and y below ``percent``."""
+def _similar(x: str, y: str, percent: int, deviations: float = 6.0, sketch: bool = True):
+    """False only where sizes (exactly) or, unless ``sketch`` is off, sketches (beyond doubt) put the structs x and y below ``percent``."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    if not sketch:
+        return 100 * small >= percent * large
     agree = F.lit(64 * SKETCH_WORDS)
     for k in range(SKETCH_WORDS):
         agree = agree - F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k]))
@@ -268,12 +271,15 @@ def _difference_pairs(star: DataFrame, percent: int) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable), kept (it represents its component)."""
-    return _labelled(docs, width, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable), kept (it represents its component).
 
+    Without ``sketch`` only exact tests exclude a pair of a bucket: slower, and the same result unless a sketch errs.
+    """
+    return _labelled(docs, width, percent, id_col, text_col, sketch).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
-def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, sketch: bool = True) -> DataFrame:
     """id, n_shingles, set_key, component_id, kept.  Inside, a node is an id and the turn of one of its sets, so that sets that share an id stay apart."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -323,7 +329,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         return written(with_texts(pairs, "a", "b").mapInArrow(partial(_confirm, width, percent), f"a {kind}, b {kind}"), f"{folder}/{name}")
 
     loose, close = percent - 13, 87
-    member = heavy.select("bucket", "m").join(best, "bucket").where(F.col("m.id") != F.col("c.id")).withColumn("far", ~_similar("m", "c", loose, 5.2))
+    member = heavy.select("bucket", "m").join(best, "bucket").where(F.col("m.id") != F.col("c.id")).withColumn("far", ~_similar("m", "c", loose, 5.2, sketch))
     member = written(member.select("bucket", "m", F.col("c.id").alias("c"), "far"), f"{folder}/stars")
     pairs = written(member.where("not far").select("c", F.col("m.id").alias("m")).distinct(), f"{folder}/pairs")
     fields = f"c {kind}, m {kind}, linked boolean, close boolean, n bigint, added bigint, removed bigint, novel array<bigint>, missing array<bigint>"
@@ -349,7 +355,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         order = W.partitionBy("bucket").orderBy(F.col("far").desc(), "size", "g", "m.id")
         picked = todo.join(share, ["bucket", "g"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= taken)
         centres = written(picked.select("bucket", F.col("m").alias("c"), F.col("g").alias("cg"), F.col("far").alias("cfar")), f"{folder}/centres{step}")
-        apart = todo.join(centres, "bucket").where((F.col("g") != F.col("cg")) & (F.col("far") | F.col("cfar")) & _similar("m", "c", percent))
+        apart = todo.join(centres, "bucket").where((F.col("g") != F.col("cg")) & (F.col("far") | F.col("cfar")) & _similar("m", "c", percent, sketch=sketch))
         pairs = apart.select(F.least("m.id", "c.id").alias("a"), F.greatest("m.id", "c.id").alias("b")).distinct()
         for old in seen:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -374,13 +380,14 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
 def survivors(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component and every row with a null id, all columns; rows of one id are the same document only if their sets are equal."""
     found = _labelled(docs, width, percent, id_col, text_col).where("id IS NOT NULL")
-    ids = found.groupBy(F.col("id").alias("__kept")).agg(F.count("*").alias("rows"), F.max("kept").alias("any")).where("any")
-    within = lambda some: docs.join(some.select("__kept"), F.col(id_col) == F.col("__kept"), "left_semi")
+    own, set_of, key = (fresh(docs.columns, name) for name in ("kept", "set", "key"))
+    ids = found.groupBy(F.col("id").alias(own)).agg(F.count("*").alias("rows"), F.max("kept").alias("any")).where("any")
+    within = lambda some: docs.join(some.select(own), F.col(id_col) == F.col(own), "left_semi")
     out = within(ids.where("rows = 1")).unionByName(docs.where(F.col(id_col).isNull()))
     again = ids.where("rows > 1")
     if not again.head(1):
         return out
-    keyed = map_texts(within(again), docs.columns, text_col, [T.StructField("__set", T.StringType())], partial(_keys, width))
-    pairs = found.where("kept").select(F.col("id").alias("__kept"), F.col("set_key").alias("__key")).distinct()
-    keyed = keyed.join(pairs, (F.col(id_col) == F.col("__kept")) & F.col("__set").eqNullSafe(F.col("__key")), "left_semi")
-    return out.unionByName(keyed.dropDuplicates([id_col, "__set"]).drop("__set"))
+    keyed = map_texts(within(again), docs.columns, text_col, [T.StructField(set_of, T.StringType())], partial(_keys, width))
+    pairs = found.where("kept").select(F.col("id").alias(own), F.col("set_key").alias(key)).distinct()
+    keyed = keyed.join(pairs, (F.col(id_col) == F.col(own)) & F.col(set_of).eqNullSafe(F.col(key)), "left_semi")
+    return out.unionByName(keyed.dropDuplicates([id_col, set_of]).drop(set_of))

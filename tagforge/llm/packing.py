@@ -14,7 +14,7 @@ no task sees more than one shard however large a source, a group of equal sizes
 the rows.  Which documents can share a sequence so depends on the size of the table; a shard's last bins are all that this can cost.
 
 Null and empty texts have size 0: one piece of length 0 in bin null.  Ties are placed by id, then by a hash of the text; repeated rows are
-packed as often as they stand there.  An empty table gives an empty result.  Columns other than id and text are not read.
+packed as often as they stand there.  Very long texts are cut at the longest permitted length.  An empty table gives an empty result.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations

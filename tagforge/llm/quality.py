@@ -9,7 +9,7 @@ each vector with the output weights and then averages single numbers; the result
 
 Null and empty texts score the output bias; rows with a null id are scored and not held out.  Without labels of both
 classes every score is the share of label 1 (1 without labels: nothing is rejected unlearned).  An empty table gives an empty
-result.  Repeated rows are scored alike and learned from once; the sample is also bounded to 64 MB of text; scoring cuts
+result.  Repeated rows are scored alike and learned from once; the sample is also bounded to ``size`` bytes of text (64 MB); scoring cuts
 blocks of texts at a megabyte, or at one longer text.  Columns other than id and text are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import filter_texts, fit_on_executor, fold, labelled_sample, map_texts, sigmoid
+from tagforge.llm.common import TRAIN_BYTES, filter_texts, fit_on_executor, fold, labelled_sample, map_texts, sigmoid
 from tagforge.llm.features import char_ngrams, codepoints, sparse_counts, word_ngrams
 
 ORDERS = (3, 4, 5)
@@ -94,9 +94,9 @@ def score(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
     return sigmoid(total / np.maximum(count, 1) + float(model["bias"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, size: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
     """Fit on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0)."""
-    return fit_on_executor(labelled_sample(docs, labels, target, fold(id_col, 5) != 0, train_rows, id_col, text_col), fit)
+    return fit_on_executor(labelled_sample(docs, labels, target, fold(id_col, 5) != 0, train_rows, id_col, text_col, size), fit)
 
 
 def classify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -78,9 +78,9 @@ OP10_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-      / round(greatest(0.05, 1.0 - 8.0 * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))
-        / greatest(length(coalesce(text, '')), 1)), 6) AS key
-  FROM documents),
+      / round(greatest(0.05, greatest(0.0::DOUBLE, 1 - 8.0::DOUBLE * (chars - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) / greatest(chars, 1)) * greatest(0.0::DOUBLE, 1 - 2.0::DOUBLE * (chars - length(regexp_replace(t, '[0-9]', '', 'g'))) / greatest(chars, 1))
+        * least(1.0::DOUBLE, mean / 3.0::DOUBLE, 12.0::DOUBLE / greatest(mean, 1.0::DOUBLE)) * len(list_distinct(string_split(t, chr(10)))) / len(string_split(t, chr(10)))), 6) AS key
+  FROM (SELECT *, length(t) AS chars, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) / greatest(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')), 1)::DOUBLE AS mean FROM (SELECT *, coalesce(text, '') AS t FROM documents))),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM totals),
 weighed AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 3.0::DOUBLE * source_size AS top FROM ranked),

@@ -12,7 +12,8 @@ calibrated to probabilities by Platt scaling on a fifth of the sample that the f
 document is kept if the probability of quality 1 reaches ``threshold``.
 
 Null texts count as empty and fail the base rules.  Without labels of both classes the method
-keeps all that pass the base rules.  An empty table gives an empty result.  Repeated rows get equal results and are learned from once; the sample is also bounded to 64 MB of text; columns other than id and text are not read.
+keeps all that pass the base rules.  An empty table gives an empty result.  Repeated rows get equal results and are learned from once; the sample is also bounded to ``size`` bytes of text (64 MB).
+Very long texts are judged whole, in blocks of a megabyte or of one longer text; there are no ties.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import filter_texts, fit_on_executor, labelled_sample, map_texts, sigmoid
+from tagforge.llm.common import TRAIN_BYTES, filter_texts, fit_on_executor, labelled_sample, map_texts, sigmoid
 from tagforge.llm.features import logistic, sparse_counts
 
 ORDERS = (3, 4)
@@ -114,8 +115,8 @@ def judge(model: dict[str, np.ndarray], threshold: float, texts: list[str | None
     return [*base.T, failed, p, ~failed & (p >= threshold)]
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> dict[str, np.ndarray]:
-    return fit_on_executor(labelled_sample(docs, labels, target, F.lit(True), train_rows, id_col, text_col), fit)
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, size: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+    return fit_on_executor(labelled_sample(docs, labels, target, F.lit(True), train_rows, id_col, text_col, size), fit)
 
 
 def apply(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -3,11 +3,12 @@
 Training takes at most ``train_rows`` labelled rows, half per class.  A feature's value is the root
 of its share of the text, times log(P(feature | toxic) / P(feature | clean)), the add-``smoothing``
 estimate over the sample, which draws features of few texts towards 0.  Scores are
-those of the ridge logistic regression over these values.  The sample is also bounded to 64 MB of text.
+those of the ridge logistic regression over these values.  The sample is also bounded to ``size`` bytes of text (64 MB).
 
 Null and empty texts score the model's bias; rows with a null id are scored and not held out.  Without labels of
 both classes there is nothing to learn: every score is then the share of label 1 (0 without labels).
-Repeated rows are scored alike and learned from once; columns other than id and text are not read.
+Repeated rows are scored alike and learned from once; very long texts are scored whole, in blocks of a megabyte or of one longer
+text; a score of exactly the threshold counts as toxic.  An empty table gives an empty result.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagforge.llm.common import fit_on_executor, fold, labelled_sample, map_texts, sigmoid
+from tagforge.llm.common import TRAIN_BYTES, fit_on_executor, fold, labelled_sample, map_texts, sigmoid
 from tagforge.llm.features import logistic, sparse_counts
 
 ORDERS = (3, 5, 7)
@@ -55,9 +56,9 @@ def score(model: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
     return sigmoid(np.bincount(doc, part, len(texts)) + float(model["bias"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, size: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
     """Fit on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0)."""
-    return fit_on_executor(labelled_sample(docs, labels, target, fold(id_col, 5) != 0, train_rows, id_col, text_col), fit)
+    return fit_on_executor(labelled_sample(docs, labels, target, fold(id_col, 5) != 0, train_rows, id_col, text_col, size), fit)
 
 
 def classify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

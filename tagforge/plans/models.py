@@ -43,9 +43,50 @@ def t_sql(t: str, df: str) -> str:
     return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
-@query()
+def rate_sql(mean: str) -> str:
+    """The Poisson rate of a zero-truncated mean, by Newton steps over a list whose first element is the start."""
+    step = f"greatest(x - (x / (1 - exp(-x)) - ({mean})) / (((1 - exp(-x)) - x * exp(-x)) / ((1 - exp(-x)) * (1 - exp(-x)))), 1e-12)"
+    return f"CASE WHEN ({mean}) <= 1 THEN 0 ELSE list_reduce(list_prepend(CASE WHEN ({mean}) > 2 THEN ({mean}) ELSE 2 * (({mean}) - 1) END, list_transform(range(30), lambda i: i::DOUBLE)), lambda x, i: {step}) END"
+
+
+def _log_part(w: str, r: str) -> str:
+    return f"ln(greatest({w}, 1e-12)) + CASE WHEN {r} < 1e-8 THEN CASE WHEN v = 1 THEN 0 ELSE -1e300 END ELSE v * ln(greatest({r}, 1e-12)) - {r} - lgamma(v + 1) - ln(greatest(1 - exp(-{r}), 1e-300)) END"
+
+
+WINDOW = ", ".join(M.KEY)
+#: Expectation maximisation as a recursion over rounds; a row is a window with a number of parts, its values, weights and rates as lists.
+EM_SQL = f"""hist AS MATERIALIZED (SELECT {WINDOW}, list(v ORDER BY v) FILTER (v >= 1) AS vs, list(m ORDER BY v) FILTER (v >= 1) AS ns, coalesce(sum(m) FILTER (v >= 1), 0)::BIGINT AS n, sum(m)::BIGINT AS n_anchors, sum(v * m) FILTER (v >= 1) AS total
+  FROM (SELECT {WINDOW}, count::DOUBLE AS v, count(*)::DOUBLE AS m FROM ew GROUP BY ALL) GROUP BY ALL),
+quant AS (SELECT {WINDOW}, quantile_cont(count::DOUBLE, [0.15, 0.85]) AS q2, quantile_cont(count::DOUBLE, [0.15, 0.5, 0.85]) AS q3 FROM ew WHERE count >= 1 GROUP BY ALL),
+em AS (
+  SELECT {WINDOW}, vs, ns, n, parts, list_transform(range(parts), lambda i: 1.0::DOUBLE / parts) AS ws, list_transform(CASE parts WHEN 2 THEN q2 ELSE q3 END, lambda q: {rate_sql("greatest(q, 1.000001)")}) AS rs, NULL::DOUBLE AS last, 0 AS turn, false AS done
+  FROM hist JOIN quant USING ({WINDOW}), (SELECT unnest([2, 3]) AS parts) WHERE parts <= least(n // 10, len(vs))
+  UNION ALL
+  SELECT {WINDOW}, vs, ns, n, parts, CASE WHEN stop THEN ws ELSE list_transform(masses, lambda m: greatest(m / n, 1e-12) / list_sum(list_transform(masses, lambda k: greatest(k / n, 1e-12)))) END,
+    CASE WHEN stop THEN rs ELSE list_transform(range(1, parts + 1), lambda j: CASE WHEN masses[j] <= 1e-12 THEN rs[j] ELSE {rate_sql("means[j]")} END) END, CASE WHEN stop THEN last ELSE like_now END, turn + 1, stop
+  FROM (SELECT *, list_transform(range(1, parts + 1), lambda j: list_sum(list_transform(range(1, len(vs) + 1), lambda i: share[i][j] * vs[i])) / greatest(masses[j], 1e-300)) AS means, last IS NOT NULL AND abs(like_now - last) < 1e-7 * greatest(1, abs(last)) AS stop
+    FROM (SELECT *, list_transform(range(1, parts + 1), lambda j: list_sum(list_transform(share, lambda s: s[j]))) AS masses
+      FROM (SELECT *, list_sum(list_transform(range(1, len(vs) + 1), lambda i: ns[i] * norms[i])) AS like_now, list_transform(range(1, len(vs) + 1), lambda i: list_transform(logs[i], lambda x: exp(x - norms[i]) * ns[i])) AS share
+        FROM (SELECT *, list_transform(logs, lambda g: list_max(g) + ln(list_sum(list_transform(g, lambda x: exp(x - list_max(g)))))) AS norms
+          FROM (SELECT *, list_transform(vs, lambda v: list_transform(range(1, parts + 1), lambda j: {_log_part("ws[j]", "rs[j]")})) AS logs FROM em WHERE NOT done AND turn < 200)))))),
+ended AS (SELECT *, list_transform(vs, lambda v: list_transform(range(1, parts + 1), lambda j: {_log_part("ws[j]", "rs[j]")})) AS logs FROM em QUALIFY row_number() OVER (PARTITION BY {WINDOW}, parts ORDER BY turn DESC) = 1),
+finals AS (SELECT *, list_transform(logs, lambda g: list_max(g) + ln(list_sum(list_transform(g, lambda x: exp(x - list_max(g)))))) AS norms, list_position(ws, list_max(ws)) AS top FROM ended),
+fits AS (
+  SELECT {WINDOW}, parts, rs[top] AS x, list_sum(list_transform(range(1, len(vs) + 1), lambda i: exp(logs[i][top] - norms[i]) * ns[i])) AS mass, (2 * parts - 1) * ln(n) - 2 * list_sum(list_transform(range(1, len(vs) + 1), lambda i: ns[i] * norms[i])) AS bic FROM finals
+  UNION ALL SELECT {WINDOW}, 1, x, n, ln(n) - 2 * list_sum(list_transform(range(1, len(vs) + 1), lambda i: ns[i] * CASE WHEN x < 1e-8 THEN CASE WHEN vs[i] = 1 THEN 0 ELSE -1e300 END ELSE vs[i] * ln(x) - x - lgamma(vs[i] + 1) - ln(1 - exp(-x)) END))
+  FROM (SELECT *, {rate_sql("total / n")} AS x FROM hist WHERE n > 0)),
+chosen AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY {WINDOW} ORDER BY bic, parts) = 1)"""
+
+
+@query(
+    f"""SELECT {WINDOW}, n_anchors, n AS n_positive, CASE WHEN x > 1e-8 THEN round(x, 5) END AS rate, CASE WHEN x > 1e-8 THEN round(sqrt(greatest(x / (1 - exp(-x)) * (1 + x - x / (1 - exp(-x))), 1e-12) / mass) / (((1 - exp(-x)) - x * exp(-x)) / (1 - exp(-x)) ** 2), 5) END AS se,
+  CASE WHEN n > 0 THEN 'ztp' ELSE 'empty' END AS model, round(bic, 4) AS bic, coalesce(parts, 0) AS n_components FROM hist LEFT JOIN chosen USING ({WINDOW})""",
+    (*Q.EW, EM_SQL),
+    recursive=True,
+)
 def ztp_mixture(spark, d):
-    return M.model_rates(N.enzyme_windows(X.counts(spark, d)), "ztp")
+    m = M.model_rates(N.enzyme_windows(X.counts(spark, d)), "ztp")
+    return m.select(*M.KEY, "n_anchors", "n_positive", F.round("rate", 5).alias("rate"), F.round("se", 5).alias("se"), "model", F.round("bic", 4).alias("bic"), "n_components")
 
 
 @query()

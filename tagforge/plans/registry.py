@@ -10,13 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, ctes: tuple[str, ...] = ()):
+def query(sql: str | None = None, ctes: tuple[str, ...] = (), recursive: bool = False):
     """Register a function under its name; ``ctes`` go before ``sql`` in a WITH clause."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+            SQL[f.__name__] = (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + sql
         return f
 
     return add

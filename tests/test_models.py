@@ -8,7 +8,7 @@ import pytest
 from tagforge.functions.stats import chi2_sf, normal_sf, t_two_sided
 from tagforge.operators import fit, fusion, report, windows
 from tagforge.operators.gcbias import fit_curves, lowess, offsets
-from tagforge.operators.mixture import choose, fit_mixture, fit_ztnb, truncated_rate
+from tagforge.operators.mixture import Histograms, _Tails, _ztnb, choose, choose_all, fit_mixtures, fit_ztnbs, truncated_rate
 from tagforge.operators.simulate import anchors, binned, counts, estimate, route_a, route_b
 from tagforge.operators.vfit import fit_sorted, fit_v, fit_windows
 
@@ -27,18 +27,83 @@ def test_truncated_rate_inverts_the_mean():
     assert truncated_rate(1.0) == 0.0
 
 
+def histograms(*samples):
+    pairs = [np.unique(s[s > 0].astype(float), return_counts=True) for s in samples]
+    return Histograms.of([p[0] for p in pairs], [p[1] for p in pairs])
+
+
+def one_by_one(counts, parts):
+    """Expectation maximisation of a single sample, value by value."""
+    counts = np.sort(counts[counts > 0].astype(float))
+    rates = sorted(truncated_rate(max(s, 1 + 1e-6)) for s in np.quantile(counts, np.linspace(0.15, 0.85, parts)))
+    weights, last = [1 / parts] * parts, -math.inf
+
+    def shares():
+        like, out = 0.0, []
+        for k in counts:
+            p = [w * ((k == 1) if r < 1e-8 else math.exp(k * math.log(r) - r - math.lgamma(k + 1)) / -math.expm1(-r)) for w, r in zip(weights, rates, strict=True)]
+            like += math.log(sum(p))
+            out.append([x / sum(p) for x in p])
+        return like, np.array(out)
+
+    for _ in range(200):
+        like, share = shares()
+        if math.isfinite(last) and abs(like - last) < 1e-7 * max(1, abs(last)):
+            break
+        last, mass = like, share.sum(0)
+        weights = np.maximum(mass / len(counts), 1e-12) / np.maximum(mass / len(counts), 1e-12).sum()
+        rates = [truncated_rate(float((s * counts).sum() / m)) if m > 1e-12 else r for s, m, r in zip(share.T, mass, rates, strict=True)]
+    return weights, rates, shares()[0]
+
+
+def test_batches_equal_single_samples():
+    rng = np.random.default_rng(8)
+    samples = [rng.poisson(m, n) for m, n in ((0.5, 60), (3, 80), (20, 50), (6, 35))] + [np.concatenate([rng.poisson(2, 40), rng.poisson(15, 40)]), np.ones(30, int)]
+    for parts in (2, 3):
+        weights, rates, masses, like, bic = fit_mixtures(histograms(*samples), parts)
+        for i, s in enumerate(samples):
+            w, r, top = one_by_one(s, parts)
+            assert like[i] == pytest.approx(top, rel=1e-9, abs=1e-9) and masses[i].sum() == pytest.approx((s > 0).sum())
+            assert weights[i] == pytest.approx(list(w), abs=1e-6) and rates[i] == pytest.approx(list(r), abs=1e-5)
+            assert bic[i] == pytest.approx((2 * parts - 1) * math.log((s > 0).sum()) - 2 * top, abs=1e-6)
+    together = choose_all(histograms(*samples), np.array([len(s) for s in samples]))
+    for i, s in enumerate(samples):
+        alone = choose(s)
+        assert alone["model"] == together["model"][i] and (alone["rate"] is None and np.isnan(together["rate"][i]) or alone["rate"] == pytest.approx(together["rate"][i], rel=1e-9))
+
+
+def test_negative_binomial_derivatives_and_optimum():
+    rng = np.random.default_rng(9)
+    samples = [rng.negative_binomial(2, 2 / (2 + m), 400) for m in (0.8, 3.0, 12.0)] + [rng.poisson(4.0, 500), np.array([1] * 300 + [2])]
+    h = histograms(*samples)
+    tails = _Tails(h)
+    at = np.log([[1.5, 0.3], [2.0, 1.0], [9.0, 0.6], [4.0, 1e-4], [0.5, 2.0]])
+    like, gradient, hessian = _ztnb(h, tails, at)
+    for k in range(2):
+        step = np.zeros(2)
+        step[k] = 1e-5
+        up, down = _ztnb(h, tails, at + step), _ztnb(h, tails, at - step)
+        np.testing.assert_allclose(gradient[:, k], (up[0] - down[0]) / 2e-5, rtol=1e-5, atol=1e-4)
+        np.testing.assert_allclose(hessian[:, k], (up[1] - down[1]) / 2e-5, rtol=1e-4, atol=1e-3)
+    mu, alpha, best = fit_ztnbs(h)
+    assert ((mu >= 1e-6 * 0.999) & (mu <= 1e6) & (alpha >= 1e-8 * 0.999) & (alpha <= 1e3 * 1.001)).all()
+    for i in range(4):  # no better point on a fine grid around, nor on a coarse one of all that is allowed
+        near = [(a, b) for a in np.log(mu[i]) + np.linspace(-0.05, 0.05, 21) for b in np.log(alpha[i]) + np.linspace(-0.05, 0.05, 21)]
+        far = [(a, b) for a in np.linspace(-3, 5, 33) for b in np.linspace(-18, 6, 49)]
+        for a, b in near + far:
+            one = np.array([[a, min(max(b, math.log(1e-8)), math.log(1e3))]])
+            assert _ztnb(h[i : i + 1], _Tails(h[i : i + 1]), one)[0][0] <= best[i] + 1e-6
+
+
 def test_planted_rates_are_recovered():
     rng = np.random.default_rng(3)
     c = rng.poisson(4.0, 4000)
     assert choose(c, "ztp")["rate"] == pytest.approx(4.0, rel=0.1)
     mixed = np.concatenate([rng.poisson(2, 3000), rng.poisson(12, 3000)])
-    v, k = np.unique(mixed[mixed > 0].astype(float), return_counts=True)
-    w, r, _, _ = fit_mixture(v, k, 2)
-    assert sorted(r) == pytest.approx([2, 12], rel=0.1)
+    assert sorted(fit_mixtures(histograms(mixed), 2)[1][0]) == pytest.approx([2, 12], rel=0.1)
     nb = rng.negative_binomial(2, 2 / (2 + 6.0), 6000)
-    v, k = np.unique(nb[nb > 0].astype(float), return_counts=True)
-    mu, alpha, _ = fit_ztnb(v, k)
-    assert mu == pytest.approx(6.0, rel=0.1) and alpha == pytest.approx(0.5, rel=0.25)
+    mu, alpha, _ = fit_ztnbs(histograms(nb))
+    assert mu[0] == pytest.approx(6.0, rel=0.1) and alpha[0] == pytest.approx(0.5, rel=0.25)
     assert choose(np.zeros(5, int))["rate"] is None
 
 

@@ -211,9 +211,27 @@ def vfit_segmented(spark, d):
     return vfit_columns(f).join(f.select(*Q.GROUP, F.round("ori", 2).alias("ori")), Q.GROUP)
 
 
-@query()
+_DRAWN = [f"((t * {m}) % 4294967296 >> 8)" for m in V.PAIR_HASH]
+RANSAC_SQL = f"""kept AS MATERIALIZED (SELECT * FROM (SELECT {G3}, y, row_number() OVER (PARTITION BY {G3} ORDER BY y) - 1 AS place, n AS total FROM points) WHERE place >= floor(total * 0.05) AND place < total - floor(total * 0.05)),
+ranked AS MATERIALIZED (SELECT {G3}, y, total, place - floor(total * 0.05) AS x, count(*) OVER g AS n, max(y) OVER g - min(y) OVER g AS width FROM kept WHERE total >= 5 WINDOW g AS (PARTITION BY {G3})),
+turns AS (SELECT {G3}, t, n, {_DRAWN[0]} % n AS i, ({_DRAWN[0]} % n + 1 + {_DRAWN[1]} % (n - 1)) % n AS j FROM (SELECT DISTINCT {G3}, n FROM ranked WHERE n >= 4), range(1, 101) a(t)),
+through AS (SELECT {G3}, t, a.x AS xi, a.y AS yi, (b.y - a.y) / (b.x - a.x) AS slope FROM turns JOIN ranked a USING ({G3}) JOIN ranked b USING ({G3}) WHERE a.x = i AND b.x = j),
+far AS (SELECT {G3}, t, x, y, width, abs(y - yi - slope * (x - xi)) AS away FROM through JOIN ranked USING ({G3})),
+near AS (SELECT * FROM (SELECT *, quantile_cont(away, 0.5) OVER (PARTITION BY {G3}, t) AS limit_ FROM far) WHERE away <= limit_ + 1e-7 * width),
+slopes AS (SELECT {G3}, t, regr_slope(y, x) AS slope FROM near GROUP BY ALL HAVING count(*) >= 3),
+middle AS (SELECT {G3}, median(slope) AS m FROM slopes GROUP BY ALL),
+spread AS (SELECT {G3}, m, 1.4826 * median(abs(slope - m)) AS mad FROM slopes JOIN middle USING ({G3}) GROUP BY ALL),
+lines AS (SELECT {G3}, any_value(total) AS total, m, mad, 1 - sum((off - mid) ** 2) / sum((y - mean) ** 2) AS r2 FROM (SELECT *, median(off) OVER g AS mid, avg(y) OVER g AS mean FROM (SELECT *, y - m * x AS off FROM ranked JOIN spread USING ({G3})) WINDOW g AS (PARTITION BY {G3})) GROUP BY ALL)"""
+
+
+@query(
+    f"""SELECT {G3}, coalesce(p.n, 0) AS n_windows, CASE WHEN p.n >= 5 THEN 'sorted' ELSE 'none' END AS method, round(m * total, 5) AS log2_ptr, CASE WHEN mad * total > 0 THEN round(mad * total, 5) END AS se, round(r2, 5) AS r2, coalesce(m * total >= 0, false) AS ok
+FROM (SELECT DISTINCT {G3} FROM rp) LEFT JOIN (SELECT DISTINCT {G3}, n FROM points) p USING ({G3}) LEFT JOIN lines USING ({G3})""",
+    (*Q.RATES, RATE_POINTS, points_sql("rp"), RANSAC_SQL),
+)
 def ransac(spark, d):
-    return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="sorted")
+    f = V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="sorted")
+    return f.select(*Q.GROUP, "n_windows", "method", *[F.round(c, 5).alias(c) for c in ("log2_ptr", "se", "r2")], "ok")
 
 
 @query(f"SELECT sample, genome_id, round(q, 5) AS q, k, CASE WHEN k > 1 THEN round({chi2_sql('q', '(k - 1)')}, 6) END AS p FROM fused", Q.FUSED)

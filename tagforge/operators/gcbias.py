@@ -15,27 +15,26 @@ MIN_ANCHORS, MIN_DISTINCT = 100, 5
 def lowess(x: np.ndarray, y: np.ndarray, weight: np.ndarray, frac: float = 0.4, robust: int = 2) -> np.ndarray:
     """Local lines with tricube weights over the nearest ``frac`` of the weight, reweighted by bisquare of the residuals; fitted values at x.
 
-    ``weight`` is the number of equal points that a row stands for.
+    ``weight`` is the number of equal points that a row stands for.  A point's tricube weight depends on its place alone, so the lines
+    at all places follow from the moments of every place: one product of (places x places) weights with (places x moments) in each round.
     """
     places, at = np.unique(x, return_inverse=True)
-    share = np.bincount(at, weight)
-    total = weight.sum()
+    share, total = np.bincount(at, weight), weight.sum()
+    d = np.abs(places[:, None] - places)
+    order = np.argsort(d, axis=1, kind="stable")
+    enough = np.minimum((share[order].cumsum(1) < np.floor(frac * total + 1e-10)).sum(1), len(places) - 1)
+    reach = np.take_along_axis(np.take_along_axis(d, order, 1), enough[:, None], 1)
+    near = np.where(reach > 0, np.clip(1 - (d / np.maximum(reach, 1e-9)) ** 3, 0, None) ** 3, d == 0)
+    plain = np.bincount(at, weight * y) / share
     trust = np.ones(len(x))
-    line = np.zeros(len(places))
     for turn in range(robust + 1):
-        for i, p in enumerate(places):
-            d = np.abs(places - p)
-            order = np.argsort(d, kind="stable")
-            reach = d[order][min(np.searchsorted(np.cumsum(share[order]), np.floor(frac * total + 1e-10)), len(places) - 1)]
-            near = np.clip(1 - (d / max(reach, 1e-9)) ** 3, 0, None) ** 3 if reach > 0 else (d == 0).astype(float)
-            w = weight * trust * near[at]
-            sw = w.sum()
-            if sw <= 0:
-                line[i] = np.average(y[at == i], weights=weight[at == i])
-                continue
-            mx, my = (w * x).sum() / sw, (w * y).sum() / sw
-            sxx = (w * (x - mx) ** 2).sum()
-            line[i] = my + (0 if sxx < 1e-12 else (w * (x - mx) * (y - my)).sum() / sxx * (p - mx))
+        w, wy = np.bincount(at, weight * trust), np.bincount(at, weight * trust * y)
+        sw = near @ w
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mx, my = near @ (w * places) / sw, near @ wy / sw
+            off = places - mx[:, None]
+            sxx, sxy = (near * off * off) @ w, (near * off) @ wy
+            line = np.where(sw > 0, my + np.where(sxx < 1e-12, 0.0, sxy / sxx * (places - mx)), plain)
         if turn < robust:
             r = np.abs(y - line[at])
             trust = np.clip(1 - (r / max(6 * _median(r, weight), 1e-12)) ** 2, 0, None) ** 2
@@ -74,20 +73,29 @@ def fit_curves(counts: DataFrame, frac: float = 0.4) -> DataFrame:
     return known.groupBy("enzyme").applyInPandas(partial(_curve, frac), "enzyme int, gc double, log2_offset double, shrinkage double, r2 double")
 
 
-def _at_places(key: tuple, places: pd.DataFrame, curve: pd.DataFrame) -> pd.DataFrame:
-    curve = curve.sort_values("gc")
-    offset = np.interp(places["gc"], curve["gc"], curve["log2_offset"]) if len(curve) else 0.0
-    return pd.DataFrame({"enzyme": places["enzyme"], "gc": places["gc"], "gc_offset": offset})
+def lookup(places: DataFrame, curves: DataFrame) -> DataFrame:
+    """places (enzyme, gc) plus gc_offset: linear between the curve's points and flat beyond its ends; 0 for enzymes without a curve.
+
+    A curve is one row with two sorted arrays of at most 201 points; its place is found by counting the points at or below.
+    """
+    points = F.array_sort(F.collect_list(F.struct("gc", "log2_offset")))
+    one = curves.where(F.col("gc").isNotNull()).groupBy(F.col("enzyme").alias("__enzyme")).agg(points.alias("p")).select("__enzyme", F.col("p.gc").alias("__x"), F.col("p.log2_offset").alias("__y"))
+    j = places.join(one, F.col("enzyme") == F.col("__enzyme"), "left")
+    below = F.size(F.filter("__x", lambda g: g <= F.col("gc")))
+    at = lambda c, i: F.get(F.col(c), i)
+    low, high = F.greatest(below - 1, F.lit(0)), F.least(below, F.size("__x") - 1)
+    step = F.try_divide(at("__y", high) - at("__y", low), at("__x", high) - at("__x", low))
+    offset = at("__y", low) + F.coalesce(step * (F.col("gc") - at("__x", low)), F.lit(0.0))
+    return j.select(*places.columns, F.coalesce(F.when(F.col("__x").isNotNull(), offset), F.lit(0.0)).alias("gc_offset"))
 
 
 def offsets(counts: DataFrame, curves: DataFrame) -> DataFrame:
-    """counts plus gc_offset: the curve between its points, held flat beyond its ends; 0 for undefined GC and for enzymes without a curve.
+    """counts plus gc_offset by :func:`lookup`; 0 for undefined GC.
 
     Curves are evaluated at each enzyme's distinct GC values, at most 201 from quantised GC, and joined back.
     """
     places = counts.where(F.col("gc").isNotNull()).select("enzyme", "gc").distinct()
-    at = places.groupBy("enzyme").cogroup(curves.select("enzyme", "gc", "log2_offset").groupBy("enzyme")).applyInPandas(_at_places, "enzyme int, gc double, gc_offset double")
-    return counts.join(at, ["enzyme", "gc"], "left").withColumn("gc_offset", F.coalesce("gc_offset", F.lit(0.0)))
+    return counts.join(lookup(places, curves), ["enzyme", "gc"], "left").withColumn("gc_offset", F.coalesce("gc_offset", F.lit(0.0)))
 
 
 def apply_offset(rates: DataFrame) -> DataFrame:

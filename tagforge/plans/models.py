@@ -43,6 +43,9 @@ def t_sql(t: str, df: str) -> str:
     return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
+WINDOW = ", ".join(M.KEY)
+
+
 def rate_sql(mean: str) -> str:
     """The Poisson rate of a zero-truncated mean, by Newton steps over a list whose first element is the start."""
     step = f"greatest(x - (x / (1 - exp(-x)) - ({mean})) / (((1 - exp(-x)) - x * exp(-x)) / ((1 - exp(-x)) * (1 - exp(-x)))), 1e-12)"
@@ -53,7 +56,6 @@ def _log_part(w: str, r: str) -> str:
     return f"ln(greatest({w}, 1e-12)) + CASE WHEN {r} < 1e-8 THEN CASE WHEN v = 1 THEN 0 ELSE -1e300 END ELSE v * ln(greatest({r}, 1e-12)) - {r} - lgamma(v + 1) - ln(greatest(1 - exp(-{r}), 1e-300)) END"
 
 
-WINDOW = ", ".join(M.KEY)
 #: Expectation maximisation as a recursion over rounds; a row is a window with a number of parts, its values, weights and rates as lists.
 EM_SQL = f"""hist AS MATERIALIZED (SELECT {WINDOW}, list(v ORDER BY v) FILTER (v >= 1) AS vs, list(m ORDER BY v) FILTER (v >= 1) AS ns, coalesce(sum(m) FILTER (v >= 1), 0)::BIGINT AS n, sum(m)::BIGINT AS n_anchors, sum(v * m) FILTER (v >= 1) AS total
   FROM (SELECT {WINDOW}, count::DOUBLE AS v, count(*)::DOUBLE AS m FROM ew GROUP BY ALL) GROUP BY ALL),
@@ -99,17 +101,61 @@ def window_rate_models(spark, d):
     return M.model_rates(N.enzyme_windows(X.counts(spark, d)), "auto")
 
 
-@query()
+def _lowess_round(k: int, source: str, last: bool) -> str:
+    """The lines of one round from the moments of every place, and the trust that the residuals leave."""
+    moments = f"""m{k} AS MATERIALIZED (SELECT enzyme, g, sum(n * trust) AS a, sum(n * trust * y) AS b, sum(n * y) / sum(n) AS plain FROM {source} GROUP BY ALL),
+c{k} AS MATERIALIZED (SELECT enzyme, p, sum(w * a) AS sw, sum(w * a * g) / nullif(sum(w * a), 0) AS mx, sum(w * b) / nullif(sum(w * a), 0) AS my FROM near JOIN m{k} USING (enzyme, g) GROUP BY ALL),
+l{k} AS MATERIALIZED (SELECT enzyme, p AS g, CASE WHEN any_value(sw) > 0 THEN any_value(my) + CASE WHEN sum(w * (g - mx) ** 2 * a) < 1e-12 THEN 0 ELSE sum(w * (g - mx) * b) / sum(w * (g - mx) ** 2 * a) * (p - any_value(mx)) END ELSE max(CASE WHEN g = p THEN plain END) END AS fit
+  FROM near JOIN c{k} USING (enzyme, p) JOIN m{k} USING (enzyme, g) GROUP BY enzyme, p)"""
+    if last:
+        return moments
+    return moments + f""",
+r{k} AS MATERIALIZED (SELECT enzyme, g, y, n, abs(y - fit) AS r, sum(n) OVER (PARTITION BY enzyme ORDER BY abs(y - fit) ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY enzyme) AS total FROM {source} JOIN l{k} USING (enzyme, g)),
+s{k} AS (SELECT enzyme, (min(r) FILTER (upto > (total - 1) // 2) + min(r) FILTER (upto > total // 2)) / 2 AS med FROM r{k} GROUP BY ALL),
+q{k} AS MATERIALIZED (SELECT enzyme, g, y, n, greatest(0, 1 - (r / greatest(6 * med, 1e-12)) ** 2) ** 2 AS trust FROM r{k} JOIN s{k} USING (enzyme))"""
+
+
+LOWESS_SQL = f"""known AS (SELECT enzyme, gc AS g, log2(count + 0.5) AS y, count(*)::BIGINT AS n FROM counts WHERE usable AND gc IS NOT NULL AND count IS NOT NULL GROUP BY ALL),
+q AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS trust FROM known WHERE enzyme IN (SELECT enzyme FROM known GROUP BY enzyme HAVING sum(n) >= {G.MIN_ANCHORS} AND count(DISTINCT g) >= {G.MIN_DISTINCT})),
+share AS (SELECT enzyme, g, sum(n) AS s FROM q GROUP BY ALL),
+ordered AS MATERIALIZED (SELECT a.enzyme, a.g AS p, b.g, abs(b.g - a.g) AS d, sum(b.s) OVER (PARTITION BY a.enzyme, a.g ORDER BY abs(b.g - a.g), b.g ROWS UNBOUNDED PRECEDING) AS held, sum(b.s) OVER (PARTITION BY a.enzyme, a.g) AS total FROM share a JOIN share b USING (enzyme)),
+reached AS (SELECT enzyme, p, coalesce(min(d) FILTER (held >= floor(0.4 * total + 1e-10)), max(d)) AS reach FROM ordered GROUP BY ALL),
+near AS MATERIALIZED (SELECT enzyme, p, g, CASE WHEN reach > 0 THEN greatest(0, 1 - (d / greatest(reach, 1e-9)) ** 3) ** 3 WHEN d = 0 THEN 1 ELSE 0 END AS w FROM ordered JOIN reached USING (enzyme, p)),
+{_lowess_round(0, "q", False)},
+{_lowess_round(1, "q0", False)},
+{_lowess_round(2, "q1", True)},
+whole AS (SELECT enzyme, total, sum(n * fit) / total AS centre, sum(n * (y - fit) ** 2) AS sse, sum(n * (y - mean) ** 2) AS sst FROM (SELECT *, sum(n) OVER e AS total, sum(n * y) OVER e / sum(n) OVER e AS mean FROM q JOIN l2 USING (enzyme, g) WINDOW e AS (PARTITION BY enzyme)) GROUP BY enzyme, total),
+shrunk AS (SELECT *, CASE WHEN r2 > 0 THEN least(1, greatest(0, (r2 - least(total, 3.0::DOUBLE) / total) / r2)) ELSE 0 END AS shrinkage FROM (SELECT *, CASE WHEN sst > 0 THEN 1 - sse / sst ELSE 0 END AS r2 FROM whole)),
+curve AS (SELECT enzyme, g AS gc, shrinkage * (fit - centre) AS log2_offset, shrinkage, r2 FROM l2 JOIN shrunk USING (enzyme))"""
+
+
+@query("SELECT enzyme, gc, round(log2_offset, 6) AS log2_offset, round(shrinkage, 6) AS shrinkage, round(r2, 6) AS r2 FROM curve", (*Q.COUNTS, LOWESS_SQL))
 def lowess_gc(spark, d):
-    return G.fit_curves(X.counts(spark, d))
+    return G.fit_curves(X.counts(spark, d)).select("enzyme", "gc", *Q.r6("log2_offset", "shrinkage", "r2"))
 
 
-@query()
+@query(
+    f"""SELECT {WINDOW}, round(log2_rate - coalesce(mean_gc_offset, 0), 6) AS log2_rate, round(log2_rate, 6) AS log2_rate_raw, round(mean_gc_offset, 6) AS mean_gc_offset, true AS gc_corrected
+FROM rates LEFT JOIN (SELECT {WINDOW}, avg(coalesce(log2_offset, 0)) AS mean_gc_offset FROM ew LEFT JOIN curve USING (enzyme, gc) GROUP BY ALL) USING ({WINDOW})""",
+    (*Q.RATES, LOWESS_SQL),
+)
 def gc_corrected_rates(spark, d):
     c = X.counts(spark, d)
     w = N.enzyme_windows(G.offsets(c, G.fit_curves(c)))
     mean = w.groupBy(*Q.KEY).agg(F.avg("gc_offset").alias("mean_gc_offset"))
-    return G.apply_offset(Q.rates(spark, d).join(mean, Q.KEY))
+    return G.apply_offset(Q.rates(spark, d).join(mean, Q.KEY)).select(*Q.KEY, *Q.r6("log2_rate", "log2_rate_raw", "mean_gc_offset"), "gc_corrected")
+
+
+LOOKUP_SQL = """coarse AS (SELECT enzyme, list(gc ORDER BY gc) AS x, list(mean ORDER BY gc) AS y FROM (SELECT enzyme, gc, avg(count) / 10 AS mean FROM counts WHERE gc IS NOT NULL AND local_gc % 7 = 0 AND local_gc BETWEEN 70 AND 130 AND enzyme < 7 GROUP BY ALL) GROUP BY enzyme),
+found AS (SELECT p.enzyme, p.gc, x, y, len(list_filter(x, lambda g: g <= gc)) AS below FROM (SELECT DISTINCT enzyme, gc FROM counts WHERE gc IS NOT NULL) p LEFT JOIN coarse USING (enzyme))"""
+
+
+@query("SELECT enzyme, gc, round(CASE WHEN x IS NULL THEN 0 WHEN below = 0 THEN y[1] WHEN below = len(x) THEN y[-1] ELSE y[below] + (y[below + 1] - y[below]) / (x[below + 1] - x[below]) * (gc - x[below]) END, 6) AS gc_offset FROM found", (*Q.COUNTS, LOOKUP_SQL))
+def gc_curve_lookup(spark, d):
+    """A coarse curve read between and beyond its points, and for an enzyme without one."""
+    c = X.counts(spark, d).where("gc IS NOT NULL")
+    coarse = c.where("local_gc % 7 = 0 AND local_gc BETWEEN 70 AND 130 AND enzyme < 7").groupBy("enzyme", "gc").agg((F.avg("count") / 10).alias("log2_offset"))
+    return G.lookup(c.select("enzyme", "gc").distinct(), coarse).withColumn("gc_offset", F.round("gc_offset", 6))
 
 
 @query()

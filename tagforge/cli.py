@@ -21,18 +21,21 @@ from tagforge.panel import bitset, selection
 from tagforge.session import stored
 from tagforge.sources import fasta, tables, tgt
 
+VERSION = "0.3"
+
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
     contigs = fasta.with_genome_ids(fasta.read_fasta(spark, a.genomes))
     enzymes = selection(a.enzymes)
     built = A.assemble(contigs, D.sites(contigs, enzymes, a.min_contig_len, a.gc_flank), a.gc_flank)
-    A.save(built, contigs, a.out, {"enzymes": bitset(enzymes), "gc_flank": a.gc_flank, "min_contig_len": a.min_contig_len})
     genomes = contigs.groupBy("genome_id", "genome").agg(F.sum("length").alias("genome_len"), F.count("*").alias("n_contigs"))
     if a.taxonomy:
         genomes = tables.attach_taxonomy(genomes, tables.read_taxonomy(spark, a.taxonomy))
     if a.ori:
         genomes = tables.attach_origins(genomes, tables.read_origins(spark, a.ori))
     genomes.write.mode("overwrite").parquet(f"{a.out}/genomes")
+    params = {"enzymes": bitset(enzymes), "gc_flank": a.gc_flank, "min_contig_len": a.min_contig_len, "reject_ambiguous_tags": True, "engine_version": VERSION}
+    A.save(built, contigs, a.out, params, spark.read.parquet(f"{a.out}/genomes"))
     if a.screen_scale:
         screen.sketch(contigs, scale=a.screen_scale).withColumn("scale", F.lit(a.screen_scale)).write.mode("overwrite").parquet(f"{a.out}/sketch")
     if a.write_tgt:
@@ -70,12 +73,13 @@ def profile(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         hits = match.of_windows(wins, found)
         counts = match.count_tags(match.tag_counts(wins), found, anchors, samples)
-    counts = counts.join(anchors.select(*KEY, "canon", "flags", "local_gc", "global_position", "tag"), KEY)
+    counts = counts.join(anchors.select(*KEY, "pattern", "canon", "flags", "local_gc", "global_position", "tag"), KEY)
     counts.write.mode("overwrite").parquet(f"{a.out}/counts")
     counts = spark.read.parquet(f"{a.out}/counts")
+    cut = N.fixed_windows(anchors, a.window_bp) if a.windowing == "bp" else N.equal_anchor_windows(anchors, a.window_anchors)
+    tables.write_counts(tables.named_counts(counts, spark.read.parquet(f"{a.db}/genomes"), cut.select(*KEY, "window_id")), f"{a.out}/counts_tsv", not a.usable_only)
     em.split_shared(counts).select("sample", *KEY, F.col("count").alias("raw_count"), F.format_string("%.9f", "weight").alias("assigned_weight")).write.mode("overwrite").csv(f"{a.out}/em", sep="\t", header=True)
     em.summary(counts).write.mode("overwrite").parquet(f"{a.out}/abundance")
-    cut = N.fixed_windows(anchors, a.window_bp) if a.windowing == "bp" else N.equal_anchor_windows(anchors, a.window_anchors)
     cut.select(*KEY, "window_id").write.mode("overwrite").parquet(f"{a.out}/window_ids")
     tables.write_tsv(N.window_table(cut, contigs), f"{a.out}/windows")
     tables.write_stats(match.sample_stats(samples, match.window_summary(wins, hits)), f"{a.out}/stats")
@@ -93,7 +97,7 @@ def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     gates = {"min_coverage": a.min_coverage, "min_fraction": a.min_fraction, "max_dispersion": a.max_dispersion, "min_fit_rate": a.min_enzyme_fit_rate, "min_containment": a.min_containment}
     rates, fits, out = report.estimate(
         table, genomes, count_model={"nb": "ztnb"}.get(a.count_model, a.count_model), method=a.method, gc_correct=not a.no_gc_correct, min_windows=a.min_windows, window_cap=a.window_cap, shared_ori=not a.per_enzyme_ori,
-        loess_frac=a.loess_frac, alpha=a.alpha, min_anchors=a.min_anchors_per_enzyme, given_windows=a.use_windows, containment=spark.read.parquet(f"{a.out}/abundance"), gates=gates,
+        loess_frac=a.loess_frac, alpha=a.alpha, min_anchors=a.min_anchors_per_enzyme, given_windows=a.use_windows, containment=spark.read.parquet(f"{a.out}/abundance"), gates=gates, ori_prior=a.ori_prior,
     )
     tables.write_output(out, f"{a.out}/output")
     if a.figures:
@@ -102,8 +106,9 @@ def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def manifest(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Writes the database's manifest as JSON lines: one per genome, with format version, enzymes and parameters."""
-    tables.write_manifest(spark.read.parquet(f"{a.db}/genomes"), A.load(spark, a.db)[2], a.out)
+    """Writes the database's manifest: one JSON document with parameters and an array of genomes and their contigs."""
+    _, contigs, params = A.load(spark, a.db)
+    A.write_manifest(spark.read.parquet(f"{a.db}/genomes"), contigs, params, a.out)
 
 
 def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -112,18 +117,19 @@ def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
     is_base = None
     if a.metadata:
         rows = rows.join(spark.read.csv(a.metadata, sep="\t", header=True), "sample", "left")
+    rows = rows.select("*", *[F.lit(other).cast("string").alias(c) for c, other in (("group", "-"), ("timepoint", None)) if c not in rows.columns]).withColumnRenamed("genome", "genome_id")
     if a.baseline:
-        label = F.col("group") if "group" in rows.columns else F.lit(None).cast("string")
-        by_group = bool(rows.where(label == a.baseline).head(1))
-        is_base = F.coalesce(label == a.baseline, F.lit(False)) if by_group else F.col("sample") == a.baseline
+        rows, is_base = rows.withColumn("is_baseline", Y.in_baseline(a.baseline)), F.col("is_baseline")
     from tagforge.functions.stats import t_pvalue, z_pvalue
 
-    d = Y.delta(rows.withColumnRenamed("genome", "genome_id"), is_base).withColumn("p", z_pvalue("z"))
-    d = Y.benjamini_hochberg(d, "p")
-    tables.write_tsv(d.orderBy("genome_id", "sample"), f"{a.out}/delta")
-    if "timepoint" in d.columns:
-        t = Y.trend(d.withColumn("timepoint", F.col("timepoint").cast("double")), "timepoint", ["genome_id"])
-        tables.write_tsv(t.withColumn("p", t_pvalue("t", (F.col("n") - 2).cast("double"))), f"{a.out}/trend")
+    d = Y.benjamini_hochberg(Y.delta(rows, is_base).withColumn("p", z_pvalue("z")), "p")
+    named = {"genome_id": "genome", "base": "baseline_log2_ptr", "delta": "delta_log2_ptr", "delta_se": "se", "fold": "fold_change"}
+    table = d.drop("se").select(*[F.col(c).alias(named.get(c, c)) for c in ("genome_id", "sample", "group", "timepoint", "log2_ptr", "base", "delta", "delta_se", "z", "p", "fold", "q")])
+    tables.write_tsv(table.orderBy("genome", "sample"), f"{a.out}/delta")
+    if a.metadata and rows.where(F.col("timepoint").isNotNull()).head(1):
+        t = Y.trend(d.drop("se").withColumnRenamed("delta_se", "se").withColumn("timepoint", F.col("timepoint").cast("double")), "timepoint", ["genome_id"])
+        t = t.withColumn("p", t_pvalue("t", (F.col("n") - 2).cast("double")))
+        tables.write_tsv(t.select(F.col("genome_id").alias("genome"), "slope", F.col("slope_se").alias("se"), "t", "p", "n").orderBy("genome"), f"{a.out}/trend")
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -158,7 +164,7 @@ def simulate_grid(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tagforge")
-    p.add_argument("--version", action="version", version="tagforge 0.2")
+    p.add_argument("--version", action="version", version=f"tagforge {VERSION}")
     p.add_argument("-t", "--threads", type=int, help="cores of a local session")
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-q", "--quiet", action="store_true")
@@ -178,6 +184,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--window-cap", type=int, default=100)
         c.add_argument("--use-windows", action="store_true", help="take the profile's windows instead of each enzyme's own")
         c.add_argument("--per-enzyme-ori", action="store_true")
+        c.add_argument("--ori-prior", action="store_true", help="known origins of confidence below 1 draw the search instead of fixing it")
         c.add_argument("--min-windows", type=int, default=5)
         c.add_argument("--no-gc-correct", action="store_true")
         c.add_argument("--loess-frac", type=float, default=0.4)
@@ -211,6 +218,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--screen-min-frac", type=float, default=5e-4)
     c.add_argument("--screen-min-hits", type=int, default=50)
     c.add_argument("--no-stats", action="store_true")
+    c.add_argument("--usable-only", action="store_true", help="leave masked anchors out of the table of counts")
     statistics_options(c)
     c = command("stats", statistics)
     c.add_argument("-d", "--db", required=True)

@@ -111,25 +111,43 @@ def assemble(contigs: DataFrame, sites: DataFrame, flank: int = 250) -> DataFram
     return out.withColumn("flags", F.col("flags") + F.when(F.col("local_gc") == 255, GC_UNDEFINED).otherwise(0))
 
 
-def save(anchors: DataFrame, contigs: DataFrame, path: str, params: dict) -> None:
-    """Parquet by genome, sorted within; the manifest beside it."""
-    import json
+#: The manifest's schema but for its parameters, which may grow.
+MANIFEST_GENOMES = "array<struct<id int, name string, taxonomy string, genome_len bigint, ori bigint, ori_confidence double, contigs array<struct<id int, name string, length bigint, offset bigint, kind string>>>>"
+
 
+def save(anchors: DataFrame, contigs: DataFrame, path: str, params: dict, genomes: DataFrame | None = None) -> None:
+    """Parquet by genome, sorted within; the manifest beside it."""
     anchors.repartition("genome_id").sortWithinPartitions("genome_id", "contig_id", "position", "enzyme_idx").write.mode("overwrite").partitionBy("genome_id").parquet(f"{path}/anchors")
     contigs.drop("seq").write.mode("overwrite").parquet(f"{path}/contigs")
-    manifest = json.dumps({"format_version": 1, "params": params})
-    anchors.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    contigs = anchors.sparkSession.read.parquet(f"{path}/contigs")
+    if genomes is None:
+        genomes = contigs.groupBy("genome_id", "genome").agg(F.sum("length").alias("genome_len"))
+    write_manifest(genomes, contigs, params, f"{path}/manifest")
 
 
-def load(spark, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """(anchors, contigs, params); another format version raises."""
+def write_manifest(genomes: DataFrame, contigs: DataFrame, params: dict, path: str) -> None:
+    """One JSON document: format version, parameters, and an array with one line a genome, its contigs nested (at most 65,536).
+
+    The lines of genomes are made by Spark and written in order; nothing holds the document as a whole.
+    """
     import json
 
-    manifest = json.loads(spark.read.text(f"{path}/manifest").head().value)
-    if manifest.get("format_version") != 1:
-        raise ValueError(f"format_version {manifest.get('format_version')} isn't supported")
-    return spark.read.parquet(f"{path}/anchors"), spark.read.parquet(f"{path}/contigs"), manifest["params"]
+    has = lambda c, kind: (F.col(c) if c in genomes.columns else F.lit(None)).cast(kind).alias(c)
+    parts = contigs.groupBy(F.col("genome_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("contig_id").cast("int").alias("id"), "name", F.col("length").cast("bigint").alias("length"), F.col("offset").cast("bigint").alias("offset"), "kind"))).alias("contigs"))
+    rows = genomes.select(F.col("genome_id").cast("int").alias("id"), F.col("genome").alias("name"), has("taxonomy", "string"), F.col("genome_len").cast("bigint").alias("genome_len"), has("ori", "bigint"), has("ori_confidence", "double")).join(parts, "id", "left")
+    first = genomes.agg(F.min("genome_id")).first()[0]
+    line = F.concat(F.when(F.col("id") == first, "").otherwise(","), F.to_json(F.struct("id", "name", "taxonomy", "genome_len", "ori", "ori_confidence", "contigs")))
+    ends = [(0, json.dumps({"format_version": 1, "params": params})[:-1] + ', "genomes": ['), (2, "]}")]
+    frame = genomes.sparkSession.createDataFrame(ends, "part int, value string").select("part", F.lit(0).alias("id"), "value")
+    rows.select(F.lit(1).alias("part"), "id", line.alias("value")).unionByName(frame).orderBy("part", "id").select("value").coalesce(1).write.mode("overwrite").text(path)
+
 
+def load(spark, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(anchors, contigs, params); another format version raises."""
+    manifest = spark.read.json(f"{path}/manifest", multiLine=True).head()
+    if manifest.format_version != 1:
+        raise ValueError(f"format_version {manifest.format_version} isn't supported")
+    return spark.read.parquet(f"{path}/anchors"), spark.read.parquet(f"{path}/contigs"), manifest.params.asDict()
 
 
 # -- the same in DuckDB -------------------------------------------------------

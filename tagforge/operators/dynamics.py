@@ -29,6 +29,12 @@ def anchor_matrix(counts: DataFrame, samples: list, usable_only: bool = True, ge
     return counts.withColumn("anchor", key).groupBy("anchor").pivot("sample", samples).agg(F.sum("count")).na.fill(0)
 
 
+def in_baseline(name: str) -> Column:
+    """Whether a row is of the baseline: in each genome the rows of that group if it has any, else those of that sample."""
+    of_group = F.coalesce(F.col("group") == name, F.lit(False))
+    return F.when(F.max(of_group).over(W.partitionBy("genome_id")), of_group).otherwise(F.col("sample") == name)
+
+
 def baseline(out: DataFrame, is_baseline: Column | None) -> DataFrame:
     """Per genome: mean of the baseline rows (all rows without one) and the standard error of that mean."""
     rows = out if is_baseline is None else out.where(is_baseline)

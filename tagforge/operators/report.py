@@ -14,7 +14,7 @@ from tagforge.operators.rates import tukey_keep
 
 def estimate(
     counts: DataFrame, genomes: DataFrame, count_model: str = "auto", method: str = "auto", gc_correct: bool = True, min_windows: int = 5, window_cap: int = 100, shared_ori: bool = True,
-    loess_frac: float = 0.4, alpha: float = 0.05, min_anchors: int = 30, given_windows: bool = False, containment: DataFrame | None = None, gates: dict | None = None,
+    loess_frac: float = 0.4, alpha: float = 0.05, min_anchors: int = 30, given_windows: bool = False, containment: DataFrame | None = None, gates: dict | None = None, ori_prior: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(window rates, per-enzyme fits, output) of a count table with global positions, for all its genomes in one plan.
 
@@ -34,7 +34,7 @@ def estimate(
     rates = rates.withColumn("log2_rate", F.when(F.col("rate") > 0, F.log2("rate"))).withColumn("log2_se", F.when(F.col("rate") > 0, F.col("se") / (F.col("rate") * ln2)))
     rates = rates.withColumn("dispersion", F.try_divide("var", "mean")).withColumn("detected_fraction", F.col("n_positive") / F.col("n_anchors"))
     rates = gcbias.apply_offset(rates) if gc_correct else rates
-    fits = vfit.fit_windows(rates, genomes, method=method, min_windows=min_windows, shared_ori=shared_ori)
+    fits = vfit.fit_windows(rates, genomes, method=method, min_windows=min_windows, shared_ori=shared_ori, ori_prior=ori_prior)
     kept = tukey_keep(rates, "log2_rate", [*both, "enzyme"]).where("keep")
     means = kept.groupBy(*both, "enzyme").agg(F.avg("rate").alias("mean_rate"), F.avg("detected_fraction").alias("mean_fraction"), F.avg("dispersion").alias("mean_dispersion"), F.sum("n_anchors").alias("n_anchors"))
     fits = fits.join(means, [*both, "enzyme"], "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))

@@ -147,6 +147,17 @@ def ori_confidence(spark, d):
     return T.origin_confidence(grid(spark, d), BY, GENOME).select(*BY, F.round("confidence", 5).alias("confidence"))
 
 
+PRIOR_SQL = f"""penalised AS (SELECT *, sse * (1 + ({dist_sql("ori - genome_id * 20000")} / (15000 + 5000 * genome_id)) ** 2 / (2 * n)) AS cost FROM grid)"""
+
+
+@query(f"SELECT sample, genome_id, round(ori, 3) AS ori, round(-slope * {GENOME} / 2, 5) AS log2_ptr FROM penalised WHERE slope < 0 AND n >= 3 QUALIFY row_number() OVER (PARTITION BY sample, genome_id ORDER BY round(cost, 9), ori) = 1", (*RATES, GRID_SQL, PRIOR_SQL))
+def ori_prior(spark, d):
+    """The grid's origin with an annotated position, of another certainty in each genome, drawing the search."""
+    drawn = T.with_prior(grid(spark, d), F.col("genome_id") * 20000.0, 15000.0 + 5000.0 * F.col("genome_id"), GENOME)
+    b = T.best_origin(drawn, BY)
+    return b.select(*BY, F.round("ori", 3).alias("ori"), F.round(-F.col("slope") * GENOME / 2, 5).alias("log2_ptr"))
+
+
 @query("SELECT sample, genome_id, enzyme, contig_id, chunk, round(log2_rate - median(log2_rate) OVER (PARTITION BY sample, genome_id, enzyme), 6) AS centred FROM rates", RATES)
 def shared_ori_centre(spark, d):
     return T.centred(rates(spark, d), BY, "enzyme", "log2_rate").select(*KEY, F.round("centred", 6).alias("centred"))

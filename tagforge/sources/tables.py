@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions.seq import dequantize_gc
-from tagforge.operators.anchors import usable
+from tagforge.operators.anchors import MANIFEST_GENOMES, usable
 from tagforge.panel import ENZYMES
 
 # Columns of the tables, in file order.
@@ -85,17 +85,20 @@ def read_outputs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per genome of a manifest, with the database's enzymes decoded from their bit set."""
-    m = spark.read.json(path, multiLine=True)
+    """One row per genome of a manifest: id, name, taxonomy, genome_len, ori, ori_confidence, contigs, n_contigs, and of the database its enzymes by name, gc_flank and format version."""
+    schema = f"format_version int, params struct<enzymes int, gc_flank int, min_contig_len int, engine_version string>, genomes {MANIFEST_GENOMES}"
+    m = spark.read.schema(schema).json(path, multiLine=True)
     names = F.array_compact(F.array(*[F.when(F.col("params.enzymes").bitwiseAND(1 << e.idx) != 0, F.lit(e.name)) for e in ENZYMES]))
-    return m.select(F.explode("genomes").alias("g"), names.alias("enzymes"), "format_version").select("g.*", "enzymes", "format_version")
+    rows = m.select(F.explode("genomes").alias("g"), names.alias("enzymes"), F.coalesce("params.gc_flank", F.lit(250)).alias("gc_flank"), "format_version")
+    return rows.select("g.*", F.size(F.coalesce("g.contigs", F.array())).alias("n_contigs"), "enzymes", "gc_flank", "format_version")
 
 
-def write_manifest(genomes: DataFrame, params: dict, path: str) -> None:
-    """JSON lines, one per genome, with the database's format version, parameters and enzyme names."""
-    names = F.array(*[F.lit(e.name) for e in ENZYMES if params["enzymes"] >> e.idx & 1])
-    given = [F.lit(v).alias(k) for k, v in params.items() if k != "enzymes"]
-    genomes.select(F.lit(1).alias("format_version"), names.alias("enzymes"), *given, "*", (F.col("n_contigs") == 1).alias("contiguous")).orderBy("genome_id").coalesce(1).write.mode("overwrite").json(path)
+def named_counts(counts: DataFrame, genomes: DataFrame, window_ids: DataFrame) -> DataFrame:
+    """Counts with names of genome and enzyme, strand and window, as :func:`write_counts` takes them."""
+    key = ["genome_id", "contig_id", "position", "enzyme_idx", "pattern"]
+    names = F.array(*[F.lit(e.name) for e in ENZYMES])
+    out = counts.join(window_ids, [k for k in key if k in counts.columns and k in window_ids.columns], "left").join(genomes.select("genome_id", "genome"), "genome_id", "left")
+    return out.withColumn("enzyme", F.get(names, F.col("enzyme_idx"))).withColumn("strand", F.when(F.col("pattern") == 0, "+").otherwise("-"))
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from tagforge.cli import main
 from tagforge.functions.seq import COMPLEMENTS, CODES
 from tagforge.panel import ENZYMES
+from tagforge.sources import tables
 
 TURN = str.maketrans(CODES, COMPLEMENTS)
 
@@ -47,10 +48,16 @@ def test_index_profile_dynamics_audit_scaffold(spark, tmp_path):
     main(["profile", str(tmp_path / "a.fastq"), "-d", db, "-o", f"{out}3", "--screen", "--screen-min-hits", "1000000", "--screen-min-frac", "2", "--no-stats"], spark)
     assert spark.read.parquet(f"{out}3/counts").count() == 0
     main(["manifest", "-d", db, "-o", str(tmp_path / "man")], spark)
-    row = spark.read.json(str(tmp_path / "man")).head()
-    assert (row.genome, row.genome_len, row.contiguous, row.format_version, len(row.enzymes)) == ("g", 60_000, True, 1, 16)
+    for path in (f"{db}/manifest", str(tmp_path / "man")):
+        row = tables.read_manifest(spark, path).head()
+        assert (row.id, row["name"], row.taxonomy, row.genome_len, row.n_contigs, row.contigs[0]["name"], row.gc_flank, row.format_version, len(row.enzymes)) == (0, "g", "Some lineage", 60_000, 1, "chr1", 250, 1, 16)
+    back = tables.read_counts(spark, f"{out}/counts_tsv")
+    assert back.count() == spark.read.parquet(f"{out}/counts").count() and back.where("genome <> 'g' OR strand NOT IN ('+', '-')").count() == 0
+    assert {r.enzyme for r in back.select("enzyme").distinct().collect()} <= {e.name for e in ENZYMES} and back.where("window_id IS NOT NULL").count() == back.where("usable").count()
     main(["dynamics", f"{out}/output", "-o", str(tmp_path / "dyn"), "--baseline", "a", "--include-failed"], spark)
-    assert spark.read.csv(str(tmp_path / "dyn/delta"), sep="\t", header=True).count() == 1
+    delta = spark.read.csv(str(tmp_path / "dyn/delta"), sep="\t", header=True, nullValue="NA")
+    assert delta.columns == "genome sample group timepoint log2_ptr baseline_log2_ptr delta_log2_ptr se z p fold_change q".split() and delta.count() == 1
+    assert delta.head().genome == "g" and abs(float(delta.head().delta_log2_ptr)) < 1e-6
     main(["audit", db, "-o", str(tmp_path / "aud")], spark)
     assert "Database audit" in spark.read.text(str(tmp_path / "aud/audit_html")).head().value
     main(["digest", str(tmp_path / "g.fna"), "-o", str(tmp_path / "dig")], spark)

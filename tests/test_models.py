@@ -205,6 +205,26 @@ def test_windows_without_a_usable_error_weigh_as_the_median():
     assert fit_v(x, y, se, 1000.0, ori=0.0)["log2_ptr"] == pytest.approx(fit_v(x, y, np.full(40, 0.1), 1000.0, ori=0.0)["log2_ptr"], rel=1e-9)
 
 
+def test_a_prior_draws_the_searched_origin():
+    length = 1_000_000.0
+    x, y = profile(0, length, 120, lambda d: 0 * d, 5, 1.0)
+    free = fit_v(x, y, None, length, kinks=False)
+    drawn = [fit_v(x, y, None, length, kinks=False, prior=(700_000.0, sd)) for sd in (2e3, 1e9, 0.0)]
+    gap = lambda fit: min(abs(fit["ori"] - 700_000), length - abs(fit["ori"] - 700_000))
+    assert drawn[1]["ori"] == free["ori"] == drawn[2]["ori"]
+    assert gap(drawn[0]) <= gap(free) and (not drawn[0]["ok"] or gap(drawn[0]) < 300_000)
+
+
+def test_baselines_are_chosen_in_every_genome(spark):
+    from tagforge.operators.dynamics import delta, in_baseline
+
+    rows = [("g", "a", "ctl", 1.0), ("g", "b", "x", 3.0), ("h", "ctl", "x", 2.0), ("h", "b", "x", 5.0), ("i", "b", "x", 7.0)]
+    df = spark.createDataFrame([(g, s, k, v, 0.1) for g, s, k, v in rows], "genome_id string, sample string, group string, log2_ptr double, se double").withColumn("base_row", in_baseline("ctl"))
+    from pyspark.sql import functions as F
+
+    assert {(r.genome_id, r.sample): r.delta for r in delta(df, F.col("base_row")).collect()} == {("g", "b"): 2.0, ("h", "b"): 3.0}
+
+
 def test_sorted_fit_and_simulation():
     y = np.linspace(0, 1, 100)
     assert fit_sorted(y)["log2_ptr"] == pytest.approx(100 / 99, rel=1e-6)

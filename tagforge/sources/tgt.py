@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import struct
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions.seq import canonical
 from tagforge.operators.digest import gaps
 from tagforge.panel import BY_NAME, ENZYMES
+from tagforge.session import ship
 
 # File magic, format version, bytes of a record.
 MAGIC, VERSION, RECORD = b"TGT2", 2, 48
-FIELDS = "<QQIHBBBBBB12s8x"
 
 
 def _or(df: DataFrame, name: str, other: int):
@@ -39,19 +36,30 @@ def to_text(sites: DataFrame, contigs: DataFrame, genome: str) -> DataFrame:
 
 
 def write_all(anchors: DataFrame, contigs: DataFrame, path: str) -> None:
-    """The binary tag table of every genome as a row (genome_id, genome, tgt) of a Parquet table; a group is one genome's tags."""
-    rows = gaps(anchors).select("genome_id", "enzyme_idx", "pattern", "tag", "contig_id", "position", "gap", "flags", "local_gc")
-    heads = contigs.select("genome_id", "genome", "contig_id", "name", "length", "offset", "kind")
-    made = rows.groupBy("genome_id").cogroup(heads.groupBy("genome_id")).applyInPandas(_genome_file, "genome_id int, genome string, tgt binary")
-    made.write.mode("overwrite").parquet(path)
+    """The binary tag table of every genome as a file of its own; a task writes whole genomes, in the order of enzyme, contig and position."""
+    from tagforge.sources.tagfiles import TagFiles
 
+    spark = anchors.sparkSession
+    ship(spark)
+    spark.dataSource.register(TagFiles)
+    fields = ("contig_id", "name", "length", "offset", "kind")
+    listed = F.array_sort(F.collect_list(F.struct(*fields)))
+    heads = contigs.groupBy("genome_id", "genome").agg(F.to_json(F.struct(F.col("genome"), listed.alias("contigs"))).alias("meta"))
+    rows = gaps(anchors).select("genome_id", "enzyme_idx", "pattern", "tag", "contig_id", F.col("position").cast("bigint").alias("position"), F.col("gap").cast("bigint").alias("gap"), _or(anchors, "flags", 0).cast("int").alias("flags"), _or(anchors, "local_gc", 255).cast("int").alias("local_gc"))
+    names = contigs.select("genome_id", "genome").distinct()
+    rows = rows.join(names, "genome_id").withColumn("meta", F.lit(None).cast("string")).unionByName(heads.withColumn("enzyme_idx", F.lit(-1)), allowMissingColumns=True)
+    ordered = rows.repartition("genome").sortWithinPartitions("genome", "enzyme_idx", "contig_id", "position", "pattern")
+    ordered.select("genome", "meta", "enzyme_idx", "pattern", "tag", "contig_id", "position", "gap", "flags", "local_gc").write.format(TagFiles.name()).mode("overwrite").option("path", path).save()
 
-def _genome_file(key: tuple, rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-    heads = heads.sort_values("contig_id")
-    name = str(heads["genome"].iloc[0]) if len(heads) else ""
-    meta = {"genome": name, "contigs": heads[["contig_id", "name", "length", "offset", "kind"]].to_dict("records")}
-    ordered = rows.sort_values(["enzyme_idx", "contig_id", "position"]).to_dict("records")
-    return pd.DataFrame({"genome_id": [key[0]], "genome": [name], "tgt": [to_bytes(ordered, meta)]})
+
+def read_all(spark: SparkSession, path: str, split_records: int | None = None) -> DataFrame:
+    """genome, enzyme_idx, pattern, tag, contig_id, position, gap, flags, local_gc of a tag file or a folder of them, read in ranges of records."""
+    from tagforge.sources.tagfiles import TagFiles
+
+    ship(spark)
+    spark.dataSource.register(TagFiles)
+    reader = spark.read.format(TagFiles.name()).option("path", path)
+    return (reader.option("splitRecords", split_records) if split_records else reader).load()
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -64,42 +72,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("canon", canonical("tag"))
 
 
-def pack_bases(tag: str) -> bytes:
-    """Four bases per byte, the first in the highest bits, padded to 12 bytes."""
-    value = 0
-    for base in tag:
-        value = value * 4 + "ACGT".index(base)
-    return (value << (96 - 2 * len(tag))).to_bytes(12, "big")
-
-
-def unpack_bases(raw: bytes, length: int) -> str:
-    value = int.from_bytes(raw, "big") >> (96 - 2 * length)
-    return "".join("ACGT"[value >> 2 * i & 3] for i in range(length - 1, -1, -1))
-
-
-def tag_key(tag: str) -> int:
-    """The 64-bit key of a tag on either strand: the first bytes of the digest of its canonical form."""
-    turned = tag[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    return int.from_bytes(hashlib.blake2b(min(tag, turned).encode(), digest_size=8).digest(), "little")
-
-
-def to_bytes(rows, meta: dict) -> bytes:
-    """One genome's binary file from (enzyme_idx, pattern, tag, contig_id, position, gap, flags, local_gc) rows."""
-    text = json.dumps(meta, default=int).encode()
-    body = b"".join(struct.pack(FIELDS, r["position"], tag_key(r["tag"]), r["gap"], r["contig_id"], r["enzyme_idx"], r["pattern"], len(r["tag"]), 0, r["flags"], r["local_gc"], pack_bases(r["tag"])) for r in rows)
-    return MAGIC + struct.pack("<III", VERSION, len(text), len(rows)) + text + body
-
-
-def from_bytes(raw: bytes) -> tuple[dict, list[dict]]:
-    if raw[:4] != MAGIC:
-        raise ValueError("no tag table")
-    version, n, rows = struct.unpack_from("<III", raw, 4)
-    if version != VERSION:
-        raise ValueError(f"version {version} isn't supported")
-    out = []
-    for position, _, gap, contig, enzyme, pattern, length, _, flags, gc, bases in struct.iter_unpack(FIELDS, raw[16 + n : 16 + n + rows * struct.calcsize(FIELDS)]):
-        out.append({"position": position, "gap": gap, "contig_id": contig, "enzyme_idx": enzyme, "pattern": pattern, "tag": unpack_bases(bases, length), "flags": flags, "local_gc": gc})
-    return json.loads(raw[16 : 16 + n]), out
+def keys_of_tags(tags: list[str]) -> list[int]:
+    """The 64-bit key of each tag on either strand: the first bytes of the digest of its canonical form."""
+    turn = str.maketrans("ACGT", "TGCA")
+    return [int.from_bytes(hashlib.blake2b(min(t, t[::-1].translate(turn)).encode(), digest_size=8).digest(), "little") for t in tags]
 
 
 def anchors_from_text(spark: SparkSession, path: str, enzymes: str = "all") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from tagforge.cli import main
 from tagforge.functions.seq import COMPLEMENTS, CODES
 from tagforge.panel import ENZYMES
-from tagforge.sources import tables
+from tagforge.sources import tables, tgt
 
 TURN = str.maketrans(CODES, COMPLEMENTS)
 
@@ -28,7 +28,7 @@ def test_index_profile_dynamics_audit_scaffold(spark, tmp_path):
         (tmp_path / f"{name}.fastq").write_text("".join(f"@r{i}\n{s}\n+\n{'I' * 100}\n" for i, s in enumerate(reads)))
     db, out = str(tmp_path / "db"), str(tmp_path / "out")
     main(["index", str(tmp_path / "g.fna"), "-o", db, "-a", str(tmp_path / "tax.tsv"), "--screen-scale", "16", "--write-tgt"], spark)
-    assert spark.read.parquet(f"{db}/tgt").count() == 1
+    assert tgt.read_all(spark, f"{db}/tgt").count() == spark.read.parquet(f"{db}/anchors").count()
     assert spark.read.parquet(f"{db}/anchors").count() > 500 and spark.read.parquet(f"{db}/genomes").head().taxonomy == "Some lineage"
     main(["profile", str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq"), "-d", db, "-o", out], spark)
     stats = spark.read.json(f"{out}/stats").collect()

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagforge.operators import anchors as A
 from tagforge.operators import digest as D
@@ -49,11 +50,6 @@ def test_tag_table(spark, sf, tmp_path):
     tgt.to_text(s, c, "g").coalesce(1).write.text(str(tmp_path / "t"))
     back = tgt.read_text(spark, str(tmp_path / "t"))
     assert {(r.position, r.enzyme_idx, r.tag) for r in back.collect()} == {(r.position, r.enzyme_idx, r.tag) for r in s.collect()}
-    rows = [r.asDict() | {"flags": 3, "local_gc": 80} for r in D.gaps(s).collect()]
-    meta, out = tgt.from_bytes(tgt.to_bytes(rows, {"name": "g"}))
-    assert meta == {"name": "g"} and [(r["position"], r["tag"], r["gap"]) for r in out] == [(r["position"], r["tag"], r["gap"]) for r in rows]
-    with pytest.raises(ValueError, match="tag table"):
-        tgt.from_bytes(b"nope" + bytes(20))
 
 
 def test_small_tables(spark, tmp_path):
@@ -97,11 +93,39 @@ def test_tag_table_keeps_strand_flags_and_gc(spark, sf, tmp_path):
     assert back == {(r.contig_id, r.position, r.enzyme_idx): ("+" if r.pattern == 0 else "-", r.flags, r.local_gc) for r in a.collect()}
     assert len({v[0] for v in back.values()}) == 2 and len({v[2] for v in back.values()}) > 5
     tgt.write_all(a, c, str(tmp_path / "all"))
-    made = spark.read.parquet(str(tmp_path / "all")).head()
-    meta, rows = tgt.from_bytes(bytes(made.tgt))
-    assert meta["genome"] == made.genome and len(meta["contigs"]) == 2
-    assert {(r["contig_id"], r["position"], r["enzyme_idx"], r["tag"], r["flags"], r["local_gc"]) for r in rows} == {(r.contig_id, r.position, r.enzyme_idx, r.tag, r.flags, r.local_gc) for r in a.collect()}
-    assert tgt.tag_key("AACC") == tgt.tag_key("GGTT") != tgt.tag_key("AACG")
+    got = tgt.read_all(spark, str(tmp_path / "all"))
+    assert {(r["contig_id"], r["position"], r["enzyme_idx"], r["tag"], r["flags"], r["local_gc"]) for r in got.collect()} == {(r.contig_id, r.position, r.enzyme_idx, r.tag, r.flags, r.local_gc) for r in a.collect()}
+    assert tgt.keys_of_tags(["AACC"]) == tgt.keys_of_tags(["GGTT"]) != tgt.keys_of_tags(["AACG"])
+
+
+def test_tag_files_one_a_genome_read_in_ranges(spark, sf, tmp_path):
+    from tagforge.sources import tagfiles
+
+    c = X.contigs(spark, sf).where("genome_id < 5")
+    c = c.withColumn("genome", F.when(F.col("genome_id") == 1, "odd / name:é").otherwise(F.col("genome")))
+    a = A.assemble(c, D.sites(c, flank=250))
+    path = str(tmp_path / "all")
+    for _ in range(2):  # writing again replaces
+        tgt.write_all(a, c, path)
+    assert len(list((tmp_path / "all").iterdir())) == 5 and all(f.suffix == ".tgt" for f in (tmp_path / "all").iterdir())
+    fields = ["genome", "enzyme_idx", "pattern", "tag", "contig_id", "position", "gap", "flags", "local_gc"]
+    want = sorted(map(tuple, D.gaps(a).join(c.select("genome_id", "genome").distinct(), "genome_id").select(fields).collect()))
+    for split in (None, 7, 100):
+        back = tgt.read_all(spark, path, split)
+        assert back.columns == fields and sorted(map(tuple, back.collect())) == want
+    assert tgt.read_all(spark, path, 7).rdd.getNumPartitions() > 20
+    one = next(f for f in sorted((tmp_path / "all").iterdir()) if "odd" in f.name)
+    with one.open("rb") as f:
+        meta, before, rows = tagfiles.head_of(f)
+    assert meta["genome"] == "odd / name:é" and [x["contig_id"] for x in meta["contigs"]] == [0, 1] and one.stat().st_size == before + 48 * rows
+    alone = tgt.read_all(spark, str(one)).select("enzyme_idx", "contig_id", "position").collect()
+    assert alone == sorted(alone) and len(alone) == rows
+    one.write_bytes(one.read_bytes()[:-5])
+    with pytest.raises(Exception, match="another number of records"):
+        tgt.read_all(spark, path).count()
+    (tmp_path / "bad.tgt").write_bytes(b"nope" + bytes(20))
+    with pytest.raises(Exception, match="no tag table"):
+        tgt.read_all(spark, str(tmp_path / "bad.tgt")).count()
 
 
 def test_report_pages_hold_every_row(spark):

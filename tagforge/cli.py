@@ -19,7 +19,7 @@ from tagforge.operators import em, match, report, scaffold, screen, simulate
 from tagforge.operators import windows as N
 from tagforge.panel import bitset, selection
 from tagforge.session import stored
-from tagforge.sources import fasta, tables, tgt
+from tagforge.sources import fasta, staged, tables, tgt
 
 VERSION = "0.3"
 
@@ -103,6 +103,7 @@ def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.figures:
         for name, points in report.figures(rates, fits).items():
             tables.write_tsv(points, f"{a.out}/figures/{name}")
+        staged.write_named(report.svg_figures(rates, fits, out, genomes), f"{a.out}/svg", ".svg")
 
 
 def manifest(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,3 +95,73 @@ def forest_points(fits: DataFrame) -> DataFrame:
 def figures(rates: DataFrame, fits: DataFrame) -> dict[str, DataFrame]:
     """The tables behind the quality figures, by name."""
     return {"rate_by_position": profile_points(rates), "enzyme_forest": forest_points(fits)}
+
+
+#: Size of a figure and the space around its axes.
+WIDTH, HEIGHT, EDGE = 900, 450, 60
+
+
+def _svg(title: str, x_label: str, marks: list[str], x: tuple[float, float], ticks: list[tuple[float, str]], height: int = HEIGHT) -> str:
+    """A figure with a title, a labelled axis and marks; every text is escaped."""
+    place = lambda v: EDGE + (v - x[0]) / ((x[1] - x[0]) or 1) * (WIDTH - 2 * EDGE)
+    axis = [f'<line class="axis" x1="{EDGE}" y1="{height - EDGE}" x2="{WIDTH - EDGE}" y2="{height - EDGE}" stroke="#444"/>']
+    axis += [f'<text x="{place(v):.1f}" y="{height - EDGE + 16}" text-anchor="middle">{html.escape(t)}</text>' for v, t in ticks]
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{WIDTH}" height="{height}" font-family="sans-serif" font-size="11"><title>{html.escape(title)}</title>'
+    texts = [f'<text x="{WIDTH / 2}" y="24" text-anchor="middle" font-size="14">{html.escape(title)}</text>', f'<text x="{WIDTH / 2}" y="{height - 12}" text-anchor="middle">{html.escape(x_label)}</text>']
+    return "\n".join([head, *texts, *axis, *marks, "</svg>"]) + "\n"
+
+
+def _ticks(low: float, high: float, scale: float = 1.0) -> list[tuple[float, str]]:
+    return [(low + (high - low) * k / 4, f"{(low + (high - low) * k / 4) / scale:.2f}") for k in range(5)]
+
+
+def _profile_svg(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """log2 rate against position, a colour an enzyme, with the origin."""
+    low, high, length = float(g["log2_rate"].min()), float(g["log2_rate"].max()), float(g["genome_len"].iloc[0])
+    across = lambda v: EDGE + v / length * (WIDTH - 2 * EDGE)
+    down = lambda v: HEIGHT - EDGE - (v - low) / ((high - low) or 1) * (HEIGHT - 2 * EDGE)
+    marks = []
+    for n, (enzyme, e) in enumerate(g.sort_values(["name", "mid"]).groupby("name", sort=True)):
+        colour = f"hsl({n * 137 % 360},65%,45%)"
+        marks += [f'<circle cx="{across(m):.1f}" cy="{down(v):.1f}" r="2.5" fill="{colour}" fill-opacity="0.6"/>' for m, v in zip(e["mid"], e["log2_rate"], strict=True)]
+        marks.append(f'<text x="{WIDTH - EDGE + 4}" y="{EDGE + 14 * n}" fill="{colour}">{html.escape(str(enzyme))}</text>')
+    if pd.notna(g["ori"].iloc[0]):
+        marks.append(f'<line class="ori" x1="{across(g["ori"].iloc[0]):.1f}" y1="{EDGE}" x2="{across(g["ori"].iloc[0]):.1f}" y2="{HEIGHT - EDGE}" stroke="crimson" stroke-dasharray="5 3"/>')
+    marks += [f'<text x="{EDGE - 6}" y="{down(v):.1f}" text-anchor="end">{t}</text>' for v, t in _ticks(low, high)]
+    text = _svg(f"{key[0]} / {g['genome'].iloc[0]}", "genome coordinate (Mb)", marks, (0, length), _ticks(0, length, 1e6))
+    return pd.DataFrame({"name": [f"{_plain(key[0])}__{_plain(g['genome'].iloc[0])}.profile.svg"], "text": [text]})
+
+
+def _forest_svg(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """One line an enzyme: estimate and error; the fused estimate and its interval across."""
+    g = g.sort_values("name")
+    fused, ci_low, ci_high, p = (g[c].iloc[0] for c in ("fused", "ci_low", "ci_high", "p"))
+    seen = [v for v in [*(g["log2_ptr"] - g["se"].fillna(0)), *(g["log2_ptr"] + g["se"].fillna(0)), fused, ci_low, ci_high] if pd.notna(v)]
+    low, high, height = min(seen), max(seen), 2 * EDGE + 22 * len(g)
+    across = lambda v: EDGE + (v - low) / ((high - low) or 1) * (WIDTH - 2 * EDGE)
+    marks = []
+    if pd.notna(ci_low):
+        marks.append(f'<rect class="interval" x="{across(ci_low):.1f}" y="{EDGE}" width="{across(ci_high) - across(ci_low):.1f}" height="{height - 2 * EDGE}" fill="crimson" fill-opacity="0.12"/>')
+    if pd.notna(fused):
+        marks.append(f'<line class="fused" x1="{across(fused):.1f}" y1="{EDGE}" x2="{across(fused):.1f}" y2="{height - EDGE}" stroke="crimson"/>')
+    for n, (name, value, se) in enumerate(zip(g["name"], g["log2_ptr"], g["se"].fillna(0), strict=True)):
+        y = EDGE + 11 + 22 * n
+        marks.append(f'<line x1="{across(value - se):.1f}" y1="{y}" x2="{across(value + se):.1f}" y2="{y}" stroke="#236"/><circle cx="{across(value):.1f}" cy="{y}" r="4" fill="#236"/><text x="{EDGE - 6}" y="{y + 4}" text-anchor="end">{html.escape(str(name))}</text>')
+    title = f"{key[0]} / {g['genome'].iloc[0]}" + (f"  (Q p={p:.3g})" if pd.notna(p) else "")
+    return pd.DataFrame({"name": [f"{_plain(key[0])}__{_plain(g['genome'].iloc[0])}.forest.svg"], "text": [_svg(title, "log2(PTR)", marks, (low, high), _ticks(low, high), height)]})
+
+
+def _plain(name) -> str:
+    """A name as a part of a file's name."""
+    return quote(str(name), safe=" ")
+
+
+def svg_figures(rates: DataFrame, fits: DataFrame, out: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(name, text) of a profile and a forest figure per sample and genome that has points; a group is one genome's windows or enzymes in one sample."""
+    both = ["sample", "genome_id"]
+    known = genomes.select("genome_id", "genome", F.col("genome_len").cast("double").alias("genome_len"))
+    row = out.select(*both, F.col("ori"), F.col("`log2(PTR)`").alias("fused"), "ci_low", "ci_high", F.col("enzyme_consistency").alias("p"))
+    points = profile_points(rates).select(*both, fusion.enzyme_name("enzyme").alias("name"), F.col("mid").cast("double").alias("mid"), "log2_rate").join(known, "genome_id").join(row.select(*both, "ori"), both, "left")
+    bars = fits.where("ok").select(*both, fusion.enzyme_name("enzyme").alias("name"), "log2_ptr", "se").join(known, "genome_id").join(row, both, "left")
+    made = points.groupBy(*both).applyInPandas(_profile_svg, "name string, text string")
+    return made.unionByName(bars.groupBy(*both).applyInPandas(_forest_svg, "name string, text string"))

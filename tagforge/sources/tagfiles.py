@@ -1,21 +1,20 @@
 """Binary tag tables as a Spark data source: one file a genome, read in ranges of fixed-width records.
 
-A writing task gets whole genomes in file order, streams each to a folder of its own attempt below the target, and
-only the files of committed tasks are moved into place, so a task that is lost or repeated leaves nothing.  A file's head holds the genome's name and contigs.
+A writing task gets whole genomes in file order and writes each as a staged file (:mod:`tagforge.sources.staged`), so a task that is lost or repeated leaves nothing.  A file's head holds the genome's name and contigs.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tagforge.sources.splits import located
+from tagforge.sources.staged import StagedWriter, Written
 from tagforge.sources.tgt import MAGIC, RECORD, VERSION, keys_of_tags
 
 SPLIT_RECORDS = 1 << 20
@@ -99,36 +98,20 @@ class TagReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, names=list(COLUMNS))
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list
-
-
-class TagWriter(DataSourceArrowWriter):
+class TagWriter(StagedWriter):
     """Takes (genome, meta, enzyme_idx, pattern, tag, contig_id, position, gap, flags, local_gc), genome by genome; a genome's first row holds its head as ``meta``."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex
-
-    def _moving(self) -> str:
-        return f"_moving-{self.run}"
+    suffix = ".tgt"
 
     def write(self, batches) -> Written:
-        system, inner = located(self.path)
-        folder = f"{inner}/{self._moving()}/{uuid.uuid4().hex}"
-        files, genome, meta, parts, seen = [], None, "", [], set()
+        folder, files = self.attempt(), []
+        genome, meta, parts, seen = None, "", [], set()
 
         def finish():
-            if genome is None:
-                return
-            name = quote(genome, safe="") + ".tgt"
-            system.create_dir(folder, recursive=True)
-            text = meta.encode()
-            with system.open_output_stream(f"{folder}/{name}") as out:
-                out.write(MAGIC + struct.pack("<III", VERSION, len(text), sum(map(len, parts)) // RECORD) + text)
-                for part in parts:
-                    out.write(part)
-            files.append((f"{folder}/{name}", name))
+            if genome is not None:
+                text = meta.encode()
+                head = MAGIC + struct.pack("<III", VERSION, len(text), sum(map(len, parts)) // RECORD) + text
+                files.append(self.put(folder, quote(genome, safe="") + ".tgt", [head, *parts]))
 
         for batch in batches:
             names = batch.column("genome").to_pylist()
@@ -161,29 +144,6 @@ class TagWriter(DataSourceArrowWriter):
         r["key"] = keys_of_tags(tags)
         return r.tobytes()
 
-    def commit(self, messages) -> None:
-        from pyarrow import fs
-
-        system, inner = located(self.path)
-        if self.overwrite and system.get_file_info(inner).type == fs.FileType.Directory:
-            for f in system.get_file_info(fs.FileSelector(inner)):
-                if f.path.endswith(".tgt"):
-                    system.delete_file(f.path)
-        for message in messages:
-            for temporary, name in message.files if message else []:
-                system.move(temporary, f"{inner}/{name}")
-        self._clear()
-
-    def abort(self, messages) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        from pyarrow import fs
-
-        system, inner = located(self.path)
-        if system.get_file_info(f"{inner}/{self._moving()}").type == fs.FileType.Directory:
-            system.delete_dir(f"{inner}/{self._moving()}")
-
 
 class TagFiles(DataSource):
     """``format("tagforge_tags")`` with the option ``path`` (a file or a folder of ``.tgt`` files), and for reading ``splitRecords``."""

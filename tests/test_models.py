@@ -368,6 +368,32 @@ def test_short_numbers_read_as_percent_g(spark):
         assert got == [f"{v:.{digits}g}" for v in values]
 
 
+def test_svg_figures_one_file_a_group(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from tagforge.sources.staged import write_named
+
+    both = [("a<b", 0), ("s/2", 0), ("s/2", 1)]
+    rates = spark.createDataFrame([(s, g, e, 1000.0 * k, 2.0 - k / 10 + e, 0.1) for s, g in both for e in (0, 3) for k in range(10)] + [("s/2", 1, 0, 1.0, None, None)], "sample string, genome_id int, enzyme int, mid double, log2_rate double, log2_se double")
+    fits = spark.createDataFrame([(s, g, e, 1.0 + e / 10, 0.1, e != 3) for s, g in both for e in (0, 3, 7)], "sample string, genome_id int, enzyme int, log2_ptr double, se double, ok boolean")
+    out = spark.createDataFrame([(s, g, None if g else 500.0, 1.1, 0.9, 1.3, 0.25) for s, g in both], "sample string, genome_id int, ori double, `log2(PTR)` double, ci_low double, ci_high double, enzyme_consistency double")
+    genomes = spark.createDataFrame([(0, "g & co", 10_000), (1, "h", 10_000)], "genome_id int, genome string, genome_len bigint")
+    path = tmp_path / "svg"
+    for _ in range(2):
+        write_named(report.svg_figures(rates, fits, out, genomes), str(path), ".svg")
+    names = sorted(f.name for f in path.iterdir())
+    assert names == sorted(f"{s}__{g}.{k}.svg" for s, g in (("a%3Cb", "g %26 co"), ("s%2F2", "g %26 co"), ("s%2F2", "h")) for k in ("profile", "forest"))
+    space = "{http://www.w3.org/2000/svg}"
+    page = ElementTree.parse(path / names[-1].replace("profile", "forest")).getroot()
+    assert len(page.findall(f"{space}circle")) == 2 and [x.text for x in page.findall(f"{space}text") if x.text in ("BcgI", "BaeI", "Bsp24I")] == ["BcgI", "Bsp24I"]
+    profile = ElementTree.parse(path / "a%3Cb__g %26 co.profile.svg").getroot()
+    assert profile.find(f"{space}title").text == "a<b / g & co" and len(profile.findall(f"{space}circle")) == 20
+    ori = [x for x in profile.findall(f"{space}line") if x.get("class") == "ori"]
+    assert len(ori) == 1 and float(ori[0].get("x1")) == pytest.approx(60 + 500 / 10_000 * 780, abs=0.06)
+    first = min((c for c in profile.findall(f"{space}circle")), key=lambda c: float(c.get("cx")))
+    assert float(first.get("cx")) == pytest.approx(60, abs=0.06)
+
+
 def test_false_discovery_rates_by_brute_force(spark):
     from tagforge.operators.dynamics import benjamini_hochberg
 

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes every result as Parquet to the shared
 folder and reads it again as the next stage's input.  Classifiers learn from the labelled rows of ``sf_dir``'s own tables, so
 that a stage's training doesn't depend on what an earlier stage has dropped.
+
+Null and empty texts fail the base rules and go first.  Rows with a null id stay rows of their own in every stage; rows that repeat an
+id and a text are judged alike, and one of them is left after the near-duplicate stage.  Very long texts are judged whole and packed in pieces.  Ties
+are settled as the operators say.  Columns beside id, text and source pass through the first four stages, whatever their names.
+An empty table gives an empty result.  The mix weighs documents by operator 10's own native weight, as stages hand on the columns of documents only.
 """
 
 from __future__ import annotations

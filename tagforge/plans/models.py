@@ -158,11 +158,6 @@ def gc_curve_lookup(spark, d):
     return G.lookup(c.select("enzyme", "gc").distinct(), coarse).withColumn("gc_offset", F.round("gc_offset", 6))
 
 
-@query()
-def vfit_two_stage(spark, d):
-    return V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="v_shape")
-
-
 G3 = "sample, genome_id, enzyme"
 KNOWN_ORI = 1000
 #: No kink is one at the terminus.
@@ -191,11 +186,24 @@ def lines_sql(name: str, points: str, tried: str) -> tuple[str, ...]:
     )
 
 
-def vfit_sql(source: str, known: int | None) -> tuple[str, ...]:
-    """CTE ``vfit``: both stages at a known origin, or with one searched on the grid and refined."""
+#: The origin of a sample and genome from all enzymes' rates, each less its median: unweighted lines on the grid, then finer.
+_STEP = f"({Q.GENOME} / 180.0::DOUBLE)"
+SHARED_SQL = (
+    f"""pooled AS MATERIALIZED (SELECT sample, genome_id, -1 AS enzyme, x, y - med AS y, 1.0::DOUBLE AS w, count(*) OVER (PARTITION BY sample, genome_id) AS n FROM (SELECT *, median(y) OVER g AS med, count(*) OVER g AS own FROM rp WHERE y IS NOT NULL WINDOW g AS (PARTITION BY {G3})) WHERE own >= 3)""",
+    f"pool_tried AS (SELECT {G3}, i * {_STEP} AS o, {NO_KINK}::DOUBLE AS k FROM (SELECT DISTINCT {G3} FROM pooled WHERE n >= 5), range(180) a(i))",
+    *lines_sql("pool", "pooled", "pool_tried"),
+    f"pool_best AS MATERIALIZED (SELECT * EXCLUDE (low) FROM (SELECT *, min(bic) OVER (PARTITION BY {G3}) AS low FROM pool WHERE NOT uphill) WHERE bic <= low + 1e-7 QUALIFY row_number() OVER (PARTITION BY {G3} ORDER BY o) = 1)",
+    f"pool_fine AS (SELECT {G3}, k, f - {Q.GENOME} * floor(f / {Q.GENOME}) AS o FROM (SELECT {G3}, k, o - {_STEP} + j * ({_STEP} / 20) AS f FROM pool_best, range(41) a(j)))",
+    *lines_sql("finer", "pooled", "pool_fine"),
+    f"shared AS MATERIALIZED (SELECT sample, genome_id, o FROM (SELECT *, min(sse) OVER (PARTITION BY {G3}) AS low FROM (SELECT *, 0 AS first FROM pool_best UNION ALL BY NAME SELECT *, 1 AS first FROM finer WHERE NOT uphill)) WHERE sse <= low * (1 + 1e-7) QUALIFY row_number() OVER (PARTITION BY {G3} ORDER BY first, o) = 1)",
+)
+
+
+def vfit_sql(source: str, known: int | str | None) -> tuple[str, ...]:
+    """CTE ``vfit``: both stages at a known origin, one that a CTE of samples and genomes names, or one searched on the grid and refined."""
     step = f"({Q.GENOME} / 180.0::DOUBLE)"
-    origins = f"(SELECT i, i * {step} AS o FROM range(180) a(i))" if known is None else f"(SELECT 0 AS i, {known}::DOUBLE AS o)"
-    groups = f"(SELECT DISTINCT {G3}, n FROM points WHERE n >= 5)"
+    origins = f"(SELECT i, i * {step} AS o FROM range(180) a(i))" if known is None else "(SELECT 0 AS i)" if isinstance(known, str) else f"(SELECT 0 AS i, {known}::DOUBLE AS o)"
+    groups = f"(SELECT DISTINCT {G3}, n, o FROM points JOIN {known} USING (sample, genome_id) WHERE n >= 5)" if isinstance(known, str) else f"(SELECT DISTINCT {G3}, n FROM points WHERE n >= 5)"
     allowed = "NOT uphill" if known is None else "true"
     out = [points_sql(source), f"probes AS (SELECT {G3}, o, {NO_KINK}::DOUBLE AS k FROM {groups}, {origins} WHERE i % 7 = 0)", *lines_sql("probe", "points", "probes")]
     out.append(f"tried AS MATERIALIZED (SELECT {G3}, o, k FROM {groups} JOIN (SELECT {G3}, coalesce(max(log2_ptr) FILTER ({allowed}) >= 1, false) AS steep FROM probe GROUP BY ALL) USING ({G3}), {origins}, (SELECT unnest([{NO_KINK}, 0.25, 0.4, 0.55, 0.7])::DOUBLE AS k) WHERE k = {NO_KINK} OR n >= 30 AND steep)")
@@ -233,6 +241,13 @@ def vfit_known_origin(spark, d):
     return vfit_columns(V.fit_windows(r, genomes, method="v_shape"))
 
 
+@query(VFIT_SELECT.format(source="rp", more=", round(o, 2) AS ori"), (*Q.RATES, RATE_POINTS, *SHARED_SQL, *vfit_sql("rp", "shared")))
+def vfit_two_stage(spark, d):
+    """Both stages at the origin that a sample and genome's enzymes share."""
+    f = V.fit_windows(Q.rates(spark, d), float(Q.GENOME), method="v_shape")
+    return vfit_columns(f).join(f.select(*Q.GROUP, F.round("ori", 2).alias("ori")), Q.GROUP)
+
+
 #: Profiles with a kink, with a second slope that rises, straight and flat, about one origin; the rates' scatter on them.
 STEEP_ORI = 123_456
 STEEP = f"""steep AS (SELECT sample, genome_id, (enzyme % 2)::INT AS enzyme, x, 0.15 * log2_rate + CASE (genome_id + enzyme % 2) % 4 WHEN 0 THEN -3.0 * least(d, 0.4) - 0.5 * greatest(d - 0.4, 0)

@@ -334,6 +334,26 @@ def test_sorted_fit_needs_enough_values():
     assert up["ok"] and up["r2"] > 0.8
 
 
+def test_enzyme_windows_sort_stretches_not_contigs(spark, monkeypatch):
+    """Places counted over stretches of 16 bases equal those of whole contigs, with nulls, ties and negative positions; no row is sorted by contig."""
+    rng = np.random.default_rng(3)
+    rows = [(s, g, e, c, None if rng.random() < 0.02 else int(rng.integers(-40, 900)), int(rng.integers(0, 9)), int(rng.integers(60, 64)), 3, bool(rng.random() < 0.9)) for s, g, e in (("a", 1, 0), (None, 1, 0), ("a", 2, None)) for c in (0, 1) for _ in range(int(rng.integers(500, 900)))]
+    counts = spark.createDataFrame(rows, "sample string, genome_id int, enzyme int, contig_id int, position bigint, count int, local_gc int, flags int, usable boolean")
+    monkeypatch.setattr(windows, "STRETCH", 4)
+    df = windows.enzyme_windows(counts)
+    want = []
+    for group in {r[:3] for r in rows}:
+        size = min(max(sum(r[:3] == group and r[8] for r in rows) // 25, 25), 100)
+        for contig in (0, 1):
+            own = sorted((r for r in rows if r[:3] == group and r[3] == contig and r[8]), key=lambda r: (r[4] is not None, r[4] or 0, r[5:8]))
+            tail, last = len(own) % size, (len(own) - 1) // size
+            want += [(*r, size, last - 1 if i // size == last > 0 and 0 < tail * 2 < size else i // size) for i, r in enumerate(own)]
+    assert df.columns == [*counts.columns, "window_size", "chunk"]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+    sorts = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
+    assert sorts and all("windowspecdefinition(__in#" in line for line in sorts)
+
+
 def test_given_windows(spark):
     rows = [("s", 1, 0, e, i, i, 2, 0.5, True, None if i == 9 else i // 5) for e in (0, 1) for i in range(10)]
     counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, enzyme int, position bigint, global_position bigint, count int, gc double, usable boolean, window_id bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagforge.operators.fit import line, solve
-from tagforge.session import stored
+from tagforge.session import dealt, stored
 
 
 def passing(out: DataFrame) -> DataFrame:
@@ -20,13 +20,17 @@ def ptr_matrix(out: DataFrame, samples: list, value: str = "log2_ptr") -> DataFr
 
 
 def anchor_matrix(counts: DataFrame, samples: list, usable_only: bool = True, genome: int | None = None) -> DataFrame:
-    """Counts per anchor and sample, 0 where a sample has none; masked anchors only on request, one genome if named."""
+    """Counts per anchor and sample, 0 where a sample has none; masked anchors only on request, one genome if named.
+
+    Nearly every row has an anchor of its own, so rows are dealt out before they are summed: sums ahead of the shuffle would hold a task's whole input.
+    """
     if usable_only:
         counts = counts.where("usable")
     if genome is not None:
         counts = counts.where(F.col("genome_id") == genome)
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("genome_id", "contig_id", "position", "enzyme")])
-    return counts.withColumn("anchor", key).groupBy("anchor").pivot("sample", samples).agg(F.sum("count")).na.fill(0)
+    rows = dealt(counts.select(key.alias("anchor"), "sample", "count"), "anchor")
+    return rows.groupBy("anchor").agg(*[F.coalesce(F.sum(F.when(F.col("sample") == s, F.col("count"))), F.lit(0)).alias(s) for s in samples])
 
 
 def in_baseline(name: str) -> Column:

@@ -391,6 +391,20 @@ def test_anchor_matrix_leaves_masked_anchors_out(spark):
     assert plain(usable_only=False, genome=1) == {"1:0:5:2": (3, 4), "1:0:9:2": (7, 0)}
 
 
+def test_anchor_matrix_sums_after_the_shuffle_alone(spark):
+    from tagforge.operators.dynamics import anchor_matrix
+
+    rng = np.random.default_rng(4)
+    rows = [(s, 1, 0, int(rng.integers(0, 40)), 2, None if rng.random() < 0.1 else int(rng.integers(0, 9)), True) for s in ("a", "b", "other", None) for _ in range(50)]
+    counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, position bigint, enzyme int, count int, usable boolean")
+    df = anchor_matrix(counts, ["a", "b"])
+    want = {f"1:0:{p}:2": tuple(sum(r[5] or 0 for r in rows if r[3] == p and r[0] == s) for s in "ab") for p in {r[3] for r in rows}}
+    assert {r.anchor: (r.a, r.b) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    below = plan.splitlines()[max(i for i, line in enumerate(plan.splitlines()) if "Exchange" in line) :]
+    assert not any("Aggregate" in line for line in below)
+
+
 def test_model_queries_run(spark, sf):
     import __spark_entry__ as entry
 

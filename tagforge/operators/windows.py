@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagforge.operators.anchors import usable
+from tagforge.session import dealt
 
 ORDER = ("position", "enzyme_idx")
 #: Bits of the bases of a stretch, within which rows are sorted.
@@ -74,7 +75,7 @@ def enzyme_windows(counts: DataFrame, cap: int = 100) -> DataFrame:
     held = rows.groupBy("__in").agg(F.count("*").alias("__n"))
     held = held.select("__in", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(of(*named)).alias("__total"), auto_size(F.sum("__n").over(of(*group)), cap).alias("window_size"))
     place = F.col("__before") + F.row_number().over(W.partitionBy("__in").orderBy("position", "count", "local_gc", "flags")) - 1
-    placed = rows.join(held.hint("shuffle_hash"), "__in").withColumn("chunk", _chunk(F.col("window_size"), F.col("__total"), place))
+    placed = dealt(rows, "__in").join(held.hint("shuffle_hash"), "__in").withColumn("chunk", _chunk(F.col("window_size"), F.col("__total"), place))
     return placed.select(*[F.col(f"__in.{c}").alias(c) if c in named else F.col(c) for c in counts.columns], "window_size", "chunk")
 
 

@@ -89,12 +89,13 @@ def lookup(places: DataFrame, curves: DataFrame) -> DataFrame:
     return j.select(*places.columns, F.coalesce(F.when(F.col("__x").isNotNull(), offset), F.lit(0.0)).alias("gc_offset"))
 
 
-def offsets(counts: DataFrame, curves: DataFrame) -> DataFrame:
+def offsets(counts: DataFrame, curves: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """counts plus gc_offset by :func:`lookup`; 0 for undefined GC.
 
-    Curves are evaluated at each enzyme's distinct GC values, at most 201 from quantised GC, and joined back.
+    Curves are evaluated at each enzyme's distinct GC values, at most 201 from quantised GC, and joined back; they are read from ``source``
+    where counts come from it by longer work.
     """
-    places = counts.where(F.col("gc").isNotNull()).select("enzyme", "gc").distinct()
+    places = (counts if source is None else source).where(F.col("gc").isNotNull()).select("enzyme", "gc").distinct()
     return counts.join(lookup(places, curves), ["enzyme", "gc"], "left").withColumn("gc_offset", F.coalesce("gc_offset", F.lit(0.0)))
 
 

@@ -24,11 +24,11 @@ def estimate(
     genome_id, containment; ``gates`` are arguments of :func:`fusion.with_qc`; ``given_windows`` takes the counts' window_id for windows.
     """
     both = ["sample", "genome_id"]
+    w = windows.given_windows(counts) if given_windows else windows.enzyme_windows(counts, window_cap)
     if gc_correct:
-        counts = gcbias.offsets(counts, gcbias.fit_curves(counts, loess_frac))
+        w = gcbias.offsets(w, gcbias.fit_curves(counts, loess_frac), counts)
     else:
-        counts = counts.withColumn("gc_offset", F.lit(None).cast("double"))
-    w = windows.given_windows(counts) if given_windows else windows.enzyme_windows(counts, window_cap)
+        w = w.withColumn("gc_offset", F.lit(None).cast("double"))
     key = mixture.KEY
     place = w.groupBy(*key).agg(F.avg("global_position").alias("mid"), F.avg("gc_offset").alias("mean_gc_offset"), F.var_samp(F.when(F.col("count") > 0, F.col("count"))).alias("var"), F.avg(F.when(F.col("count") > 0, F.col("count"))).alias("mean"))
     rates = mixture.model_rates(w, count_model).join(place, key)

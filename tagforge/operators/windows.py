@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagforge.operators.anchors import usable
-from tagforge.session import dealt
+from tagforge.session import dealt, stored
 
 ORDER = ("position", "enzyme_idx")
 #: Bits of the bases of a stretch, within which rows are sorted.
@@ -66,16 +66,18 @@ def enzyme_windows(counts: DataFrame, cap: int = 100) -> DataFrame:
 
     Rows are sorted within stretches of 2 ** ``STRETCH`` bases, and a stretch's first place follows from the number of rows in those before it:
     the list of stretches is the largest thing that is ordered by contig.  A stretch is one struct, so that nulls in a group are equal.
+    The list is made at once and stored, as the number of rows says over how many tasks the sort is dealt.
     """
     group = ["sample", "genome_id", "enzyme"]
     named, rest = [*group, "contig_id"], [c for c in counts.columns if c not in (*group, "contig_id")]
     rows = counts.where("usable").select(F.struct(*named, F.shiftright(F.col("position").cast("bigint"), STRETCH).alias("stretch")).alias("__in"), *rest)
     of = lambda *names: W.partitionBy(*[F.col(f"__in.{c}") for c in names])
     before = F.sum("__n").over(of(*named).orderBy("__in.stretch").rowsBetween(W.unboundedPreceding, -1))
-    held = rows.groupBy("__in").agg(F.count("*").alias("__n"))
+    held = stored(rows.groupBy("__in").agg(F.count("*").alias("__n")))
+    total = held.agg(F.sum("__n")).head()[0] or 0
     held = held.select("__in", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(of(*named)).alias("__total"), auto_size(F.sum("__n").over(of(*group)), cap).alias("window_size"))
     place = F.col("__before") + F.row_number().over(W.partitionBy("__in").orderBy("position", "count", "local_gc", "flags")) - 1
-    placed = dealt(rows, "__in").join(held.hint("shuffle_hash"), "__in").withColumn("chunk", _chunk(F.col("window_size"), F.col("__total"), place))
+    placed = dealt(rows, "__in", rows=total).join(held.hint("shuffle_hash"), "__in").withColumn("chunk", _chunk(F.col("window_size"), F.col("__total"), place))
     return placed.select(*[F.col(f"__in.{c}").alias(c) if c in named else F.col(c) for c in counts.columns], "window_size", "chunk")
 
 

@@ -141,7 +141,7 @@ FROM rates LEFT JOIN (SELECT {WINDOW}, avg(coalesce(log2_offset, 0)) AS mean_gc_
 )
 def gc_corrected_rates(spark, d):
     c = X.counts(spark, d)
-    w = N.enzyme_windows(G.offsets(c, G.fit_curves(c)))
+    w = G.offsets(N.enzyme_windows(c), G.fit_curves(c), c)
     mean = w.groupBy(*Q.KEY).agg(F.avg("gc_offset").alias("mean_gc_offset"))
     return G.apply_offset(Q.rates(spark, d).join(mean, Q.KEY)).select(*Q.KEY, *Q.r6("log2_rate", "log2_rate_raw", "mean_gc_offset"), "gc_corrected")
 

@@ -374,6 +374,19 @@ def test_enzyme_windows_sort_stretches_not_contigs(spark, monkeypatch):
     assert sorts and all("windowspecdefinition(__in#" in line for line in sorts)
 
 
+def test_enzyme_windows_deal_more_rows_over_more_tasks(spark, monkeypatch):
+    """A task's share of the sort doesn't grow with the table: more rows are dealt over more partitions, with the same chunks."""
+    from tagforge import session
+
+    schema = "sample string, genome_id int, enzyme int, contig_id int, position bigint, count int, local_gc int, flags int, usable boolean"
+    made = lambda n: windows.enzyme_windows(spark.createDataFrame([("s", 1, 0, 0, i, i % 9, 60, 3, i % 7 > 0) for i in range(n)], schema))
+    monkeypatch.setattr(windows, "STRETCH", 2)
+    want = sorted(map(tuple, made(1400).collect()))
+    monkeypatch.setattr(session, "ROWS", 100)
+    assert {n: made(n).rdd.getNumPartitions() for n in (140, 700, 1400)} == {140: 4, 700: 6, 1400: 12} and not made(0).collect()
+    assert sorted(map(tuple, made(1400).collect())) == want and len(want) == 1200
+
+
 def test_given_windows(spark):
     rows = [("s", 1, 0, e, i, i, 2, 0.5, True, None if i == 9 else i // 5) for e in (0, 1) for i in range(10)]
     counts = spark.createDataFrame(rows, "sample string, genome_id int, contig_id int, enzyme int, position bigint, global_position bigint, count int, gc double, usable boolean, window_id bigint")

@@ -3,16 +3,17 @@
 Text is lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pieces into words at spaces and tabs.  A phrase is 2 to
 ``longest`` words in a row within a piece.
 
-1. One pass counts the words of every language exactly and adds all phrases to a sketch of two rows of ``slots`` one-byte counters
-   that stop at their top, so a sketch bounds every count from above.  Tasks send their sketches in blocks, which are added as a stream.
-2. What is left of the sketch is one bit a counter: whether it reaches the support.  That is all that is broadcast, 2 * ``slots`` bits.
+1. One pass counts the words of every language exactly and sends the counts of all phrases' 41-bit keys, sorted and by differences, to
+   BLOCKS blocks.  A block is a sketch of its own, of two rows of counters, 8 to 16 a key sent up to ``slots`` / BLOCKS, which bounds every
+   count from above; a task holds one block at a time, so the sketch can be as large as billions of different phrases ask for.
+2. What is left is a filter of the keys whose counters reach the support, two rows of 8 to 16 bits a key.  That is all that is broadcast.
 3. A second pass works on shards of a few megabytes of one language.  The phrases of a shard that the sketch, and so each of their
    parts, lets through are compiled, with a space at each end as guard, into an automaton; it scans the shard and counts
    overlapping matches.  Sums over all shards are exact for every phrase whose total reaches the support, as such a phrase
    is a candidate wherever it stands.  So no task holds the candidates of the whole corpus.
 4. Phrases below the support go; cuts, containment and ranks are joins on the table that is left.
 
-The sketch has a fixed size.  In a corpus that fills it more candidates are counted than are needed; results stay exact.
+The sketch has a fixed size.  In a corpus that fills it, some hundred GB, more candidates are counted than are needed; results stay exact.
 
 Null texts are empty, a null language is ``und``.  Repeated rows count as often as they stand there.  Very long texts are whole pieces of a
 shard of their own size.  Ties are ranked by count and then phrase.  An empty table gives an empty result.  Columns other than text and language are not read.
@@ -37,9 +38,11 @@ from tagforge.session import ship
 
 LONGEST = 4
 SUPPORT = 30
-SLOTS = 1 << 24
-#: Counters of one row that a sketch row of the shuffle holds.
-BLOCK = 1 << 16
+SLOTS = 1 << 32
+#: Parts of the key space and of the sketch.
+BLOCKS = 1 << 9
+#: Phrases that a task holds before it sends the counts of their keys.
+HELD_KEYS = 1 << 21
 #: Bytes of text of one language that are counted together.
 SHARD_BYTES = 2 << 20
 #: Distinct words or phrases that a task holds before it sends its sums.
@@ -81,9 +84,36 @@ def phrase_keys(data: np.ndarray, language: str, longest: int = LONGEST) -> tupl
     return starts, ends, key, at
 
 
-def _slots(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """A phrase's counters in the two rows."""
-    return (key % np.uint64(slots)).astype(np.int64), ((key >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(slots)).astype(np.int64)
+def _short(key: np.ndarray) -> np.ndarray:
+    """The 41 bits of a key that the sketch tells phrases apart by: the block's number above, 32 bits below."""
+    return ((key % np.uint64(BLOCKS)) << np.uint64(32)) | (key >> np.uint64(32))
+
+
+def _slots(short: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """A phrase's places in its block's two rows of ``each``."""
+    rest = short & np.uint64(0xFFFFFFFF)
+    return (rest % np.uint64(each)).astype(np.int64), ((rest * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(each)).astype(np.int64)
+
+
+def _room(n: int) -> int:
+    """8 to 16 places a key, a power of two."""
+    return 1 << max(8 * n - 1, 7).bit_length()
+
+
+def _packed(key: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(block, keys, part) of different sorted keys with their counts: differences of the keys by byte planes, which compress, and the counts."""
+    rest, cut = key.astype(np.uint32), np.searchsorted(key, np.arange(BLOCKS + 1, dtype=np.uint64) << np.uint64(32))
+    for block, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if b > a:
+            step = np.diff(rest[a:b], prepend=np.uint32(0))
+            yield block, b - a, step.view(np.uint8).reshape(-1, 4).T.tobytes() + n[a:b].tobytes()
+
+
+def _unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys without their block, and counts."""
+    size = len(part) // 5
+    step = np.ascontiguousarray(np.frombuffer(part, np.uint8, 4 * size).reshape(4, size).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint32).astype(np.uint64), np.frombuffer(part, np.uint8, size, 4 * size)
 
 
 def _shards(batches) -> Iterator[tuple[str, list[bytes]]]:
@@ -120,9 +150,22 @@ def _flush(held: dict[tuple[str, bytes], int], words: int) -> pa.RecordBatch:
     return batch
 
 
-def _sketched(slots: int, top: int, longest: int, batches):
-    """Word counts, and at the end the task's sketch in blocks."""
-    sketch = np.zeros(2 * slots, np.uint8)
+def _keys_out(held: list[np.ndarray], top: int) -> Iterator[pa.RecordBatch]:
+    """Packed counts of the keys held, which are dropped, a few blocks a batch."""
+    key = np.concatenate(held)
+    held.clear()
+    key, n = counted(key)
+    packed = list(_packed(key, np.minimum(n, top).astype(np.uint8)))
+    del key, n
+    for start in range(0, len(packed), BLOCKS // 8):
+        block, _, part = zip(*packed[start : start + BLOCKS // 8], strict=True)
+        rows = len(block)
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.string()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.array(block, pa.int32()), pa.array(part, pa.binary())], schema=_ARROW)
+
+
+def _sketched(top: int, longest: int, batches):
+    """Word counts, and counts of the keys of phrases by block."""
+    some: list[np.ndarray] = []
     held: dict[tuple[str, bytes], int] = {}
     for language, texts in _shards(batches):
         whole = plain(texts)
@@ -133,42 +176,69 @@ def _sketched(slots: int, top: int, longest: int, batches):
         for s, e, k in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
             at = (language, whole[s:e])
             held[at] = held.get(at, 0) + k
-        phrase, n = counted(np.concatenate(key[1:]))
-        for row, slot in enumerate(_slots(phrase, slots)):
-            slot, sums = counted(slot, n)
-            slot = slot + row * slots
-            sketch[slot] = np.minimum(sketch[slot] + sums, top)
+        some += [_short(k) for k in key[1:]]
+        if sum(map(len, some)) > HELD_KEYS:
+            yield from _keys_out(some, top)
         if len(held) > HELD:
             yield _flush(held, 1)
+    if some:
+        yield from _keys_out(some, top)
     if held:
         yield _flush(held, 1)
-    for start in range(0, 2 * slots, BLOCK):
-        part = sketch[start : start + BLOCK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([start // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_ARROW)
 
 
-def _added(top: int, batches):
-    """(slot, bits): blocks of all tasks added, and which of their counters reach the top."""
-    total: dict[int, np.ndarray] = {}
+def _passed(slots: int, top: int, batches):
+    """(block, n, keys): the keys of each block whose counters in both rows reach the top; a block's rows come one after another."""
+
+    def out(block, parts):
+        each = min(max(slots // BLOCKS, 1), _room(sum(map(len, parts)) // 5))
+        first, sketch, found = np.uint64(block << 32), np.zeros((2, each), np.uint32), []
+        for part in parts:
+            key, n = _unpacked(part)
+            for row, slot in zip(sketch, _slots(key, each), strict=True):
+                np.add.at(row, slot, n)
+        for part in parts:
+            key, _ = _unpacked(part)
+            one, two = _slots(key, each)
+            found.append(key[(sketch[0][one] >= top) & (sketch[1][two] >= top)])
+        key = counted(np.concatenate(found))[0] | first
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([key.tobytes()], pa.binary())], names=["block", "n", "keys"])
+
+    held: list[bytes] = []
+    now = None
+    for batch in batches:
+        for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and block != now:
+                yield out(now, held)
+                held = []
+            now = block
+            held.append(part)
+    if held:
+        yield out(now, held)
+
+
+def _filtered(each: int, batches):
+    """(block, bits): the blocks' parts of the filter, both rows."""
     for batch in batches:
-        for slot, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(part, np.uint8)
-            total[slot] = np.minimum(total[slot] + part.astype(np.uint16), top) if slot in total else part.astype(np.uint16)
-    for slot, sums in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(sums >= top).tobytes()], pa.binary())], names=["slot", "bits"])
+        for block, keys_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bits = np.zeros((2, each), bool)
+            for row, slot in zip(bits, _slots(np.frombuffer(keys_, np.uint64), each), strict=True):
+                row[slot] = True
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary())], names=["block", "bits"])
 
 
-def candidates(data: np.ndarray, language: str, bits: np.ndarray, slots: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """Where one occurrence of each candidate of a shard starts and ends: phrases that the sketch lets through, as it does their parts."""
+def candidates(data: np.ndarray, language: str, bits: np.ndarray, each: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Where one occurrence of each candidate of a shard starts and ends: phrases that the filter lets through, as it does their parts."""
     starts, ends, key, at = phrase_keys(data, language, longest)
     passed, begin, end = np.ones(len(starts) + 1, bool), [], []
     for n in range(1, longest):
         some = passed[at[n]] & passed[at[n] + 1]
         k, first = key[n][some], at[n][some]
         ok = np.ones(len(k), bool)
-        for row, slot in enumerate(_slots(k, slots)):
-            slot = slot + row * slots
+        short = _short(k)
+        block = (short >> np.uint64(32)).astype(np.int64) * each
+        for row, slot in enumerate(_slots(short, each)):
+            slot = slot + block + row * BLOCKS * each
             ok &= (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
         first = first[ok]
         passed = np.zeros(len(starts) + 1, bool)
@@ -194,12 +264,12 @@ def matches(whole: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[list[byte
     return [whole[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)], np.bincount(found, minlength=len(begin))
 
 
-def _matched(bits: Broadcast, slots: int, longest: int, batches):
+def _matched(bits: Broadcast, each: int, longest: int, batches):
     """Counts of the candidates of each shard, summed over the shards of a task as far as they are held."""
     held: dict[tuple[str, bytes], int] = {}
     for language, texts in _shards(batches):
         whole = plain(texts)
-        phrase, n = matches(whole, *candidates(np.frombuffer(whole, np.uint8), language, np.frombuffer(bits.value, np.uint8), slots, longest))
+        phrase, n = matches(whole, *candidates(np.frombuffer(whole, np.uint8), language, np.frombuffer(bits.value, np.uint8), each, longest))
         for p, k in zip(phrase, n.tolist(), strict=True):
             at = (language, p)
             held[at] = held.get(at, 0) + k
@@ -215,14 +285,17 @@ def supported(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", l
     ship(spark)
     folder, top = shared_dir(spark), min(support, 255)
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    first = written(source.mapInArrow(partial(_sketched, slots, top, longest), _COUNTS), f"{folder}/first")
+    first = written(source.mapInArrow(partial(_sketched, top, longest), _COUNTS), f"{folder}/first")
     words = first.where("slot is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     words = written(words, f"{folder}/words")
-    blocks = first.where("slot is not null").select("slot", "part").repartition("slot").mapInArrow(partial(_added, top), "slot int, bits binary")
-    bits = np.zeros(2 * slots // 8, np.uint8)
-    for row in blocks.toLocalIterator():
-        bits[row.slot * BLOCK // 8 : row.slot * BLOCK // 8 + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
-    counts = source.mapInArrow(partial(_matched, spark.sparkContext.broadcast(bits.tobytes()), slots, longest), _COUNTS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = first.where("slot is not null").select("slot", "part").repartition(min(tasks, BLOCKS), "slot").sortWithinPartitions("slot")
+    passed = written(blocks.mapInArrow(partial(_passed, slots, top), "block int, n bigint, keys binary"), f"{folder}/passed")
+    each = _room((passed.agg(F.sum("n")).first()[0] or 0) // BLOCKS)
+    bits = np.zeros((2, BLOCKS, each // 8), np.uint8)
+    for row in passed.select("block", "keys").mapInArrow(partial(_filtered, each), "block int, bits binary").toLocalIterator():
+        bits[:, row.block] = np.frombuffer(bytes(row.bits), np.uint8).reshape(2, -1)
+    counts = source.mapInArrow(partial(_matched, spark.sparkContext.broadcast(bits.tobytes()), each, longest), _COUNTS)
     counts = counts.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f"))
     both = counts.unionByName(words.select("lang", "phrase", F.lit(1).alias("words"), "f")).where(F.col("f") >= support)
     both = written(both.withColumn("phrase", F.col("phrase").cast("string")), f"{folder}/counts")

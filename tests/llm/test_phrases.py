@@ -89,3 +89,29 @@ def test_shards_hold_a_bounded_size(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([f"l{k % 40}" for k in range(4000)]), pa.array([b"x" * 30] * 4000)], names=["lang", "text"])
     got = list(phrases._shards([batch]))
     assert sum(len(t) for _, t in got) == 4000 and max(sum(map(len, t)) for _, t in got) <= 300
+
+
+def test_rare_phrases_beyond_the_old_sketch_do_not_pass():
+    """Four counters' worth of rare phrases for each of 2 x 2^16 counters let nearly all of them through; blocks hold them apart, and only the keys that pass are in the filter."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    often = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    batches = []
+    for _ in range(6):
+        key = np.concatenate((rng.integers(0, 1 << 63, 300_000, dtype=np.uint64), np.repeat(often, 5)))
+        packed = list(phrases._packed(*[a.astype(t) for a, t in zip(np.unique(phrases._short(key), return_counts=True), (np.uint64, np.uint8), strict=True)]))
+        assert sum(n for _, n, _ in packed) == len(np.unique(phrases._short(key)))
+        batches += packed
+    batches.sort(key=lambda p: p[0])
+    rows = pa.RecordBatch.from_arrays([pa.array([p[0] for p in batches], pa.int32()), pa.array([p[2] for p in batches], pa.binary())], names=["slot", "part"])
+    passes = lambda slots: {k for b in phrases._passed(slots, 30, [rows.slice(i, 97) for i in range(0, rows.num_rows, 97)]) for part in b.column(2).to_pylist() for k in np.frombuffer(part, np.uint64).tolist()}
+    assert passes(1 << 26) == set(phrases._short(often).tolist())
+    assert len(passes(1 << 16)) > 100_000
+    assert all(8 * n <= phrases._room(n) <= 16 * n and phrases._room(n) % 8 == 0 for n in (1, 50, 1 << 20, (1 << 20) + 1))
+
+
+def test_default_sketch_is_held_by_no_task(spark, texts):
+    """2^32 counters a row: a task that held them, or a broadcast of their bits, would not fit."""
+    docs = spark.createDataFrame([(t, lang) for lang, t in texts], "text string, lang string").repartition(3)
+    assert sorted(map(tuple, phrases.mine(docs, slots=1 << 32, top=50).select(COLUMNS).collect())) == brute_force(texts, 30, 50)

@@ -165,3 +165,25 @@ def test_whole_tree_drops_no_context(spark):
     assert ctw.score(odd, ctw.train(odd, size=None)).count() == len(ODD)
     untrained = ctw.score(docs, ctw.train(docs.where("false"), size=None)).where("doc_id = 3").first()
     assert untrained.score == pytest.approx(-8 * math.log10(2))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_whole_tree_of_other_depths(spark, depth):
+    """Subtrees below their roots, trees of roots alone, and grams that only held-out texts have."""
+    texts = [t.decode() for t in TRAIN] + ["The cat", "a goat", None, "zebra  on the log", "the cat sat on the mat", "\x00 \U0001f600", "the the the the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    score = brute_force([ctw.plain((t or "").encode()) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], depth)
+    got = ctw.score(docs, ctw.train(docs, depth=depth, size=None), depth=depth).toPandas().sort_values("doc_id")
+    np.testing.assert_allclose(got.score, [score(ctw.plain((t or "").encode())) for t in texts], rtol=1e-9)
+
+
+def test_query_drops_no_context(spark, sf, tmp_path):
+    """The query's tree has all contexts, more than the bounded tree's 65,536."""
+    docs = pd.read_parquet(f"{sf}/documents.parquet").sort_values("doc_id").head(40)
+    docs.to_parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op11_context_tree_lm"](spark, str(tmp_path)).toPandas().set_index("doc_id").score
+    train = [ctw.plain((t or "").encode()) for i, t in zip(docs.doc_id, docs.text, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(len({t[max(0, i - d) : i] for t in train for i in range(len(t))}) for d in range(1, ctw.DEPTH + 1)) > ctw.SIZE
+    score = brute_force(train, ctw.DEPTH)
+    some = docs[docs.text.str.len().between(1, 1500)].head(6)
+    np.testing.assert_allclose(got[some.doc_id], [score(ctw.plain(t.encode())) for t in some.text], rtol=1e-9)
